@@ -8,10 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The white space that separates words, as a class for Java and as its characters.
+# The white space that separates words, and what it separates, as classes for Java.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

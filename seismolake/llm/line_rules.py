@@ -8,33 +8,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, words
+from .common import SPACE_CLASS, words
 
 # Characters that count as symbols.
-SYMBOLS = "#*$%&|<>"
+SYMBOL_CLASS = r"[#*$%&|<>]"
 # Phrases of navigation and of boilerplate, as alternatives of one pattern each.
 NAVIGATION = "home|about us|contact us|log ?in|log ?out|sign in|sign up|menu|site ?map|skip to (main )?content|back to top|read more|click here|next page|previous page|share this|follow us|page [0-9]+ of [0-9]+"
 BOILERPLATE = "all rights reserved|privacy policy|terms of (use|service)|terms and conditions|cookie policy|(uses?|accept|enable) cookies|enable javascript|lorem ipsum|subscribe to our newsletter|powered by|copyright (©|\\(c\\)|[0-9]{4})"
-#: Words of a line that may go without an end mark; words of a line that navigation or boilerplate may fill; share of a line that symbols may be.
-SHORT, BRIEF, SYMBOL_SHARE = 4, 12, 0.2
+#: Characters of a line that navigation or boilerplate may fill; share of a line's characters that symbols may be.
+BRIEF, SYMBOL_SHARE = 120, 0.2
 #: A document goes if its lines lose more than this share of its word characters.
 MOST_LOST = 0.5
 # Fixed values of the base rules: fewest words, and the percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
 
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line with a word fails: a short line without an end mark, navigation, boilerplate, or mostly symbols."""
-    brief = F.size(F.split(F.trim(line), SPACE_CLASS))
-    unended = (brief <= SHORT) & ~line.rlike(r"""[.!?:;…。！？"'”’»)\]]\s*$""")
-    navigation = (brief <= BRIEF) & (line.rlike(rf"(?i)^\W*({NAVIGATION})\b") & ~line.rlike(r"[.!?]\s*$") | line.rlike(r"( [|»›•·] .*){2,}"))
-    boilerplate = (brief <= BRIEF) & line.rlike(rf"(?i)({BOILERPLATE})")
-    solid = F.translate(line, SPACES, "")
-    marked = F.length(solid) - F.length(F.translate(solid, SYMBOLS + "{}\\~^", "")) > SYMBOL_SHARE * F.length(solid)
-    return unended | navigation | boilerplate | marked
+    """Whether a line with a word fails: up to four words without an end mark, navigation, boilerplate, or too many symbols."""
+    ended = line.rlike(r"""[.!?:;…。！？"'”’»)\]]\s*$""")
+    unended = ~ended & line.rlike(r"^\s*\S+(\s+\S+){0,3}\s*$")
+    navigation = line.rlike(r"( [|»›•·] .*){2,}") | line.rlike(rf"(?i)^\W*({NAVIGATION})\b") & ~ended
+    boilerplate = line.rlike(rf"(?i)\b({BOILERPLATE})")
+    marked = F.length(F.regexp_replace(line, SYMBOL_CLASS, "")) < (1 - SYMBOL_SHARE) * F.length(line)
+    return unended | (F.length(line) <= BRIEF) & (navigation | boilerplate) | marked
 
 
-def repeated_words(found: str, grams: str, ordered: str) -> Column:
+def repeated_words(grams: str, ordered: str) -> Column:
     """Words in three-word windows that occur twice or more; ordered: the windows with their places, sorted, or null if all differ."""
     gram = lambda k: F.get(F.col(ordered), k)["gram"]
     twice = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda k: (gram(k) == F.coalesce(gram(k - 1), F.lit(""))) | (gram(k) == F.coalesce(gram(k + 1), F.lit(""))))
@@ -52,23 +55,35 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     Each row is judged alone, so repeated rows, ties and other columns change nothing.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    # One column holds all steps, so that no name of docs can clash.
+    # One column holds all of docs, so that no name of it can clash.
     step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), words(F.col("text")).alias("w"), F.split(text, "\n").alias("all_lines"), text.alias("t"))
-    step = step.withColumn("lines", F.filter("all_lines", lambda x: F.length(F.translate(x, SPACES, "")) > 0))
-    step = step.withColumn("good", F.filter("all_lines", lambda x: (F.length(F.translate(x, SPACES, "")) == 0) | ~line_fails(x)))
     n = F.size("w")
-    gram = lambda k: F.concat_ws(" ", F.get(F.col("w"), k), F.get(F.col("w"), k + 1), F.get(F.col("w"), k + 2))
-    step = step.withColumn("grams", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), gram)).otherwise(F.array().cast("array<string>")))
+    word = lambda k: F.get(F.col("w"), k)
+    none = F.array().cast("array<string>")
+    # Hashes tell most texts, whose windows all differ, from those worth the exact comparison.
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda k: F.xxhash64(word(k), word(k + 1), word(k + 2)))
+    step = step.withColumn("hashes", F.when(n >= 4, hashes).otherwise(F.array().cast("array<bigint>")))
+    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda k: F.concat(word(k), F.lit(" "), word(k + 1), F.lit(" "), word(k + 2)))
+    step = step.withColumn("grams", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), grams).otherwise(none)).drop("hashes")
     sorted_grams = F.sort_array(F.transform("grams", lambda x, at: F.struct(x.alias("gram"), at.alias("at"))))
-    step = step.withColumn("ordered", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), sorted_grams))
-    step = step.withColumn("repeats", repeated_words("w", "grams", "ordered")).withColumn("cleaned", F.array_join("good", "\n"))
-    solid, left = F.length(F.translate("t", SPACES, "")), F.length(F.translate("cleaned", SPACES, ""))
-    step = step.withColumns({"solid": solid, "lost": F.when(solid > 0, 1 - left / solid).otherwise(0.0), "base_failed": (n < LEAST_WORDS) | (100 * F.col("repeats").cast("long") > MOST_REPEATED * n)})
-    with_word = F.size(F.filter("good", lambda x: F.length(F.translate(x, SPACES, "")) > 0))
+    step = step.withColumn("ordered", F.when(F.size("grams") > 0, sorted_grams))
+    step = step.withColumns({
+        "repeats": repeated_words("grams", "ordered"),
+        "lines": F.filter("all_lines", has_word),
+        "good": F.filter("all_lines", lambda x: ~has_word(x) | ~line_fails(x)),
+    }).drop("grams", "ordered")
+    step = step.withColumn("cleaned", F.when(F.size("good") == F.size("all_lines"), F.col("t")).otherwise(F.array_join("good", "\n")))
+    step = step.withColumn("solid", F.length(F.array_join("w", "")))
+    left = F.length(F.regexp_replace("cleaned", SPACE_CLASS, ""))
+    step = step.withColumns({
+        "lost": F.when((F.col("solid") > 0) & (F.size("good") < F.size("all_lines")), 1 - left / F.col("solid")).otherwise(0.0),
+        "base_failed": (n < LEAST_WORDS) | (100 * F.col("repeats").cast("long") > MOST_REPEATED * n),
+    })
+    failed = F.size("all_lines") - F.size("good")  # lines without a word never fail
     quality = F.struct(
-        n.cast("long").alias("n_words"), F.col("solid").cast("long").alias("word_chars"), (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        n.cast("long").alias("n_words"), F.col("solid").cast("long").alias("word_chars"), (F.length("t") - F.length(F.regexp_replace("t", SYMBOL_CLASS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.col("repeats").cast("long").alias("n_repeat_words"), "base_failed",
-        F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - with_word).cast("long").alias("n_failed_lines"), "lost",
+        F.size("lines").cast("long").alias("n_lines"), failed.cast("long").alias("n_failed_lines"), "lost",
         (~F.col("base_failed") & (F.col("lost") <= most_lost)).alias("kept"), "cleaned",
     )
     return step.select("row", quality.alias("quality"))

@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     numbered = rows.withColumn("inside", F.coalesce(F.sum("size").over(in_strip), F.lit(0))).withColumn("number", F.row_number().over(number))
     placed = numbered.join(starts, same(numbered, starts, "source", "strip")).drop(starts.source).drop(starts.strip)
     documents = placed.join(F.broadcast(aims) if aims.count() <= 10_000 else aims, placed.source.eqNullSafe(aims.source)).drop(aims.source)
-    documents = stored(documents.select("doc_id", "source", "size", "source_size", "target", (F.col("strip_first") + F.col("inside")).alias("first"), F.xxhash64("source", "strip", "number").alias("row")), "mix-documents")
+    documents = stored(documents.select("doc_id", "body", "source", "size", "source_size", "target", (F.col("strip_first") + F.col("inside")).alias("first"), F.xxhash64("source", "strip", "number").alias("row")), "mix-documents")
 
     sums_of = aims.agg(F.sum("target").alias("all"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
     total, smallest = sums_of["all"] or 0.0, sums_of["least"] or 0.0
@@ -113,10 +113,24 @@ def slots(aims: DataFrame, n: int) -> DataFrame:
 
 
 def taken(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: the words that the mix takes from each row of docs, repeats counted."""
+    """doc_id, body (a hash of id and text), source, size, source_size, target and taken: the words that the mix takes from each row of docs, repeats counted."""
     documents, schedule, pieces = mix(docs, **settings)
     key = F.coalesce("source", F.lit("")), F.col("source").isNull()
     left = schedule.select(key[0].alias("s"), key[1].alias("none"), "rank")
     right = pieces.select(key[0].alias("s"), key[1].alias("none"), "rank", "row", "words")
     got = left.join(right, ["s", "none", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"))
-    return documents.join(got, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return documents.join(got, "row", "left").select("doc_id", "body", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """docs as the mix takes them: a row for each time that a document is taken, to the nearest whole number of times.
+
+    A row without words goes, for nothing of it can be taken. Repeated rows that share id and text are taken as often together.
+    """
+    got = taken(docs, **settings).where("taken > 0")
+    times = got.groupBy("doc_id", "body").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"), F.count("*").alias("rows"))
+    marked = docs.withColumn("_body", F.xxhash64("doc_id", "text"))
+    same = marked["doc_id"].eqNullSafe(times["doc_id"]) & (marked["_body"] == times["body"])
+    each = F.floor((F.col("times") + F.col("rows") - 1) / F.col("rows")).cast("int")
+    joined = marked.join(times, same).where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), each)))
+    return joined.select(*[marked[c] for c in docs.columns])
