@@ -8,11 +8,14 @@ bounded size, and hands the others to the tokenizers library many at a time.
 from __future__ import annotations
 
 import os
+import re
 
 #: Words in a generation of a worker's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: A character that is a token of its own between words. Words that hold it are encoded alone.
 MARK = "\x01"
+#: Words of Latin letters and digits before one mark at most: case folds letter by letter, and the mark is a token of its own.
+SIMPLE = re.compile(r"([A-Za-z0-9À-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 class WordEncoder:
@@ -20,6 +23,7 @@ class WordEncoder:
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -27,42 +31,65 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.mark = self._ids(MARK)
+        self.ends = {mark: np.array(self._ids(mark), "<u4").tobytes() if mark else b"" for mark in ("", ".", ",")}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, unknown: list[bytes]) -> None:
-        import numpy as np
-
-        plain = []
+        """Adds the ids of words; of simple ones by way of their stems in lower case."""
+        young, old = self.young, self.old
+        alone, plain, stemmed = [], {}, []
         for word in unknown:
-            if b"\x01" in word or len(word) > 1000 or len(self.mark) != 1:
-                self.young[word] = np.array(self._ids(word.decode()), "<u4").tobytes()
+            text = word.decode("utf-8", "surrogatepass")
+            if simple := SIMPLE.fullmatch(text):
+                stem = simple[1].lower().encode()
+                stemmed.append((word, stem, simple[2]))
+                if stem not in young:
+                    if stem in old:
+                        young[stem] = old[stem]
+                    else:
+                        plain[stem] = simple[1].lower()
+            elif MARK in text or len(text) > 1000 or len(self.mark) != 1:
+                alone.append((word, text))
             else:
-                plain.append(word)
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
-            ids = np.array(self._ids(f" {MARK} ".join(w.decode() for w in some)), "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(ids)]
-            if len(starts) != len(some):
+                plain[word] = text
+        for word, text in alone:
+            young[word] = self._raw(text)
+        words = list(plain)
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
+            raw = self._raw(f" {MARK} ".join([plain[w] for w in some]))
+            parts = self._parts(raw)
+            if len(parts) != len(some):
                 raise ValueError("the tokenizer joins words; encode whole texts instead")
-            raw = ids.tobytes()
-            for word, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True):
-                self.young[word] = raw[4 * a : 4 * b]
+            young.update(zip(some, parts, strict=True))
+        for word, stem, end in stemmed:
+            young[word] = young[stem] + self.ends[end]
+
+    def _raw(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.array(self._ids(text), "<u4").tobytes()
+
+    def _parts(self, raw: bytes) -> list[bytes]:
+        """The ids between the marks."""
+        import numpy as np
+
+        cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark[0]).tolist()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(raw) // 4], strict=True)]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         split = text.encode("utf-8", "surrogatepass").split()
         young, old = self.young, self.old
-        unknown = []
-        for word in set(split):
-            if word not in young:
-                if word in old:
-                    young[word] = old[word]
-                else:
-                    unknown.append(word)
+        unknown = set(split).difference(young)
+        if old:
+            again = [word for word in unknown if word in old]
+            for word in again:
+                young[word] = old[word]
+            unknown.difference_update(again)
         if unknown:
             self._learn(unknown)
         out = b"".join([young[word] for word in split])
