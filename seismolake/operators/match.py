@@ -132,3 +132,23 @@ def near_faults(events: DataFrame, faults: DataFrame, km: float, k: int = 5) ->
     from pyspark.sql import Window
 
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("km", "name"))).where(F.col("rank") <= k)
+
+
+# Least length of faults that are shown, below a zoom.
+ZOOM_KM = ((7, 50.0), (9, 10.0))
+
+
+def faults_in_box(faults: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
+    """Faults (points: longitude, latitude) with a vertex in the box."""
+    return faults.where(F.exists("points", lambda p: geo.in_box(p[1], p[0], south, north, west, east)))
+
+
+def faults_at_zoom(faults: DataFrame, zoom: float) -> DataFrame:
+    least = next((km for below, km in ZOOM_KM if zoom < below), 0.0)
+    return faults.withColumn("km", geo.line_km(F.col("points"))).where(F.col("km") > least)
+
+
+def ids_by_source(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """sources (catalogue_id, source_id) with the id of the stored event, the largest if several; null if none."""
+    stored = events.groupBy("catalogue_id", "source_id").agg(F.max("id").alias("id"))
+    return sources.join(stored, ["catalogue_id", "source_id"], "left")

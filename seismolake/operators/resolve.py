@@ -119,3 +119,25 @@ def preview(groups: DataFrame) -> DataFrame:
     """Events before, groups after, groups of two or more, events removed."""
     sizes = groups.groupBy("leader").agg(F.count("*").alias("n"))
     return sizes.agg(F.sum("n").alias("events_before"), F.count("*").alias("events_after"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.sum(F.col("n") - 1).alias("removed"))
+
+
+# Points of a representative by status, and a point's worth of a field that is there.
+STATUS_POINTS = {"reviewed": 100, "manual": 50}
+FIELD_POINTS = 5
+
+
+def representatives(groups: DataFrame, fields: tuple[str, ...] = ("depth", "magnitude_type", "gap", "phases", "stations"), by: str = "group") -> DataFrame:
+    """The member of each duplicate group (by) with most points for status, stations, gap and fields; ties go to the smaller id."""
+    status = F.lit(0)
+    for name, points in STATUS_POINTS.items():
+        status = F.when(F.col("evaluation_status") == name, points).otherwise(status)
+    gap = F.when(F.col("gap") != 0, (360 - F.col("gap")) / 10)
+    score = status + F.coalesce("stations", F.lit(0)) + F.coalesce(gap, F.lit(0.0)) + FIELD_POINTS * sum(F.col(f).isNotNull().cast("int") for f in fields)
+    return groups.groupBy(by).agg(F.max_by("id", F.struct(score.alias("score"), -F.col("id"))).alias("id"), F.count("*").alias("n"), js_round(F.max(score), 4).alias("score"))
+
+
+def group_confidence(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """group and confidence: the mean over the pairs (a_id, confidence) of each group's members (id, group), high 3, medium 2, low 1."""
+    points = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
+    mean = pairs.join(members, pairs.a_id == members.id).groupBy("group").agg(F.avg(points).alias("mean"), F.count("*").alias("pairs"))
+    return mean.select("group", "pairs", F.when(F.col("mean") >= 2.5, "high").when(F.col("mean") >= 1.5, "medium").otherwise("low").alias("confidence"))

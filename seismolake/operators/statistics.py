@@ -120,3 +120,55 @@ def dataset_anomalies(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
     micros = F.unix_micros(F.col("time").cast("timestamp"))
     close = events.withColumn("since", micros - F.lag(micros).over(Window.partitionBy(by, F.to_date("time")).orderBy("time", "id")))
     return close.groupBy(by).agg(F.count_if((F.col("magnitude") > 9) | (F.col("magnitude") < -1)).alias("extreme"), F.count_if(F.col("depth") > 700).alias("deep"), F.count_if(F.col("depth") == 0).alias("at_zero"), F.count_if(F.col("since") < 1_000_000).alias("close"))
+
+
+# Fields of each category of completeness, and the categories' weights.
+CATEGORIES = {
+    "required": ("id", "time", "latitude", "longitude", "magnitude"), "location": ("depth", "region"), "uncertainty": ("horizontal_uncertainty", "depth_uncertainty", "magnitude_uncertainty"),
+    "quality": ("gap", "stations", "phases", "rms", "minimum_distance"), "evaluation": ("magnitude_type", "evaluation_mode", "evaluation_status"),
+}
+CATEGORY_WEIGHTS = {"required": 0.4, "location": 0.15, "uncertainty": 0.15, "quality": 0.15, "evaluation": 0.15}
+
+
+def category_completeness(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
+    """Percentages of each category (the mean of its fields), their weighted sum, and events that have all, or only the required fields."""
+    share = lambda f: 100.0 * F.count(f) / F.count(F.lit(1))
+    means = {name: sum(share(f) for f in fields) / len(fields) for name, fields in CATEGORIES.items()}
+    present = lambda fields: F.size(F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), 1) for f in fields]))) == len(fields)
+    every = tuple(f for fields in CATEGORIES.values() for f in fields)
+    out = events.groupBy(by).agg(*[m.alias(name) for name, m in means.items()], F.count_if(present(every)).alias("full"), F.count_if(present(CATEGORIES["required"])).alias("with_required"))
+    overall = sum(F.col(name) * w for name, w in CATEGORY_WEIGHTS.items())
+    return out.select(by, *[js_round(F.col(name), 4).alias(name) for name in CATEGORIES], js_round(overall, 4).alias("overall"), "full", "with_required")
+
+
+def moment_bins(events: DataFrame, by: str = "catalogue_id", width: float = 0.5) -> DataFrame:
+    """by, bin, n and log10 of the moment of each bin of magnitude."""
+    moment = F.pow(F.lit(10.0), 1.5 * F.col("magnitude") + 9.1)
+    return events.where("magnitude is not null").groupBy(by, bin_of(F.col("magnitude"), width).alias("bin")).agg(F.count("*").alias("n"), js_round(F.log10(F.sum(moment)), 6).alias("log10_moment"))
+
+
+def clusters(declustered: DataFrame, least: int = 3) -> DataFrame:
+    """Clusters of `least` events or more of declustered events (mainshock): size, days, largest and second magnitude, and type.
+
+    burst: within a day; swarm: five events or more, the two largest within half a unit; else mainshock-aftershock.
+    """
+    us = F.unix_micros(F.col("time").cast("timestamp"))
+    # The two largest of a group by two aggregates, not a list: the second is the largest of all but the mainshock.
+    g = declustered.groupBy("mainshock").agg(F.count("*").alias("n"), ((F.max(us) - F.min(us)) / 86_400e6).alias("days"), F.max("magnitude").alias("largest"), F.max(F.when(F.col("id") != F.col("mainshock"), F.col("magnitude"))).alias("second"))
+    kind = F.when(F.col("days") < 1, "burst").when((F.col("n") >= 5) & (F.col("largest") - F.col("second") < 0.5), "swarm").otherwise("mainshock-aftershock")
+    return g.where(F.col("n") >= least).select("mainshock", "n", js_round(F.col("days"), 4).alias("days"), "largest", "second", kind.alias("kind"))
+
+
+def quality_coverage(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
+    """How many events have each kind of uncertainty and quality metric, zeros not counted."""
+    some = lambda f: F.count_if(F.col(f) != 0).alias(f"with_{f}")
+    return events.groupBy(by).agg(F.count("*").alias("n"), *[some(f) for f in ("horizontal_uncertainty", "depth_uncertainty", "magnitude_uncertainty", "gap", "stations", "rms")])
+
+
+def box_text(boxes: DataFrame) -> DataFrame:
+    """Boxes with area in square degrees, centre and a text."""
+    say = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
+    return boxes.withColumns({
+        "area": (F.col("north") - F.col("south")) * (F.col("east") - F.col("west")), "mid_latitude": (F.col("north") + F.col("south")) / 2, "mid_longitude": (F.col("east") + F.col("west")) / 2,
+        "text": F.concat_ws(" ", say("south"), F.lit("to"), say("north"), F.lit("by"), say("west"), F.lit("to"), say("east")),
+    })

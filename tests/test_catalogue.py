@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 
-from seismolake import catalogue_queries
+from seismolake import format_queries as catalogue_queries
 from seismolake.functions import geo, scores
 from seismolake.operators import graph, match, resolve, search
 
