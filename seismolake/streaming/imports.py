@@ -68,7 +68,7 @@ def read_store(spark: SparkSession, store: str, like: DataFrame, before: int | N
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], like.schema)
-    rows = spark.read.schema(like.drop("version").schema.add("version", "int")).parquet(store)
+    rows = spark.read.schema(like.drop("version").schema.add("version", "integer")).parquet(store)
     if before is not None:
         rows = rows.where(F.col("version") < before)
     fields = [c for c in rows.columns if c != "version"]
