@@ -43,6 +43,17 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def held(frame: DataFrame, **columns: Column) -> DataFrame:
+    """frame with columns that are evaluated once a row. A generator holds them: unlike a projection's, its columns are never written anew into the filters and lambdas that use them."""
+    return frame.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """docs with its columns renamed to _0, _1 and so on, so that no name can clash, and a struct `row` of them by their names, for the end."""
+    names = docs.columns
+    return docs.toDF(*[f"_{k}" for k in range(len(names))]), F.struct(*[F.col(f"_{k}").alias(name) for k, name in enumerate(names)]).alias("row")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, words
+from .common import SPACE_CLASS, held, numbered, words
 
 # Characters that count as symbols.
 SYMBOL_CLASS = r"[#*$%&|<>]"
@@ -54,26 +54,26 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     its failing lines). Null and empty texts have no words: base_failed, not kept, lost 0, cleaned as the text.
     Each row is judged alone, so repeated rows, ties and other columns change nothing.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # One column holds all of docs, so that no name of it can clash.
-    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), words(F.col("text")).alias("w"), F.split(text, "\n").alias("all_lines"), text.alias("t"))
+    own, row = numbered(docs)
+    text = F.coalesce(F.col(f"_{docs.columns.index('text')}"), F.lit(""))
+    step = held(own.withColumn("t", text), w=words(F.col("t")), all_lines=F.split("t", "\n"))
     n = F.size("w")
     word = lambda k: F.get(F.col("w"), k)
     none = F.array().cast("array<string>")
     # Hashes tell most texts, whose windows all differ, from those worth the exact comparison.
     hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda k: F.xxhash64(word(k), word(k + 1), word(k + 2)))
-    step = step.withColumn("hashes", F.when(n >= 4, hashes).otherwise(F.array().cast("array<bigint>")))
+    step = held(step, hashes=F.when(n >= 4, hashes).otherwise(F.array().cast("array<bigint>")))
     grams = F.transform(F.sequence(F.lit(0), n - 3), lambda k: F.concat(word(k), F.lit(" "), word(k + 1), F.lit(" "), word(k + 2)))
-    step = step.withColumn("grams", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), grams).otherwise(none)).drop("hashes")
+    step = held(step, grams=F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), grams).otherwise(none)).drop("hashes")
     sorted_grams = F.sort_array(F.transform("grams", lambda x, at: F.struct(x.alias("gram"), at.alias("at"))))
-    step = step.withColumn("ordered", F.when(F.size("grams") > 0, sorted_grams))
-    step = step.withColumns({
-        "repeats": repeated_words("grams", "ordered"),
-        "lines": F.filter("all_lines", has_word),
-        "good": F.filter("all_lines", lambda x: ~has_word(x) | ~line_fails(x)),
-    }).drop("grams", "ordered")
-    step = step.withColumn("cleaned", F.when(F.size("good") == F.size("all_lines"), F.col("t")).otherwise(F.array_join("good", "\n")))
-    step = step.withColumn("solid", F.length(F.array_join("w", "")))
+    step = held(step, ordered=F.when(F.size("grams") > 0, sorted_grams))
+    step = held(
+        step,
+        repeats=repeated_words("grams", "ordered"),
+        lines=F.filter("all_lines", has_word),
+        good=F.filter("all_lines", lambda x: ~has_word(x) | ~line_fails(x)),
+    ).drop("grams", "ordered")
+    step = held(step, cleaned=F.when(F.size("good") == F.size("all_lines"), F.col("t")).otherwise(F.array_join("good", "\n")), solid=F.length(F.array_join("w", "")))
     left = F.length(F.regexp_replace("cleaned", SPACE_CLASS, ""))
     step = step.withColumns({
         "lost": F.when((F.col("solid") > 0) & (F.size("good") < F.size("all_lines")), 1 - left / F.col("solid")).otherwise(0.0),
@@ -86,7 +86,7 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"), failed.cast("long").alias("n_failed_lines"), "lost",
         (~F.col("base_failed") & (F.col("lost") <= most_lost)).alias("kept"), "cleaned",
     )
-    return step.select("row", quality.alias("quality"))
+    return held(step, quality=quality).select(row, "quality")
 
 
 def keep_clean(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:

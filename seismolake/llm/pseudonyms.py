@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, numbered
+
 ROUNDS = 8
 # What may be personal data; each match is then validated by its kind.
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -131,18 +133,19 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     of the key and the value, so repeated rows, ties and other columns change nothing. Not replaced:
     numbers whose check digit, octets or calendar date are wrong, and dates outside 1900 to 2099.
     """
-    text = F.col("text")
+    text = F.col("t")
     found = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
-    between = F.split(text, ANY, -1)
     some = text.rlike(r"[0-9@]")
-    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t"), F.when(some, found).otherwise(F.array().cast("array<string>")).alias("found"))
-    step = step.withColumn("values", F.transform("found", lambda x: F.struct(x.alias("found"), kind_of(x).alias("kind"))))
-    step = step.withColumn("new", F.transform("values", lambda x: pseudonym(x["found"], x["kind"], key)))
+    own, row = numbered(docs)
+    step = own.withColumn("t", F.col(f"_{docs.columns.index('text')}"))
+    step = held(step, found=F.when(some, found).otherwise(F.array().cast("array<string>")))
+    step = held(step, values=F.transform("found", lambda x: F.struct(x.alias("found"), kind_of(x).alias("kind"))))
+    step = held(step, new=F.transform("values", lambda x: pseudonym(x["found"], x["kind"], key)))
     between = F.split(F.col("t"), ANY, -1)
     pieces = F.zip_with(between, "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     count = lambda kind: F.size(F.filter("values", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     private = F.struct(F.when(F.size("found") > 0, F.array_join(pieces, "")).otherwise(F.col("t")).alias("text"), *map(count, ("mail", "date", "address", "identity", "phone", "card")))
-    return step.select("row", private.alias("private"))
+    return held(step, private=private).select(row, "private")
 
 
 def replace_private(docs: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, numbered
+
 # The base patterns and the least length of what they find.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -22,17 +24,26 @@ THRESHOLDS = ((r"^[0-9]+$", 9.0), (r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z0-9]+$",
 ALLOWED = r"^[^0-9]*$|^[^A-Za-z]*$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^/?([A-Za-z]+[0-9]{0,4}/){2,}|^([A-Za-z]+[-_]){2,}|(?i)(example|placeholder|changeme|xxxx|0{8}|1234567890)"
 
 
-def spans_of(text: Column, pattern: str, keep: Column | None = None, gate: str | None = None) -> Column:
-    """Array of (first, last, found): code points of all leftmost non-overlapping matches, the end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    length = lambda pieces: F.aggregate(pieces, F.lit(0), lambda n, x: n + F.length(x))
+def with_spans(frame: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """frame with an array of (first, last, found) for each pattern: code points of all leftmost non-overlapping matches, the end exclusive."""
+    pieces = {}
+    for name, pattern in patterns.items():
+        some, none = F.col(text).rlike(pattern), F.array().cast("array<string>")
+        pieces[f"{name}_found"] = F.when(some, F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).otherwise(none)
+        pieces[f"{name}_between"] = F.when(some, F.split(text, pattern, -1)).otherwise(none)
+    frame = held(frame, **pieces)
+    length = lambda of: F.aggregate(of, F.lit(0), lambda n, x: n + F.length(x))
+
+    def spans(name: str) -> Column:
+        found, between = F.col(f"{name}_found"), F.col(f"{name}_between")
+
+        def span(x: Column, k: Column) -> Column:
+            first = length(F.slice(between, F.lit(1), k + 1)) + length(F.slice(found, F.lit(1), k))
+            return F.struct(first.alias("first"), (first + F.length(x)).alias("last"), x.alias("found"))
 
-    def span(x: Column, k: Column) -> Column:
-        first = length(F.slice(between, F.lit(1), k + 1)) + length(F.slice(found, F.lit(1), k))
-        return F.struct(first.alias("first"), (first + F.length(x)).alias("last"), x.alias("found"))
+        return F.transform(found, span)
 
-    return F.when(text.rlike(gate or pattern), F.transform(found, span)).otherwise(F.array().cast("array<struct<first:int,last:int,found:string>>"))
+    return held(frame, **{name: spans(name) for name in patterns}).drop(*pieces)
 
 
 def most_entropy(string: Column, window: int = WINDOW) -> Column:
@@ -62,12 +73,11 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     with a window whose entropy reaches the threshold of its class, and not on the allow-list.
     Null and empty texts have none. Each row is scanned alone, so repeated rows, ties and other columns change nothing.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t"))
-    t = F.col("t")
+    own, row = numbered(docs)
+    step = own.withColumn("t", F.coalesce(F.col(f"_{docs.columns.index('text')}"), F.lit("")))
     value = lambda x: F.regexp_extract(x["found"], ASSIGN, 1)
-    step = step.select("row", "t", spans_of(t, ASSIGN).alias("assign"), spans_of(t, ACCESS).alias("access"), spans_of(t, HEX).alias("hex"), spans_of(t, CANDIDATE).alias("candidates"))
-    step = step.withColumn("assign", F.filter("assign", lambda x: F.length(value(x)) >= LEAST_ASSIGNED))
+    step = with_spans(step, "t", {"assigned": ASSIGN, "access": ACCESS, "hex": HEX, "candidates": CANDIDATE})
+    step = held(step, assign=F.filter("assigned", lambda x: F.length(value(x)) >= LEAST_ASSIGNED))
     threshold = F.lit(THRESHOLDS[-1][1])
     base = F.concat("assign", "access", "hex")
 
@@ -78,9 +88,9 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         clear = ~F.exists(base, lambda b: (b["first"] < x["last"]) & (x["first"] < b["last"]))
         return clear & ~x["found"].rlike(ALLOWED) & (most_entropy(x["found"], window) >= least)
 
-    step = step.withColumn("entropy", F.filter("candidates", strong))
+    step = held(step, entropy=F.filter("candidates", strong))
     named = lambda kind, rank: F.transform(kind, lambda x: F.struct(x["first"].alias("first"), F.lit(rank).alias("rank"), x["last"].alias("last"), F.lit(kind).alias("kind")))
-    return step.select("row", F.sort_array(F.concat(*[named(kind, rank) for rank, kind in enumerate(("assign", "access", "hex", "entropy"))])).alias("secrets"))
+    return step.select(row, F.sort_array(F.concat(*[named(kind, rank) for rank, kind in enumerate(("assign", "access", "hex", "entropy"))])).alias("secrets"))
 
 
 def joined(spans: Column) -> Column:
