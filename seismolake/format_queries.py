@@ -248,9 +248,79 @@ def e28_fault_styles(q: DataFrame) -> DataFrame:
     return q.select(fault_type(plane["rake"]).alias("style")).groupBy("style").agg(F.count("*").alias("n"))
 
 
+# Combined quality, authority
+
+_LADDER = "CASE WHEN six >= 6 AND overall >= 90 THEN 'Excellent' WHEN six >= 5 AND overall >= 80 THEN 'Very Good' WHEN six >= 4 AND overall >= 70 THEN 'Good' WHEN six >= 3 AND overall >= 60 THEN 'Fair' WHEN six >= 2 OR overall >= 50 THEN 'Poor' WHEN six >= 1 OR overall >= 40 THEN 'Very Poor' ELSE 'Unconstrained' END"
+
+
+@query(f"+s AS (SELECT id, least({', '.join(catalogue_queries._SIX.values())}) AS six, " + " + ".join(f"{w} * greatest(0, 100 - CAST(({catalogue_queries._COSTS[n]}) AS DOUBLE))" for n, w in catalogue_queries.scores.WEIGHTS.items()) + f" AS exact FROM q), o AS (SELECT id, six, {rounded('exact', 4)} AS overall FROM s) SELECT id, {_LADDER} AS quality, six >= 4 AND overall >= 70 AS research, six >= 1 AND overall >= 40 AS monitoring FROM o")
+def e11_combined_quality(q: DataFrame) -> DataFrame:
+    scored = catalogue_queries.e8_six_criteria(q).select("id", F.col("score").alias("six")).join(catalogue_queries.e1_quality_score(q).select("id", "overall"), "id")
+    uses = uncertainty.use_cases(F.col("six"), F.col("overall"))
+    return scored.select("id", uncertainty.combined_quality(F.col("six"), F.col("overall")).alias("quality"), uses["research"].alias("research"), uses["monitoring"].alias("monitoring"))
+
+
+_RANK = "CASE WHEN catalogue_id = 0 THEN 1 WHEN catalogue_id = 1 THEN 4 WHEN catalogue_id = 2 THEN 100 ELSE 999 END"
+
+
+def _named(q: DataFrame) -> DataFrame:
+    names = F.when(F.col("catalogue_id") == 0, "GeoNet").when(F.col("catalogue_id") == 1, "USGS/NEIC").when(F.col("catalogue_id") == 2, "elsewhere")
+    return q.withColumn("source", names)
+
+
+@query(f"SELECT id, {_RANK} AS rank FROM q")
+def m14_network_ranks(q: DataFrame) -> DataFrame:
+    from seismolake.functions.authority import network_rank
+
+    named = _named(q)
+    return named.select("id", network_rank(F.col("source"), F.col("latitude"), F.col("longitude")).alias("rank"))
+
+
+@query()
+def m15_by_authority(q: DataFrame) -> DataFrame:
+    return resolve.by_authority(_named(match.merge_groups(q)))
+
+
+@query()
+def j3_preview_groups(q: DataFrame) -> DataFrame:
+    return resolve.preview_groups(match.merge_groups(q))
+
+
+@query("+s AS (SELECT id, abs(magnitude - magnitude * 1.1) AS d, coalesce(magnitude_uncertainty, 0) AS u FROM q) SELECT id FROM s WHERE d <= sqrt(u * u) + 0.3")
+def e26_equivalent_magnitudes(q: DataFrame) -> DataFrame:
+    m, none = F.col("magnitude"), F.lit(None).cast("string")
+    return q.where(uncertainty.equivalent_magnitudes(m, none, F.col("magnitude_uncertainty"), m * 1.1, none, F.lit(None).cast("double"))).select("id")
+
+
+@query(f"SELECT q.id, 'M' || printf('%.1f', magnitude) || ' - ' || CASE WHEN coalesce(region, '') = '' THEN 'unknown place' ELSE region END || ' - ' || strftime(time, '%d/%m/%Y') AS label, n.name FROM q LEFT JOIN (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in catalogue_queries.NAMES)}) n(catalogue_id, name) ON n.catalogue_id = q.catalogue_id WHERE magnitude >= 4")
+def p18_labels(q: DataFrame) -> DataFrame:
+    names = q.sparkSession.createDataFrame(catalogue_queries.NAMES, "catalogue_id long, name string")
+    return catalogue_queries.search.labelled(q.where("magnitude >= 4"), names)
+
+
 # More statistics
 
 
+@query(f"+h AS (SELECT catalogue_id, CAST(floor(magnitude / CAST(0.1 AS DOUBLE)) AS BIGINT) AS bin, count(*) AS n FROM q GROUP BY 1, 2), r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY catalogue_id) AS BIGINT) AS n_events, row_number() OVER (PARTITION BY catalogue_id ORDER BY n DESC, bin) AS r FROM h) SELECT catalogue_id, n_events, {rounded('CAST(bin AS DOUBLE) / 10 + 0.05', 2)} AS mc FROM r WHERE r = 1")
+def a10_peak_completeness(q: DataFrame) -> DataFrame:
+    return statistics.peak_completeness(q)
+
+
+@query("+d AS (SELECT catalogue_id, CAST(date_diff('day', DATE '1970-01-01', CAST(time AS DATE)) AS INTEGER) AS day, count(*) AS n FROM q GROUP BY 1, 2), c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY catalogue_id ORDER BY day) AS BIGINT) AS running, row_number() OVER (PARTITION BY catalogue_id ORDER BY day) AS r, ceil(count(*) OVER (PARTITION BY catalogue_id) / 7.0) AS k FROM d) SELECT catalogue_id, day, n, running FROM c WHERE (r - 1) % k = 0")
+def a12_thinned_series(q: DataFrame) -> DataFrame:
+    return statistics.thinned_series(q, most=7)
+
+
+@query(f"SELECT catalogue_id, CAST(floor(magnitude) AS BIGINT) AS bin, count(*) AS n, {rounded('log10(sum(pow(10, 1.5 * magnitude + 9.1)))')} AS log10_moment FROM q GROUP BY 1, 2")
+def a13_moment_units(q: DataFrame) -> DataFrame:
+    return statistics.moment_bins(q, width=1.0)
+
+
+@query("+b AS (SELECT catalogue_id, max(latitude) - min(latitude) AS up, max(longitude) - min(longitude) AS along FROM q GROUP BY 1) SELECT catalogue_id, CAST(CASE WHEN up <= 0 THEN 1 ELSE 0 END + CASE WHEN along <= 0 THEN 1 ELSE 0 END + CASE WHEN up > 170 OR along > 350 THEN 1 ELSE 0 END + CASE WHEN up < 0.01 AND along < 0.01 THEN 1 ELSE 0 END AS INTEGER) AS problems FROM b")
+def a26_box_problems(q: DataFrame) -> DataFrame:
+    return validation.bounds_problems(statistics.bounds(q)).select("catalogue_id", F.size("problems").alias("problems"))
+
+
 _CATEGORIES = statistics.CATEGORIES
 
 

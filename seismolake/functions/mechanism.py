@@ -10,7 +10,7 @@ from .scores import Steps, at_least, at_most
 PLANE = "struct<strike:double,dip:double,rake:double>"
 NESTED = "struct<nodalPlanes:struct<nodalPlane1:struct<strike:struct<value:double>,dip:struct<value:double>,rake:struct<value:double>>>>"
 # Points of a mechanism by polarities, misfit, variance reduction, gap and status.
-POLARITIES: Steps = ((30, 25), (20, 20), (15, 15), (8, 10))
+POLARITIES: Steps = ((50, 25), (30, 20), (15, 15), (8, 10))
 MISFITS: Steps = ((0.1, 20), (0.2, 15), (0.3, 10), (0.5, 5))
 REDUCTIONS: Steps = ((0.8, 15), (0.6, 10), (0.4, 5))
 GAPS: Steps = ((90, 15), (120, 12), (180, 8), (270, 4))

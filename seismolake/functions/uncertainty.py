@@ -57,9 +57,26 @@ def equivalent_magnitudes(a: Column, kind_a: Column, unc_a: Column, b: Column, k
     return apart <= F.sqrt(F.pow(F.coalesce(unc_a, F.lit(0.0)), 2) + F.pow(F.coalesce(unc_b, F.lit(0.0)), 2)) + EQUIVALENT
 
 
-def use_cases(six: Column, overall: Column, horizontal_km: Column) -> Column:
+# Combined quality by least six-criterion and detailed scores; the first four need both, the others one.
+COMBINED = ((6, 90, "Excellent"), (5, 80, "Very Good"), (4, 70, "Good"), (3, 60, "Fair"), (2, 50, "Poor"), (1, 40, "Very Poor"))
+BOTH = 4
+
+
+def combined_quality(six: Column, overall: Column) -> Column:
+    out = F.lit("Unconstrained")
+    for k, (least_six, least_overall, name) in reversed(list(enumerate(COMBINED))):
+        a, b = six >= least_six, overall >= least_overall
+        out = F.when(a & b if k < BOTH else a | b, name).otherwise(out)
+    return out
+
+
+def use_cases(six: Column, overall: Column) -> Column:
     """What an event's quality allows, from its six-criterion and its detailed score."""
-    return F.struct(
-        ((six >= 5) & (overall >= 80)).alias("research"), ((six >= 4) & (overall >= 70)).alias("hazard"),
-        ((six >= 3) & (overall >= 60)).alias("statistics"), (F.coalesce(horizontal_km, F.lit(99.0)) <= 5).alias("mapping"),
-    )
+    names = ("research", "hazard", "public_information", "monitoring")
+    return F.struct(*[((six >= least_six) & (overall >= least_overall)).alias(name) for name, (least_six, least_overall, _) in zip(names, COMBINED[2:], strict=True)])
+
+
+def horizontal_km(latitude: Column, lat_unc: Column, lon_unc: Column) -> Column:
+    """The larger of both uncertainties in km; null if one is missing."""
+    along = lon_unc * 111 * F.cos(F.radians(F.coalesce(latitude, F.lit(0.0))))
+    return F.when(lat_unc.isNotNull() & lon_unc.isNotNull(), F.greatest(lat_unc * 111, along))

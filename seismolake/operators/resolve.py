@@ -141,3 +141,29 @@ def group_confidence(pairs: DataFrame, members: DataFrame) -> DataFrame:
     points = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
     mean = pairs.join(members, pairs.a_id == members.id).groupBy("group").agg(F.avg(points).alias("mean"), F.count("*").alias("pairs"))
     return mean.select("group", "pairs", F.when(F.col("mean") >= 2.5, "high").when(F.col("mean") >= 1.5, "medium").otherwise("low").alias("confidence"))
+
+
+def by_authority(groups: DataFrame, source: str = "source") -> DataFrame:
+    """The member of each group from the most authoritative network, where the group's first event lies; then the best quality, then the smallest id."""
+    from seismolake.functions.authority import network_rank
+
+    first = F.struct("time", "id")
+    where = groups.groupBy("leader").agg(F.min_by("latitude", first).alias("_lat"), F.min_by("longitude", first).alias("_lon"))
+    placed = groups.join(where, "leader")
+    key = F.struct(-network_rank(F.col(source), F.col("_lat"), F.col("_lon")), js_round(event_quality(), 6))
+    return pick(placed, key)
+
+
+def best_mechanisms(mechanisms: DataFrame) -> DataFrame:
+    """The mechanism of each event (event_id, source, quality, id) by source, then quality, then id."""
+    from seismolake.functions.authority import mechanism_rank
+
+    return mechanisms.groupBy("event_id").agg(F.min_by(F.struct("id", "source", "quality"), F.struct(mechanism_rank(F.col("source")), -F.col("quality"), F.col("id"))).alias("x")).select("event_id", "x.*")
+
+
+def preview_groups(groups: DataFrame) -> DataFrame:
+    """Groups of two or more, kept whole, with warnings: a range of magnitudes over 1, or of depths over 100 (200 where the deepest is below 300)."""
+    g = groups.groupBy("leader").agg(F.count("*").alias("n"), (F.max("magnitude") - F.min("magnitude")).alias("m_range"), (F.max("depth") - F.min("depth")).alias("d_range"), F.max("depth").alias("deepest")).where("n > 1")
+    magnitude = F.coalesce(js_round(F.col("m_range"), 6) > 1, F.lit(False))
+    depth = F.coalesce(js_round(F.col("d_range"), 6) > F.when(F.col("deepest") > 300, 200).otherwise(100), F.lit(False))
+    return g.select("leader", "n", magnitude.alias("magnitude_warning"), depth.alias("depth_warning"), (magnitude | depth).alias("suspicious"))

@@ -151,3 +151,21 @@ def classify_import(stored: DataFrame, incoming: DataFrame, update: bool = True)
     valid = F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180) & F.col("magnitude").between(-3, 10) & (F.col("depth").isNull() | F.col("depth").between(0, 1000))
     action = F.when(~F.coalesce(valid, F.lit(False)), "error").when(F.col("have").isNull(), "new").otherwise("updated" if update else "skipped")
     return incoming.join(have, ["catalogue_id", "id"], "left").withColumn("action", action).drop("have")
+
+
+def clamped_box(south: float, north: float, west: float, east: float, slack: float = 1e-6) -> tuple[float, float, float, float]:
+    """A box brought to the sphere if it sticks out by no more than slack; else, or with south over north, an error."""
+    for value, most in ((south, 90), (north, 90), (west, 180), (east, 180)):
+        if abs(value) > most + slack:
+            raise ValueError(f"out of range: {value}")
+    if south > north:
+        raise ValueError("south is over north")
+    hold = lambda v, most: max(-most, min(most, v))
+    return hold(south, 90.0), hold(north, 90.0), hold(west, 180.0), hold(east, 180.0)
+
+
+def labelled(events: DataFrame, catalogues: DataFrame) -> DataFrame:
+    """Search results: id, label (magnitude, place and day) and the catalogue's name. Catalogues are few; the join broadcasts them as their size allows."""
+    place = F.coalesce(F.nullif("region", F.lit("")), F.lit("unknown place"))
+    label = F.concat_ws(" - ", F.concat(F.lit("M"), F.format_string("%.1f", "magnitude")), place, F.date_format("time", "dd/MM/yyyy"))
+    return events.join(catalogues, "catalogue_id", "left").select("id", label.alias("label"), "name")

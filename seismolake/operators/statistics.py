@@ -172,3 +172,18 @@ def box_text(boxes: DataFrame) -> DataFrame:
         "area": (F.col("north") - F.col("south")) * (F.col("east") - F.col("west")), "mid_latitude": (F.col("north") + F.col("south")) / 2, "mid_longitude": (F.col("east") + F.col("west")) / 2,
         "text": F.concat_ws(" ", say("south"), F.lit("to"), say("north"), F.lit("by"), say("west"), F.lit("to"), say("east")),
     })
+
+
+def peak_completeness(events: DataFrame, by: str = "catalogue_id", width: float = 0.1) -> DataFrame:
+    """The variant of displays: the middle of the fullest bin, the lowest on ties, of any group that has events."""
+    counts = events.where("magnitude is not null").groupBy(by, bin_of(F.col("magnitude"), width).alias("bin")).agg(F.count("*").alias("n"))
+    best = counts.groupBy(by).agg(F.max_by("bin", F.struct(F.col("n"), -F.col("bin"))).alias("bin"), F.sum("n").alias("n_events"))
+    return best.select(by, "n_events", js_round(F.col("bin") / F.lit(1 / width) + width / 2, 2).alias("mc"))
+
+
+def thinned_series(events: DataFrame, by: str = "catalogue_id", most: int = 500) -> DataFrame:
+    """The daily series with every k-th day, so that at most `most` are left in a group."""
+    series = daily_series(events, by)
+    own = Window.partitionBy(by)
+    ranked = series.withColumn("_r", F.row_number().over(own.orderBy("day"))).withColumn("_every", F.ceil(F.count("*").over(own) / most))
+    return ranked.where((F.col("_r") - 1) % F.col("_every") == 0).drop("_r", "_every")

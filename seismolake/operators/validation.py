@@ -176,3 +176,18 @@ def time_gaps(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
     """events with `since`: seconds since the one before in its catalogue and day."""
     us = F.unix_micros(F.col("time").cast("timestamp"))
     return events.withColumn("since", (us - F.lag(us).over(Window.partitionBy(by, F.to_date("time")).orderBy("time", "id"))) / 1e6)
+
+
+def strengths(located: Column) -> Column:
+    """(name, field, severity) of what speaks for a solution (info) and against it (warning); located: the location component, 0 to 100. Zeros count as unknown."""
+    known = lambda name: F.nullif(F.col(name).cast("double"), F.lit(0.0))
+    gap, n, rms, unc, status = known("gap"), known("stations"), known("rms"), known("magnitude_uncertainty"), F.col("evaluation_status")
+    return failing([
+        ("precise_location", "location", "info", located >= 80), ("poor_location", "location", "warning", located < 60), ("good_coverage", "gap", "info", gap < 90), ("poor_coverage", "gap", "warning", gap > 270),
+        ("many_stations", "stations", "info", n >= 20), ("few_stations", "stations", "warning", n < 5), ("good_fit", "rms", "info", rms < 0.3), ("poor_fit", "rms", "warning", rms > 1),
+        ("precise_magnitude", "magnitude_uncertainty", "info", unc < 0.1), ("uncertain_magnitude", "magnitude_uncertainty", "warning", unc > 0.3), ("reviewed", "evaluation_status", "info", status.isin("reviewed", "final")), ("preliminary", "evaluation_status", "warning", status == "preliminary"),
+    ])
+
+
+def meets_minimum(errors: Column, completeness: Column, score: Column) -> Column:
+    return (errors == 0) & (completeness >= 50) & (score >= 60)
