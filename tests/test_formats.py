@@ -164,7 +164,7 @@ def test_catalogue_lists(spark):
 
 def test_mechanisms_and_coverage(spark):
     row = spark.range(1).select(
-        mechanism.quality(F.lit(40), F.lit(0.05), F.lit(True), F.lit(0.9), F.lit(80.0), F.lit("final")).alias("best"), mechanism.quality(*[F.lit(None)] * 6).alias("none"),
+        mechanism.quality(F.lit(60), F.lit(0.05), F.lit(True), F.lit(0.9), F.lit(80.0), F.lit("final")).alias("best"), mechanism.quality(*[F.lit(None)] * 6).alias("none"),
         stations.azimuthal_gap(F.array(F.lit(10.0))).alias("one"), stations.azimuthal_gap(F.array(F.lit(350.0), F.lit(10.0), F.lit(180.0))).alias("three"),
     ).first()
     assert (row.best, row.none, row.one, row.three) == (100.0, 50.0, 360.0, 170.0)
