@@ -8,19 +8,25 @@ to it. Each distinct fingerprint has one home leaf (the shard that holds it) and
 each leaf that the triangle bound can't rule out, so pairs across a boundary meet as well. A leaf's
 homes and visitors are cut into tiles of bounded size; a tile compares all 64 bits exactly and gives
 back a spanning forest of what it has linked, never all pairs. Labels then spread over these links.
+
+keep_first decides on the similarity of word shingles itself. Fingerprints miss many pairs near its
+bound, at any radius that a tree can search, so its candidates come from prefixes of the sets of
+shingles, which no similar pair escapes, and are verified on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
 #: Bounds of the trees: fingerprints sampled, homes wanted in a leaf, leaves of a tree, rows of a tile's side.
 SAMPLE, LEAF, MOST_LEAVES, TILE = 40_000, 1000, 8192, 2000
+#: The least Jaccard similarity of near-duplicates that keep_first drops, as a fraction; the most shingles that it knows as common, and the documents sampled for them.
+LEAST, MOST_COMMON, COMMON_SAMPLE = (4, 5), 500_000, 10_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -43,6 +49,22 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits((2 * set_bits > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
+def _hashes(text: str | None, shingle: int):
+    """The hashes of a text's word shingles in order, repeats included; none without words."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, "<u8")
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = ends - [len(w) + 1 for w in words]
+    last = ends[min(shingle, len(words)) - 1 :] - 1
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(last)].tolist(), last.tolist(), strict=True)], "<u8")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """docs with the column fp (long, the 64 bits as a signed number). A-Z count as a-z; null or blank texts have 0."""
     small_batches(docs.sparkSession)
@@ -215,9 +237,116 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segmen
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, max_bits: int = 7, segments: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest id stays, once if its row repeats. Rows without an id stay."""
-    found = near_duplicates(docs, shingle, max_bits, segments)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, hashes (the distinct hashes of the text's word shingles, ordered) and node (a hash of these) of every row of docs."""
+    small_batches(docs.sparkSession)
+
+    def mapped(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            sets, nodes = [], []
+            for text in batch.column(1):
+                found = np.unique(_hashes(text.as_py(), shingle))
+                sets.append(found.view("<i8"))
+                nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), arrays, pa.array(np.array(nodes, "<u8").view("<i8"))], ["doc_id", "hashes", "node"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(mapped, f"doc_id {kind}, hashes array<long>, node long")
+
+
+def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST, sample: int = COMMON_SAMPLE) -> DataFrame:
+    """doc_id, node, size and keys of every row of docs: the size of its set, and the first hashes of it in one order of all hashes, rare ones first.
+
+    Two sets whose Jaccard similarity is p / q or more share a key, and one that is short for the smaller of
+    them. That holds in any order; shingles that are common in a sample go last, so that few sets share a key.
+    """
+    import numpy as np
+
+    p, q = least
+    size = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(size)) < sample) if size > sample else docs
+    often = shingle_sets(some, shingle).select(F.explode("hashes").alias("key")).groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(MOST_COMMON).toPandas()
+    keys = often["key"].to_numpy(np.int64)
+    at = np.argsort(keys)
+    common = docs.sparkSession.sparkContext.broadcast((keys[at], -at))
+
+    def mapped(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        known, turn = common.value
+        for batch in batches:
+            sizes, firsts = [], []
+            for hashes in batch.column(2):
+                found = hashes.values.to_numpy(zero_copy_only=False)
+                n = len(found)
+                if n and len(known):
+                    place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    hit = known[place] == found
+                    found = np.concatenate([found[~hit], found[hit][np.argsort(turn[place[hit]])]])
+                sizes.append(n)
+                firsts.append(found[: n + (-p * n) // q + 1])
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sizes, np.int32)), arrays], ["doc_id", "node", "size", "keys"])
+
+    sets = shingle_sets(docs, shingle).select("doc_id", "node", "hashes")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return stored(sets.mapInArrow(mapped, f"doc_id {kind}, node long, size int, keys array<long>"), "similar-prefixes")
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Links (a, b) between nodes of prefixes(docs) that join exactly the sets over steps of a Jaccard similarity of p / q or more.
+
+    Every candidate is verified on both whole sets. Those that share a key are first compared with one of
+    them only, then whatever this leaves apart in pairs, so a large group of near copies gives no square of pairs.
+    """
+    p, q = least
+    each = marked.select("node", "size", F.posexplode("keys").alias("k", "key"))
+    each = each.select("key", "node", "size", (F.col("k") < F.col("size") - F.ceil(2 * p * F.col("size") / (p + q)) + 1).alias("short"))
+    grouped = each.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("size", "node", "short"))).alias("of")).where(F.size("of") > 1)
+    groups = stored(grouped, "similar-groups")
+    wanted = groups.select(F.explode("of.node").alias("node")).distinct()
+    ids = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    bodies = stored(shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle).select("node", "hashes").dropDuplicates(["node"]), "similar-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        own = lambda s: bodies.select(F.col("node").alias(s), F.col("hashes").alias(f"{s}_hashes"))
+        both = pairs.distinct().join(own("a"), "a").join(own("b"), "b")
+        common = F.size(F.array_intersect("a_hashes", "b_hashes"))
+        return stored(both.where((p + q) * common >= p * (F.size("a_hashes") + F.size("b_hashes"))).select("a", "b"), "similar-links")
+
+    def pairs(x: Column, y: Column) -> Column:
+        return (q * x["size"] >= p * y["size"]) & x["short"]
+
+    stars = groups.select(F.col("of")[0].alias("x"), F.explode(F.slice("of", 2, F.size("of") - 1)).alias("y"))
+    first = verified(stars.where(pairs(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    parts = stored(components(first), "similar-parts")
+    rows = groups.select("key", F.explode("of").alias("m")).select("key", "m.*").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    apart = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "node", "short", "part"))).alias("of"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    others = apart.select("of", F.posexplode("of").alias("k", "x")).where("x.short")
+    others = others.select("x", F.explode(F.filter(F.slice("of", F.col("k") + 2, F.size("of")), lambda y: (y["part"] != F.col("x.part")) & pairs(F.col("x"), y))).alias("y"))
+    rest = verified(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    return first.union(rest)
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST, sample: int = COMMON_SAMPLE) -> DataFrame:
+    """docs without near-duplicates: of each component the document with the smallest id stays, once if its row repeats. Rows without an id stay.
+
+    Two documents are linked if the Jaccard similarity of their sets of word shingles (A-Z as a-z; a text of
+    fewer words is one shingle) is p / q or more: all such pairs, and no other. Blank texts are alike. Shingles
+    and sets are told apart by hashes of 64 bits.
+    """
+    known = docs.where("doc_id is not null")
+    marked = prefixes(known, shingle, least, sample)
+    parts = stored(components(similar_links(known, marked, shingle, least)), "similar-components")
+    rows = marked.select("doc_id", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    first = rows.groupBy("part").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    left = docs.join(first, "doc_id", "left_semi")
+    return left.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -144,6 +145,37 @@ def test_keep_first(awkward):
     assert left.count(5) + left.count(4) + left.count(6) >= 1 and left.count(7) == 1 and 8 not in left and None in left
 
 
+def near_bands(n=60):
+    """Prose with copies of replaced words: ids and texts, and a set of 5-word shingles for each."""
+    draw = random.Random(7)
+    rows = []
+    for k in range(n):
+        own = [f"w{draw.randrange(4000)}" for _ in range(draw.randrange(150, 400))] + ["the", "usual", "closing", "line", "of", "every", "text", "here"]
+        for share in (0, 0.004, 0.01, 0.016, 0.022, 0.03):
+            rows.append((len(rows), " ".join(f"v{draw.randrange(10**6)}" if draw.random() < share else w for w in own), "s"))
+    return rows, [{tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} for ws in (r[1].split() for r in rows)]
+
+
+def test_keep_first_by_similarity(spark):
+    rows, sets = near_bands()
+    alike = lambda a, b: len(a & b) / len(a | b)
+    pairs = {(i, j): alike(sets[i], sets[j]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if sets[i] & sets[j]}
+    frame = spark.createDataFrame(rows, SCHEMA)
+    marked = simhash.prefixes(frame, sample=50)
+    node = {r.doc_id: r.node for r in marked.collect()}
+    label = {r.node: r.component for r in simhash.components(simhash.similar_links(frame, marked)).collect()}
+    part = lambda k: label.get(node[k], node[k])
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+        band = [p for p, s in pairs.items() if low <= s < high]
+        assert len(band) > 20 and all(part(i) == part(j) for i, j in band)
+    low = list(range(len(rows)))
+    for (i, j), s in sorted(pairs.items()):
+        if s >= 0.8:
+            a, b = low[i], low[j]
+            low = [min(a, b) if x in (a, b) else x for x in low]
+    assert sorted(r.doc_id for r in simhash.keep_first(frame).collect()) == sorted(set(low))
+
+
 @pytest.mark.parametrize("name", ["documents", "awkward"])
 def test_line_rules(request, name):
     frame = request.getfixturevalue(name)
