@@ -19,9 +19,15 @@ LEAST_ASSIGNED = 12
 #: Candidates for entropy, the window, and the least entropy in bits of one window for each class of characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-THRESHOLDS = ((r"^[0-9]+$", 9.0), (r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.7), (r"", 3.8))
-#: Candidates that are no secrets: without a digit or a letter, identifiers in 8-4-4-4-12 form, paths, slugs of words, fillers and stated examples.
-ALLOWED = r"^[^0-9]*$|^[^A-Za-z]*$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^/?([A-Za-z]+[0-9]{0,4}/){2,}|^([A-Za-z]+[-_]){2,}|(?i)(example|placeholder|changeme|xxxx|0{8}|1234567890)"
+THRESHOLDS = ((r"^[0-9]+$", 3.0), (r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.7), (r"", 3.8))
+# What names are made of. A word is in one case, or capitalised; camel case joins words. Atomic, so that a long candidate is tried in one pass.
+CAMEL = r"(?:[a-z]{2,15}(?:[A-Z][a-z]{2,15})*|(?:[A-Z][a-z]{2,15})+)"
+PART = rf"(?:(?>{CAMEL}|[A-Z]?[a-z]{{1,15}}|[A-Z]{{1,15}})[0-9]{{0,4}}|[0-9]{{1,4}})"
+#: Candidates that are no secrets, each over its whole length: names in camel case, slugs and paths of words, fillers, identifiers in 8-4-4-4-12 form; and published examples, which end so.
+ALLOWED = (
+    rf"^{CAMEL}$|^[/_=+-]*(?>{PART}[/_=+-]+)+{PART}?$|^(?i:changeme|placeholder|x{{4,}}|0{{8,}}|0?123456789(?:0|$)|[_-])+$"
+    r"|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|EXAMPLE(?:KEY)?$"
+)
 
 
 def with_spans(frame: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
