@@ -21,8 +21,9 @@ DATE = r"\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}"
 ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 IDENTITY = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}"
-CARD = r"\d(?:[ -]?\d){12,18}"
-ANY = rf"(?<![A-Za-z0-9._%+-]){MAIL}|(?<![\w.+-])(?:{DATE}|{ADDRESS}|{IDENTITY}|{PHONE}|{CARD})(?![\w-]|\.\d)"
+ANY = rf"(?<![A-Za-z0-9._%+-]){MAIL}|(?<![\w.+-])(?:{DATE}|{ADDRESS}|{IDENTITY}|{PHONE})(?![\w-]|\.\d)"
+#: Groups of digits between all these, in which cards are found; the least and most digits of a card.
+GROUPS, CARD_DIGITS = r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,}(?![\w-]|\.\d)", (13, 19)
 # The days that dates are permuted over, 1900-01-01 to 2099-12-31, and a rectangle that holds them.
 FIRST_DAY, DAYS, DAY_SIDES = "1900-01-01", 73049, (270, 271)
 
@@ -83,22 +84,24 @@ def _address(found: Column, key: str) -> Column:
 
 def _day(found: Column, key: str) -> tuple[Column, Column]:
     """The date that a match says, null if there is none, and its pseudonym in the same format."""
-    layout = F.when(found.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(found.contains("/"), "dd/MM/yyyy").otherwise("dd.MM.yyyy")
-    day = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(found, r"^(\d{2})[./](\d{2})[./](\d{4})$", "$3-$2-$1"), "x", ""), F.lit("yyyy-MM-dd")).cast("date")
+    # Slashed dates are read day first, and month first where only that can be a date.
+    month_first = found.rlike(r"^\d{2}/(?:1[3-9]|2\d|3[01])/")
+    layout = F.when(found.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(month_first, "MM/dd/yyyy").when(found.contains("/"), "dd/MM/yyyy").otherwise("dd.MM.yyyy")
+    ordered = F.regexp_replace(found, r"^(\d{2})[./](\d{2})[./](\d{4})$", F.when(month_first, "$3-$1-$2").otherwise("$3-$2-$1"))
+    day = F.try_to_timestamp(ordered, F.lit("yyyy-MM-dd")).cast("date")
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
     # Out of the rectangle's spare corner by walking on: a number below DAYS always gets to another.
     walk = lambda n, k: F.when((k == 0) | (n >= DAYS), feistel(n, *DAY_SIDES, key, "date")).otherwise(n)
     new = F.aggregate(F.sequence(F.lit(0), F.lit(9)), number, walk)
     valid = day.isNotNull() & (number >= 0) & (number < DAYS)
     text = F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int"))
-    out = F.when(layout == "yyyy-MM-dd", F.date_format(text, "yyyy-MM-dd")).when(layout == "dd/MM/yyyy", F.date_format(text, "dd/MM/yyyy")).otherwise(F.date_format(text, "dd.MM.yyyy"))
+    out = F.when(layout == "yyyy-MM-dd", F.date_format(text, "yyyy-MM-dd")).when(layout == "MM/dd/yyyy", F.date_format(text, "MM/dd/yyyy")).when(layout == "dd/MM/yyyy", F.date_format(text, "dd/MM/yyyy")).otherwise(F.date_format(text, "dd.MM.yyyy"))
     return valid & (new < DAYS), out
 
 
 def kind_of(found: Column) -> Column:
-    """mail, date, address, identity, phone or card of a match that is valid as such; null if it is none."""
+    """mail, date, address, identity or phone of a match that is valid as such; null if it is none."""
     whole = lambda pattern: found.rlike(f"^(?:{pattern})$")
-    digits = F.regexp_replace(found, r"[^0-9]", "")
     parts = F.split(found, r"\.")
     return (
         F.when(found.contains("@"), "mail")
@@ -106,7 +109,6 @@ def kind_of(found: Column) -> Column:
         .when(whole(ADDRESS), F.when(F.forall(parts, lambda x: x.cast("int") < 256), "address"))
         .when(whole(IDENTITY), F.when(~found.rlike(r"^(000|666|9)|-00-|-0000$"), "identity"))
         .when(whole(PHONE), "phone")
-        .when(whole(CARD), F.when(_check_sum(digits) % 10 == 0, "card"))
     )
 
 
@@ -121,17 +123,46 @@ def pseudonym(found: Column, kind: Column, key: str) -> Column:
         .when(kind == "address", _address(found, key))
         .when(kind == "identity", _in_shape(found, _permuted_digits(digits, key, "identity")))
         .when(kind == "phone", _in_shape(found, F.concat(kept, _permuted_digits(F.substring(digits, F.length(digits) - tail + 1, tail), key, "phone"))))
-        .when(kind == "card", _in_shape(found, _card(digits, key)))
         .otherwise(found)
     )
 
 
+def _cards(groups: Column) -> Column:
+    """(rank, first, end, text) of the cards among groups of digits (each with the separator after it): runs of whole groups with a right check digit, the longest first, then the leftmost, none over another."""
+    least, most = CARD_DIGITS
+    digits = lambda x: F.regexp_replace(x, r"[^0-9]", "")
+
+    def run(first: Column, n: Column) -> Column:
+        text = F.regexp_replace(F.array_join(F.slice(groups, first, n), ""), r"[ -]$", "")
+        return F.struct((-F.length(digits(text))).alias("rank"), first.alias("first"), (first + n).alias("end"), text.alias("text"))
+
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), lambda first: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(groups) - first + 1)), lambda n: run(first, n))))
+    valid = F.sort_array(F.filter(runs, lambda x: x["rank"].between(-most, -least) & (_check_sum(digits(x["text"])) % 10 == 0)))
+    none = F.array().cast("array<struct<rank:int,first:int,end:int,text:string>>")
+    free = lambda taken, x: ~F.exists(taken, lambda y: (y["first"] < x["end"]) & (x["first"] < y["end"]))
+    return F.aggregate(valid, none, lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+
+
+def _with_cards(groups: Column, cards: Column, key: str) -> Column:
+    """The groups as a text with its cards replaced."""
+    part = lambda first, end: F.array_join(F.slice(groups, first, end - first), "")
+
+    def step(state: Column, x: Column) -> Column:
+        new = _in_shape(x["text"], _card(F.regexp_replace(x["text"], r"[^0-9]", ""), key))
+        after = F.regexp_extract(F.element_at(groups, x["end"] - 1), r"[ -]$", 0)
+        return F.struct(x["end"].alias("at"), F.concat(state["out"], part(state["at"], x["first"]), new, after).alias("out"))
+
+    in_order = F.array_sort(cards, lambda a, b: a["first"] - b["first"])
+    return F.aggregate(in_order, F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], part(s["at"], F.size(groups) + 1)))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs (text, any other columns) as `row`, with `private`: the new text, and how many values of each kind it replaces.
 
     Null texts stay null, empty ones empty, both without values. Each row is treated alone by a function
     of the key and the value, so repeated rows, ties and other columns change nothing. Not replaced:
-    numbers whose check digit, octets or calendar date are wrong, and dates outside 1900 to 2099.
+    numbers whose check digit, octets or calendar date are wrong, and dates outside 1900 to 2099. A card may
+    stand beside other numbers: every run of whole groups of digits is tried, the longest first.
     """
     text = F.col("t")
     found = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
@@ -141,10 +172,17 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     step = held(step, found=F.when(some, found).otherwise(F.array().cast("array<string>")))
     step = held(step, values=F.transform("found", lambda x: F.struct(x.alias("found"), kind_of(x).alias("kind"))))
     step = held(step, new=F.transform("values", lambda x: pseudonym(x["found"], x["kind"], key)))
-    between = F.split(F.col("t"), ANY, -1)
-    pieces = F.zip_with(between, "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    step = held(step, between=F.split(F.col("t"), ANY, -1))
+    # Groups of digits by piece between the values, then by run of groups.
+    runs = F.transform("between", lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"({GROUPS})"), F.lit(1)), lambda r: F.regexp_extract_all(r, F.lit("([0-9]+[ -]?)"), F.lit(1))))
+    step = held(step, runs=F.when(text.rlike(GROUPS), runs).otherwise(F.array().cast("array<array<array<string>>>")))
+    step = held(step, cards=F.transform("runs", lambda p: F.transform(p, _cards)))
+    made = F.zip_with("runs", "cards", lambda p, c: F.zip_with(p, c, lambda groups, cards: _with_cards(groups, cards, key)))
+    step = held(step, made=made, n_card=F.aggregate(F.flatten("cards"), F.lit(0).cast("long"), lambda n, c: n + F.size(c)))
+    whole = F.zip_with("between", "made", lambda p, runs: F.when(F.coalesce(F.size(runs), F.lit(0)) > 0, F.array_join(F.zip_with(F.split(p, GROUPS, -1), runs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(p))
+    pieces = F.zip_with(whole, "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     count = lambda kind: F.size(F.filter("values", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    private = F.struct(F.when(F.size("found") > 0, F.array_join(pieces, "")).otherwise(F.col("t")).alias("text"), *map(count, ("mail", "date", "address", "identity", "phone", "card")))
+    private = F.struct(F.when((F.size("found") > 0) | (F.col("n_card") > 0), F.array_join(pieces, "")).otherwise(F.col("t")).alias("text"), *map(count, ("mail", "date", "address", "identity", "phone")), "n_card")
     return held(step, private=private).select(row, "private")
 
 

@@ -259,6 +259,24 @@ def test_pseudonyms(spark, documents, awkward):
     assert pseudonyms.replace_private(awkward, "k").columns == awkward.columns and not links
 
 
+def test_cards_beside_numbers(spark):
+    right = lambda x: (lambda d: 13 <= len(d) <= 19 and sum(d[::2] + [sum(divmod(2 * c, 10)) for c in d[1::2]]) % 10 == 0)([int(c) for c in x if c.isdigit()][::-1])
+    card = r"(4\d{3} \d{4} \d{4} \d{4}|\d{16})"
+    cases = {"4111 1111 1111 1111 12/25": 1, "4111111111111111 123": 1, "pay 2 4111111111111111": 1, "7 4111 1111 1111 1111 999 x": 1, "4111 1111 1111 1111 5500 0000 0000 0004": 2, "4111 1111 1111 1111 1999-12-31": 1, "4111111111111112 123": 0, "4111111111111111 12.5": 1, "1 2 3 4 5 6": 0}
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(k,) for k in cases] + [("12/31/1999 and 31/12/1999 and 13/32/1999",)], "text string"), "k").select("row.text", F.col("private.text").alias("new"), "private.n_card", "private.n_date").collect()
+    for r in got[:-1]:
+        assert r.n_card == cases[r.text] and re.sub(r"\d", "0", r.new) == re.sub(r"\d", "0", r.text), r
+        assert (r.new != r.text) == (r.n_card + r.n_date > 0)
+        for old in ("4111 1111 1111 1111", "4111111111111111", "5500 0000 0000 0004"):
+            assert old not in r.new
+        if old := re.search(card, r.text) if r.n_card == 1 else None:
+            new = r.new[old.start() : old.end()]
+            assert right(new) and r.new[: old.start()] == r.text[: old.start()] and (r.n_date or r.new[old.end() :] == r.text[old.end() :])
+    assert got[5].n_date == 1 and "1999-12-31" not in got[5].new
+    dates = got[-1].new.split(" and ")
+    assert got[-1].n_date == 2 and dates[0] != "12/31/1999" and dates[1] != "31/12/1999" and dates[2] == "13/32/1999"
+
+
 def water(sizes, weights, share, epochs):
     total, left = share * sum(sizes), set(range(len(sizes)))
     out = [0.0] * len(sizes)
