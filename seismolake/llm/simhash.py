@@ -253,7 +253,7 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 sets.append(found.view("<i8"))
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
             yield pa.RecordBatch.from_arrays([batch.column(0), arrays, pa.array(np.array(nodes, "<u8").view("<i8"))], ["doc_id", "hashes", "node"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -293,7 +293,7 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
                 sizes.append(n)
                 firsts.append(found[: n + (-p * n) // q + 1])
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
+            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sizes, np.int32)), arrays], ["doc_id", "node", "size", "keys"])
 
     sets = shingle_sets(docs, shingle).select("doc_id", "node", "hashes")
