@@ -21,10 +21,12 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import discard, numbered, small_batches, stored
 
 #: Bounds of the trees: fingerprints sampled, homes wanted in a leaf, leaves of a tree, rows of a tile's side.
 SAMPLE, LEAF, MOST_LEAVES, TILE = 40_000, 1000, 8192, 2000
+#: Rows that a task walks through the trees at once.
+GATHERED = 20_000
 #: The least Jaccard similarity of near-duplicates that keep_first drops, as a fraction; the most shingles that it knows as common, and the documents sampled for them.
 LEAST, MOST_COMMON, COMMON_SAMPLE = (4, 5), 500_000, 10_000
 
@@ -163,19 +165,30 @@ def links(points: DataFrame, max_bits: int = 4, segments: int = 3, sample: int =
     leaves = max(1, min(MOST_LEAVES, size // leaf, len(some) // 4))
     trees = [Tree((some >> np.uint64(shift)) & np.uint64(mask), leaves, radius, seed) for seed, (shift, mask) in enumerate(cuts)]
 
+    def gathered(batches: Iterator) -> Iterator:
+        """The rows of many small batches at once, so that a walk through a tree serves them all."""
+        import numpy as np
+
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            n += batch.num_rows
+            if n >= GATHERED:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, n = [], 0
+        if n:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
     def routed(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            nodes = batch.column(1).to_numpy(zero_copy_only=False)
+        for fps, nodes in gathered(batches):
             for k, (shift, mask) in enumerate(cuts):
                 values = (fps.view(np.uint64) >> np.uint64(shift)) & np.uint64(mask)
                 for shard, at, home in trees[k].visits(values):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k * MOST_LEAVES + shard, np.int32)), pa.array(fps[at]), pa.array(nodes[at]), pa.array(home)], ["shard", "fp", "node", "home"])
 
-    points.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     visits = stored(points.select("fp", "node").mapInArrow(routed, "shard int, fp long, node long, home boolean"), "simhash-visits")
     # One row a leaf, and leaves are bounded: these counts are small on any input.
     counts = visits.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("all"))
@@ -209,6 +222,7 @@ def links(points: DataFrame, max_bits: int = 4, segments: int = 3, sample: int =
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for each node that has one."""
+    spark = edges.sparkSession
     both = stored(edges.select("a", "b").union(edges.select("b", "a")), "links-both")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
     while True:
@@ -217,8 +231,11 @@ def components(edges: DataFrame) -> DataFrame:
         nearer = stored(nearer, "labels-heard")
         jump = nearer.select(F.col("node").alias("root"), F.col("now").alias("beyond"))
         moved = stored(nearer.join(jump, nearer.now == jump.root, "left").select("node", "was", F.least("now", "beyond").alias("component")), "labels-moved")
+        discard(spark, labels._scratch, nearer._scratch)
         labels = moved.select("node", "component")
+        labels._scratch = moved._scratch
         if moved.where("was <> component").isEmpty():
+            discard(spark, both._scratch)
             return labels
 
 
@@ -227,18 +244,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segmen
 
     component_id is the smallest doc_id that links of at most max_bits differing bits reach, the
     document itself included. Null, empty and blank texts have fingerprint 0, linked like any other.
-    Repeated rows stay repeated. A row whose doc_id is null has its own fingerprint's component, null
-    only if no document of it has an id. Other columns are not read.
+    Repeated rows stay repeated, and rows of one id with different texts each have their own text's
+    fingerprint and component. A row whose doc_id is null links like any other; its component_id is null
+    only if no document of its component has an id. Other columns are not read.
     """
     prints = stored(fingerprints(docs, shingle), "simhash-prints")
-    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-points")
-    found = components(links(points.where("node is not null"), max_bits, segments, **bounds))
-    classes = stored(points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-classes")
+    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-points")
+    found = components(links(points.select("fp", F.col("fp").alias("node")), max_bits, segments, **bounds))
+    parts = stored(points.join(found, points.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("part")), "simhash-parts")
+    lows = parts.groupBy("part").agg(F.min("low").alias("component_id"))
+    classes = stored(parts.join(lows, "part").select("fp", "component_id"), "simhash-classes")
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, hashes (the distinct hashes of the text's word shingles, ordered) and node (a hash of these) of every row of docs."""
+    """doc_id, body (a hash of the text), hashes (the distinct hashes of the text's word shingles, ordered) and node (a hash of these) of every row of docs."""
     small_batches(docs.sparkSession)
 
     def mapped(batches: Iterator) -> Iterator:
@@ -248,20 +268,20 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
         for batch in batches:
             sets, nodes = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = np.unique(_hashes(text.as_py(), shingle))
                 sets.append(found.view("<i8"))
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), arrays, pa.array(np.array(nodes, "<u8").view("<i8"))], ["doc_id", "hashes", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), arrays, pa.array(np.array(nodes, "<u8").view("<i8"))], ["doc_id", "body", "hashes", "node"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(mapped, f"doc_id {kind}, hashes array<long>, node long")
+    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(mapped, f"doc_id {kind}, body long, hashes array<long>, node long")
 
 
 def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST, sample: int = COMMON_SAMPLE) -> DataFrame:
-    """doc_id, node, size and keys of every row of docs: the size of its set, and the first hashes of it in one order of all hashes, rare ones first.
+    """doc_id, body, node, size and keys of every row of docs: the size of its set, and the first hashes of it in one order of all hashes, rare ones first.
 
     Two sets whose Jaccard similarity is p / q or more share a key, and one that is short for the smaller of
     them. That holds in any order; shingles that are common in a sample go last, so that few sets share a key.
@@ -283,7 +303,7 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
         known, turn = common.value
         for batch in batches:
             sizes, firsts = [], []
-            for hashes in batch.column(2):
+            for hashes in batch.column(3):
                 found = hashes.values.to_numpy(zero_copy_only=False)
                 n = len(found)
                 if n and len(known):
@@ -294,11 +314,11 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
                 firsts.append(found[: n + (-p * n) // q + 1])
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sizes, np.int32)), arrays], ["doc_id", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.array(sizes, np.int32)), arrays], ["doc_id", "body", "node", "size", "keys"])
 
-    sets = shingle_sets(docs, shingle).select("doc_id", "node", "hashes")
+    sets = shingle_sets(docs, shingle).select("doc_id", "body", "node", "hashes")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(sets.mapInArrow(mapped, f"doc_id {kind}, node long, size int, keys array<long>"), "similar-prefixes")
+    return stored(sets.mapInArrow(mapped, f"doc_id {kind}, body long, node long, size int, keys array<long>"), "similar-prefixes")
 
 
 def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -337,16 +357,21 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST, sample: int = COMMON_SAMPLE) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest id stays, once if its row repeats. Rows without an id stay.
+    """docs without near-duplicates: of each component one document stays, that of the smallest id (of several texts of that id, any one text, always the same).
 
     Two documents are linked if the Jaccard similarity of their sets of word shingles (A-Z as a-z; a text of
-    fewer words is one shingle) is p / q or more: all such pairs, and no other. Blank texts are alike. Shingles
-    and sets are told apart by hashes of 64 bits.
+    fewer words is one shingle) is p / q or more: all such pairs, and no other. Null, empty and blank texts are
+    alike. Rows that share an id but not a text are documents of their own, and go only if they are near-duplicates;
+    rows that share both are one document, of which one row stays. Rows without an id stay. All columns
+    are carried, whatever their names. Shingles and sets are told apart by hashes of 64 bits.
     """
-    known = docs.where("doc_id is not null")
+    known = docs.where("doc_id is not null").select("doc_id", "text")
     marked = prefixes(known, shingle, least, sample)
     parts = stored(components(similar_links(known, marked, shingle, least)), "similar-components")
-    rows = marked.select("doc_id", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    first = rows.groupBy("part").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    left = docs.join(first, "doc_id", "left_semi")
-    return left.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    rows = marked.select("doc_id", "body", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    first = rows.groupBy("part").agg(F.min(F.struct("doc_id", "body")).alias("first")).select("first.*").distinct()
+    own, row = numbered(docs)
+    of = {name: F.col(f"_{docs.columns.index(name)}") for name in ("doc_id", "text")}
+    keyed = own.select(of["doc_id"].alias("doc_id"), F.xxhash64(of["text"]).alias("body"), row)
+    left = keyed.where("doc_id is not null").join(first, ["doc_id", "body"], "left_semi").dropDuplicates(["doc_id", "body"])
+    return left.unionByName(keyed.where("doc_id is null")).select("row.*")
