@@ -2,8 +2,8 @@
 
 Card numbers (13 to 19 digits with a right check digit), telephone numbers, identity numbers of the
 form 3-2-4, IPv4 addresses and calendar dates are permuted within their own format: a Feistel network
-whose round function is a keyed SHA-256 maps each to another valid value of the same shape, so equal
-values stay linked over all documents and no table of them is kept. Mail addresses have no fixed
+over exactly as many values as are valid, whose round function is a keyed SHA-256, maps each to a valid value of
+the same shape, so equal values stay linked over all documents and no table of them is kept. Mail addresses have no fixed
 format; they get a keyed digest as their name and host. All is Spark's own functions, in place.
 """
 
@@ -24,8 +24,15 @@ PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3
 ANY = rf"(?<![A-Za-z0-9._%+-]){MAIL}|(?<![\w.+-])(?:{DATE}|{ADDRESS}|{IDENTITY}|{PHONE})(?![\w-]|\.\d)"
 #: Groups of digits between all these, in which cards are found; the least and most digits of a card.
 GROUPS, CARD_DIGITS = r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,}(?![\w-]|\.\d)", (13, 19)
-# The days that dates are permuted over, 1900-01-01 to 2099-12-31, and a rectangle that holds them.
-FIRST_DAY, DAYS, DAY_SIDES = "1900-01-01", 73049, (270, 271)
+# The days that dates are permuted over, 1900-01-01 to 2099-12-31, and their number as a product.
+FIRST_DAY, DAYS, DAY_SIDES = "1900-01-01", 73049, (17, 4297)
+# Valid identity numbers have an area of 001 to 899 but for 666, a group of 01 to 99 and a serial number of 0001 to 9999.
+NO_AREA, AREAS, GROUPS_OF_AREA, SERIALS = 666, 898, 99, 9999
+
+
+def _div(value: Column, by: Column | int) -> Column:
+    """The whole quotient of whole numbers, exact for all of 64 bits."""
+    return F.call_function("div", value, F.lit(by).cast("long") if isinstance(by, int) else by)
 
 
 def feistel(value: Column, left: Column | int, right: Column | int, key: str, kind: str, rounds: int = ROUNDS) -> Column:
@@ -38,7 +45,7 @@ def feistel(value: Column, left: Column | int, right: Column | int, key: str, ki
         mixed = F.pmod(state["a"] + F.conv(F.substring(digest, 1, 14), 16, 10).cast("long"), side)
         return F.struct(state["b"].alias("a"), mixed.alias("b"))
 
-    start = F.struct(F.floor(value / right).cast("long").alias("a"), F.pmod(value, right).alias("b"))
+    start = F.struct(_div(value, right).alias("a"), F.pmod(value, right).alias("b"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, turn, lambda s: s["a"] * right + s["b"])
 
 
@@ -46,7 +53,7 @@ def _permuted_digits(digits: Column, key: str, kind: str) -> Column:
     """A string of 2 to 18 digits, permuted among those of its length."""
     n = F.length(digits)
     half = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    low = F.floor(n / 2)
+    low = _div(n, 2)
     return F.lpad(feistel(digits.cast("long"), half(n - low), half(low), key, kind).cast("string"), n, "0")
 
 
@@ -82,21 +89,35 @@ def _address(found: Column, key: str) -> Column:
     return F.concat_ws(".", *[F.pmod(F.shiftright(new, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
 
 
-def _day(found: Column, key: str) -> tuple[Column, Column]:
-    """The date that a match says, null if there is none, and its pseudonym in the same format."""
+def _identity(digits: Column, key: str) -> Column:
+    """Nine digits of a valid identity number, permuted among all valid ones: their number is a product, so none is walked over."""
+    number = digits.cast("long")
+    area, group, serial = _div(number, 1_000_000), F.pmod(_div(number, 10_000), F.lit(100)), F.pmod(number, F.lit(10_000))
+    place = ((area - 1 - (area > NO_AREA).cast("long")) * GROUPS_OF_AREA + group - 1) * SERIALS + serial - 1
+    new = feistel(place, AREAS * GROUPS_OF_AREA, SERIALS, key, "identity")
+    rank = _div(new, GROUPS_OF_AREA * SERIALS)
+    parts = (rank + 1 + (rank + 1 >= NO_AREA).cast("long"), F.pmod(_div(new, SERIALS), F.lit(GROUPS_OF_AREA)) + 1, F.pmod(new, F.lit(SERIALS)) + 1)
+    return F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in zip(parts, (3, 2, 4), strict=True)])
+
+
+def _day_number(found: Column) -> tuple[Column, Column]:
+    """The number of days since FIRST_DAY of the date that a match says, null if there is none or it lies outside the years, and its layout."""
     # Slashed dates are read day first, and month first where only that can be a date.
     month_first = found.rlike(r"^\d{2}/(?:1[3-9]|2\d|3[01])/")
     layout = F.when(found.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(month_first, "MM/dd/yyyy").when(found.contains("/"), "dd/MM/yyyy").otherwise("dd.MM.yyyy")
     ordered = F.regexp_replace(found, r"^(\d{2})[./](\d{2})[./](\d{4})$", F.when(month_first, "$3-$1-$2").otherwise("$3-$2-$1"))
-    day = F.try_to_timestamp(ordered, F.lit("yyyy-MM-dd")).cast("date")
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    # Out of the rectangle's spare corner by walking on: a number below DAYS always gets to another.
-    walk = lambda n, k: F.when((k == 0) | (n >= DAYS), feistel(n, *DAY_SIDES, key, "date")).otherwise(n)
-    new = F.aggregate(F.sequence(F.lit(0), F.lit(9)), number, walk)
-    valid = day.isNotNull() & (number >= 0) & (number < DAYS)
-    text = F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int"))
-    out = F.when(layout == "yyyy-MM-dd", F.date_format(text, "yyyy-MM-dd")).when(layout == "MM/dd/yyyy", F.date_format(text, "MM/dd/yyyy")).when(layout == "dd/MM/yyyy", F.date_format(text, "dd/MM/yyyy")).otherwise(F.date_format(text, "dd.MM.yyyy"))
-    return valid & (new < DAYS), out
+    number = F.datediff(F.try_to_timestamp(ordered, F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
+    return F.when(number.between(0, DAYS - 1), number), layout
+
+
+def _day(found: Column, key: str) -> Column:
+    """The pseudonym of a date, in its layout."""
+    number, layout = _day_number(found)
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel(number, *DAY_SIDES, key, "date").cast("int"))
+    out = F.date_format(day, "dd.MM.yyyy")
+    for name in ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy"):
+        out = F.when(layout == name, F.date_format(day, name)).otherwise(out)
+    return out
 
 
 def kind_of(found: Column) -> Column:
@@ -105,7 +126,7 @@ def kind_of(found: Column) -> Column:
     parts = F.split(found, r"\.")
     return (
         F.when(found.contains("@"), "mail")
-        .when(whole(DATE), F.when(_day(found, "")[0], "date"))
+        .when(whole(DATE), F.when(_day_number(found)[0].isNotNull(), "date"))
         .when(whole(ADDRESS), F.when(F.forall(parts, lambda x: x.cast("int") < 256), "address"))
         .when(whole(IDENTITY), F.when(~found.rlike(r"^(000|666|9)|-00-|-0000$"), "identity"))
         .when(whole(PHONE), "phone")
@@ -119,9 +140,9 @@ def pseudonym(found: Column, kind: Column, key: str) -> Column:
     kept = F.substring(digits, F.lit(1), F.length(digits) - tail)
     return (
         F.when(kind == "mail", _mail(found, key))
-        .when(kind == "date", _day(found, key)[1])
+        .when(kind == "date", _day(found, key))
         .when(kind == "address", _address(found, key))
-        .when(kind == "identity", _in_shape(found, _permuted_digits(digits, key, "identity")))
+        .when(kind == "identity", _in_shape(found, _identity(digits, key)))
         .when(kind == "phone", _in_shape(found, F.concat(kept, _permuted_digits(F.substring(digits, F.length(digits) - tail + 1, tail), key, "phone"))))
         .otherwise(found)
     )
@@ -161,7 +182,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     Null texts stay null, empty ones empty, both without values. Each row is treated alone by a function
     of the key and the value, so repeated rows, ties and other columns change nothing. Not replaced:
-    numbers whose check digit, octets or calendar date are wrong, and dates outside 1900 to 2099. A card may
+    numbers whose check digit, octets, area, group or calendar date are wrong, and dates outside 1900 to 2099. A
+    slashed date is read day first, and month first where only that is a date. A card may
     stand beside other numbers: every run of whole groups of digits is tried, the longest first.
     """
     text = F.col("t")
