@@ -1,7 +1,7 @@
 """Secret scans: patterns, and the entropy of a window that slides over candidate strings.
 
-Spark's own functions only. A window's entropy follows from a sum over its characters' counts; a
-step changes the counts of one character that leaves and one that enters, and so two terms of it.
+Spark's own functions only. A window's entropy follows from a sum over its characters' counts, which
+are carried along: a step changes those of one character that leaves and one that enters, and so two terms of the sum.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, numbered
+from .common import held, numbered, running_sums
 
 # The base patterns and the least length of what they find.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,45 +31,53 @@ ALLOWED = (
 
 
 def with_spans(frame: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """frame with an array of (first, last, found) for each pattern: code points of all leftmost non-overlapping matches, the end exclusive."""
+    """frame with an array of (first, last, found) for each pattern: code points of all leftmost non-overlapping matches, the end exclusive. Places are running sums, so a text of many matches costs no square of them."""
     pieces = {}
     for name, pattern in patterns.items():
         some, none = F.col(text).rlike(pattern), F.array().cast("array<string>")
         pieces[f"{name}_found"] = F.when(some, F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).otherwise(none)
         pieces[f"{name}_between"] = F.when(some, F.split(text, pattern, -1)).otherwise(none)
     frame = held(frame, **pieces)
-    length = lambda of: F.aggregate(of, F.lit(0), lambda n, x: n + F.length(x))
+    long = lambda x: F.length(x).cast("long")
+    step = lambda name: lambda x, k: long(F.get(F.col(f"{name}_between"), k)) + long(x)
+    frame = held(frame, **{f"{name}_steps": F.transform(f"{name}_found", step(name)) for name in patterns})
+    for name in patterns:
+        frame = running_sums(frame, f"{name}_before", f"{name}_steps")
 
     def spans(name: str) -> Column:
-        found, between = F.col(f"{name}_found"), F.col(f"{name}_between")
-
         def span(x: Column, k: Column) -> Column:
-            first = length(F.slice(between, F.lit(1), k + 1)) + length(F.slice(found, F.lit(1), k))
-            return F.struct(first.alias("first"), (first + F.length(x)).alias("last"), x.alias("found"))
+            first = F.get(F.col(f"{name}_before"), k) + long(F.get(F.col(f"{name}_between"), k))
+            return F.struct(first.cast("int").alias("first"), (first + F.length(x)).cast("int").alias("last"), x.alias("found"))
+
+        return F.transform(f"{name}_found", span)
 
-        return F.transform(found, span)
+    return held(frame, **{name: spans(name) for name in patterns}).drop(*pieces, *[f"{name}_{x}" for name in patterns for x in ("steps", "before")])
 
-    return held(frame, **{name: spans(name) for name in patterns}).drop(*pieces)
 
+def most_entropy(chars: Column, letters: Column, window: int = WINDOW, enough: Column | float = float("inf")) -> Column:
+    """The largest Shannon entropy, in bits, of the windows of a string of at least that length, given as an array of its characters and one of its different characters.
 
-def most_entropy(string: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of the windows of a string at least that long."""
-    count = lambda part, char: F.length(part) - F.length(F.replace(part, char, F.lit("")))
+    The counts of the letters in the window are carried from step to step: one falls, one grows, and with them two terms of the sum.
+    Once a window has `enough` bits, later ones are not looked at.
+    """
+    whole = F.log2(F.lit(float(window)))
     term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(0.0)
-    first = F.substring(string, 1, window)
-    start = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda s, c: s + F.when(c != "", term(count(first, c))).otherwise(0.0))
+    first = F.slice(chars, 1, window)
+    counts = F.transform(letters, lambda c: F.size(F.filter(first, lambda x: x == c)))
+    start = F.aggregate(counts, F.lit(0.0), lambda s, n: s + term(n))
 
     def slide(state: Column, at: Column) -> Column:
-        # The window before the step starts at `at`; what both windows share follows its first character.
-        leaves, enters = F.substring(string, at, F.lit(1)), F.substring(string, at + window, F.lit(1))
-        shared = F.substring(string, at + 1, F.lit(window - 1))
-        gone, come = count(shared, leaves), count(shared, enters)
-        total = state["sum"] - term(gone + 1) + term(gone) - term(come) + term(come + 1)
-        return F.struct(total.alias("sum"), F.least(state["least"], total).alias("least"))
+        place = lambda k: (F.array_position(letters, F.get(chars, k)) - 1).cast("int")
+        leaves, enters = place(at), place(at + window)
+        gone, come = F.get(state["counts"], leaves), F.get(state["counts"], enters)
+        total = F.when(leaves == enters, state["sum"]).otherwise(state["sum"] - term(gone) + term(gone - 1) - term(come) + term(come + 1))
+        after = F.transform(state["counts"], lambda n, k: n - (k == leaves).cast("int") + (k == enters).cast("int"))
+        moved = F.struct(after.alias("counts"), total.alias("sum"), F.least(state["least"], total).alias("least"))
+        return F.when(whole - state["least"] / window >= enough, state).otherwise(moved)
 
-    steps = F.when(F.length(string) > window, F.sequence(F.lit(1), F.length(string) - window)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(start.alias("sum"), start.alias("least")), slide, lambda s: s["least"])
-    return F.log2(F.lit(float(window))) - least / window
+    steps = F.when(F.size(chars) > window, F.sequence(F.lit(0), F.size(chars) - window - 1)).otherwise(F.array().cast("array<int>"))
+    least = F.aggregate(steps, F.struct(counts.alias("counts"), start.alias("sum"), start.alias("least")), slide, lambda s: s["least"])
+    return whole - least / window
 
 
 def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -77,7 +85,7 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Kinds in order: assign, access, hex, entropy. An entropy span is a candidate string outside all other spans
     with a window whose entropy reaches the threshold of its class, and not on the allow-list.
-    Null and empty texts have none. Each row is scanned alone, so repeated rows, ties and other columns change nothing.
+    A candidate may be of any length. Null and empty texts have none. Each row is scanned alone, so repeated rows, ties and other columns change nothing.
     """
     own, row = numbered(docs)
     step = own.withColumn("t", F.coalesce(F.col(f"_{docs.columns.index('text')}"), F.lit("")))
@@ -87,14 +95,22 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     threshold = F.lit(THRESHOLDS[-1][1])
     base = F.concat("assign", "access", "hex")
 
+    def suspect(x: Column) -> Column:
+        return ~x["found"].rlike(ALLOWED) & ~F.exists(base, lambda b: (b["first"] < x["last"]) & (x["first"] < b["last"]))
+
     def strong(x: Column) -> Column:
         least = threshold
         for pattern, bits in reversed(THRESHOLDS[:-1]):
             least = F.when(x["found"].rlike(pattern), F.lit(bits)).otherwise(least)
-        clear = ~F.exists(base, lambda b: (b["first"] < x["last"]) & (x["first"] < b["last"]))
-        return clear & ~x["found"].rlike(ALLOWED) & (most_entropy(x["found"], window) >= least)
+        return most_entropy(x["chars"], x["letters"], window, least) >= least
+
+    def lettered(x: Column) -> Column:
+        chars = F.split(x["found"], "")
+        return F.struct(x["first"].alias("first"), x["last"].alias("last"), x["found"].alias("found"), chars.alias("chars"), F.array_distinct(chars).alias("letters"))
 
-    step = held(step, entropy=F.filter("candidates", strong))
+    step = held(step, suspects=F.filter("candidates", suspect))
+    step = held(step, suspects_letters=F.transform("suspects", lettered))
+    step = held(step, entropy=F.filter("suspects_letters", strong))
     named = lambda kind, rank: F.transform(kind, lambda x: F.struct(x["first"].alias("first"), F.lit(rank).alias("rank"), x["last"].alias("last"), F.lit(kind).alias("kind")))
     return step.select(row, F.sort_array(F.concat(*[named(kind, rank) for rank, kind in enumerate(("assign", "access", "hex", "entropy"))])).alias("secrets"))
 
