@@ -1,26 +1,26 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot i of the mix is the i-th golden-ratio point of the unit interval; the sources' targets, laid end
-to end over that interval, say whose slot it is. So each run of slots, however short, holds the
-sources nearly in proportion. A source's documents are shuffled by a seeded hash and cut, as one
-stream of words that goes round at most `epochs` times, into blocks of equal size; the source's
-r-th slot takes its r-th block. Streams and ranks are numbered in strips of bounded size whose totals are
-added up, so that a source with a third of all documents is no single task's work.
+A source's target is cut into blocks of equal size, the last of which carries what is left. The blocks of all
+sources lie end to end on a line, so that their numbers are the sources' cumulative weights. Slots visit the
+line in van der Corput order: slot i takes the block whose number is i with its bits reversed. So each run of slots,
+however short, holds the sources nearly in proportion, and the whole schedule holds each block exactly once. A source's
+r-th slot takes its r-th block of its documents, shuffled by a seeded hash and read as one stream of words
+that goes round at most `epochs` times. Streams and ranks are numbered in strips whose totals are added up, and a
+strip has about as many rows as there are strips, so that a source with a third of all documents is no single task's work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import isqrt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import numbered, stored, word_count
 
-# Fixed value: 2^64 divided by the golden ratio; its multiples modulo 2^64 are the points.
-GOLDEN = 0x9E3779B97F4A7C15
-#: Documents, and slots, in a strip on average.
-STRIP = 4096
+
+#: Sources up to this number are sent to all tasks; blocks that one row makes at a time.
+FEW, CHUNK = 10_000, 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2) -> DataFrame:
@@ -41,96 +41,108 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return rows.withColumn("target", F.least("cap", F.col("weight") * F.coalesce(level, F.lit(float("inf"))))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, block_words: int = 1024, least_blocks: int = 256, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _in_strips(rows: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
+    """rows (keys, strip) with `before`: the sum of value over the rows of the same keys that come before, strips in turn, rows within them in order. Null keys are keys."""
+    rows = rows.withColumn("_value", value)
+    within = Window.partitionBy(*keys, "strip").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*keys).orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "strip").agg(F.sum("_value").alias("_all"))
+    firsts = sums.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "strip")], F.coalesce(F.sum("_all").over(along), F.lit(0)).alias("_first"))
+    inside = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    same = [inside[k].eqNullSafe(firsts[f"_{k}"]) for k in keys] + [inside["strip"] == firsts["_strip"]]
+    return inside.join(firsts, same).withColumn("before", (F.col("_first") + F.col("_inside")).cast("long")).drop("_value", "_inside", "_first", *[f"_{k}" for k in (*keys, "strip")])
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, block_words: int = 1024, least_blocks: int = 4096, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, schedule, pieces) of docs (doc_id, text, source).
 
-    documents: one row a row of docs, numbered by `row`, with size (words; null text: 0), source_size, target and first
-    (words of its source before it in the shuffled stream). schedule: slot, source, rank, which is the
-    block to take. pieces: source, rank, row, words: what a block takes from a document. A block has block_words
-    words, fewer if the smallest positive target has not least_blocks of them. A null source is a source,
-    the last. A document without words takes no part, but has its row. Rows that repeat, or have no id,
-    are documents each of its own. An empty table gives no rows. Other columns are not read.
+    documents: one row a row of docs, told apart by (source, strip, number), with body (a hash of id and text), size (words; null
+    text: 0), source_size, target and first (words of its source before it in the shuffled stream). schedule: slot, source, rank (the block to
+    take) and first, last (words of the source's stream that it holds, the end exclusive). pieces: source, rank, strip, number, round, words: what
+    a block takes from a document. A block has block_words words, fewer if the whole mix has not least_blocks of them; the last of a
+    source has what is left of its target, so that a tiny source changes no other's. A null source is a source, the last. A
+    document without words takes no part, but has its row. Rows that repeat, or have no id, are documents each
+    of its own. An empty table gives no rows. Other columns are not read.
     """
-    rows = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("body")), "mix-rows")
-    strips = max(1, rows.count() // STRIP)
-    shuffle = F.xxhash64("body", F.lit(seed))
-    rows = rows.withColumn("draw", shuffle).withColumn("strip", F.floor((F.col("draw") / 2.0**64 + 0.5) * strips).cast("long"))
+    own = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("body"))
+    rows = stored(own.withColumn("draw", F.xxhash64("body", F.lit(seed))), "mix-rows")
+    strips = isqrt(rows.count()) + 1
     # Strips follow the order of draw, so their sums are where the strips start in the stream.
-    sums = stored(rows.groupBy("source", "strip").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-sums")
-    totals = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
-    aims = stored(targets(totals, weights, share, epochs), "mix-targets")
-    in_source = Window.partitionBy("source").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "strip", F.coalesce(F.sum("words").over(in_source), F.lit(0)).alias("strip_first"))
-    in_strip = Window.partitionBy("source", "strip").orderBy("draw", "doc_id", "body").rowsBetween(Window.unboundedPreceding, -1)
-    number = Window.partitionBy("source", "strip").orderBy("draw", "doc_id", "body")
-    same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
-    numbered = rows.withColumn("inside", F.coalesce(F.sum("size").over(in_strip), F.lit(0))).withColumn("number", F.row_number().over(number))
-    placed = numbered.join(starts, same(numbered, starts, "source", "strip")).drop(starts.source).drop(starts.strip)
-    documents = placed.join(F.broadcast(aims) if aims.count() <= 10_000 else aims, placed.source.eqNullSafe(aims.source)).drop(aims.source)
-    documents = stored(documents.select("doc_id", "body", "source", "size", "source_size", "target", (F.col("strip_first") + F.col("inside")).alias("first"), F.xxhash64("source", "strip", "number").alias("row")), "mix-documents")
-
-    sums_of = aims.agg(F.sum("target").alias("all"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
-    total, smallest = sums_of["all"] or 0.0, sums_of["least"] or 0.0
-    size = max(1, min(block_words, int(smallest // least_blocks)))
-    schedule = slots(aims, -(-int(total) // size))
-    # Block r of a source is words r * size and on of its stream gone round; none starts past its last round.
+    rows = rows.withColumn("strip", F.floor((F.col("draw") / 2.0**64 + 0.5) * strips).cast("long"))
+    order = ["draw", "doc_id", "body"]
+    placed = _in_strips(rows, ["source"], order, F.col("size"))
+    placed = placed.withColumn("number", F.row_number().over(Window.partitionBy("source", "strip").orderBy(*order)))
+    aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
+    aims = stored(aims.withColumn("aim", F.least(F.round("target").cast("long"), epochs * F.col("source_size"))), "mix-targets")
+    few = aims.count() <= FEW
+    documents = placed.join(F.broadcast(aims) if few else aims, placed.source.eqNullSafe(aims.source)).drop(aims.source)
+    documents = stored(documents.select("doc_id", "body", "source", "strip", "number", "size", "source_size", "target", "aim", F.col("before").alias("first")), "mix-documents")
+
+    total = aims.agg(F.sum("aim").alias("all")).first()["all"] or 0
+    size = max(1, min(block_words, total // least_blocks))
+    schedule = slots(aims, size)
+    # Block r of a source is words r * size and on of its stream gone round, up to its target.
     copies = documents.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    at = F.col("first") + F.col("round") * F.col("source_size")
-    cut = copies.withColumn("at", at).withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("size") - 1) / size))))
-    words = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * size) - F.greatest(F.col("at"), F.col("rank") * size)
-    return documents, schedule, cut.select("source", "rank", "row", words.alias("words"))
+    copies = copies.withColumn("at", F.col("first") + F.col("round") * F.col("source_size")).withColumn("end", F.least(F.col("at") + F.col("size"), "aim")).where("at < end")
+    cut = copies.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("end") - 1) / size))))
+    words = F.least("end", (F.col("rank") + 1) * size) - F.greatest(F.col("at"), F.col("rank") * size)
+    return documents, schedule, cut.select("source", "rank", "strip", "number", "round", words.alias("words"))
 
 
-def slots(aims: DataFrame, n: int) -> DataFrame:
-    """slot, source and rank (from 0, within the source) of n slots.
+def slots(aims: DataFrame, size: int) -> DataFrame:
+    """slot, source, rank, first and last of the schedule of sources (aim: words to take) in blocks of `size` words.
 
-    The sources' bounds, one number a source, go to the tasks; aims has one row a source.
+    Slots are in order, with gaps: there are as many slot numbers as the next power of two. Blocks are made in two steps, so that no
+    row makes them all; one row a source comes together to lay the sources end to end.
     """
     spark = aims.sparkSession
-    known = aims.where("target > 0").orderBy(F.col("source").asc_nulls_last()).collect()
-    names = [row["source"] for row in known]
-    bounds = [row["target"] for row in known]
-
-    def dealt(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        edges = np.cumsum(bounds) / np.sum(bounds)
-        for batch in batches:
-            slot = batch.column(0).to_numpy()
-            with np.errstate(over="ignore"):
-                point = ((slot.astype(np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)).astype(np.float64) / 2.0**64
-            own = np.minimum(np.searchsorted(edges, point, side="right"), len(edges) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32))], ["slot", "own"])
-
-    drawn = spark.range(0, n if known else 0).toDF("slot").mapInArrow(dealt, "slot long, own int").withColumn("strip", F.floor(F.col("slot") / STRIP))
-    before = Window.partitionBy("own").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = drawn.groupBy("own", "strip").agg(F.count("*").alias("n")).select("own", "strip", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = F.row_number().over(Window.partitionBy("own", "strip").orderBy("slot"))
-    ranked = drawn.withColumn("at", within).join(firsts, ["own", "strip"])
-    named = spark.createDataFrame([(k, name) for k, name in enumerate(names)], "own int, source string")
-    return ranked.join(F.broadcast(named), "own").select("slot", "source", (F.col("first") + F.col("at") - 1).alias("rank"))
+    before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = F.ceil(F.col("aim") / size).cast("long")
+    laid = stored(aims.where("aim > 0").select("source", "aim", blocks.alias("blocks")).withColumn("start", F.coalesce(F.sum("blocks").over(before), F.lit(0))), "mix-laid")
+    n = laid.agg(F.sum("blocks").alias("n")).first()["n"] or 0
+    bits, strips = max(1, (n - 1).bit_length()), isqrt(n) + 1
+    chunks = laid.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / CHUNK))))
+    each = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source", "chunk")
+    each = each.withColumn("number", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, "blocks") - 1)))
+    reversed_bits = F.conv(F.reverse(F.lpad(F.bin(F.col("start") + F.col("number")), bits, "0")), 2, 10).cast("long")
+    drawn = stored(each.select("source", "aim", reversed_bits.alias("slot")), "mix-slots").withColumn("strip", F.floor(F.col("slot") * (strips / 2.0**bits)).cast("long"))
+    ranked = _in_strips(drawn, ["source"], ["slot"], F.lit(1).cast("long"))
+    return ranked.select("slot", "source", F.col("before").alias("rank"), (F.col("before") * size).alias("first"), F.least((F.col("before") + 1) * size, "aim").alias("last"))
+
+
+def _taken(docs: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
+    """The documents of mix(), and source, strip, number, round, words taken and first slot of each time round in which a document is taken."""
+    documents, schedule, pieces = mix(docs, **settings)
+    key = F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none")
+    got = schedule.select(*key, "rank", "slot").join(pieces.select(*key, "rank", "strip", "number", "round", "words"), ["s", "none", "rank"])
+    return documents, got.groupBy("s", "none", "strip", "number", "round").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
 
 
 def taken(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, body (a hash of id and text), source, size, source_size, target and taken: the words that the mix takes from each row of docs, repeats counted."""
-    documents, schedule, pieces = mix(docs, **settings)
-    key = F.coalesce("source", F.lit("")), F.col("source").isNull()
-    left = schedule.select(key[0].alias("s"), key[1].alias("none"), "rank")
-    right = pieces.select(key[0].alias("s"), key[1].alias("none"), "rank", "row", "words")
-    got = left.join(right, ["s", "none", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"))
-    return documents.join(got, "row", "left").select("doc_id", "body", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    documents, got = _taken(docs, **settings)
+    got = got.groupBy("s", "none", "strip", "number").agg(F.sum("words").alias("taken"))
+    same = (F.coalesce(documents.source, F.lit("")) == got.s) & (documents.source.isNull() == got.none) & (documents.strip == got.strip) & (documents.number == got.number)
+    return documents.join(got, same, "left").select("doc_id", "body", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """docs as the mix takes them: a row for each time that a document is taken, to the nearest whole number of times.
+    """docs as the mix takes them, in the schedule's order: a row for each time round in which half of a document or more is taken, where its first block stands.
 
-    A row without words goes, for nothing of it can be taken. Repeated rows that share id and text are taken as often together.
+    The rows come dealt out by runs of the schedule and in order within each, so that files written of them follow it. Of each source at most one document
+    is taken in part. A row without words goes, for nothing of it can be taken. Rows that share id, text and
+    source are taken together, if one of them is. All columns of docs are kept, whatever their names.
     """
-    got = taken(docs, **settings).where("taken > 0")
-    times = got.groupBy("doc_id", "body").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"), F.count("*").alias("rows"))
-    marked = docs.withColumn("_body", F.xxhash64("doc_id", "text"))
-    same = marked["doc_id"].eqNullSafe(times["doc_id"]) & (marked["_body"] == times["body"])
-    each = F.floor((F.col("times") + F.col("rows") - 1) / F.col("rows")).cast("int")
-    joined = marked.join(times, same).where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), each)))
-    return joined.select(*[marked[c] for c in docs.columns])
+    documents, got = _taken(docs, **settings)
+    same = (F.coalesce(documents.source, F.lit("")) == got.s) & (documents.source.isNull() == got.none) & (documents.strip == got.strip) & (documents.number == got.number)
+    times = documents.join(got.where("words > 0"), same).where(2 * F.col("words") >= F.col("size")).groupBy("doc_id", "body", "s", "none", "round").agg(F.min("slot").alias("slot"))
+    times = stored(times, "mix-times")
+    own, row = numbered(docs)
+    of = {name: F.col(f"_{docs.columns.index(name)}") for name in ("doc_id", "text", "source")}
+    keyed = own.select(of["doc_id"].alias("doc_id"), F.xxhash64(of["doc_id"], of["text"]).alias("body"), F.coalesce(of["source"], F.lit("")).alias("s"), of["source"].isNull().alias("none"), row)
+    right = times.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("body", "s", "none")], "slot")
+    joined = keyed.join(right, keyed.doc_id.eqNullSafe(right._id) & (keyed.body == right._body) & (keyed.s == right._s) & (keyed.none == right._none)).select("slot", "row")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = times.agg(F.max("slot").alias("most")).first()["most"] or 0
+    run = F.least(F.floor(F.col("slot") * (parts / (most + 1))), F.lit(parts - 1)).cast("int")
+    return joined.repartitionById(parts, run).sortWithinPartitions("slot").select("row.*")
