@@ -13,8 +13,19 @@ from .common import SPACE_CLASS, held, numbered, words
 # Characters that count as symbols.
 SYMBOL_CLASS = r"[#*$%&|<>]"
 # Phrases of navigation and of boilerplate, as alternatives of one pattern each.
-NAVIGATION = "home|about us|contact us|log ?in|log ?out|sign in|sign up|menu|site ?map|skip to (main )?content|back to top|read more|click here|next page|previous page|share this|follow us|page [0-9]+ of [0-9]+"
-BOILERPLATE = "all rights reserved|privacy policy|terms of (use|service)|terms and conditions|cookie policy|(uses?|accept|enable) cookies|enable javascript|lorem ipsum|subscribe to our newsletter|powered by|copyright (©|\\(c\\)|[0-9]{4})"
+# English, German, French and Spanish ones, by language.
+NAVIGATION = "|".join((
+    "home|about us|contact us|log ?in|log ?out|sign in|sign up|menu|site ?map|skip to (main )?content|back to top|read more|click here|next page|previous page|share this|follow us|page [0-9]+ of [0-9]+",
+    "startseite|über uns|kontakt|anmelden|abmelden|registrieren|menü|inhaltsverzeichnis|zum inhalt( springen)?|nach oben|zurück zur übersicht|mehr lesen|weiterlesen|hier klicken|nächste seite|vorherige seite|teilen|folgen sie uns|seite [0-9]+ von [0-9]+",
+    "accueil|à propos|contactez-nous|se connecter|connexion|se déconnecter|s'inscrire|plan du site|aller au contenu( principal)?|haut de page|retour en haut|lire la suite|en savoir plus|cliquez ici|page suivante|page précédente|partager|suivez-nous|page [0-9]+ sur [0-9]+",
+    "inicio|quiénes somos|sobre nosotros|contáctenos|contacto|iniciar sesión|cerrar sesión|regístrate|menú|mapa del sitio|saltar al contenido|volver arriba|leer más|seguir leyendo|haga clic aquí|haz clic aquí|página siguiente|página anterior|compartir|síguenos|página [0-9]+ de [0-9]+",
+))
+BOILERPLATE = "|".join((
+    "all rights reserved|privacy policy|terms of (use|service)|terms and conditions|cookie policy|(uses?|accept|enable) cookies|enable javascript|lorem ipsum|subscribe to our newsletter|powered by|copyright (©|\\(c\\)|[0-9]{4})",
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|allgemeine geschäftsbedingungen|impressum|(verwendet|akzeptieren|aktivieren) cookies|cookies (akzeptieren|zulassen)|javascript aktivieren|newsletter abonnieren",
+    "tous droits réservés|politique de confidentialité|conditions (générales|d'utilisation)|mentions légales|(utilise des|accepter les) cookies|activer javascript|abonnez-vous à notre newsletter|propulsé par",
+    "todos los derechos reservados|política de privacidad|política de cookies|términos (de uso|y condiciones)|aviso legal|(utiliza|aceptar) cookies|activar javascript|suscríbete a nuestro boletín|desarrollado por",
+))
 #: Characters of a line that navigation or boilerplate may fill; share of a line's characters that symbols may be.
 BRIEF, SYMBOL_SHARE = 120, 0.2
 #: A document goes if its lines lose more than this share of its word characters.
@@ -31,8 +42,8 @@ def line_fails(line: Column) -> Column:
     """Whether a line with a word fails: up to four words without an end mark, navigation, boilerplate, or too many symbols."""
     ended = line.rlike(r"""[.!?:;…。！？"'”’»)\]]\s*$""")
     unended = ~ended & line.rlike(r"^\s*\S+(\s+\S+){0,3}\s*$")
-    navigation = line.rlike(r"( [|»›•·] .*){2,}") | line.rlike(rf"(?i)^\W*({NAVIGATION})\b") & ~ended
-    boilerplate = line.rlike(rf"(?i)\b({BOILERPLATE})")
+    navigation = line.rlike(r"( [|»›•·] .*){2,}") | line.rlike(rf"(?iuU)^\W*({NAVIGATION})\b") & ~ended
+    boilerplate = line.rlike(rf"(?iuU)\b({BOILERPLATE})")
     marked = F.length(F.regexp_replace(line, SYMBOL_CLASS, "")) < (1 - SYMBOL_SHARE) * F.length(line)
     return unended | (F.length(line) <= BRIEF) & (navigation | boilerplate) | marked
 
@@ -46,7 +57,7 @@ def repeated_words(grams: str, ordered: str) -> Column:
     return F.when(F.col(ordered).isNull(), 0).otherwise(covered)
 
 
-def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
+def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs (text, any other columns) with `quality`: a struct of counts, verdicts and the cleaned text.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines (with a word),
@@ -77,7 +88,7 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     left = F.length(F.regexp_replace("cleaned", SPACE_CLASS, ""))
     step = step.withColumns({
         "lost": F.when((F.col("solid") > 0) & (F.size("good") < F.size("all_lines")), 1 - left / F.col("solid")).otherwise(0.0),
-        "base_failed": (n < LEAST_WORDS) | (100 * F.col("repeats").cast("long") > MOST_REPEATED * n),
+        "base_failed": (n < least_words) | (100 * F.col("repeats").cast("long") > MOST_REPEATED * n),
     })
     failed = F.size("all_lines") - F.size("good")  # lines without a word never fail
     quality = F.struct(
@@ -89,8 +100,13 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     return held(step, quality=quality).select(row, "quality")
 
 
-def keep_clean(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
-    """The documents that the rules keep, with the columns of docs; text without its failing lines, n_chars, if there, of that text."""
-    kept = clean_lines(docs, most_lost).where("quality.kept")
+def keep_clean(docs: DataFrame, most_lost: float = MOST_LOST, least_words: int = 1) -> DataFrame:
+    """The documents that the rules keep, with the columns of docs; text without its failing lines, n_chars, if there, of that text.
+
+    A document goes if its failing lines hold more than most_lost of it, if over half of its words lie in repeated windows, or if it has fewer than
+    least_words words: short documents stay, null, empty and blank ones go. Each row is judged alone, so repeated
+    rows stay repeated; other columns are carried, whatever their names.
+    """
+    kept = clean_lines(docs, most_lost, least_words).where("quality.kept")
     new = {"text": F.col("quality.cleaned"), "n_chars": F.length("quality.cleaned").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return kept.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
