@@ -10,8 +10,8 @@ from __future__ import annotations
 import os
 import re
 
-#: Words in a generation of a worker's cache.
-CACHE_WORDS = 500_000
+#: Words in a generation of a worker's cache, and the most bytes of one of them: longer words are encoded each time.
+CACHE_WORDS, LONGEST = 500_000, 1000
 #: A character that is a token of its own between words. Words that hold it are encoded alone.
 MARK = "\x01"
 #: Words of Latin letters and digits before one mark at most: case folds letter by letter, and the mark is a token of its own.
@@ -50,7 +50,7 @@ class WordEncoder:
                         young[stem] = old[stem]
                     else:
                         plain[stem] = simple[1].lower()
-            elif MARK in text or len(text) > 1000 or len(self.mark) != 1:
+            elif MARK in text or len(self.mark) != 1:
                 alone.append((word, text))
             else:
                 plain[word] = text
@@ -85,6 +85,8 @@ class WordEncoder:
         split = text.encode("utf-8", "surrogatepass").split()
         young, old = self.young, self.old
         unknown = set(split).difference(young)
+        once = {word: self._raw(word.decode("utf-8", "surrogatepass")) for word in unknown if len(word) > LONGEST}
+        unknown.difference_update(once)
         if old:
             again = [word for word in unknown if word in old]
             for word in again:
@@ -92,7 +94,7 @@ class WordEncoder:
             unknown.difference_update(again)
         if unknown:
             self._learn(unknown)
-        out = b"".join([young[word] for word in split])
+        out = b"".join([once[word] if word in once else young[word] for word in split] if once else [young[word] for word in split])
         if len(young) > self.cache_words:
             self.old, self.young = young, {}
         return out
