@@ -3,8 +3,8 @@
 Vectors are dealt by hash into blocks of bounded size; a block holds, for each tree, its vectors'
 long hash strings (signs of random projections) as one sorted array. A query descends in each tree
 to the longest prefix that it shares with any entry: a binary search. Then all trees ascend in step,
-one letter at a time, until the ranges that match the shortened prefixes hold enough candidates;
-these are scored exactly. So that near directions mean large inner products, vectors are hashed with
+one letter at a time, until the ranges that match the shortened prefixes hold enough candidates. The entries
+with whom the query shares most letters over all trees are scored exactly, a small share of the block. So that near directions mean large inner products, vectors are hashed with
 one more component that fills their length up to the longest one (queries: zero there).
 
 Equal vectors are one class, which keeps its 21 smallest ids: no list of 20 neighbours can need
@@ -30,11 +30,11 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 48, letters: int = 24, wanted: float = 0.5, least: int = 1000, block: int = BLOCK, queries: int = QUERIES, seed: int = 11) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 160, letters: int = 24, reach: int = 16, wanted: float = 0.12, least: int = 200, block: int = BLOCK, queries: int = QUERIES, seed: int = 11) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found of each row of vectors (vec_id, embedding) that is a query.
 
-    Candidates are all rows but those with the query's own id; ties go to the smaller id. `wanted` is
-    the share of a block's entries, `least` their number, at which the trees stop ascending. Vectors
+    Candidates are all rows but those with the query's own id; ties go to the smaller id. The trees stop ascending once their ranges
+    hold `reach` entries for each entry of the block, over all trees; `wanted` is the share of a block's entries, `least` their least number, that are scored. Vectors
     that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows without an id, and vectors
     of different lengths never meet. Rows that share id and vector count once; a query id with several vectors is searched
     by each, and its best scores count. An empty table gives no rows. Other columns are not read.
@@ -82,25 +82,32 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 4
         hashed = np.concatenate([strings(np.c_[points[a : a + 1024], fill[a : a + 1024]]) for a in range(0, n, 1024)])
         order = np.argsort(hashed, axis=0, kind="stable")
         arrays = np.take_along_axis(hashed, order, axis=0)
-        enough = min(n, max(least, int(wanted * n)))
-        for at in range(0, len(asks), 512):
-            some = asks[at : at + 512]
+        enough, scored = reach * n, min(n, max(least, int(wanted * n)))
+        for at in range(0, len(asks), 256):
+            some = asks[at : at + 256]
             own = strings(np.c_[some, np.zeros(len(some))])
-            low = np.zeros((letters + 1, len(some), trees), np.int32)
-            high = np.zeros_like(low)
+            # All trees ascend in step: a query stops at the longest prefixes whose ranges hold enough entries over all trees.
+            low, high = np.zeros((len(some), trees), np.int64), np.full((len(some), trees), n)
+            waits = np.ones(len(some), bool)
+            for depth in range(letters, 0, -1):
+                prefix = own[waits] >> (letters - depth) << (letters - depth)
+                a, b = (np.stack([np.searchsorted(arrays[:, t], prefix[:, t] + up) for t in range(trees)], axis=1) for up in (0, 1 << (letters - depth)))
+                done = (b - a).sum(axis=1) >= enough
+                stop = np.flatnonzero(waits)[done]
+                low[stop], high[stop] = a[done], b[done]
+                waits[stop] = False
+                if not waits.any():
+                    break
+            # An entry has a vote of a tree for each letter that its string shares with the query's; the trees that agree most decide what is scored.
+            votes = np.zeros((len(some), n), np.int32)
             for t in range(trees):
-                for depth in range(letters + 1):
-                    rest = letters - depth
-                    prefix = own[:, t] >> rest << rest
-                    low[depth, :, t] = np.searchsorted(arrays[:, t], prefix)
-                    high[depth, :, t] = np.searchsorted(arrays[:, t], prefix + (1 << rest))
-            matched = (high - low).sum(axis=2)  # falls with depth; depth 0 matches all
+                width = high[:, t] - low[:, t]
+                asker = np.repeat(np.arange(len(some)), width)
+                place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low[:, t], width)
+                differ = np.frexp((arrays[place, t] ^ own[asker, t]).astype(np.float64))[1]
+                votes[asker, order[place, t]] += (letters - differ).astype(np.int32)
             for q in range(len(some)):
-                depth = int(np.flatnonzero(matched[:, q] >= enough)[-1])
-                picked = np.zeros(n, bool)
-                for t in range(trees):
-                    picked[order[low[depth, q, t] : high[depth, q, t], t]] = True
-                near = np.flatnonzero(picked)
+                near = np.argpartition(-votes[q], scored - 1)[:scored] if scored < n else np.arange(n)
                 got = np.einsum("ij,j->i", points[near], some[q])
                 if len(near) > k + 1:
                     keep = got >= np.partition(got, -(k + 1))[-(k + 1)]
