@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on the driver's small tables and on rows made to be awkward."""
 
 import collections
+import datetime as dt
 import hashlib
 import math
 import random
@@ -140,9 +141,24 @@ def test_simhash(request, name):
     assert op2_simhash.__name__ in queries()
 
 
+def test_simhash_of_one_id_with_several_texts(spark):
+    other = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(3, "alpha beta gamma delta epsilon zeta eta theta", "s"), (5, "alpha beta gamma delta epsilon zeta eta theta", "s"), (5, other, "s"), (None, other, "s")]
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sorted(got.items(), key=str) == sorted({(d, np.array([brute_print(t, 4)], "<u8").view("<i8")[0].item()): c for (d, t, _), c in zip(rows, (3, 3, 5, 5), strict=True)}.items(), key=str)
+
+
 def test_keep_first(awkward):
     left = [r.doc_id for r in simhash.keep_first(awkward).collect()]
     assert left.count(5) + left.count(4) + left.count(6) >= 1 and left.count(7) == 1 and 8 not in left and None in left
+    assert simhash.keep_first(awkward).columns == awkward.columns
+
+
+def test_keep_first_loses_no_text(spark):
+    words = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(5, words[0], "s"), (5, words[1], "s"), (5, words[1], "s"), (7, words[0], "s"), (8, words[2], "s"), (8, words[0], "s"), (None, words[0], "s"), (None, words[0], "s")]
+    left = collections.Counter(tuple(r)[:2] for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert left == {(5, words[0]): 1, (5, words[1]): 1, (8, words[2]): 1, (None, words[0]): 2}
 
 
 def near_bands(n=60):
@@ -191,11 +207,32 @@ def test_line_rules(request, name):
         assert r.base_failed == (len(ws) < 50 or 100 * len(covered) > 50 * len(ws))
         assert not (r.kept and r.base_failed) and (r.kept or r.base_failed or r.lost > 0.5)
     kept = line_rules.keep_clean(frame)
-    assert kept.columns == frame.columns and kept.count() == sum(r.kept for r in rows)
+    assert kept.columns == frame.columns and kept.count() == sum(r.n_words > 0 and 2 * r.n_repeat_words <= r.n_words and r.lost <= 0.5 for r in rows)
+
+
+# The brute-force rules of lines, in the words of the operator's module.
+def brute_fails(line):
+    ended = re.search(r"""[.!?:;…。！？"'”’»)\]]\s*$""", line, re.ASCII)
+    nav = re.search(r"( [|»›•·] .*){2,}", line) or re.search(rf"^\W*({line_rules.NAVIGATION})\b", line, re.IGNORECASE) and not ended
+    boiler = re.search(rf"\b({line_rules.BOILERPLATE})", line, re.IGNORECASE)
+    symbols = len(re.findall(r"[#*$%&|<>]", line))
+    return bool(not ended and re.fullmatch(r"\s*\S+(\s+\S+){0,3}\s*", line, re.ASCII) or len(line) <= 120 and (nav or boiler) or len(line) - symbols < 0.8 * len(line))
+
+
+@pytest.mark.parametrize("name", ["documents", "awkward"])
+def test_cleaned_text_and_verdict(request, name):
+    for r in line_rules.clean_lines(request.getfixturevalue(name).select("doc_id", "text")).select("row.*", "quality.*").collect():
+        text = r.text or ""
+        lines = text.split("\n")
+        good = [x for x in lines if not WORD.search(x) or not brute_fails(x)]
+        solid, left = (sum(map(len, words(x))) for x in (text, "\n".join(good)))
+        assert (r.cleaned, r.n_failed_lines) == ("\n".join(good), len(lines) - len(good)), r.doc_id
+        assert r.lost == pytest.approx(1 - left / solid if solid else 0.0) and r.kept == (not r.base_failed and r.lost <= 0.5)
 
 
 def test_line_verdicts(spark):
-    cases = {"A plain sentence of prose that ends as it should.": False, "Home | News | Sport | Weather": True, "Sign in": True, "All rights reserved.": True, "### *** $$$ %%%.": True, "Two words": True, "Yes, he said.": False}
+    cases = {"Über uns und unsere Arbeit": True, "Alle Rechte vorbehalten.": True, "Lire la suite de cet article": True, "Política de privacidad y más.": True, "Die Startseite der Reise war weit, sagte sie.": False,
+             "A plain sentence of prose that ends as it should.": False, "Home | News | Sport | Weather": True, "Sign in": True, "All rights reserved.": True, "### *** $$$ %%%.": True, "Two words": True, "Yes, he said.": False}
     frame = spark.createDataFrame([(k,) for k in cases], "line string")
     assert {r[0]: r[1] for r in frame.select("line", line_rules.line_fails(F.col("line"))).collect()} == cases
 
@@ -206,7 +243,7 @@ def test_forest_recall_and_edges(spark):
     points[40:400] = points[40]
     rows = [(k, [float(x) for x in v]) for k, v in enumerate(points)] + [(9001, None), (9002, [0.0] * 32), (9003, [float("nan")] * 32), (9004, [None] + [1.0] * 31), (9005, []), (None, [1.0] * 32), (9020, [1.0, 2.0]), (3, [float(x) for x in points[3]])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
-    got = prefix_forest.neighbours(frame, F.col("vec_id") % 20 == 0, least=200, block=1024, queries=64).collect()
+    got = prefix_forest.neighbours(frame, F.col("vec_id") % 20 == 0, least=100, block=1024, queries=64).collect()
     by = collections.defaultdict(dict)
     for r in got:
         by[r.query_id][r.rank] = r
@@ -222,6 +259,22 @@ def test_forest_recall_and_edges(spark):
     assert hit / (150 * 20) >= 0.9 and not set(by) & {9001, 9002, 9003, 9004, 9005, 9020, None}
 
 
+def test_forest_recall_on_the_table(spark):
+    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = vectors.orderBy("vec_id").collect()
+    points = np.array([r.embedding for r in rows], np.float64)
+    got = collections.defaultdict(set)
+    for r in prefix_forest.neighbours(vectors, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = asked = 0
+    for k, r in enumerate(rows):
+        if r.vec_id % 20 == 0:
+            score = points @ points[k]
+            want = [rows[j].vec_id for j in np.argsort(-score, kind="stable") if j != k][:20]
+            hit, asked = hit + len(got[r.vec_id] & set(want)), asked + 20
+    assert hit / asked >= 0.92
+
+
 @pytest.mark.parametrize("name", ["documents", "awkward"])
 def test_kd_shards(request, name):
     frame = request.getfixturevalue(name)
@@ -234,13 +287,54 @@ def test_kd_shards(request, name):
     assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in shards.values())
     if name == "documents":
         loads = [sum(r.size for r in rows) for rows in shards.values()]
-        largest = max(r.size for r in got)
-        assert len(loads) == 7 and max(loads) - min(loads) <= 4 * largest
+        goal, largest = sum(loads) / 7, max(r.size for r in got)
+        assert len(loads) == 7 and max(abs(x - goal) for x in loads) <= max(0.02 * goal, largest / 2)
+        texts_of = collections.defaultdict(set)
+        for r in got:
+            texts_of[r.text_crc32].add(r.shard)
+        copies = collections.Counter(r.text_crc32 for r in got)
+        assert all(len(texts_of[c]) == 1 for c, n in copies.items() if n > 1 and n * max(r.size for r in got if r.text_crc32 == c) <= 0.02 * goal)
+
+
+def brute_cells(points, dims, shards, share):
+    """The k-d tree on one machine: exact medians, of heavy points and of light ones."""
+    heavy = {k for k, p in enumerate(points) if p["weight"] > share * sum(q["weight"] for q in points) / shards}
+    nodes, cell = [(list(range(len(points))), 0, shards)], [0] * len(points)
+    spans = [{d: (lambda v: max(v) - min(v))([p[d] for p in points]) or 1 for d in dims}]
+    while nodes:
+        later = []
+        for own, first, n in nodes:
+            if n == 1:
+                for k in own:
+                    cell[k] = first
+                continue
+            dim = max(dims, key=lambda d: (max(points[k][d] for k in own) - min(points[k][d] for k in own)) / spans[0][d])
+            big = sorted((k for k in own if k in heavy), key=lambda k: points[k][dim])
+            small = sorted((k for k in own if k not in heavy), key=lambda k: points[k][dim])
+            weight = lambda ks: sum(points[k]["weight"] for k in ks)
+            most = weight(own) * (n // 2) / n
+            short = lambda j: max(0, weight(big[:j]) - most) + max(0, most - weight(big[:j]) - weight(small))  # noqa: B023, E731
+            j = min(range(len(big) + 1), key=lambda j: (short(j), abs(weight(big[:j]) - n // 2 / n * weight(big)), j))  # noqa: B023
+            goal = most - weight(big[:j])
+            i = min(range(len(small) + 1), key=lambda i: abs(weight(small[:i]) - goal))  # noqa: B023
+            later += [(big[:j] + small[:i], first, n // 2), (big[j:] + small[i:], first + n // 2, n - n // 2)]
+        nodes = later
+        # Widths are judged against the whole level, of nodes that still split.
+        live = [k for own, _, n in nodes if n > 1 for k in own]
+        spans[0] = {d: (lambda v: max(v) - min(v) if v else 1)([points[k][d] for k in live]) or 1 for d in dims}
+    return cell
+
+
+def test_kd_cells_equal_exact_medians(spark):
+    draw = random.Random(3)
+    points = [{"id": k, "weight": float(draw.choice([5, 10, 20, 400 if k % 50 == 0 else 7])), "x": draw.random(), "y": draw.random() * 3, "z": draw.random()} for k in range(600)]
+    frame = spark.createDataFrame([tuple(p.values()) for p in points], "id int, weight double, x double, y double, z double")
+    got = {r.id: r.cell for r in kd_shards.kd_cells(frame, ["x", "y", "z"], 8, 0.1).collect()}
+    assert [got[k] for k in range(600)] == brute_cells(points, ["x", "y", "z"], 8, 0.1)
 
 
 def test_pseudonyms(spark, documents, awkward):
     done = pseudonyms.pseudonymise(documents.select("doc_id", "text"), "k").select("row.text", F.col("private.text").alias("new")).collect()
-    links = {}
     for r in done:
         for pattern in (r"[\w.+-]+@[\w.-]+\.com", r"\+1 \(\d{3}\) \d{3}-\d{4}"):
             for value in re.findall(pattern, r.text):
@@ -256,7 +350,114 @@ def test_pseudonyms(spark, documents, awkward):
     assert again == f"again {parts[0]}" and none is None and empty == ""
     whole = spark.range(73_170).select(pseudonyms.feistel(F.col("id"), 270, 271, "k", "date").alias("x"))
     assert whole.distinct().count() == 73_170 and whole.agg(F.min("x"), F.max("x")).first() == (0, 73_169)
-    assert pseudonyms.replace_private(awkward, "k").columns == awkward.columns and not links
+    assert pseudonyms.replace_private(awkward, "k").columns == awkward.columns
+
+
+def brute_feistel(value, left, right, key, kind):
+    a, b = divmod(value, right)
+    for k in range(8):
+        digest = hashlib.sha256(f"{key}:{kind}:{left}:{right}:{k}:{b}".encode()).hexdigest()
+        a, b = b, (a + int(digest[:14], 16)) % (right if k % 2 else left)
+    return a * right + b
+
+
+def brute_digits(digits, key, kind):
+    n = len(digits)
+    return str(brute_feistel(int(digits), 10 ** (n - n // 2), 10 ** (n // 2), key, kind)).zfill(n)
+
+
+def luhn(digits):
+    d = [int(c) for c in digits[::-1]]
+    return sum(d[::2] + [sum(divmod(2 * c, 10)) for c in d[1::2]])
+
+
+def in_shape(found, digits):
+    left = iter(digits)
+    return "".join(next(left) if c.isdigit() and c.isascii() else c for c in found)
+
+
+def brute_value(found, key):
+    """A value's kind and pseudonym; None if it is not valid as such."""
+    digits = re.sub(r"[^0-9]", "", found)
+    if "@" in found:
+        digest = hashlib.sha256(f"{key}:mail:{found.lower()}".encode()).hexdigest()
+        return "mail", f"u{digest[:16]}@{digest[16:24]}.invalid"
+    if re.fullmatch(pseudonyms.DATE, found, re.ASCII):
+        layout = "%Y-%m-%d" if found[4] == "-" else "%d.%m.%Y" if "." in found else "%m/%d/%Y" if int(found[3:5]) > 12 else "%d/%m/%Y"
+        try:
+            day = (dt.datetime.strptime(found, layout) - dt.datetime(1900, 1, 1)).days
+        except ValueError:
+            return None
+        if not 0 <= day < 73049:
+            return None
+        return "date", (dt.datetime(1900, 1, 1) + dt.timedelta(days=brute_feistel(day, 17, 4297, key, "date"))).strftime(layout)
+    if re.fullmatch(pseudonyms.ADDRESS, found, re.ASCII):
+        parts = [int(x) for x in found.split(".")]
+        if max(parts) > 255:
+            return None
+        new = brute_feistel(int.from_bytes(bytes(parts), "big"), 1 << 16, 1 << 16, key, "address")
+        return "address", ".".join(map(str, new.to_bytes(4, "big")))
+    if re.fullmatch(pseudonyms.IDENTITY, found, re.ASCII):
+        area, group, serial = map(int, found.split("-"))
+        if area in (0, 666) or area > 899 or not group or not serial:
+            return None
+        areas = [a for a in range(1, 900) if a != 666]
+        new = brute_feistel((areas.index(area) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "identity")
+        return "identity", f"{areas[new // 9999 // 99]:03}-{new // 9999 % 99 + 1:02}-{new % 9999 + 1:04}"
+    tail = min(10, len(digits))
+    return "phone", in_shape(found, digits[: len(digits) - tail] + brute_digits(digits[len(digits) - tail :], key, "phone"))
+
+
+def brute_cards(text, key, counts):
+    def run(m):
+        groups = re.findall(r"[0-9]+[ -]?", m[0])
+        runs = []
+        for i in range(len(groups)):
+            for j in range(i + 1, len(groups) + 1):
+                digits = re.sub(r"[^0-9]", "", "".join(groups[i:j]))
+                if 13 <= len(digits) <= 19 and luhn(digits) % 10 == 0:
+                    runs.append((-len(digits), i, j, digits))
+        taken = []
+        for x in sorted(runs):
+            if all(x[2] <= y[1] or y[2] <= x[1] for y in taken):
+                taken.append(x)
+        for _, i, j, digits in taken:
+            counts["card"] += 1
+            body = brute_digits(digits[:-1], key, "card")
+            whole = in_shape("".join(groups[i:j]), body + str(-luhn(body + "0") % 10))
+            groups[i:j] = [whole] + [""] * (j - i - 1)
+        return "".join(groups)
+
+    return re.sub(pseudonyms.GROUPS, run, text, flags=re.ASCII)
+
+
+def brute_pseudonyms(text, key):
+    counts, out, at = collections.Counter(), [], 0
+    for m in re.finditer(pseudonyms.ANY, text, re.ASCII):
+        out.append(brute_cards(text[at : m.start()], key, counts))
+        value = brute_value(m[0], key)
+        counts[value[0] if value else ""] += 1
+        out.append(value[1] if value else m[0])
+        at = m.end()
+    return "".join(out) + brute_cards(text[at:], key, counts), counts
+
+
+@pytest.mark.parametrize("name", ["documents", "awkward", "made"])
+def test_pseudonyms_equal_brute_force(spark, request, name):
+    made = ["4111 1111 1111 1111 12/25 a.b@c.org 666-12-1234 123-45-6789 12/31/1999 31/12/1999 13/13/2000 1899-12-31 2100-01-01 2099-12-31", "10.0.0.1 256.1.1.1 +64 4 473 8208 +1 (212) 555-0100 (212) 555-0100 899-99-9999 667-01-0001 665-01-0001", "6011000990139424999 999999999999999999 1 2 3 30569309025904"]
+    frame = spark.createDataFrame([(k, x, "s") for k, x in enumerate(made)], SCHEMA) if name == "made" else request.getfixturevalue(name)
+    for r in pseudonyms.pseudonymise(frame.select("doc_id", "text"), "k").select("row.text", F.col("private.text").alias("new"), "private.*").collect():
+        if r.text is None:
+            assert r.new is None
+            continue
+        new, counts = brute_pseudonyms(r.text, "k")
+        assert r.new == new and [r[f"n_{kind}"] for kind in ("mail", "date", "address", "identity", "phone", "card")] == [counts[kind] for kind in ("mail", "date", "address", "identity", "phone", "card")]
+
+
+def test_feistel_is_a_permutation(spark):
+    edges = [0, 1, 10**9 - 1, 10**9, 999999999, 123456789999999999, 10**18 - 1, 10**18 - 2]
+    got = spark.createDataFrame([(x,) for x in edges], "v long").select("v", pseudonyms.feistel(F.col("v"), 10**9, 10**9, "k", "card")).collect()
+    assert {r[0]: r[1] for r in got} == {x: brute_feistel(x, 10**9, 10**9, "k", "card") for x in edges} and len({r[1] for r in got}) == len(set(edges))
 
 
 def test_cards_beside_numbers(spark):
@@ -303,12 +504,48 @@ def test_mixing(request, name):
     aims = water(sizes, [(3, 1, 2)[k % 3] for k in range(len(order))], 1.5, 2)
     for s, size, aim in zip(order, sizes, aims, strict=True):
         assert {r.source_size for r in by[s]} == {size} and {round(r.target, 4) for r in by[s]} == {round(aim, 4)}
-        assert abs(sum(r.taken for r in by[s]) - aim) <= 0.02 * aim + 4
+        assert abs(sum(r.taken for r in by[s]) - aim) <= 1
         assert all(r.taken <= 2 * r["size"] for r in by[s])
     again = mixing.taken(frame).collect()
     assert sorted((str(r.doc_id), r.source or "", r.taken) for r in got) == sorted((str(r.doc_id), r.source or "", r.taken) for r in again)
     out = mixing.mixed_documents(frame)
     assert out.columns == frame.columns
+    key = lambda r: (str(r.doc_id), r.text, r.source or "")
+    often, there = collections.Counter(map(key, out.collect())), collections.Counter(map(key, frame.collect()))
+    takes = collections.Counter()
+    for r in got:
+        takes[str(r.doc_id), r.source or ""] += r.taken / max(1, r["size"])
+    assert all(abs(n - takes[k[0], k[2]]) <= 0.5 + 1e-9 for k, n in often.items() if there[k] == 1)
+
+
+def test_mixing_with_a_tiny_source(spark):
+    draw = random.Random(5)
+    rows = [(k, " ".join(f"w{draw.randrange(99)}" for _ in range(draw.randrange(50, 400))), "ab"[k % 2]) for k in range(400)] + [(900, "three little words", "tiny")]
+    frame = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], SCHEMA + ", times int, rows int, slot int, row int")
+    documents, schedule, pieces = mixing.mix(frame, block_words=64, least_blocks=256)
+    blocks = schedule.orderBy("slot").collect()
+    aims = {r.source: r.aim for r in documents.select("source", "aim").distinct().collect()}
+    assert len({r.slot for r in blocks}) == len(blocks) < 3000
+    for source, aim in aims.items():
+        own = [r for r in blocks if r.source == source]
+        assert [r.rank for r in own] == list(range(len(own))) and sum(r.last - r.first for r in own) == aim
+        assert all(r.last - r.first == 64 for r in own[:-1])
+        # Any run of slots holds the source in proportion, but for the few that van der Corput's points may be out by.
+        for at in range(0, len(blocks), 97):
+            assert abs(sum(r.source == source for r in blocks[:at]) - at * len(own) / len(blocks)) <= 8
+    assert mixing.mixed_documents(frame).columns == frame.columns
+    assert {r.source: r.n for r in mixing.taken(frame).groupBy("source").agg(F.sum("taken").alias("n")).collect()} == aims
+
+
+def test_mixed_documents_follow_the_schedule(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mixed_documents(docs, block_words=16).select("source", F.size(F.split("text", r"\s+")).alias("n"), F.spark_partition_id().alias("p")).collect()
+    total, half = collections.Counter(), collections.Counter()
+    for k, r in enumerate(sorted(range(len(out)), key=lambda k: (out[k].p, k))):
+        total[out[r].source] += out[r].n
+        half[out[r].source] += out[r].n if k < len(out) / 2 else 0
+    whole = sum(total.values())
+    assert all(0.2 < half[s] / n < 0.8 for s, n in total.items() if n > 0.08 * whole)
 
 
 @pytest.mark.parametrize("name", ["documents", "awkward"])
@@ -354,9 +591,17 @@ def test_allow_list(spark):
     assert found == set(keys)
 
 
+def test_spans_of_many_matches(spark):
+    draw = random.Random(9)
+    text = "é" + " ".join(f"{draw.getrandbits(64):016x}" for _ in range(3000))
+    (found,) = secrets.scan(spark.createDataFrame([(text,)], "text string")).select("secrets").first()
+    assert [(s["first"], s["last"]) for s in found] == [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
+
+
 def test_window_entropy(spark):
-    strings = ["a9Kd83hfkWq0ZxCv71BnMl", "a" * 25, "0123456789abcdef" * 3]
-    got = spark.createDataFrame([(s,) for s in strings], "s string").select("s", secrets.most_entropy(F.col("s"))).collect()
+    strings = ["a9Kd83hfkWq0ZxCv71BnMl", "a" * 25, "0123456789abcdef" * 3, "aab" * 9 + "Zq9" * 7 + "0/+=-_" * 5]
+    chars = F.split("s", "")
+    got = spark.createDataFrame([(s,) for s in strings], "s string").select("s", secrets.most_entropy(chars, F.array_distinct(chars))).collect()
     for s, h in got:
         assert h == pytest.approx(max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(s[i : i + 20]).values()) for i in range(len(s) - 19)), abs=1e-9)
 
@@ -369,15 +614,17 @@ def test_empty_tables(spark):
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
-def test_pipeline(spark, sf_dir, encode):
+@pytest.mark.parametrize("name", ["documents", "awkward", "empty"])
+def test_pipeline(spark, sf_dir, encode, request, name):
     import corpus_pipeline
 
-    docs = table(spark, sf_dir, "documents")
+    wide = SCHEMA + ", lang string, n_chars long, times int, slot int, row int"
+    docs = spark.createDataFrame([], wide) if name == "empty" else spark.createDataFrame([(*r, "en", len(r[1] or ""), 1, 2, 3) for r in AWKWARD], wide) if name == "awkward" else request.getfixturevalue(name)
     columns = docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         path = scratch_path(spark, "test-stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        assert docs.columns == columns and docs.count()
+        assert docs.columns == columns and (docs.count() > 0) == (name != "empty")
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert sum(r.length for r in last.collect()) == sum(len(encode(r.text)) for r in docs.collect())
