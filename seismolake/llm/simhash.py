@@ -324,23 +324,26 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
 def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
     """Links (a, b) between nodes of prefixes(docs) that join exactly the sets over steps of a Jaccard similarity of p / q or more.
 
-    Every candidate is verified on both whole sets. Those that share a key are first compared with one of
+    Every candidate is verified on both whole sets, which are made again for the candidates alone. Those that share a key are first compared with one of
     them only, then whatever this leaves apart in pairs, so a large group of near copies gives no square of pairs.
     """
     p, q = least
     each = marked.select("node", "size", F.posexplode("keys").alias("k", "key"))
-    each = each.select("key", "node", "size", (F.col("k") < F.col("size") - F.ceil(2 * p * F.col("size") / (p + q)) + 1).alias("short"))
+    each = each.select("key", "node", "size", (F.col("k") < F.col("size") - F.ceil(2 * p * F.col("size") / (p + q)) + 1).alias("short")).repartition("key")
     grouped = each.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("size", "node", "short"))).alias("of")).where(F.size("of") > 1)
     groups = stored(grouped, "similar-groups")
-    wanted = groups.select(F.explode("of.node").alias("node")).distinct()
-    ids = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    bodies = stored(shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle).select("node", "hashes").dropDuplicates(["node"]), "similar-sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(candidates: DataFrame) -> DataFrame:
+        pairs = stored(candidates.distinct(), "similar-pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        ids = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "body")).alias("one")).select("one.*")
+        keyed = docs.withColumn("body", F.xxhash64("text")).join(ids, ["doc_id", "body"], "left_semi")
+        bodies = stored(shingle_sets(keyed, shingle).select("node", "hashes"), "similar-sets")
         own = lambda s: bodies.select(F.col("node").alias(s), F.col("hashes").alias(f"{s}_hashes"))
-        both = pairs.distinct().join(own("a"), "a").join(own("b"), "b")
+        both = pairs.join(own("a"), "a").join(own("b"), "b")
         common = F.size(F.array_intersect("a_hashes", "b_hashes"))
-        return stored(both.where((p + q) * common >= p * (F.size("a_hashes") + F.size("b_hashes"))).select("a", "b"), "similar-links")
+        found = both.where((p + q) * common >= p * (F.size("a_hashes") + F.size("b_hashes"))).select("a", "b").distinct()
+        return stored(found, "similar-links")
 
     def pairs(x: Column, y: Column) -> Column:
         return (q * x["size"] >= p * y["size"]) & x["short"]
