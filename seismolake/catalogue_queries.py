@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismolake.functions import geo, scores
+from seismolake.functions import geo, scores, stations
 from seismolake.functions.scores import js_round
-from seismolake.operators import match, resolve, search, statistics
+from seismolake.operators import match, search, statistics, validation
 from seismolake.plans.catalogue import FAULTS, catalogue, faults, oracle_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ def query(oracle: str | None = None) -> Callable[[Callable], Callable]:
     def register(f: Callable) -> Callable:
         _QUERIES[f.__name__] = lambda spark, sf_dir: f(catalogue(spark, sf_dir))
         if oracle:
-            _ORACLES[f.__name__] = f"WITH {oracle_view()}{',' if oracle.lstrip().startswith('+') else ''} {oracle.lstrip().removeprefix('+')}"
+            _ORACLES[f.__name__] = f"WITH RECURSIVE {oracle_view()}{',' if oracle.lstrip().startswith('+') else ''} {oracle.lstrip().removeprefix('+')}"
         return f
 
     return register
@@ -53,9 +53,9 @@ US = "epoch_us(time)"
 # Filters, search and paging
 
 
-@query("SELECT id, catalogue_id, magnitude, depth FROM q WHERE magnitude BETWEEN 3 AND 6 AND depth <= 200 AND gap <= 180 AND stations >= 10 AND latitude >= -45 AND evaluation_mode = 'manual'")
+@query("SELECT id, catalogue_id, magnitude, depth FROM q WHERE magnitude BETWEEN 3 AND 6 AND depth <= 200 AND gap <= 180 AND stations >= 10 AND latitude >= -45 AND evaluation_mode = 'manual' AND event_type = 'earthquake'")
 def f1_event_filter(q: DataFrame) -> DataFrame:
-    wanted = search.EventFilter(least_magnitude=3, most_magnitude=6, most_depth=200, most_gap=180, least_stations=10, south=-45, mode="manual")
+    wanted = search.EventFilter(least_magnitude=3, most_magnitude=6, most_depth=200, most_gap=180, least_stations=10, south=-45, mode="manual", event_type="earthquake")
     return q.where(wanted.column()).select("id", "catalogue_id", "magnitude", "depth")
 
 
@@ -90,14 +90,15 @@ def f10_box(q: DataFrame) -> DataFrame:
     return q.where(geo.in_box(F.col("latitude"), F.col("longitude"), -42, -38, 172, 176)).select("id")
 
 
-@query("SELECT id FROM q WHERE magnitude BETWEEN 2 AND 8 AND depth BETWEEN 0 AND 100 AND region IN ('view', 'click') AND catalogue_id IN (0, 3)")
+@query("SELECT id FROM q WHERE magnitude BETWEEN 2 AND 8 AND depth BETWEEN 0 AND 100 AND CASE WHEN coalesce(region, '') = '' THEN 'Unknown' ELSE region END IN ('view', 'click', 'Unknown') AND catalogue_id IN (0, 3, 4) AND time >= TIMESTAMP '2024-01-24 06:00:00' - INTERVAL 7 DAY")
 def f12_dashboard_filter(q: DataFrame) -> DataFrame:
-    return q.where(F.col("magnitude").between(2, 8) & F.col("depth").between(0, 100) & F.col("region").isin("view", "click") & F.col("catalogue_id").isin(0, 3)).select("id")
+    return search.dashboard(q, (2, 8), (0, 100), ("view", "click", "Unknown"), (0, 3, 4), "week", "2024-01-24 06:00:00").select("id")
 
 
 @query("SELECT count(*) FILTER (WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180) AS in_range, count(*) FILTER (WHERE magnitude BETWEEN -3 AND 10) AS sized, count(*) FILTER (WHERE depth IS NULL OR depth BETWEEN 0 AND 1000) AS placed FROM q")
 def f16_validity(q: DataFrame) -> DataFrame:
-    return q.agg(F.count_if(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180)).alias("in_range"), F.count_if(F.col("magnitude").between(-3, 10)).alias("sized"), F.count_if(F.col("depth").isNull() | F.col("depth").between(0, 1000)).alias("placed"))
+    ok = q.select(validation.validity().alias("ok"))
+    return ok.agg(F.count_if("ok.place").alias("in_range"), F.count_if("ok.magnitude").alias("sized"), F.count_if("ok.depth").alias("placed"))
 
 
 @query("SELECT id, magnitude FROM q ORDER BY time DESC, id DESC LIMIT 50 OFFSET 100")
@@ -110,28 +111,15 @@ def l2_page_after(q: DataFrame) -> DataFrame:
     return search.page_after(q, "2024-01-20", 5, 40).select("id", "magnitude")
 
 
-@query("SELECT id, magnitude FROM (SELECT id, magnitude, row_number() OVER (PARTITION BY catalogue_id, floor(magnitude) ORDER BY time, id) AS r FROM q) WHERE (r - 1) % 10 = 0")
-def l9_stride_sample(q: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    r = F.row_number().over(Window.partitionBy("catalogue_id", F.floor("magnitude")).orderBy("time", "id"))
-    return q.withColumn("r", r).where((F.col("r") - 1) % 10 == 0).select("id", "magnitude")
-
-
-@query("SELECT id, magnitude FROM q ORDER BY magnitude DESC, id LIMIT 100")
-def l10_largest(q: DataFrame) -> DataFrame:
-    return q.orderBy(F.desc("magnitude"), "id").limit(100).select("id", "magnitude")
-
-
-@query("SELECT id, catalogue_id, CASE WHEN id % 2 = 0 THEN 'updated' WHEN magnitude NOT BETWEEN -3 AND 10 OR depth > 1000 THEN 'error' ELSE 'new' END AS action FROM q WHERE id % 3 = 0")
+@query("SELECT id, catalogue_id, CASE WHEN id % 2 = 0 THEN 'updated' WHEN magnitude NOT BETWEEN -3 AND 10 OR depth > 1000 THEN 'error' ELSE 'new' END AS action FROM q")
 def j9_import_actions(q: DataFrame) -> DataFrame:
-    return search.classify_import(q.where("id % 2 = 0"), q.where("id % 3 = 0")).select("id", "catalogue_id", "action")
+    return search.classify_import(q.where("id % 2 = 0"), q).select("id", "catalogue_id", "action")
 
 
-@query(f"SELECT q.id, n.name FROM q LEFT JOIN (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in NAMES)}) n(catalogue_id, name) ON n.catalogue_id = q.catalogue_id WHERE q.magnitude >= 4")
+@query(f"SELECT q.id, n.name FROM q LEFT JOIN (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in NAMES)}) n(catalogue_id, name) ON n.catalogue_id = q.catalogue_id")
 def j10_names(q: DataFrame) -> DataFrame:
     names = q.sparkSession.createDataFrame(NAMES, "catalogue_id long, name string")
-    return q.where("magnitude >= 4").join(F.broadcast(names), "catalogue_id", "left").select("id", "name")
+    return q.join(F.broadcast(names), "catalogue_id", "left").select("id", "name")
 
 
 # Statistics
@@ -149,9 +137,9 @@ def a2_magnitude_frequency(q: DataFrame) -> DataFrame:
     return statistics.magnitude_frequency(q)
 
 
-@query("SELECT 0 AS overall, CAST(floor(magnitude / CAST(0.5 AS DOUBLE)) AS BIGINT) AS bin, catalogue_id, count(*) AS n FROM q GROUP BY ALL")
+@query(_MFD.format(where="magnitude IS NOT NULL") + f" SELECT m.*, (SELECT min(bin) FROM m) AS first_bin, (SELECT max(bin) FROM m) AS last_bin, {rounded('log10(CAST(cumulative AS DOUBLE))')} AS log_cumulative FROM m")
 def a3_frequency_comparison(q: DataFrame) -> DataFrame:
-    return q.groupBy(F.lit(0).alias("overall"), statistics.bin_of(F.col("magnitude"), 0.5).alias("bin"), "catalogue_id").agg(F.count("*").alias("n"))
+    return statistics.frequency_comparison(q)
 
 
 _LINE = "log10(CAST(cumulative AS DOUBLE)), CAST(bin AS DOUBLE) / 10"
@@ -203,7 +191,7 @@ def a16_top_regions(q: DataFrame) -> DataFrame:
 
 @query("SELECT catalogue_id, count(*) AS n FROM q GROUP BY 1")
 def a17_catalogue_counts(q: DataFrame) -> DataFrame:
-    return q.groupBy("catalogue_id").agg(F.count("*").alias("n"))
+    return statistics.counts_by(q, "catalogue_id")
 
 
 @query("SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(time AS DATE) - CAST(dayofweek(time) AS INTEGER)) AS INTEGER) AS week, count(*) AS n FROM q GROUP BY 1")
@@ -213,7 +201,7 @@ def a18_weekly_series(q: DataFrame) -> DataFrame:
 
 @query("SELECT DISTINCT catalogue_id, region FROM q WHERE region <> ''")
 def a20_distinct_regions(q: DataFrame) -> DataFrame:
-    return q.where("region <> ''").select("catalogue_id", "region").distinct()
+    return statistics.distinct_values(q, "catalogue_id", "region")
 
 
 @query("SELECT catalogue_id, field, percent FROM (" + " UNION ALL ".join(f"SELECT catalogue_id, '{f}' AS field, {rounded(f'100.0 * count({f}) / count(*)', 4)} AS percent FROM q GROUP BY 1" for f in COMPLETENESS_FIELDS) + ")")
@@ -221,7 +209,7 @@ def a21_completeness(q: DataFrame) -> DataFrame:
     return statistics.completeness(q, COMPLETENESS_FIELDS)
 
 
-@query(f"+l AS (SELECT *, {US} - lag({US}) OVER (PARTITION BY catalogue_id, CAST(time AS DATE) ORDER BY time, id) AS since FROM q) SELECT catalogue_id, count(*) FILTER (WHERE magnitude > 9 OR magnitude < -1) AS extreme, count(*) FILTER (WHERE depth > 700) AS deep, count(*) FILTER (WHERE depth = 0) AS at_zero, count(*) FILTER (WHERE since < 1000000) AS close FROM l GROUP BY 1")
+@query(f"+l AS (SELECT *, {US} - lag({US}) OVER (PARTITION BY catalogue_id ORDER BY time, id) AS since FROM q) SELECT catalogue_id, count(*) AS n, count(*) FILTER (WHERE depth = 0) > 0.1 * count(*) AS too_many_at_zero, count(*) FILTER (WHERE magnitude > 9 OR magnitude < -1) AS extreme, count(*) FILTER (WHERE depth > 700) AS deep, count(*) FILTER (WHERE depth = 0) AS at_zero, count(*) FILTER (WHERE since < 1000000) AS close FROM l GROUP BY 1")
 def a25_dataset_anomalies(q: DataFrame) -> DataFrame:
     return statistics.dataset_anomalies(q)
 
@@ -254,17 +242,17 @@ def e8_six_criteria(q: DataFrame) -> DataFrame:
 
 
 _COSTS = {
-    "location": "CASE WHEN coalesce(horizontal_uncertainty, 0) > 0 THEN least(40, horizontal_uncertainty * 444) ELSE 20 END + CASE WHEN depth_uncertainty IS NULL THEN 15 ELSE least(30, depth_uncertainty * 3) END + 10",
+    "location": "CASE WHEN coalesce(horizontal_uncertainty, 0) > 0 THEN least(40, horizontal_uncertainty * 444) ELSE 20 END + CASE WHEN depth_uncertainty IS NULL THEN 15 ELSE least(30, depth_uncertainty * 3) END + CASE WHEN time_uncertainty IS NULL THEN 10 ELSE least(30, time_uncertainty * 30) END",
     "network": "CASE WHEN gap IS NULL THEN 25 WHEN gap < 90 THEN 0 WHEN gap < 180 THEN (gap - 90) / 2 ELSE 45 + least(5, (gap - 180) / 18) END + CASE WHEN stations IS NULL THEN 15 WHEN stations >= 20 THEN 0 WHEN stations >= 10 THEN (20 - stations) * 1.5 WHEN stations >= 5 THEN 15 + (10 - stations) * 2 ELSE 25 + 5 - stations END + CASE WHEN phases IS NULL THEN 10 WHEN phases >= 30 THEN 0 WHEN phases >= 15 THEN (30 - phases) / 2 WHEN phases >= 8 THEN 7.5 + (15 - phases) * 0.8 ELSE 13 + least(7, 8 - phases) END",
     "solution": "CASE WHEN rms IS NULL THEN 30 WHEN rms < 0.3 THEN 0 WHEN rms < 0.5 THEN (rms - 0.3) * 100 WHEN rms < 1 THEN 20 + (rms - 0.5) * 60 ELSE 50 + least(50, (rms - 1) * 50) END",
-    "magnitude": "CASE WHEN magnitude_uncertainty IS NULL THEN 20 ELSE least(60, magnitude_uncertainty * 120) END + CASE WHEN stations IS NULL THEN 20 WHEN stations >= 10 THEN 0 WHEN stations >= 5 THEN (10 - stations) * 4 WHEN stations >= 3 THEN 20 + (5 - stations) * 5 ELSE 30 + (3 - stations) * 5 END",
+    "magnitude": "CASE WHEN magnitude_uncertainty IS NULL THEN 20 ELSE least(60, magnitude_uncertainty * 120) END + CASE WHEN magnitude_stations IS NULL THEN 20 WHEN magnitude_stations >= 10 THEN 0 WHEN magnitude_stations >= 5 THEN (10 - magnitude_stations) * 4 WHEN magnitude_stations >= 3 THEN 20 + (5 - magnitude_stations) * 5 ELSE 30 + (3 - magnitude_stations) * 5 END",
     "evaluation": "CASE WHEN evaluation_mode = 'automatic' THEN 20 ELSE 0 END + CASE evaluation_status WHEN 'confirmed' THEN 10 WHEN 'preliminary' THEN 30 ELSE 0 END",
 }
 
 
 def _components(q: DataFrame) -> dict[str, Column]:
     c = F.col
-    return scores.components(c("horizontal_uncertainty"), c("depth_uncertainty"), F.lit(None).cast("double"), c("gap"), c("stations"), c("phases"), c("rms"), c("magnitude_uncertainty"), c("stations"), c("evaluation_mode"), c("evaluation_status"))
+    return scores.components(c("horizontal_uncertainty"), c("depth_uncertainty"), c("time_uncertainty"), c("gap"), c("stations"), c("phases"), c("rms"), c("magnitude_uncertainty"), c("magnitude_stations"), c("evaluation_mode"), c("evaluation_status"))
 
 
 @query(f"+s AS (SELECT id, {', '.join(f'greatest(0, 100 - CAST(({x}) AS DOUBLE)) AS {n}' for n, x in _COSTS.items())} FROM q) SELECT id, {', '.join(f'{rounded(n, 4)} AS {n}' for n in _COSTS)}, {rounded('0.35 * location + 0.25 * network + 0.15 * solution + 0.15 * magnitude + 0.1 * evaluation', 4)} AS overall FROM s")
@@ -273,10 +261,9 @@ def e1_quality_score(q: DataFrame) -> DataFrame:
     return q.select("id", *[js_round(c, 4).alias(n) for n, c in parts.items()], js_round(scores.overall(parts), 4).alias("overall"))
 
 
-@query("SELECT catalogue_id, CASE WHEN gap IS NULL THEN 'unknown' WHEN gap < 90 THEN 'A' WHEN gap < 180 THEN 'B' WHEN gap < 270 THEN 'C' ELSE 'D' END AS class, count(*) AS n FROM q GROUP BY ALL")
+@query("SELECT catalogue_id, CASE WHEN gap < 90 AND stations >= 10 THEN 'excellent' WHEN gap < 180 AND stations >= 6 THEN 'good' WHEN gap < 270 AND stations >= 4 THEN 'fair' ELSE 'poor' END AS class, count(*) AS n FROM q GROUP BY ALL")
 def e32_coverage_classes(q: DataFrame) -> DataFrame:
-    c = F.when(F.col("gap").isNull(), "unknown").otherwise(scores.below(F.col("gap"), ((90, "A"), (180, "B"), (270, "C")), "D"))
-    return q.groupBy("catalogue_id", c.alias("class")).agg(F.count("*").alias("n"))
+    return q.groupBy("catalogue_id", stations.coverage_class(F.col("gap"), F.col("stations")).alias("class")).agg(F.count("*").alias("n"))
 
 
 _MW = f"CASE WHEN lower(magnitude_type) LIKE 'mw%' THEN magnitude WHEN lower(magnitude_type) LIKE 'ms%' THEN {rounded('CASE WHEN magnitude < 6.2 THEN 0.67 * magnitude + 2.07 ELSE 0.99 * magnitude + 0.08 END', 2)} WHEN lower(magnitude_type) = 'mb' THEN {rounded('0.85 * magnitude + 1.03', 2)} WHEN lower(magnitude_type) LIKE 'ml%' OR lower(magnitude_type) IN ('md', 'mc') THEN {rounded('0.67 * magnitude + 1.17', 2)} END"
@@ -293,9 +280,9 @@ def e27_multipliers(q: DataFrame) -> DataFrame:
     return q.select("id", scores.time_multiplier(m).alias("t"), scores.distance_multiplier(m).alias("d"), scores.depth_multiplier(F.col("depth")).alias("z"))
 
 
-@query(f"SELECT catalogue_id, grade, count(*) AS n FROM (SELECT catalogue_id, {steps_sql('100 - coalesce(gap, 360) / 3.6', scores.GRADES, 'F', '>=')} AS grade FROM q) GROUP BY ALL")
+@query(f"+s AS (SELECT catalogue_id, " + " + ".join(f"{w} * greatest(0, 100 - CAST(({_COSTS[n]}) AS DOUBLE))" for n, w in scores.WEIGHTS.items()) + f" AS exact FROM q), o AS (SELECT catalogue_id, {rounded('exact')} AS x FROM s) SELECT catalogue_id, {steps_sql('x', scores.GRADES, 'F', '>=')} AS grade, count(*) AS n, {rounded('avg(x)', 4)} AS mean_score FROM o GROUP BY 1, 2")
 def e34_grades(q: DataFrame) -> DataFrame:
-    return q.groupBy("catalogue_id", scores.grade(100 - F.coalesce("gap", F.lit(360.0)) / 3.6).alias("grade")).agg(F.count("*").alias("n"))
+    return statistics.grade_counts(q.select("catalogue_id", js_round(scores.overall(_components(q)), 6).alias("score")))
 
 
 _CENTRE = "(SELECT -41.0 AS latitude, 174.0 AS longitude)"
@@ -304,7 +291,7 @@ _CENTRE = "(SELECT -41.0 AS latitude, 174.0 AS longitude)"
 @query(f"SELECT q.id, {rounded(km_sql('q', 'c'), 4)} AS km, {rounded('pow(10, 0.1238 * magnitude + 0.983)', 4)} AS window_km FROM q, {_CENTRE} c")
 def x1_distances(q: DataFrame) -> DataFrame:
     km = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.lit(-41.0), F.lit(174.0))
-    return q.select("id", js_round(km, 4).alias("km"), js_round(F.pow(F.lit(10.0), 0.1238 * F.col("magnitude") + 0.983), 4).alias("window_km"))
+    return q.select("id", js_round(km, 4).alias("km"), js_round(match.window_km(F.col("magnitude")), 4).alias("window_km"))
 
 
 # Matching
@@ -314,8 +301,8 @@ _DT = "((epoch_us(b.time) - epoch_us(a.time)) / 1e6)"
 _MEAN = "((a.magnitude + b.magnitude) / 2)"
 _CELL = 25 / 111.32
 _ADAPTIVE = f"""p AS (SELECT a.id AS a_id, b.id AS b_id, {_DT} AS dt, {km_sql('a', 'b')} AS km, {_MEAN} AS mean, a.magnitude AS m, greatest(a.depth, b.depth) AS z,
- abs(floor(a.latitude / {_CELL}) - floor(b.latitude / {_CELL})) AS up, abs(floor(a.longitude / {_CELL}) - floor(b.longitude / {_CELL})) AS along FROM q a JOIN q b ON {_ORDER} AND b.time <= a.time + INTERVAL 90 SECOND),
- e AS (SELECT * FROM p WHERE dt <= 30 * ({steps_sql('mean', scores.TIME_BY_MAGNITUDE, 3.0, '<')}) AND dt <= 30 * ({steps_sql('m', scores.TIME_BY_MAGNITUDE, 3.0, '<')}) AND km <= 25 * ({steps_sql('mean', scores.DISTANCE_BY_MAGNITUDE, 4.0, '<')}) * (CASE WHEN z > 300 THEN 1.5 WHEN z > 100 THEN 1.2 ELSE 1.0 END) AND up <= 1 AND along <= 1)"""
+ abs(floor(a.latitude / {_CELL}) - floor(b.latitude / {_CELL})) AS up, abs(floor(a.longitude / {_CELL}) - floor(b.longitude / {_CELL})) % 1602 AS along FROM q a JOIN q b ON {_ORDER} AND b.time <= a.time + INTERVAL 90 SECOND),
+ e AS (SELECT * FROM p WHERE dt <= 30 * ({steps_sql('mean', scores.TIME_BY_MAGNITUDE, 3.0, '<')}) AND dt <= 30 * ({steps_sql('m', scores.TIME_BY_MAGNITUDE, 3.0, '<')}) AND km <= 25 * ({steps_sql('mean', scores.DISTANCE_BY_MAGNITUDE, 4.0, '<')}) * (CASE WHEN z > 300 THEN 1.5 WHEN z > 100 THEN 1.2 ELSE 1.0 END) AND up <= 1 AND least(along, 1602 - along) <= 1)"""
 
 
 @query(f"+{_ADAPTIVE} SELECT a_id, b_id, {rounded('km')} AS km FROM e")
@@ -326,17 +313,12 @@ def j1_adaptive_matches(q: DataFrame) -> DataFrame:
 _SCORE = "exp(-ln(2) * pow(({}) / ({}), 2))"
 _PARTS = f"0.3 * {_SCORE.format('dt', '30')} + 0.4 * {_SCORE.format('km', '25')} + 0.2 * {_SCORE.format('dm', '0.5')}"
 _SIMILAR = f"""p AS (SELECT a.id AS a_id, b.id AS b_id, {_DT} AS dt, {km_sql('a', 'b')} AS km, abs(a.magnitude - b.magnitude) AS dm, abs(a.depth - b.depth) AS dz FROM q a JOIN q b ON {_ORDER} AND b.time <= a.time + INTERVAL 30 SECOND),
- s AS (SELECT *, CASE WHEN dz IS NULL THEN ({_PARTS}) / 0.9 ELSE ({_PARTS} + 0.1 * {_SCORE.format('dz', '20')}) / 1.0 END AS score FROM p)"""
+ s AS (SELECT *, CASE WHEN dz IS NULL THEN ({_PARTS}) / 0.9 ELSE ({_PARTS} + 0.1 * {_SCORE.format('dz', '20')}) / 1.0 END AS score, concat_ws(', ', CASE WHEN dt < 5 THEN 'very close in time' WHEN dt < 30 THEN 'close in time' END, CASE WHEN km < 5 THEN 'very close in location' WHEN km < 20 THEN 'close in location' END, CASE WHEN dm < 0.2 THEN 'similar magnitude' WHEN dm < 0.5 THEN 'close magnitude' END, CASE WHEN dz < 5 THEN 'similar depth' WHEN dz < 15 THEN 'close depth' END) AS reason FROM p)"""
 
 
-@query(f"+{_SIMILAR} SELECT a_id, b_id, {rounded('score', 4)} AS score, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS confidence FROM s WHERE score >= 0.7")
+@query(f"+{_SIMILAR} SELECT a_id, b_id, {rounded('score', 4)} AS score, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN reason = '' THEN 'matches within thresholds' ELSE reason END AS reason FROM s WHERE score >= 0.7")
 def j4_similar_pairs(q: DataFrame) -> DataFrame:
-    return match.similar_pairs(q).select("a_id", "b_id", js_round(F.col("score"), 4).alias("score"), "confidence")
-
-
-@query()
-def j5_duplicate_groups(q: DataFrame) -> DataFrame:
-    return match.duplicate_groups(q)
+    return match.similar_pairs(q).select("a_id", "b_id", js_round(F.col("score"), 4).alias("score"), "confidence", "reason")
 
 
 @query(f"+f AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, CAST({y} AS DOUBLE), CAST({x} AS DOUBLE))' for n, line in FAULTS for x, y in line)}) v(name, latitude, longitude)), d AS (SELECT q.id, f.name, {rounded('min(' + km_sql('q', 'f') + ')', 1)} AS km FROM q, f GROUP BY 1, 2) SELECT id, name, km, CAST(row_number() OVER (PARTITION BY id ORDER BY km, name) AS INTEGER) AS rank FROM d WHERE km <= 100 QUALIFY rank <= 5")
@@ -346,59 +328,7 @@ def j6_near_faults(q: DataFrame) -> DataFrame:
 
 @query(f"SELECT a.id AS a_id, b.id AS b_id FROM q a JOIN q b ON {_ORDER} AND b.time <= a.time + INTERVAL 30 SECOND WHERE {km_sql('a', 'b')} <= 25")
 def j7_simple_matches(q: DataFrame) -> DataFrame:
-    return match.close_pairs(q, 30).where(match.pair_km() <= 25).select("a_id", "b_id")
-
-
-# Merging; the matched groups follow from a greedy order that SQL can't express, and are tested against a sequential loop.
-
-
-def _groups(q: DataFrame) -> DataFrame:
-    return match.merge_groups(q)
-
-
-@query()
-def j2_merge_groups(q: DataFrame) -> DataFrame:
-    return _groups(q).select("id", "leader")
-
-
-@query()
-def a31_merge_preview(q: DataFrame) -> DataFrame:
-    return resolve.preview(_groups(q))
-
-
-@query()
-def a32_conflicts(q: DataFrame) -> DataFrame:
-    return resolve.conflicts(_groups(q))
-
-
-@query()
-def m2_average(q: DataFrame) -> DataFrame:
-    return resolve.average(resolve.split_unsound(_groups(q)))
-
-
-@query()
-def m3_newest(q: DataFrame) -> DataFrame:
-    return resolve.newest(resolve.split_unsound(_groups(q)))
-
-
-@query()
-def m4_most_complete(q: DataFrame) -> DataFrame:
-    return resolve.most_complete(resolve.split_unsound(_groups(q)), COMPLETE_FIELDS)
-
-
-@query()
-def m5_best_quality(q: DataFrame) -> DataFrame:
-    return resolve.best_quality(resolve.split_unsound(_groups(q)))
-
-
-@query()
-def m6_priority(q: DataFrame) -> DataFrame:
-    return resolve.by_priority(resolve.split_unsound(_groups(q)), (3, 0, 1, 2))
-
-
-@query()
-def a7_decluster(q: DataFrame) -> DataFrame:
-    return match.decluster(q.where("catalogue_id = 0")).select("id", "mainshock")
+    return match.simple_matches(q).select("a_id", "b_id")
 
 
 def queries() -> dict[str, Query]:

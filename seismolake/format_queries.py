@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seismolake import catalogue_queries
-from seismolake.catalogue_queries import query, rounded
-from seismolake.functions import geo, mechanism, stations, text, uncertainty
+from seismolake.catalogue_queries import _COSTS, _MW, _SIX, query, rounded, steps_sql
+from seismolake.functions import geo, mechanism, scores, stations, text, uncertainty
+from seismolake.functions.authority import network_rank
 from seismolake.functions.scores import fault_type, js_round
-from seismolake.operators import catalogues, match, resolve, sampling, statistics, validation
+from seismolake.operators import catalogues, match, search, statistics, validation
 from seismolake.plans.catalogue import FAULTS, faults
 from seismolake.sinks import formats
 from seismolake.sources import delimited, fdsn, json_files, quakeml, rows
 
 queries, oracle_sql = catalogue_queries.queries, catalogue_queries.oracle_sql
 
-NOW = "2030-01-01"
+NOW = "2024-01-20"
 _MS = "CAST(floor(epoch_us(time) / 1000) AS BIGINT)"
 _READ = f"SELECT CAST(id AS VARCHAR) AS id, latitude, longitude, depth, magnitude, {_MS} AS ms FROM q"
 
@@ -55,10 +58,14 @@ def s9_geojson(q: DataFrame) -> DataFrame:
     return _read(json_files.read_features(q.select(formats.geojson_feature().alias("value"))))
 
 
-@query("SELECT CAST(id AS VARCHAR) AS id, latitude, longitude, floor(depth * 1000 + 0.5) / 1000 AS depth, magnitude, " + _MS + " AS ms, magnitude_type, stations, gap, evaluation_mode FROM q")
+@query("SELECT CAST(id AS VARCHAR) AS id, latitude, longitude, floor(depth * 1000 + 0.5) / 1000 AS depth, magnitude, " + _MS + " AS ms, magnitude_type, stations, gap, evaluation_mode, event_type, latitude_uncertainty, longitude_uncertainty, horizontal_uncertainty, CASE WHEN depth IS NOT NULL THEN floor(depth_uncertainty * 1000 + 0.5) / 1000 END AS depth_uncertainty, time_uncertainty, magnitude_uncertainty, magnitude_stations FROM q")
 def s11_quakeml(q: DataFrame) -> DataFrame:
     events = rows.accepted(quakeml.read_events(q.select(formats.quakeml_event().alias("value"))))
-    return events.select("id", "latitude", "longitude", js_round(F.col("depth"), 3).alias("depth"), "magnitude", F.unix_millis("time").alias("ms"), "magnitude_type", F.col("used_station_count").cast("long").alias("stations"), F.col("azimuthal_gap").alias("gap"), "evaluation_mode")
+    same = ("evaluation_mode", "event_type", "latitude_uncertainty", "longitude_uncertainty", "horizontal_uncertainty", "time_uncertainty", "magnitude_uncertainty")
+    return events.select(
+        "id", "latitude", "longitude", js_round(F.col("depth"), 3).alias("depth"), "magnitude", F.unix_millis("time").alias("ms"), "magnitude_type", F.col("used_station_count").cast("long").alias("stations"), F.col("azimuthal_gap").alias("gap"),
+        js_round(F.col("depth_uncertainty"), 3).alias("depth_uncertainty"), F.col("magnitude_station_count").cast("long").alias("magnitude_stations"), *same,
+    )
 
 
 @query(_READ)
@@ -68,9 +75,9 @@ def s16_fdsn_text(q: DataFrame) -> DataFrame:
     return _read(fdsn.read_answers(_lines(q, "#" + "|".join(fdsn.COLUMNS), line)))
 
 
-@query("SELECT id, CAST(magnitude AS DOUBLE) AS magnitude, region, evaluation_mode AS mode FROM q WHERE region IS NOT NULL")
+@query("SELECT id, magnitude, region, evaluation_mode AS mode FROM q")
 def k3_nested_json(q: DataFrame) -> DataFrame:
-    made = q.where("region is not null").select(formats.json_record().alias("v"))
+    made = q.select(formats.json_record().alias("v"))
     part = lambda path: F.get_json_object("v", path)
     return made.select(part("$.id").cast("long").alias("id"), part("$.magnitude.value").cast("double").alias("magnitude"), part("$.region").alias("region"), part("$.evaluation.mode").alias("mode"))
 
@@ -80,15 +87,44 @@ def k5_map_folders(q: DataFrame) -> DataFrame:
     return formats.kml_folders(q)
 
 
+@query("+f AS (SELECT CASE WHEN magnitude IS NULL THEN 'Unknown' WHEN magnitude < 3 THEN 'Below 3' WHEN magnitude < 4 THEN '3 to 4' WHEN magnitude < 5 THEN '4 to 5' WHEN magnitude < 6 THEN '5 to 6' WHEN magnitude < 7 THEN '6 to 7' ELSE '7 and above' END AS folder, count(*) AS n FROM q GROUP BY 1) SELECT 'head' AS kind, folder || ' (' || n || ' events)' AS name, CAST(1 AS BIGINT) AS n FROM f UNION ALL SELECT 'end', '', count(*) FROM f UNION ALL SELECT 'mark', CAST(magnitude AS VARCHAR), count(*) FROM q GROUP BY magnitude")
+def k5_map_lines(q: DataFrame) -> DataFrame:
+    v = F.col("value")
+    kind = F.when(v.startswith("<Folder>"), "head").when(v == "</Folder>", "end").otherwise("mark")
+    name = F.when(v.startswith("<Folder>"), F.regexp_extract(v, "<name>(.*?)</name>", 1)).when(v == "</Folder>", "").otherwise(F.regexp_extract(v, "<name>M(.*?)</name>", 1))
+    return formats.kml_lines(q).groupBy(kind.alias("kind"), name.alias("name")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {_MS} AS ms, latitude, longitude, magnitude, depth, coalesce(source, 'unknown') AS source FROM q")
+def k2_short_table(q: DataFrame) -> DataFrame:
+    read = delimited.read_lines(_lines(q, ",".join(formats.SHORT_COLUMNS), formats.short_csv_line()))
+    return rows.accepted(read).select(F.unix_millis("time").alias("ms"), "latitude", "longitude", "magnitude", "depth", F.col("agency_id").alias("source"))
+
+
+@query(_READ)
+def s23_temporary_network(q: DataFrame) -> DataFrame:
+    say = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat_ws("|", "id", formats.iso(F.col("time")), "latitude", "longitude", say("depth"), F.lit("net"), F.lit("temporary"), F.lit("net"), "id", say("magnitude_type"), say("magnitude"), F.lit("net"), say("region"))
+    return _read(fdsn.read_temporary(_lines(q, "# a comment", line), "XX"))
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {len(line)}, CAST({line[0][0]} AS DOUBLE))' for n, line in FAULTS)}, ('many', 2, CAST(1 AS DOUBLE)), ('many', 3, CAST(5 AS DOUBLE))) v(name, n, west)")
+def s22_fault_lines(q: DataFrame) -> DataFrame:
+    each = [{"type": "Feature", "geometry": {"type": "LineString", "coordinates": line}, "properties": {"name": name}} for name, line in FAULTS]
+    each.append({"type": "Feature", "geometry": {"type": "MultiLineString", "coordinates": [[[1, 2], [3, 4]], [[5, 6], [7, 8], [9, 9]]]}, "properties": {"name": "many"}})
+    texts = q.sparkSession.createDataFrame([(json.dumps({"type": "FeatureCollection", "features": each}),), ("no json",)], "value string")
+    found = json_files.read_faults(texts)
+    return found.select("name", F.size("points").alias("n"), F.get("points", F.lit(0))[0].alias("west"))
+
+
 # Cleaning
 
 
-@query("SELECT id, CASE id % 4 WHEN 0 THEN magnitude WHEN 1 THEN magnitude WHEN 2 THEN NULL ELSE magnitude * 1000 END AS value FROM q")
+@query("SELECT id, CASE id % 4 WHEN 0 THEN magnitude WHEN 1 THEN magnitude WHEN 2 THEN NULL ELSE CAST(CAST(magnitude AS VARCHAR) || 'e3' AS DOUBLE) END AS value FROM q")
 def p11_lenient_numbers(q: DataFrame) -> DataFrame:
     said = F.col("magnitude").cast("string")
     shown = F.when(F.col("id") % 4 == 0, said).when(F.col("id") % 4 == 1, F.concat(F.lit(" "), said, F.lit("abc"))).when(F.col("id") % 4 == 2, "nan").otherwise(F.concat(said, F.lit("e3")))
-    value = text.number(shown)
-    return q.select("id", F.when(F.col("id") % 4 == 3, F.col("magnitude") * 1000).otherwise(value).alias("value"))
+    return q.select("id", text.number(shown).alias("value"))
 
 
 @query("SELECT id, CAST(floor(epoch_us(time) / 1000000) AS BIGINT) AS s FROM q")
@@ -133,33 +169,28 @@ def a29_failure_summary(q: DataFrame) -> DataFrame:
 
 
 _ANOMALIES = {
-    "error": ["latitude NOT BETWEEN -90 AND 90", "longitude NOT BETWEEN -180 AND 180", "depth < 0", "magnitude < -2", "magnitude > 10"],
+    "error": [f"time > TIMESTAMP '{NOW}'", "latitude NOT BETWEEN -90 AND 90", "longitude NOT BETWEEN -180 AND 180", "depth < 0", "magnitude < -2", "magnitude > 10"],
     "warning": ["latitude = 0 AND longitude = 0", "depth > 700", "depth < 5 AND magnitude > 7.5", "depth_uncertainty > depth", "depth < 1 AND magnitude > 6", "magnitude_uncertainty > 1", "gap > 270", "stations < 4", "rms > 2"],
-    "info": ["depth IN (0, 10, 33)", "gap > 180 AND gap <= 270", "stations BETWEEN 4 AND 5", "phases < 8", "rms > 1 AND rms <= 2"],
+    "info": ["round(latitude, 6) <> latitude OR round(longitude, 6) <> longitude", "depth IN (0, 10, 33)", "gap > 180 AND gap <= 270", "stations BETWEEN 4 AND 5", "phases < 8", "rms > 1 AND rms <= 2"],
 }
 _COUNTED = ", ".join(f"{' + '.join(f'CASE WHEN {c} THEN 1 ELSE 0 END' for c in conditions)} AS {name}s" for name, conditions in _ANOMALIES.items())
 _SEVERITY = "CASE WHEN errors > 0 THEN 'critical' WHEN warnings >= 3 THEN 'high' WHEN warnings = 2 THEN 'medium' WHEN warnings + infos > 0 THEN 'low' ELSE 'none' END"
 
 
-def _fine(q: DataFrame) -> DataFrame:
-    """Coordinates as the sources have them, to two decimals."""
-    return q.withColumns({c: js_round(F.col(c), 2) for c in ("latitude", "longitude")})
-
-
 @query(f"+c AS (SELECT id, {_COUNTED} FROM q) SELECT id, errors + warnings + infos AS flags, {_SEVERITY} AS severity FROM c")
 def e15_anomalies(q: DataFrame) -> DataFrame:
-    flagged = _fine(q).withColumn("flags", validation.anomalies(F.lit(NOW).cast("timestamp")))
+    flagged = q.withColumn("flags", validation.anomalies(F.lit(NOW).cast("timestamp")))
     return flagged.select("id", F.size("flags").alias("flags"), validation.severity_of(F.col("flags")).alias("severity"))
 
 
 @query(f"+c AS (SELECT catalogue_id, {_COUNTED} FROM q) SELECT catalogue_id, {_SEVERITY} AS severity, count(*) AS n FROM c GROUP BY ALL")
 def a27_anomaly_severities(q: DataFrame) -> DataFrame:
-    return validation.by_severity(_fine(q).withColumn("flags", validation.anomalies(F.lit(NOW).cast("timestamp"))), "flags")
+    return validation.by_severity(q.withColumn("flags", validation.anomalies(F.lit(NOW).cast("timestamp"))), "flags")
 
 
 _CROSS = {
-    "error": ["magnitude_uncertainty > abs(magnitude)", "stations > phases"],
-    "warning": ["depth < 5 AND magnitude > 8", "depth > 300 AND magnitude < 3", "depth > 700 AND magnitude < 4", "depth_uncertainty > 2 * depth", "magnitude_uncertainty > 1", "stations >= 10 AND gap > 180", "rms > 5", "abs(latitude) < 0.001 AND abs(longitude) < 0.001"],
+    "error": [f"time > TIMESTAMP '{NOW}'", "magnitude_uncertainty > abs(magnitude)", "stations > phases"],
+    "warning": ["depth < 5 AND magnitude > 8", "depth > 300 AND magnitude < 3", "depth > 700 AND magnitude < 4", "depth_uncertainty > 2 * depth", "magnitude_uncertainty > 1", "CASE WHEN least(latitude_uncertainty, longitude_uncertainty) = 0 THEN greatest(latitude_uncertainty, longitude_uncertainty) > 0 ELSE greatest(latitude_uncertainty, longitude_uncertainty) / least(latitude_uncertainty, longitude_uncertainty) > 10 END AND latitude_uncertainty IS NOT NULL AND longitude_uncertainty IS NOT NULL", "magnitude_stations > stations", "stations >= 10 AND gap > 180", "rms > 5", "abs(latitude) < 0.001 AND abs(longitude) < 0.001"],
     "info": ["depth > 0 AND depth_uncertainty > depth", "phases < CAST(stations AS DOUBLE) * CAST(1.2 AS DOUBLE)", "stations < 6 AND gap < 90", "rms < 0.01"],
 }
 _CROSSED = ", ".join(f"{' + '.join(f'CASE WHEN {c} THEN 1 ELSE 0 END' for c in conditions)} AS {name}s" for name, conditions in _CROSS.items())
@@ -191,21 +222,19 @@ def e14_levels(q: DataFrame) -> DataFrame:
     return q.select("id", uncertainty.level(F.col("depth_uncertainty"), "depth").alias("depth_level"), uncertainty.magnitude_name(F.col("magnitude")).alias("size"))
 
 
-_PENALTY = "100 - least(30, coalesce(horizontal_uncertainty, 0) * 300) - least(20, coalesce(depth_uncertainty, 0) * 2) - least(30, coalesce(gap, 0) / 270 * 30)"
+_PENALTY = "100 - least(30, greatest(coalesce(latitude_uncertainty, 0), coalesce(longitude_uncertainty, 0)) * 300) - least(20, coalesce(depth_uncertainty, 0) * 2) - least(30, coalesce(gap, 0) / 270 * 30) - least(20, coalesce(time_uncertainty, 0) * 20)"
 
 
 @query(f"+s AS (SELECT id, {_PENALTY} AS x FROM q) SELECT id, greatest(0, floor(x + 0.5)) AS score, CASE WHEN x >= 90 THEN 'A' WHEN x >= 80 THEN 'B' WHEN x >= 70 THEN 'C' WHEN x >= 60 THEN 'D' ELSE 'F' END AS grade FROM s")
 def e12_location_quality(q: DataFrame) -> DataFrame:
-    h = F.col("horizontal_uncertainty")
-    found = uncertainty.location_quality(h, h, F.col("depth_uncertainty"), F.lit(None).cast("double"), F.col("gap"))
+    found = uncertainty.location_quality(F.col("latitude_uncertainty"), F.col("longitude_uncertainty"), F.col("depth_uncertainty"), F.col("time_uncertainty"), F.col("gap"))
     return q.select("id", found.alias("x")).select("id", F.col("x.score").cast("double").alias("score"), "x.grade")
 
 
-@query(f"SELECT id, {rounded('horizontal_uncertainty * 111000', 3)} AS major, {rounded('horizontal_uncertainty * 111000 * cos(radians(latitude))', 3)} AS minor, {rounded('CASE WHEN gap IS NULL THEN 0.68 ELSE greatest(0.3, least(0.95, 1 - gap / 360)) END')} AS confidence FROM q WHERE horizontal_uncertainty > 0")
+@query(f"+s AS (SELECT id, coalesce(latitude_uncertainty, 0) * 111000 AS up, coalesce(longitude_uncertainty, 0) * 111000 * cos(radians(latitude)) AS along, gap FROM q WHERE coalesce(latitude_uncertainty, 0) <> 0 OR coalesce(longitude_uncertainty, 0) <> 0) SELECT id, {rounded('greatest(up, along)', 3)} AS major, {rounded('least(up, along)', 3)} AS minor, CASE WHEN up > along THEN 0 ELSE 90 END AS rotation, {rounded('CASE WHEN gap IS NULL THEN 0.68 ELSE greatest(0.3, least(0.95, 1 - gap / 360)) END')} AS confidence FROM s")
 def e13_ellipses(q: DataFrame) -> DataFrame:
-    h = F.col("horizontal_uncertainty")
-    x = q.select("id", uncertainty.ellipse(F.col("latitude"), h, h, F.col("gap")).alias("x")).where("x is not null")
-    return x.select("id", js_round(F.col("x.major"), 3).alias("major"), js_round(F.col("x.minor"), 3).alias("minor"), js_round(F.col("x.confidence"), 6).alias("confidence"))
+    x = q.select("id", uncertainty.ellipse(F.col("latitude"), F.col("latitude_uncertainty"), F.col("longitude_uncertainty"), F.col("gap")).alias("x")).where("x is not null")
+    return x.select("id", js_round(F.col("x.major"), 3).alias("major"), js_round(F.col("x.minor"), 3).alias("minor"), "x.rotation", js_round(F.col("x.confidence"), 6).alias("confidence"))
 
 
 _AZ = "list_sort([CAST((id * 17) % 360 AS DOUBLE), CAST((id * 31) % 360 AS DOUBLE), CAST((id * 7) % 360 AS DOUBLE)])"
@@ -228,12 +257,17 @@ def a37_sectors(q: DataFrame) -> DataFrame:
     return each.groupBy("s.start").agg(F.sum("s.n").alias("n")).where("n > 0")
 
 
-@query("SELECT id, 1 AS stations, CAST(360 AS DOUBLE) AS azimuthal_gap, floor(CAST(id % 50 AS DOUBLE) / 10 * 111.32 * 1e6 + 0.5) / 1e6 AS mean_km, 'poor' AS class FROM q WHERE id % 9 = 0")
+@query(f"""+st AS (SELECT id, count(DISTINCT (id * r.j) % 7) AS stations FROM q JOIN (SELECT unnest(range(1, 13)) AS j) r ON r.j <= id % 13 GROUP BY 1),
+ az AS (SELECT id, CAST((id * 17 * r.j) % 360 AS DOUBLE) AS a, CAST((id * r.j) % 50 AS DOUBLE) / 10 AS d FROM q JOIN (SELECT unnest(range(1, 9)) AS j) r ON r.j <= id % 9),
+ gp AS (SELECT id, a, d, a - lag(a) OVER (PARTITION BY id ORDER BY a) AS g FROM az), ag AS (SELECT id, CASE WHEN count(*) < 2 THEN 360 ELSE greatest(max(g), 360 - max(a) + min(a)) END AS gap, avg(d * 111.32) AS km FROM gp GROUP BY 1),
+ x AS (SELECT q.id, coalesce(st.stations, 0) AS n, CAST(coalesce(ag.gap, 360) AS DOUBLE) AS g, coalesce(km, 0) AS km FROM q LEFT JOIN st ON st.id = q.id LEFT JOIN ag ON ag.id = q.id)
+ SELECT id, CAST(n AS INTEGER) AS stations, g AS azimuthal_gap, {rounded('km', 4)} AS mean_km, CASE WHEN g < 90 AND n >= 10 THEN 'excellent' WHEN g < 180 AND n >= 6 THEN 'good' WHEN g < 270 AND n >= 4 THEN 'fair' ELSE 'poor' END AS class FROM x""")
 def a35_station_coverage(q: DataFrame) -> DataFrame:
-    picks = F.lit('[{"waveformID": {"networkCode": "NZ", "stationCode": "WEL"}}, {"waveformID": {"networkCode": "NZ", "stationCode": "WEL"}}]')
-    arrivals = F.concat(F.lit('[{"azimuth": 10.0, "distance": '), ((F.col("id") % 50).cast("double") / 10).cast("string"), F.lit("}]"))
-    x = q.where("id % 9 = 0").select("id", stations.coverage(picks, arrivals).alias("x"))
-    return x.select("id", "x.stations", "x.azimuthal_gap", js_round(F.col("x.mean_km"), 6).alias("mean_km"), "x.class")
+    some = lambda n, one: F.transform(F.filter(F.sequence(F.lit(1), F.lit(n - 1)), lambda j: j <= F.col("id") % n), one)
+    picks = F.to_json(some(13, lambda j: F.struct(F.struct(F.lit("NZ").alias("networkCode"), F.concat(F.lit("S"), ((F.col("id") * j) % 7).cast("string")).alias("stationCode")).alias("waveformID"))))
+    arrivals = F.to_json(some(9, lambda j: F.struct(((F.col("id") * 17 * j) % 360).cast("double").alias("azimuth"), (((F.col("id") * j) % 50).cast("double") / 10).alias("distance"))))
+    x = q.select("id", stations.coverage(picks, arrivals).alias("x"))
+    return x.select("id", "x.stations", "x.azimuthal_gap", js_round(F.col("x.mean_km"), 4).alias("mean_km"), "x.class")
 
 
 _RAKE = "CAST((id * 7) % 361 - 180 AS DOUBLE)"
@@ -260,42 +294,27 @@ def e11_combined_quality(q: DataFrame) -> DataFrame:
     return scored.select("id", uncertainty.combined_quality(F.col("six"), F.col("overall")).alias("quality"), uses["research"].alias("research"), uses["monitoring"].alias("monitoring"))
 
 
-_RANK = "CASE WHEN catalogue_id = 0 THEN 1 WHEN catalogue_id = 1 THEN 4 WHEN catalogue_id = 2 THEN 100 ELSE 999 END"
-
-
-def _named(q: DataFrame) -> DataFrame:
-    names = F.when(F.col("catalogue_id") == 0, "GeoNet").when(F.col("catalogue_id") == 1, "USGS/NEIC").when(F.col("catalogue_id") == 2, "elsewhere")
-    return q.withColumn("source", names)
+# Places in two regions with an order of their own, and elsewhere.
+_PLACE = "CASE id % 3 WHEN 0 THEN 'nz' WHEN 1 THEN 'jp' ELSE 'world' END"
+_RANK = f"CASE source WHEN 'GeoNet' THEN 1 WHEN 'ISC' THEN 3 WHEN 'USGS/NEIC' THEN 4 WHEN 'JMA Japan' THEN CASE {_PLACE} WHEN 'jp' THEN 1 ELSE 6 END WHEN 'elsewhere' THEN 100 ELSE 999 END"
 
 
 @query(f"SELECT id, {_RANK} AS rank FROM q")
 def m14_network_ranks(q: DataFrame) -> DataFrame:
-    from seismolake.functions.authority import network_rank
-
-    named = _named(q)
-    return named.select("id", network_rank(F.col("source"), F.col("latitude"), F.col("longitude")).alias("rank"))
-
-
-@query()
-def m15_by_authority(q: DataFrame) -> DataFrame:
-    return resolve.by_authority(_named(match.merge_groups(q)))
+    at = lambda nz, jp, world: F.when(F.col("id") % 3 == 0, nz).when(F.col("id") % 3 == 1, jp).otherwise(world)
+    return q.select("id", network_rank(F.col("source"), at(-41.0, 35.0, 10.0), at(174.0, 140.0, 10.0)).alias("rank"))
 
 
-@query()
-def j3_preview_groups(q: DataFrame) -> DataFrame:
-    return resolve.preview_groups(match.merge_groups(q))
-
-
-@query("+s AS (SELECT id, abs(magnitude - magnitude * 1.1) AS d, coalesce(magnitude_uncertainty, 0) AS u FROM q) SELECT id FROM s WHERE d <= sqrt(u * u) + 0.3")
+@query(f"+s AS (SELECT id, magnitude AS a, magnitude * 1.1 AS b, {_MW} AS ma, {rounded('0.67 * (magnitude * 1.1) + 1.17', 2)} AS mb, coalesce(magnitude_uncertainty, 0) AS u FROM q) SELECT id FROM s WHERE abs(CASE WHEN ma IS NULL THEN a - b ELSE ma - mb END) <= sqrt(u * u) + 0.3")
 def e26_equivalent_magnitudes(q: DataFrame) -> DataFrame:
-    m, none = F.col("magnitude"), F.lit(None).cast("string")
-    return q.where(uncertainty.equivalent_magnitudes(m, none, F.col("magnitude_uncertainty"), m * 1.1, none, F.lit(None).cast("double"))).select("id")
+    m = F.col("magnitude")
+    return q.where(uncertainty.equivalent_magnitudes(m, F.col("magnitude_type"), F.col("magnitude_uncertainty"), m * 1.1, F.lit("ML"), F.lit(None).cast("double"))).select("id")
 
 
-@query(f"SELECT q.id, 'M' || printf('%.1f', magnitude) || ' - ' || CASE WHEN coalesce(region, '') = '' THEN 'unknown place' ELSE region END || ' - ' || strftime(time, '%d/%m/%Y') AS label, n.name FROM q LEFT JOIN (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in catalogue_queries.NAMES)}) n(catalogue_id, name) ON n.catalogue_id = q.catalogue_id WHERE magnitude >= 4")
+@query(f"SELECT q.id, 'M' || printf('%.1f', magnitude) || ' - ' || CASE WHEN coalesce(region, '') = '' THEN 'unknown place' ELSE region END || ' - ' || strftime(time, '%d/%m/%Y') AS label, n.name FROM q LEFT JOIN (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in catalogue_queries.NAMES)}) n(catalogue_id, name) ON n.catalogue_id = q.catalogue_id")
 def p18_labels(q: DataFrame) -> DataFrame:
     names = q.sparkSession.createDataFrame(catalogue_queries.NAMES, "catalogue_id long, name string")
-    return catalogue_queries.search.labelled(q.where("magnitude >= 4"), names)
+    return search.labelled(q, names)
 
 
 # More statistics
@@ -339,10 +358,11 @@ def a19_quality_coverage(q: DataFrame) -> DataFrame:
     return statistics.quality_coverage(q)
 
 
-@query("SELECT catalogue_id, CAST(10 AS BIGINT) AS stored, count(*) AS actual FROM q GROUP BY 1 HAVING count(*) <> 10")
+@query("+a AS (SELECT catalogue_id, count(*) AS actual FROM q GROUP BY 1), s AS (SELECT catalogue_id, actual - catalogue_id % 2 AS stored FROM a UNION ALL SELECT 99, 7) SELECT s.catalogue_id, stored, coalesce(actual, 0) AS actual FROM s LEFT JOIN a ON a.catalogue_id = s.catalogue_id WHERE stored <> coalesce(actual, 0)")
 def a33_wrong_counts(q: DataFrame) -> DataFrame:
-    stored = q.select("catalogue_id").distinct().withColumn("events", F.lit(10).cast("long"))
-    return catalogues.wrong_counts(stored, q)
+    # Every second catalogue's stored number is one short, and one catalogue has no events.
+    stored = q.groupBy("catalogue_id").agg((F.count("*") - F.first("catalogue_id") % 2).alias("events"))
+    return catalogues.wrong_counts(stored.union(q.sparkSession.createDataFrame([(99, 7)], "catalogue_id long, events long")), q)
 
 
 @query("SELECT id FROM q WHERE catalogue_id <> 1")
@@ -361,40 +381,104 @@ def f19_faults_at_zoom(q: DataFrame) -> DataFrame:
     return match.faults_at_zoom(faults(q.sparkSession), 5).select("name", js_round(F.col("km"), 4).alias("km"))
 
 
-# Duplicates' representatives, and samples: the order of a sample follows a hash that SQL has not.
+@query(f"SELECT id, {rounded('degrees(atan2(sin(radians(174 - longitude)) * cos(radians(-41)), cos(radians(latitude)) * sin(radians(-41)) - sin(radians(latitude)) * cos(radians(-41)) * cos(radians(174 - longitude)))) + CASE WHEN atan2(sin(radians(174 - longitude)) * cos(radians(-41)), cos(radians(latitude)) * sin(radians(-41)) - sin(radians(latitude)) * cos(radians(-41)) * cos(radians(174 - longitude))) < 0 THEN 360 ELSE 0 END', 4)} AS azimuth FROM q")
+def x3_azimuths(q: DataFrame) -> DataFrame:
+    return q.select("id", js_round(geo.azimuth(F.col("latitude"), F.col("longitude"), F.lit(-41.0), F.lit(174.0)), 4).alias("azimuth"))
 
 
-@query()
-def m17_representatives(q: DataFrame) -> DataFrame:
-    groups = match.duplicate_groups(q)
-    return resolve.representatives(q.join(groups, "id"))
+# Requests, pages, displays
 
 
-@query()
-def m18_group_confidence(q: DataFrame) -> DataFrame:
-    return resolve.group_confidence(match.similar_pairs(q), match.duplicate_groups(q))
+@query("SELECT id FROM q WHERE magnitude >= 2.5 AND depth <= 120 AND event_type = 'earthquake' AND phases >= 8 AND longitude >= 170 AND longitude <= 176.5")
+def f2_decoded_request(q: DataFrame) -> DataFrame:
+    wanted = search.decoded({"minMagnitude": "2.5", "maxDepth": "120 km", "eventType": "earthquake", "minUsedPhaseCount": "8", "minLongitude": "170", "maxLongitude": "176.5", "maxMagnitude": "", "other": "x"})
+    return q.where(wanted.column()).select("id")
 
 
-@query()
-def a7_clusters(q: DataFrame) -> DataFrame:
-    return statistics.clusters(match.decluster(q.where("catalogue_id = 0")))
+@query("SELECT id, magnitude FROM q ORDER BY time DESC, id DESC LIMIT 30 OFFSET 45")
+def l3_limit_offset(q: DataFrame) -> DataFrame:
+    return search.limited(q, 30, 45).select("id", "magnitude")
 
 
-@query()
-def l7_stratified_sample(q: DataFrame) -> DataFrame:
-    return sampling.stratified(q, 500).select("id", "magnitude")
+@query("SELECT id, depth FROM q ORDER BY coalesce(depth, 0), id LIMIT 200")
+def l4_sorted_table(q: DataFrame) -> DataFrame:
+    return search.sorted_by(q, "depth").limit(200).select("id", "depth")
 
 
-@query()
-def l8_view_sample(q: DataFrame) -> DataFrame:
-    return sampling.for_view(q, -45, -38, 170, 178, 400).select("id", "magnitude")
+@query("SELECT id FROM q WHERE latitude BETWEEN -42.5 AND -38.2 AND longitude BETWEEN 172.1 AND 176.7")
+def j14_view_cells(q: DataFrame) -> DataFrame:
+    return search.in_view(search.with_cells(q), -42.5, -38.2, 172.1, 176.7).select("id")
 
 
-@query()
-def l10_scatter_sample(q: DataFrame) -> DataFrame:
-    return sampling.scatter(q).select("id", "magnitude")
+@query("SELECT id FROM q WHERE catalogue_id = 1 ORDER BY time DESC LIMIT 10")
+def l11_latest_imports(q: DataFrame) -> DataFrame:
+    return catalogues.latest_imports(q.withColumnRenamed("time", "created"), 1).select("id")
 
 
-@query(f"SELECT id, {rounded('degrees(atan2(sin(radians(174 - longitude)) * cos(radians(-41)), cos(radians(latitude)) * sin(radians(-41)) - sin(radians(latitude)) * cos(radians(-41)) * cos(radians(174 - longitude)))) + CASE WHEN atan2(sin(radians(174 - longitude)) * cos(radians(-41)), cos(radians(latitude)) * sin(radians(-41)) - sin(radians(latitude)) * cos(radians(-41)) * cos(radians(174 - longitude))) < 0 THEN 360 ELSE 0 END', 4)} AS azimuth FROM q")
-def x3_azimuths(q: DataFrame) -> DataFrame:
-    return q.select("id", js_round(geo.azimuth(F.col("latitude"), F.col("longitude"), F.lit(-41.0), F.lit(174.0)), 4).alias("azimuth"))
+@query("SELECT count(*) AS total FROM q")
+def a34_total_events(q: DataFrame) -> DataFrame:
+    return statistics.total_events(statistics.counts_by(q, "catalogue_id").withColumnRenamed("n", "events"))
+
+
+_SLOPE = "log10(CAST(CASE WHEN cumulative > 0 THEN cumulative END AS DOUBLE)), CAST(bin AS DOUBLE) / 10"
+
+
+@query(catalogue_queries._MFD.format(where="magnitude >= 1.5") + f", f AS (SELECT catalogue_id, CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_bins, regr_slope({_SLOPE}) AS s, regr_intercept({_SLOPE}) AS i, regr_r2({_SLOPE}) AS r FROM m GROUP BY 1), p AS (SELECT catalogue_id, bin FROM m QUALIFY row_number() OVER (PARTITION BY catalogue_id ORDER BY n DESC, bin) = 1) SELECT f.catalogue_id, n_events, CASE WHEN n_events < 10 THEN 'too few events' WHEN n_bins < 3 THEN 'too few bins' END AS error, CASE WHEN n_events >= 10 AND n_bins >= 3 THEN {rounded('-s')} END AS b_value, CASE WHEN n_events >= 10 AND n_bins >= 3 THEN {rounded('i')} END AS a_value, CASE WHEN n_events >= 10 AND n_bins >= 3 THEN {rounded('r')} END AS r2, CASE WHEN n_events >= 10 AND n_bins >= 3 THEN {rounded('CAST(p.bin AS DOUBLE) / 10 + 0.05', 2)} END AS completeness FROM f JOIN p ON p.catalogue_id = f.catalogue_id")
+def a9_display_fit(q: DataFrame) -> DataFrame:
+    return statistics.display_fit(q, least=1.5)
+
+
+_REQUIRED, _OPTIONAL = ("time", "latitude", "longitude", "magnitude", "region"), ("depth", "stations", "gap", "magnitude_type")
+_THERE = lambda fields: " + ".join(f"count(*) FILTER (WHERE coalesce(CAST({f} AS VARCHAR), '') <> '')" for f in fields)
+
+
+@query(f"+s AS (SELECT catalogue_id, 100.0 * CAST({_THERE(_REQUIRED)} AS DOUBLE) / (count(*) * 5) AS r, 100.0 * CAST({_THERE(_OPTIONAL)} AS DOUBLE) / (count(*) * 4) AS o, " + ", ".join(f"count(*) - {_THERE((f,))} AS missing_{f}" for f in _REQUIRED) + " FROM q GROUP BY 1) SELECT catalogue_id, floor(r + 0.5) AS required, floor(o + 0.5) AS optional, floor(r * 0.7 + o * 0.3 + 0.5) AS overall, " + ", ".join(f"missing_{f}" for f in _REQUIRED) + " FROM s")
+def a22_field_completeness(q: DataFrame) -> DataFrame:
+    return statistics.field_completeness(q, _REQUIRED, _OPTIONAL)
+
+
+@query(f"""+s AS (SELECT catalogue_id, time, count(*) AS n, count(*) FILTER (WHERE {_VALID}) AS valid, count(*) FILTER (WHERE depth < 5 AND magnitude > 7) AS odd, count(*) FILTER (WHERE horizontal_uncertainty > 0.1) AS wide FROM q GROUP BY 1, 2),
+ r AS (SELECT catalogue_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n - valid) AS BIGINT) AS wrong, 100.0 * CAST(sum(valid) AS DOUBLE) / sum(n) AS c1, CAST(100 - CASE WHEN max(n) > 1 THEN 10 ELSE 0 END - CASE WHEN max(odd) > 0 THEN 5 ELSE 0 END AS DOUBLE) AS c2, CAST(CASE WHEN sum(wide) > 0.5 * sum(n) THEN 70 ELSE 100 END AS DOUBLE) AS c3 FROM s GROUP BY 1),
+ l AS (SELECT *, epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY catalogue_id ORDER BY time, id) AS since FROM q),
+ w AS (SELECT catalogue_id, CASE WHEN count(*) FILTER (WHERE magnitude > 9 OR magnitude < -1) > 0 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (WHERE depth = 0) > 0.1 * count(*) THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (WHERE since < 1000000) > 0 THEN 1 ELSE 0 END AS warnings,
+  count(*) FILTER (WHERE coalesce(horizontal_uncertainty, depth_uncertainty, magnitude_uncertainty) IS NOT NULL) AS uncertain, count(*) FILTER (WHERE coalesce(gap, stations, phases) IS NOT NULL) AS measured, max(latitude) - min(latitude) AS up, max(longitude) - min(longitude) AS along FROM l GROUP BY 1),
+ x AS (SELECT r.*, w.* EXCLUDE (catalogue_id), (c1 + c2 + c3) / 3 AS mean FROM r JOIN w ON w.catalogue_id = r.catalogue_id),
+ y AS (SELECT *, concat_ws(',', CASE WHEN c1 < 90 THEN 'fill required fields' END, CASE WHEN uncertain < 0.5 * n THEN 'add uncertainties' END, CASE WHEN measured < 0.5 * n THEN 'add quality metrics' END, CASE WHEN c2 < 80 THEN 'review repeated or doubtful events' END,
+  CASE WHEN c3 < 80 THEN 'improve locations' END, CASE WHEN warnings > 0 THEN 'review ' || warnings || ' warnings' END, CASE WHEN up <= 0 OR along <= 0 THEN 'correct the bounds' END) AS said FROM x)
+ SELECT catalogue_id, floor(mean + 0.5) AS score, mean >= 60 AND wrong = 0 AS passed, CASE WHEN said = '' THEN 'ready to import' ELSE said END AS recommendations FROM y""")
+def a24_quality_check(q: DataFrame) -> DataFrame:
+    return validation.quality_check(q).withColumn("recommendations", F.array_join("recommendations", ","))
+
+
+@query("+d AS (SELECT catalogue_id, CAST(date_diff('day', DATE '1970-01-01', CAST(time AS DATE)) AS INTEGER) * CASE WHEN catalogue_id = 1 THEN 20 ELSE 1 END AS day, count(*) AS n FROM q GROUP BY 1, 2), s AS (SELECT catalogue_id, max(day) - min(day) > 365 AS long FROM d GROUP BY 1), w AS (SELECT d.catalogue_id, CASE WHEN long THEN day - CAST(dayofweek(DATE '1970-01-01' + day) AS INTEGER) ELSE day END AS start, CAST(sum(n) AS BIGINT) AS n FROM d JOIN s ON s.catalogue_id = d.catalogue_id GROUP BY 1, 2) SELECT *, CAST(sum(n) OVER (PARTITION BY catalogue_id ORDER BY start) AS BIGINT) AS running FROM w")
+def a6_activity(q: DataFrame) -> DataFrame:
+    # One catalogue's days are drawn out, so that it spans over a year.
+    long = F.date_from_unix_date(F.unix_date(F.to_date("time")) * 20).cast("timestamp_ntz")
+    return statistics.activity(q.withColumn("time", F.when(F.col("catalogue_id") == 1, long).otherwise(F.col("time").cast("timestamp_ntz"))))
+
+
+@query(f"+s AS (SELECT id, least({', '.join(_SIX.values())}) AS s, {', '.join(f'{sql} AS c_{name}' for name, sql in _SIX.items())} FROM q) SELECT id, 'QS' || s || ' - ' || CASE s WHEN 6 THEN 'Best Constrained' WHEN 5 THEN 'Very Well Constrained' WHEN 4 THEN 'Well Constrained' WHEN 3 THEN 'Moderately Constrained' WHEN 2 THEN 'Poorly Constrained' WHEN 1 THEN 'Very Poorly Constrained' ELSE 'Unconstrained' END AS label, CASE WHEN s >= 5 THEN 'default' WHEN s >= 3 THEN 'secondary' WHEN s >= 1 THEN 'outline' ELSE 'destructive' END AS badge, CASE " + " ".join(f"WHEN c_{name} = s THEN '{name}'" for name in _SIX) + " END AS limited_by FROM s")
+def e10_six_labels(q: DataFrame) -> DataFrame:
+    six = catalogue_queries._six(q)
+    score = F.least(*six.values())
+    return q.select("id", scores.six_label(score).alias("label"), scores.six_badge(score).alias("badge"), scores.limiting_factor(six).alias("limited_by"))
+
+
+@query(f"SELECT id, CASE WHEN magnitude < 2 THEN 3000 ELSE 3000 * (least(7, CAST(floor(magnitude) AS INTEGER))) END AS radius, CASE WHEN depth IS NULL THEN '#6b7280' ELSE {steps_sql('depth', scores.DEPTH_COLOURS, scores.DEEP_COLOUR, '<')} END AS colour FROM q")
+def e31_markers(q: DataFrame) -> DataFrame:
+    return q.select("id", scores.marker_radius(F.col("magnitude")).alias("radius"), scores.depth_colour(F.col("depth")).alias("colour"))
+
+
+@query("+c AS (" + oracle_sql()["a21_category_completeness"].split("SELECT catalogue_id, ", 1)[1].join(["SELECT catalogue_id, ", ""]) + ") SELECT catalogue_id, CASE WHEN overall >= 90 THEN 'A' WHEN overall >= 75 THEN 'B' WHEN overall >= 60 THEN 'C' WHEN overall >= 40 THEN 'D' ELSE 'F' END AS grade, 'Overall ' || printf('%.1f', floor(overall * 10 + 0.5) / 10) || '% (' || CASE WHEN overall >= 90 THEN 'A, Excellent' WHEN overall >= 75 THEN 'B, Good' WHEN overall >= 60 THEN 'C, Fair' WHEN overall >= 40 THEN 'D, Poor' ELSE 'F, Very Poor' END || '): ' || concat_ws(', ', " + ", ".join(f"'{name} ' || printf('%.1f', floor({name} * 10 + 0.5) / 10) || '%'" for name in _CATEGORIES) + ") AS text FROM c")
+def e36_completeness_text(q: DataFrame) -> DataFrame:
+    return statistics.completeness_text(statistics.category_completeness(q)).select("catalogue_id", "grade", "text")
+
+
+@query(f"+s AS (SELECT id, greatest(0, 100 - CAST(({_COSTS['location']}) AS DOUBLE)) AS l, * EXCLUDE (id) FROM q) SELECT id, CAST(CASE WHEN l >= 80 THEN 1 ELSE 0 END + CASE WHEN gap > 0 AND gap < 90 THEN 1 ELSE 0 END + CASE WHEN stations >= 20 THEN 1 ELSE 0 END + CASE WHEN rms > 0 AND rms < 0.3 THEN 1 ELSE 0 END + CASE WHEN magnitude_uncertainty > 0 AND magnitude_uncertainty < 0.1 THEN 1 ELSE 0 END + CASE WHEN evaluation_status IN ('reviewed', 'final') THEN 1 ELSE 0 END AS INTEGER) AS strengths, CAST(CASE WHEN l < 60 THEN 1 ELSE 0 END + CASE WHEN gap > 270 THEN 1 ELSE 0 END + CASE WHEN stations BETWEEN 1 AND 4 THEN 1 ELSE 0 END + CASE WHEN rms > 1 THEN 1 ELSE 0 END + CASE WHEN magnitude_uncertainty > 0.3 THEN 1 ELSE 0 END + CASE WHEN evaluation_status = 'preliminary' THEN 1 ELSE 0 END AS INTEGER) AS weaknesses FROM s")
+def e7_strengths(q: DataFrame) -> DataFrame:
+    said = q.select("id", validation.strengths(catalogue_queries._components(q)["location"]).alias("s"))
+    n = lambda kind: F.size(F.filter("s", lambda x: x["severity"] == kind))
+    return said.select("id", n("info").alias("strengths"), n("warning").alias("weaknesses"))
+
+
+from seismolake import merge_queries  # noqa: E402, F401  registers the queries of matched groups

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,3 +54,29 @@ def mean_longitude(lon: Column) -> Column:
     """Aggregate: the plain mean, or the circular one where the group spans half the circle or more."""
     circular = F.degrees(F.atan2(F.avg(F.sin(F.radians(lon))), F.avg(F.cos(F.radians(lon)))))
     return F.when(F.max(lon) - F.min(lon) < 180, F.avg(lon)).otherwise(circular)
+
+
+def _bands(lat: Column, lon: Column, km: Column, beside: int) -> Column:
+    """The cell (y, x) of a point moved by `beside` bands of latitude: bands are km high, and their cells at least km wide over the band and its neighbours; the cells of a band go round it evenly."""
+    high = km / (math.pi * RADIUS / 180) * 1.001
+    y = F.floor(lat / high) + beside
+    widest = F.greatest(F.abs((y - 1) * high), F.abs((y + 2) * high))
+    # Two points of neighbouring bands at that distance are at most so many degrees of longitude apart; towards the poles one cell is the whole band.
+    sine = F.sin(km / (2 * RADIUS)) / F.cos(F.radians(F.least(widest, F.lit(90.0))))
+    n = F.when((widest >= 90) | (sine >= 1), 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(360 / 1.001) / F.degrees(2 * F.asin(F.least(F.lit(1.0), sine)))))).cast("long")
+    x = F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
+    return F.struct(y.cast("long").alias("y"), x.alias("x"), n.alias("n"))
+
+
+def cell(lat: Column, lon: Column, km: Column | float) -> Column:
+    """The cell (y, x) of a point on a grid for distances up to km."""
+    own = _bands(lat, lon, km if isinstance(km, Column) else F.lit(float(km)), 0)
+    return F.struct(own["y"].alias("y"), own["x"].alias("x"))
+
+
+def cells_around(lat: Column, lon: Column, km: Column | float) -> Column:
+    """Array of the cells in which all points within km lie, across the date line and the poles too: the point's own and those around it."""
+    km = km if isinstance(km, Column) else F.lit(float(km))
+    at = lambda beside: _bands(lat, lon, km, beside)
+    near = [F.struct(b["y"].alias("y"), F.pmod(b["x"] + k, b["n"]).alias("x")) for b in map(at, (-1, 0, 1)) for k in (-1, 0, 1)]
+    return F.array_distinct(F.array(*near))

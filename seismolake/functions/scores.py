@@ -127,3 +127,39 @@ def fault_type(rake: Column) -> Column:
     """Style of faulting from the rake in degrees, -180 to 180."""
     r = rake
     return F.when(F.abs(r) <= 30, "strike-slip (left)").when(F.abs(r) >= 150, "strike-slip (right)").when(r > 0, F.when(r.between(60, 120), "reverse").otherwise("oblique reverse")).otherwise(F.when(r.between(-120, -60), "normal").otherwise("oblique normal"))
+
+
+# What the six-criterion score is called, from 0 up, and its badges by least score.
+SIX_LABELS = ("Unconstrained", "Very Poorly Constrained", "Poorly Constrained", "Moderately Constrained", "Well Constrained", "Very Well Constrained", "Best Constrained")
+SIX_BADGES: Steps = ((5, "default"), (3, "secondary"), (1, "outline"))
+
+
+def six_label(score: Column) -> Column:
+    """QS and the score, and its name."""
+    name = F.get(F.array(*map(F.lit, SIX_LABELS)), score.cast("int"))
+    return F.concat(F.lit("QS"), score.cast("int").cast("string"), F.lit(" - "), F.coalesce(name, F.lit(SIX_LABELS[0])))
+
+
+def six_badge(score: Column) -> Column:
+    return at_least(score, SIX_BADGES, "destructive")
+
+
+def limiting_factor(parts: dict[str, Column]) -> Column:
+    """The first of the six criteria that has the least score."""
+    values = F.array(*parts.values())
+    return F.get(F.array(*map(F.lit, parts)), (F.array_position(values, F.array_min(values)) - 1).cast("int"))
+
+
+# Radius in metres of a marker, by whole magnitude from 0 to 7 and more; where the magnitude is missing; colours of depths below a bound in km, of greater and of missing ones.
+MARKER_METRES = (3000, 3000, 6000, 9000, 12000, 15000, 18000, 21000)
+DEPTH_COLOURS: Steps = ((15, "#00CED1"), (40, "#20B2AA"), (100, "#008B8B"), (200, "#006666"))
+DEEP_COLOUR, NO_COLOUR = "#004D4D", "#6b7280"
+
+
+def marker_radius(magnitude: Column) -> Column:
+    held = F.greatest(F.lit(0.0), F.least(F.lit(7.0), magnitude))
+    return F.coalesce(F.get(F.array(*map(F.lit, MARKER_METRES)), F.floor(held).cast("int")), F.lit(MARKER_METRES[0]))
+
+
+def depth_colour(depth: Column) -> Column:
+    return F.when(depth.isNull(), NO_COLOUR).otherwise(below(depth, DEPTH_COLOURS, DEEP_COLOUR))

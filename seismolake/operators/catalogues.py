@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seismolake.plans.fields import Rule
+
 from .search import EventFilter, parse
 
 SOURCES = "array<struct<id:string,name:string,source:string,events:long>>"
@@ -84,3 +86,17 @@ def save_filter(rule: EventFilter) -> str:
 
 def load_filter(text: str) -> EventFilter:
     return EventFilter(**json.loads(text))
+
+
+def latest_imports(history: DataFrame, catalogue_id: int, k: int = 10) -> DataFrame:
+    """The last k imports of a catalogue (catalogue_id, created), newest first."""
+    return history.where(F.col("catalogue_id") == catalogue_id).orderBy(F.desc("created")).limit(k)
+
+
+def save_template(rules: list[Rule]) -> str:
+    """A template of a user's rules of mapping, as JSON."""
+    return json.dumps([asdict(r) for r in rules], sort_keys=True)
+
+
+def load_template(text: str) -> list[Rule]:
+    return [Rule(**r) for r in json.loads(text)]

@@ -1,24 +1,40 @@
-"""Components and greedy claiming over edge lists, by rounds of joins; each round is written once, so a lost executor costs one round."""
+"""Components and greedy claiming over edge lists, by rounds of joins; each round is written once, so a lost executor costs one round, and the round before it is removed."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """The frame as a table in the folder of spark.checkpoint.dir, which executors share."""
-    spark = frame.sparkSession
+def _folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="seismolake-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the folder of spark.checkpoint.dir, which executors share; a temporary one where that is unset, on a single machine only."""
+    spark = frame.sparkSession
+    path = f"{_folder(spark)}/graph-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,26 +46,37 @@ def components(edges: DataFrame) -> DataFrame:
         near = stored(labels.join(heard, labels.node == heard.a).select("node", F.col("component").alias("was"), F.least("component", "heard").alias("now")))
         roots = near.select(F.col("node").alias("root"), F.col("now").alias("beyond"))
         moved = stored(near.join(roots, near.now == roots.root, "left").select("node", "was", F.least("now", "beyond").alias("component")))
-        labels = moved.select("node", "component")
+        discard(labels, near)
+        labels = moved
         if moved.where("was <> component").isEmpty():
-            return labels
+            discard(both)
+            return moved.select("node", "component")
 
 
 def claim(edges: DataFrame) -> DataFrame:
     """(node, seed) of greedy claiming over edges (src, dst, rank): rank orders src, and an edge goes from the earlier to the later node.
 
-    Taken in order, a node that no seed has claimed becomes a seed and claims its later neighbours. A node
-    is decided as soon as all earlier neighbours are, so a round decides every node at the front at once.
+    Taken in order, a node that no seed has claimed becomes a seed and claims its later neighbours. A round makes seeds
+    of all open nodes without an open earlier neighbour, and drops them, what they claim, and the edges of both,
+    so that the tables of the rounds shrink.
     """
     edges = stored(edges)
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    state = stored(nodes.withColumn("state", F.lit("open")))
+    ends = edges.select("src", "dst")
+    nodes = stored(ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct())
+    found, waiting, between = [], nodes, edges
     while True:
-        seen = edges.join(state, edges.src == state.node).groupBy("dst").agg(F.max((F.col("state") == "seed")).alias("claimed"), F.max((F.col("state") == "open")).alias("waits"))
-        now = F.when(F.col("state") != "open", F.col("state")).when(F.col("claimed"), "claimed").when(F.col("waits"), "open").otherwise("seed")
-        state = stored(state.join(seen, state.node == seen.dst, "left").select("node", now.alias("state")))
-        if state.where("state = 'open'").isEmpty():
+        front = stored(waiting.join(between.select(F.col("dst").alias("node")), "node", "left_anti"))
+        found.append(front)
+        claimed = between.join(front, between.src == front.node, "left_semi").select(F.col("dst").alias("node"))
+        decided = stored(front.select("node").union(claimed).distinct())
+        after = stored(waiting.join(decided, "node", "left_anti"))
+        if after.isEmpty():
             break
-    seeds = state.where("state = 'seed'").select("node")
+        left = stored(between.join(decided, between.src == decided.node, "left_anti").join(decided, F.col("dst") == decided.node, "left_anti").select("src", "dst"))
+        discard(decided, *([waiting, between] if waiting is not nodes else []))
+        waiting, between = after, left
+    seeds = found[0]
+    for front in found[1:]:
+        seeds = seeds.union(front)
     owners = edges.join(seeds, edges.src == seeds.node, "left_semi").groupBy("dst").agg(F.min_by("src", "rank").alias("seed"))
     return seeds.select("node", F.col("node").alias("seed")).union(owners.join(seeds, owners.dst == seeds.node, "left_anti").select("dst", "seed"))

@@ -1,10 +1,11 @@
-"""Matching of events in space and time: joins on time buckets, never on a bare inequality."""
+"""Matching of events in space and time: joins on buckets of time and cells of the sphere, never on a bare inequality."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seismolake.functions import geo, scores
@@ -30,6 +31,16 @@ class Similarity:
 # Presets.
 PRESETS = {"strict": Similarity(10, 10, 0.3, least=0.85), "moderate": Similarity(), "loose": Similarity(60, 50, 1.0, least=0.60)}
 
+def window_days(magnitude: Column) -> Column:
+    """How long before and after an event of a magnitude others belong to it."""
+    return F.pow(F.lit(10.0), DAYS_A * magnitude + DAYS_B)
+
+
+def window_km(magnitude: Column) -> Column:
+    """How far from an event of a magnitude others belong to it."""
+    return F.pow(F.lit(10.0), KM_C * magnitude + KM_D)
+
+
 FIELDS = ("id", "catalogue_id", "time", "latitude", "longitude", "depth", "magnitude")
 
 
@@ -37,18 +48,22 @@ def micros(time: str = "time") -> Column:
     return F.unix_micros(F.col(time).cast("timestamp"))
 
 
-def close_pairs(events: DataFrame, seconds: float, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def close_pairs(events: DataFrame, seconds: float, km: float | None = None, fields: tuple[str, ...] = FIELDS, grid: tuple[Column, Column] | None = None) -> DataFrame:
     """Pairs of events at most so many seconds apart, the earlier (by time, catalogue, id) as columns a_*, the later as b_*, with dt in seconds.
 
-    A bucket is as long as the reach, so a later event is in the earlier one's bucket or the next.
+    A bucket is as long as the reach, so a later event is in the earlier one's bucket or the next. km: only pairs that may be so near each
+    other, by cells of a grid, so that a bucket's events of the whole world don't all meet; grid: other cells, an event's own and those around it.
     """
     reach = int(seconds * 1e6)
+    if grid is None and km is not None:
+        grid = geo.cell(F.col("latitude"), F.col("longitude"), km), geo.cells_around(F.col("latitude"), F.col("longitude"), km)
+    own, around = grid if grid is not None else (F.lit(0), F.array(F.lit(0)))
     timed = events.where("time is not null").select(*fields, micros().alias("us")).withColumn("bucket", F.floor(F.col("us") / reach))
     order = lambda side: F.struct(*[F.col(f"{side}_{c}") for c in ("us", "catalogue_id", "id")])
-    first = timed.select([F.col(c).alias(f"a_{c}") for c in (*fields, "us")] + [F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket")])
-    second = timed.select([F.col(c).alias(f"b_{c}") for c in (*fields, "us")] + ["bucket"])
-    pairs = first.join(second, "bucket").where((order("a") < order("b")) & (F.col("b_us") - F.col("a_us") <= reach))
-    return pairs.withColumn("dt", (F.col("b_us") - F.col("a_us")) / 1e6).drop("bucket")
+    first = timed.withColumn("cell", F.explode(around)).select([F.col(c).alias(f"a_{c}") for c in (*fields, "us")] + ["cell", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket")])
+    second = timed.select([F.col(c).alias(f"b_{c}") for c in (*fields, "us")] + [own.alias("cell"), "bucket"])
+    pairs = first.join(second, ["bucket", "cell"]).where((order("a") < order("b")) & (F.col("b_us") - F.col("a_us") <= reach))
+    return pairs.withColumn("dt", (F.col("b_us") - F.col("a_us")) / 1e6).drop("bucket", "cell")
 
 
 def pair_km() -> Column:
@@ -56,21 +71,25 @@ def pair_km() -> Column:
 
 
 def adaptive_matches(events: DataFrame, seconds: float = 30, km: float = 25, cells: bool = True) -> DataFrame:
-    """Pairs that match under thresholds that grow with the mean magnitude and the greater known depth; cells: only in the same or a neighbouring grid cell."""
-    pairs = close_pairs(events, seconds * scores.MOST_TIME)
+    """Pairs that match under thresholds that grow with the mean magnitude and the greater known depth; cells: only in the same or a neighbouring cell of a grid in degrees that is as wide as km at the equator, round the date line."""
+    grid = None
+    if cells:
+        size = max(0.05, km / geo.DEGREE_KM)
+        at = lambda c: F.floor(F.col(c) / size)
+        struct = lambda up, along: F.struct((at("latitude") + up).alias("y"), F.pmod(at("longitude") + along, F.lit(int(360 / size))).alias("x"))
+        grid = struct(0, 0), F.array(*[struct(up, along) for up in (-1, 0, 1) for along in (-1, 0, 1)])
+    pairs = close_pairs(events, seconds * scores.MOST_TIME, km * scores.MOST_DISTANCE * scores.MOST_DEPTH, grid=grid)
     mean = (F.col("a_magnitude") + F.col("b_magnitude")) / 2
     deepest = F.greatest("a_depth", "b_depth")
-    matched = pairs.withColumn("km", pair_km()).where(
+    return pairs.withColumn("km", pair_km()).where(
         (F.col("dt") <= seconds * scores.time_multiplier(mean)) & (F.col("dt") <= seconds * scores.time_multiplier(F.col("a_magnitude")))
         & (F.col("km") <= km * scores.distance_multiplier(mean) * scores.depth_multiplier(deepest))
     )
-    if not cells:
-        return matched
-    size = max(0.05, km / geo.DEGREE_KM)
-    around = int(360 / size)
-    cell = lambda c: F.floor(F.col(c) / size)
-    across = F.pmod(F.abs(cell("a_longitude") - cell("b_longitude")), F.lit(around))
-    return matched.where((F.abs(cell("a_latitude") - cell("b_latitude")) <= 1) & (F.least(across, around - across) <= 1))
+
+
+def simple_matches(events: DataFrame, seconds: float = 30, km: float = 25) -> DataFrame:
+    """Pairs within so many seconds and km."""
+    return close_pairs(events, seconds, km).where(pair_km() <= km)
 
 
 def merge_groups(events: DataFrame, seconds: float = 30, km: float = 25) -> DataFrame:
@@ -80,9 +99,28 @@ def merge_groups(events: DataFrame, seconds: float = 30, km: float = 25) -> Data
     return events.join(owners, events.id == owners.node, "left").drop("node").withColumn("leader", F.coalesce("seed", "id")).drop("seed")
 
 
+def farthest(rule: Similarity) -> float | None:
+    """The distance, as a multiple of the rule's, beyond which no pair can be similar whatever else it has in common; None if there is none."""
+    t, l, m, d = rule.weights
+    needed = min((rule.least * whole - (whole - l)) / l for whole in (t + l + m, t + l + m + d))
+    return None if needed <= 0 else math.sqrt(-math.log2(needed)) * 1.000001
+
+
+def match_reason() -> Column:
+    """What a similar pair has in common, in words."""
+    apart = F.abs(F.col("a_magnitude") - F.col("b_magnitude"))
+    deep = F.abs(F.col("a_depth") - F.col("b_depth"))
+    said = F.concat_ws(
+        ", ", F.when(F.col("dt") < 5, "very close in time").when(F.col("dt") < 30, "close in time"), F.when(F.col("km") < 5, "very close in location").when(F.col("km") < 20, "close in location"),
+        F.when(apart < 0.2, "similar magnitude").when(apart < 0.5, "close magnitude"), F.when(deep < 5, "similar depth").when(deep < 15, "close depth"),
+    )
+    return F.when(said == "", "matches within thresholds").otherwise(said)
+
+
 def similar_pairs(events: DataFrame, rule: Similarity = PRESETS["moderate"], by_magnitude: bool = False) -> DataFrame:
-    """Pairs whose similarity reaches rule.least, with score and confidence; by_magnitude: the distance threshold grows with the larger magnitude."""
-    pairs = close_pairs(events, rule.seconds * (4 if by_magnitude else 1)).withColumn("km", pair_km())
+    """Pairs whose similarity reaches rule.least, with score, confidence and reason; by_magnitude: the distance threshold grows with the larger magnitude."""
+    most = farthest(rule)
+    pairs = close_pairs(events, rule.seconds * (4 if by_magnitude else 1), None if most is None else most * rule.km * (scores.MOST_DISTANCE if by_magnitude else 1)).withColumn("km", pair_km())
     threshold = F.lit(rule.km) * (scores.distance_multiplier(F.greatest("a_magnitude", "b_magnitude")) if by_magnitude else F.lit(1.0))
     t, l, m, d = rule.weights
     known = F.col("a_depth").isNotNull() & F.col("b_depth").isNotNull()
@@ -90,7 +128,7 @@ def similar_pairs(events: DataFrame, rule: Similarity = PRESETS["moderate"], by_
     deep = d * scores.gaussian(F.abs(F.col("a_depth") - F.col("b_depth")), rule.depth_km)
     score = F.when(known, (parts + deep) / (t + l + m + d)).otherwise(parts / (t + l + m))
     found = pairs.withColumn("score", score).where(F.col("score") >= rule.least)
-    return found.withColumn("confidence", F.when(F.col("score") >= 0.9, "high").when(F.col("score") >= 0.75, "medium").otherwise("low"))
+    return found.withColumn("confidence", F.when(F.col("score") >= 0.9, "high").when(F.col("score") >= 0.75, "medium").otherwise("low")).withColumn("reason", match_reason())
 
 
 def duplicate_groups(events: DataFrame, rule: Similarity = PRESETS["moderate"]) -> DataFrame:
@@ -99,38 +137,38 @@ def duplicate_groups(events: DataFrame, rule: Similarity = PRESETS["moderate"])
     return found.select(F.col("node").alias("id"), F.col("component").alias("group"))
 
 
-def decluster(events: DataFrame) -> DataFrame:
-    """events with `mainshock`: the id of the event that claims each, in order of magnitude (largest first), time and id.
+def decluster(events: DataFrame, by: str | None = "catalogue_id") -> DataFrame:
+    """events with `mainshock`: the id of the event that claims each, in order of magnitude (largest first), time and id; by: a column within whose groups events claim each other, None for all together.
 
     An event claims those of no larger magnitude within its window of time (either way) and distance. Windows are
-    banded by whole magnitudes; a band's buckets of time and latitude are as long as its largest window.
+    banded by whole magnitudes; a band's buckets of time, and its cells of the sphere, are as long as its largest window. Each
+    event looks around itself once, in its own band.
     """
-    known = events.where("magnitude is not null and time is not null").select("id", "latitude", "longitude", "magnitude", micros().alias("us")).withColumn("band", F.floor("magnitude").cast("int"))
-    days = lambda m: F.pow(F.lit(10.0), DAYS_A * m + DAYS_B)
-    km = lambda m: F.pow(F.lit(10.0), KM_C * m + KM_D)
-    long, wide = days(F.col("band") + 1) * 86_400e6, km(F.col("band") + 1) / 111.0
-    at = lambda c, size: F.floor(F.col(c) / size)
-    near = lambda c, size: F.explode(F.sequence(at(c, size) - 1, at(c, size) + 1))
-    bands = known.select("band").distinct()
-    seeds = known.select("band", at("us", long).alias("t"), at("latitude", wide).alias("y"), *[F.col(c).alias(f"a_{c}") for c in ("id", "latitude", "longitude", "magnitude", "us")])
-    others = known.drop("band").join(F.broadcast(bands), F.floor(F.col("magnitude")) <= F.col("band"))  # a band a whole magnitude: a dozen rows
-    others = others.withColumn("t", near("us", long)).withColumn("y", near("latitude", wide)).select("band", "t", "y", *[F.col(c).alias(f"b_{c}") for c in ("id", "latitude", "longitude", "magnitude", "us")])
+    days, km = window_days, window_km
+    group = F.lit(0) if by is None else F.col(by)
+    known = events.where("magnitude is not null and time is not null").select("id", "latitude", "longitude", "magnitude", micros().alias("us"), group.alias("group"), F.floor("magnitude").cast("int").alias("own"))
+    long, wide = days(F.col("band") + 1) * 86_400e6, km(F.col("band") + 1)
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "latitude", "longitude", "magnitude", "us")]
+    t = F.floor(F.col("us") / long)
+    seeds = known.withColumn("band", F.col("own")).withColumn("t", F.explode(F.sequence(t - 1, t + 1))).withColumn("cell", F.explode(geo.cells_around(F.col("latitude"), F.col("longitude"), wide))).select("group", "band", "t", "cell", *side("a"))
+    bands = known.select(F.col("own").alias("band")).distinct()
+    others = known.join(F.broadcast(bands), F.col("own") <= F.col("band"))  # a band a whole magnitude: a dozen rows
+    others = others.select("group", "band", t.alias("t"), geo.cell(F.col("latitude"), F.col("longitude"), wide).alias("cell"), *side("b"))
     order = lambda s: F.struct(-F.col(f"{s}_magnitude"), F.col(f"{s}_us"), F.col(f"{s}_id"))
-    pairs = seeds.join(others, ["band", "t", "y"]).where(order("a") < order("b"))
+    pairs = seeds.join(others, ["group", "band", "t", "cell"]).where(order("a") < order("b"))
     pairs = pairs.where((F.abs(F.col("a_us") - F.col("b_us")) <= days(F.col("a_magnitude")) * 86_400e6) & (pair_km() <= km(F.col("a_magnitude"))))
     owners = graph.claim(pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), order("a").alias("rank")))
     return events.join(owners, events.id == owners.node, "left").drop("node").withColumn("mainshock", F.coalesce("seed", "id")).drop("seed")
 
 
 def near_faults(events: DataFrame, faults: DataFrame, km: float, k: int = 5) -> DataFrame:
-    """id, name, km and rank of the k nearest faults (by vertex) of each event within km; joined on cells of latitude."""
-    size = km / 111.0
-    points = faults.select("name", F.explode("points").alias("p")).select("name", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), F.explode(F.sequence(F.floor(F.col("p")[1] / size) - 1, F.floor(F.col("p")[1] / size) + 1)).alias("cell"))
-    placed = events.select("id", "latitude", "longitude", F.floor(F.col("latitude") / size).alias("cell"))
+    """id, name, km and rank of the k nearest faults (by vertex) of each event within km (to a tenth); joined on cells of the sphere."""
+    reach = km + 0.1
+    points = faults.select("name", F.explode("points").alias("p")).select("name", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    points = points.withColumn("cell", F.explode(geo.cells_around(F.col("y"), F.col("x"), reach)))
+    placed = events.select("id", "latitude", "longitude", geo.cell(F.col("latitude"), F.col("longitude"), reach).alias("cell"))
     far = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("y"), F.col("x"))
     best = placed.join(points, "cell").withColumn("km", far).groupBy("id", "name").agg(scores.js_round(F.min("km"), 1).alias("km")).where(F.col("km") <= km)
-    from pyspark.sql import Window
-
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("km", "name"))).where(F.col("rank") <= k)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, fields
 from datetime import date, timedelta
@@ -33,6 +34,7 @@ class EventFilter:
     west: float | None = None
     east: float | None = None
     magnitude_type: str | None = None
+    event_type: str | None = None
     mode: str | None = None
     status: str | None = None
     most_gap: float | None = None
@@ -43,7 +45,7 @@ class EventFilter:
     def column(self) -> Column:
         at_least = {"least_magnitude": "magnitude", "least_depth": "depth", "south": "latitude", "west": "longitude", "least_stations": "stations", "least_phases": "phases"}
         at_most = {"most_magnitude": "magnitude", "most_depth": "depth", "north": "latitude", "east": "longitude", "most_gap": "gap", "most_rms": "rms"}
-        equal = {"magnitude_type": "magnitude_type", "mode": "evaluation_mode", "status": "evaluation_status"}
+        equal = {"magnitude_type": "magnitude_type", "event_type": "event_type", "mode": "evaluation_mode", "status": "evaluation_status"}
         across = self.west is not None and self.east is not None and self.west > self.east
         out = []
         for f in fields(self):
@@ -64,6 +66,48 @@ class EventFilter:
         return reduce(lambda a, b: a & b, out, F.lit(True))
 
 
+# Parameters of a filter request, by the filter's field.
+REQUEST = {
+    "least_magnitude": "minMagnitude", "most_magnitude": "maxMagnitude", "least_depth": "minDepth", "most_depth": "maxDepth", "after": "startTime", "before": "endTime", "event_type": "eventType", "magnitude_type": "magnitudeType",
+    "status": "evaluationStatus", "mode": "evaluationMode", "most_gap": "maxAzimuthalGap", "least_phases": "minUsedPhaseCount", "least_stations": "minUsedStationCount", "most_rms": "maxStandardError",
+    "south": "minLatitude", "north": "maxLatitude", "west": "minLongitude", "east": "maxLongitude",
+}
+
+
+def decoded(parameters: dict[str, str]) -> EventFilter:
+    """The filter that a request's parameters ask for; empty ones and others count as not given, and text that begins with no number is refused."""
+    texts, whole = ("after", "before", "event_type", "magnitude_type", "status", "mode"), ("least_phases", "least_stations")
+    out: dict[str, object] = {}
+    for field, name in REQUEST.items():
+        if not (value := parameters.get(name)):
+            continue
+        if field in texts:
+            out[field] = value
+            continue
+        m = re.match(r"\s*[+-]?\d+" if field in whole else r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", value)
+        if not m:
+            raise ValueError(f"{name} is no number: {value}")
+        out[field] = int(m[0]) if field in whole else float(m[0])
+    return EventFilter(**out)
+
+
+# How far back a dashboard's time filters reach.
+PERIODS = {"week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH", "year": "INTERVAL 1 YEAR"}
+
+
+def dashboard(events: DataFrame, magnitudes: tuple[float, float], depths: tuple[float, float], regions: tuple[str, ...] = (), catalogues: tuple[int, ...] = (), period: str | None = None, now: str | None = None) -> DataFrame:
+    """Events in closed ranges of magnitude and depth (none with a missing depth), of regions (null and empty ones are Unknown) and catalogues, if some are named, and since a week, month or year before now."""
+    kept = F.col("magnitude").between(*magnitudes) & F.col("depth").between(*depths)
+    if regions:
+        kept &= F.coalesce(F.nullif("region", F.lit("")), F.lit("Unknown")).isin(*regions)
+    if catalogues:
+        kept &= F.col("catalogue_id").isin(*catalogues)
+    if period is not None:
+        at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+        kept &= F.col("time").cast("timestamp") >= at - F.expr(PERIODS[period])
+    return events.where(kept)
+
+
 def number_range(text: str) -> tuple[float | None, bool, float | None, bool]:
     """(least, counts itself, most, counts itself) of a..b, >=a, >a, <=b, <b, =a or a."""
     if m := re.fullmatch(r"([\d.]+)\.\.([\d.]+)", text):
@@ -139,9 +183,45 @@ def page_after(events: DataFrame, time: str | None, last_id: int | None, size: i
     return events.orderBy(F.desc("time"), F.desc("id")).limit(size)
 
 
+def limited(events: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """So many events from an offset on, newest first; the offset is exact, whether or not it is a whole number of pages."""
+    if not 1 <= limit <= MOST_ROWS or offset < 0:
+        raise ValueError(f"limit must be 1 to {MOST_ROWS}, offset 0 or more")
+    return events.orderBy(F.desc("time"), F.desc("id")).offset(offset).limit(limit)
+
+
+# The most rows of a page; the columns that a table can be sorted by, and those in which a missing value counts as zero.
+MOST_ROWS = 40_000
+SORTS, ZERO = ("time", "magnitude", "depth", "quality", "latitude", "longitude"), ("magnitude", "depth", "quality")
+
+
+def sorted_by(events: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """events in order of a column, ids break ties."""
+    if key not in SORTS:
+        raise ValueError(f"no order: {key}")
+    value = F.coalesce(F.col(key), F.lit(0.0)) if key in ZERO else F.col(key)
+    return events.orderBy(value.desc() if descending else value.asc(), "id")
+
+
+def with_cells(events: DataFrame, size: float = 1.0) -> DataFrame:
+    """events with cell_x and cell_y, whole numbers of a grid in degrees, to be partitioned by."""
+    return events.withColumns({"cell_x": F.floor(F.col("longitude") / size).cast("int"), "cell_y": F.floor(F.col("latitude") / size).cast("int")})
+
+
+def in_view(celled: DataFrame, south: float, north: float, west: float, east: float, size: float = 1.0) -> DataFrame:
+    """Events of with_cells in a box: whole cells first, which a partitioned table skips by, then the box itself."""
+    span = lambda c, low, high: F.col(c).between(math.floor(low / size), math.floor(high / size))
+    return celled.where(span("cell_x", west, east) & span("cell_y", south, north) & in_box(F.col("latitude"), F.col("longitude"), south, north, west, east))
+
+
 def overlapping(boxes: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
-    """Boxes (south, north, west, east) that overlap another, which may cross the date line; boxes with a null bound never do."""
-    along = (F.col("west") <= east) & (F.col("east") >= west) if west <= east else (F.col("west") <= east) | (F.col("east") >= west)
+    """Boxes (south, north, west, east) that overlap another; each may cross the date line (west over east). Boxes with a null bound never do."""
+    own_west, own_east = F.col("west"), F.col("east")
+    across = own_west > own_east
+    if west <= east:
+        along = F.when(across, (own_west <= east) | (own_east >= west)).otherwise((own_west <= east) & (own_east >= west))
+    else:
+        along = across | (own_west <= east) | (own_east >= west)
     return boxes.where((F.col("south") <= north) & (F.col("north") >= south) & along)
 
 

@@ -115,11 +115,69 @@ def completeness(events: DataFrame, fields: tuple[str, ...], by: str = "catalogu
     return wide.unpivot(by, list(fields), "field", "percent")
 
 
+def with_gaps(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
+    """events with `since`: microseconds since the one before (by time and id) in its group, null for the first. Days are numbered apart; a day's first event follows the last of the latest day before."""
+    us, day = F.unix_micros(F.col("time").cast("timestamp")), F.to_date("time")
+    days = events.groupBy(F.col(by).alias("_by"), day.alias("_day")).agg(F.max(us).alias("_last"))
+    before = days.withColumn("_before", F.lag("_last").over(Window.partitionBy("_by").orderBy("_day"))).drop("_last")
+    inside = events.withColumn("_in", us - F.lag(us).over(Window.partitionBy(by, day).orderBy("time", "id")))
+    joined = inside.join(before, F.col(by).eqNullSafe(F.col("_by")) & (day == F.col("_day")), "left")
+    return joined.withColumn("since", F.coalesce("_in", us - F.col("_before"))).drop("_in", "_before", "_by", "_day")
+
+
+# The share of events at depth zero, and the seconds between events, that make an anomaly.
+MOST_AT_ZERO, CLOSE_SECONDS = 0.1, 1
+
+
 def dataset_anomalies(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
-    """Counts of extreme magnitudes, great depths, zero depths, and events less than a second after the one before."""
-    micros = F.unix_micros(F.col("time").cast("timestamp"))
-    close = events.withColumn("since", micros - F.lag(micros).over(Window.partitionBy(by, F.to_date("time")).orderBy("time", "id")))
-    return close.groupBy(by).agg(F.count_if((F.col("magnitude") > 9) | (F.col("magnitude") < -1)).alias("extreme"), F.count_if(F.col("depth") > 700).alias("deep"), F.count_if(F.col("depth") == 0).alias("at_zero"), F.count_if(F.col("since") < 1_000_000).alias("close"))
+    """Counts of extreme magnitudes, great depths, zero depths (and whether these are too many), and events less than a second after the one before."""
+    counts = with_gaps(events, by).groupBy(by).agg(
+        F.count("*").alias("n"), F.count_if((F.col("magnitude") > 9) | (F.col("magnitude") < -1)).alias("extreme"), F.count_if(F.col("depth") > 700).alias("deep"), F.count_if(F.col("depth") == 0).alias("at_zero"),
+        F.count_if(F.col("since") < CLOSE_SECONDS * 1_000_000).alias("close"),
+    )
+    return counts.withColumn("too_many_at_zero", F.col("at_zero") > F.col("n") * MOST_AT_ZERO)
+
+
+def frequency_comparison(events: DataFrame, by: str = "catalogue_id", width: float = 0.1) -> DataFrame:
+    """magnitude_frequency of all groups, with log10 of the cumulative count, and the range of bins over all groups, for one axis."""
+    counts = magnitude_frequency(events, by, width)
+    reach = counts.agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"))  # one row
+    return counts.crossJoin(F.broadcast(reach)).withColumn("log_cumulative", js_round(F.log10(F.col("cumulative").cast("double")), 6))
+
+
+def display_fit(events: DataFrame, by: str = "catalogue_id", least: float | None = None, width: float = 0.1) -> DataFrame:
+    """The variant of displays: b with its sign, a and r2 (0 for a flat line) of the least-squares line, and the middle of the fullest bin; groups of too few events or bins have an error instead."""
+    counts = magnitude_frequency(events if least is None else events.where(F.col("magnitude") >= least), by, width)
+    x, y = F.when(F.col("cumulative") > 0, F.col("bin") / F.lit(1 / width)), F.log10(F.col("cumulative").cast("double"))
+    fit = counts.groupBy(by).agg(
+        F.sum("n").alias("n_events"), F.count(x).alias("n_bins"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("at_zero"), F.coalesce(F.regr_r2(y, x), F.lit(0.0)).alias("fit"),
+        F.max_by("bin", F.struct(F.col("n"), -F.col("bin"))).alias("peak"), F.var_pop(y).alias("spread"),
+    )
+    error = F.when(F.col("n_events") < 10, "too few events").when(F.col("n_bins") < 3, "too few bins")
+    sound = lambda c: F.when(F.col("error").isNull(), c)
+    flat = F.when(F.col("spread") > 0, F.col("fit")).otherwise(0.0)
+    return fit.withColumn("error", error).select(
+        by, "n_events", "error", sound(js_round(-F.col("slope"), 6)).alias("b_value"), sound(js_round(F.col("at_zero"), 6)).alias("a_value"), sound(js_round(flat, 6)).alias("r2"),
+        sound(js_round(F.col("peak") / F.lit(1 / width) + width / 2, 2)).alias("completeness"),
+    )
+
+
+def field_completeness(events: DataFrame, required: tuple[str, ...], optional: tuple[str, ...], by: str = "catalogue_id") -> DataFrame:
+    """Percentages of required and optional values that are there (not null, not empty), their sum by 0.7 and 0.3, rounded, and how many of each required field are missing."""
+    there = lambda f: F.count_if(F.coalesce(F.col(f).cast("string"), F.lit("")) != "")
+    share = lambda fields: 100.0 * sum(there(f) for f in fields) / (F.count(F.lit(1)) * len(fields)) if fields else F.lit(100.0)
+    out = events.groupBy(by).agg(share(required).alias("r"), share(optional).alias("o"), *[(F.count(F.lit(1)) - there(f)).alias(f"missing_{f}") for f in required])
+    return out.select(by, js_round(F.col("r")).alias("required"), js_round(F.col("o")).alias("optional"), js_round(F.col("r") * 0.7 + F.col("o") * 0.3).alias("overall"), *[f"missing_{f}" for f in required])
+
+
+def activity(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
+    """by, start (day number), n and the running total: by days, or by weeks from Sunday where the group spans over 365 days."""
+    day = F.unix_date(F.to_date("time"))
+    days = events.groupBy(by, day.alias("day")).agg(F.count("*").alias("n"))
+    spans = days.groupBy(F.col(by).alias("_by")).agg((F.max("day") - F.min("day")).alias("_span"))
+    week = F.col("day") - (F.dayofweek(F.date_from_unix_date("day")) - 1)
+    steps = days.join(spans, F.col(by).eqNullSafe(F.col("_by"))).groupBy(by, F.when(F.col("_span") > 365, week).otherwise(F.col("day")).alias("start")).agg(F.sum("n").alias("n"))
+    return steps.withColumn("running", F.sum("n").over(Window.partitionBy(by).orderBy("start")))
 
 
 # Fields of each category of completeness, and the categories' weights.
@@ -147,6 +205,16 @@ def moment_bins(events: DataFrame, by: str = "catalogue_id", width: float = 0.5)
     return events.where("magnitude is not null").groupBy(by, bin_of(F.col("magnitude"), width).alias("bin")).agg(F.count("*").alias("n"), js_round(F.log10(F.sum(moment)), 6).alias("log10_moment"))
 
 
+def top_clusters(declustered: DataFrame, k: int = 20) -> DataFrame:
+    """The k largest clusters, for displays; the earlier mainshock's id breaks ties."""
+    return clusters(declustered).orderBy(F.desc("n"), "mainshock").limit(k)
+
+
+def cluster_b_values(declustered: DataFrame, least: int = 10) -> DataFrame:
+    """mainshock and b_value of the clusters of so many events or more whose magnitudes fill three bins."""
+    return gutenberg_richter(declustered, "mainshock", float("-inf")).where(F.col("n_events") >= least).select("mainshock", "n_events", "b_value")
+
+
 def clusters(declustered: DataFrame, least: int = 3) -> DataFrame:
     """Clusters of `least` events or more of declustered events (mainshock): size, days, largest and second magnitude, and type.
 
@@ -165,6 +233,48 @@ def quality_coverage(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
     return events.groupBy(by).agg(F.count("*").alias("n"), *[some(f) for f in ("horizontal_uncertainty", "depth_uncertainty", "magnitude_uncertainty", "gap", "stations", "rms")])
 
 
+def grade_counts(scored: DataFrame, by: str = "catalogue_id") -> DataFrame:
+    """by, grade, n and mean score of events with a score (0 to 100)."""
+    from seismolake.functions.scores import grade
+
+    return scored.groupBy(by, grade(F.col("score")).alias("grade")).agg(F.count("*").alias("n"), js_round(F.avg("score"), 4).alias("mean_score"))
+
+
+def total_events(catalogues: DataFrame) -> DataFrame:
+    """One row: the stored numbers of events of all catalogues (events) together."""
+    return catalogues.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("total"))
+
+
+def distinct_values(events: DataFrame, *names: str) -> DataFrame:
+    """The different values of columns, without rows in which the last is null or empty."""
+    return events.where(F.coalesce(F.col(names[-1]), F.lit("")) != "").select(*names).distinct()
+
+
+def counts_by(events: DataFrame, *names: str) -> DataFrame:
+    """Events of each value of columns, the most first, then by value."""
+    return events.groupBy(*names).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *names)
+
+
+# Grades of completeness by least percentage.
+COMPLETENESS_GRADES = ((90, "A", "Excellent"), (75, "B", "Good"), (60, "C", "Fair"), (40, "D", "Poor"))
+
+
+def completeness_grade(percent: Column) -> Column:
+    """Struct of grade and label."""
+    out = F.struct(F.lit("F").alias("grade"), F.lit("Very Poor").alias("label"))
+    for least, grade, label in reversed(COMPLETENESS_GRADES):
+        out = F.when(percent >= least, F.struct(F.lit(grade).alias("grade"), F.lit(label).alias("label"))).otherwise(out)
+    return out
+
+
+def completeness_text(categories: DataFrame) -> DataFrame:
+    """category_completeness with grade, label and a text that says so."""
+    graded = categories.withColumn("_g", completeness_grade(F.col("overall")))
+    parts = [F.format_string(f"{name} %.1f%%", js_round(F.col(name), 1)) for name in CATEGORIES]
+    text = F.concat(F.format_string("Overall %.1f%% (", js_round(F.col("overall"), 1)), F.col("_g.grade"), F.lit(", "), F.col("_g.label"), F.lit("): "), F.concat_ws(", ", *parts))
+    return graded.withColumns({"grade": F.col("_g.grade"), "label": F.col("_g.label"), "text": text}).drop("_g")
+
+
 def box_text(boxes: DataFrame) -> DataFrame:
     """Boxes with area in square degrees, centre and a text."""
     say = lambda c: F.format_string("%.2f", F.col(c).cast("double"))

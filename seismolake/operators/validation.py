@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seismolake.functions import text as read
@@ -104,6 +104,8 @@ def cross_field(now: Column | None = None) -> Column:
         ("magnitude_unknown", "magnitude_uncertainty", "error", m_unc > F.abs(mag)),
         ("more_stations_than_phases", "stations", "error", n > phases),
         ("few_phases", "phases", "info", phases < n * 1.2),
+        ("lopsided_location", "location", "warning", asymmetry(c("latitude_uncertainty"), c("longitude_uncertainty")) > 10),
+        ("more_magnitude_stations", "magnitude_stations", "warning", c("magnitude_stations") > n),
         ("gap_despite_stations", "gap", "warning", (n >= 10) & (gap > 180)),
         ("gap_small", "gap", "info", (n < 6) & (gap < 90)),
         ("rms_large", "rms", "warning", rms > 5),
@@ -117,9 +119,10 @@ def cross_field(now: Column | None = None) -> Column:
 
 
 def asymmetry(a: Column, b: Column) -> Column:
-    """The larger of two uncertainties over the smaller; infinite if that is zero."""
-    low = F.least(a, b)
-    return F.when(low == 0, F.lit(float("inf"))).otherwise(F.greatest(a, b) / F.nullif(low, F.lit(0.0)))
+    """The larger of two uncertainties over the smaller; infinite if only that is zero, null if one is missing or both are zero."""
+    low, high = F.least(a, b), F.greatest(a, b)
+    ratio = F.when((low == 0) & (high > 0), F.lit(float("inf"))).otherwise(high / F.nullif(low, F.lit(0.0)))
+    return F.when(a.isNotNull() & b.isNotNull(), ratio)
 
 
 def thresholds() -> Column:
@@ -172,10 +175,38 @@ def bounds_problems(boxes: DataFrame) -> DataFrame:
     ]))
 
 
-def time_gaps(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
-    """events with `since`: seconds since the one before in its catalogue and day."""
-    us = F.unix_micros(F.col("time").cast("timestamp"))
-    return events.withColumn("since", (us - F.lag(us).over(Window.partitionBy(by, F.to_date("time")).orderBy("time", "id"))) / 1e6)
+def validity() -> Column:
+    """Struct of whether an event's place, magnitude and depth (or none) are in range."""
+    c = F.col
+    return F.struct(
+        (c("latitude").between(-90, 90) & c("longitude").between(-180, 180)).alias("place"), c("magnitude").between(-3, 10).alias("magnitude"), (c("depth").isNull() | c("depth").between(0, 1000)).alias("depth"),
+    )
+
+
+# Least score of a passed check, and the bounds below which each part of a report asks for work.
+LEAST_SCORE, LEAST_COMPLETE, LEAST_OTHER = 60, 90, 80
+
+
+def quality_check(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
+    """score (the rounded mean of the report's parts), passed (a mean of 60 or more, and no event out of range) and recommendations of each catalogue."""
+    from .statistics import bounds, dataset_anomalies
+
+    ok = F.col("ok")
+    marked = events.withColumn("ok", validity())
+    wrong = marked.groupBy(by).agg(
+        F.count_if(~F.coalesce(ok["place"] & ok["magnitude"] & ok["depth"], F.lit(False))).alias("wrong"), F.count("*").alias("all"),
+        F.count_if(F.coalesce("horizontal_uncertainty", "depth_uncertainty", "magnitude_uncertainty").isNotNull()).alias("uncertain"), F.count_if(F.coalesce(F.col("gap"), F.col("stations").cast("double"), F.col("phases").cast("double")).isNotNull()).alias("measured"),
+    )
+    boxes = bounds_problems(bounds(events, by)).select(by, has_error(F.col("problems")).alias("bad_box"))
+    odd = dataset_anomalies(events, by).select(by, ((F.col("extreme") > 0).cast("int") + F.col("too_many_at_zero").cast("int") + (F.col("close") > 0).cast("int")).alias("warnings"))
+    x = quality_report(events, by).join(wrong, by).join(boxes, by).join(odd, by)
+    mean = (F.col("completeness") + F.col("consistency") + F.col("accuracy")) / 3
+    advice = F.array_compact(F.array(
+        F.when(F.col("completeness") < LEAST_COMPLETE, "fill required fields"), F.when(F.col("uncertain") < 0.5 * F.col("all"), "add uncertainties"), F.when(F.col("measured") < 0.5 * F.col("all"), "add quality metrics"),
+        F.when(F.col("consistency") < LEAST_OTHER, "review repeated or doubtful events"), F.when(F.col("accuracy") < LEAST_OTHER, "improve locations"), F.when(F.col("warnings") > 0, F.format_string("review %d warnings", "warnings")), F.when(F.col("bad_box"), "correct the bounds"),
+    ))
+    advice = F.when(F.size(advice) == 0, F.array(F.lit("ready to import"))).otherwise(advice)
+    return x.select(by, js_round(mean).alias("score"), ((mean >= LEAST_SCORE) & (F.col("wrong") == 0)).alias("passed"), advice.alias("recommendations"))
 
 
 def strengths(located: Column) -> Column:

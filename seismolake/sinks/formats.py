@@ -18,6 +18,10 @@ QUAKEML_TAIL = "</eventParameters>\n</q:quakeml>"
 CSV_COLUMNS = ("id", "time", "latitude", "longitude", "depth", "magnitude", "magnitude_type", "region", "stations", "phases", "gap", "rms", "evaluation_mode", "evaluation_status")
 
 
+# Columns of the short table, by their heads.
+SHORT_COLUMNS = {"Time": "time", "Latitude": "latitude", "Longitude": "longitude", "Magnitude": "magnitude", "Depth": "depth", "Source": "source"}
+
+
 def iso(time: Column) -> Column:
     return F.date_format(time.cast("timestamp"), TIME)
 
@@ -38,6 +42,12 @@ def csv_line(columns: tuple[str, ...] = CSV_COLUMNS) -> Column:
     return F.concat_ws(",", *[csv_field(iso(F.col(c)) if c == "time" else F.col(c)) for c in columns])
 
 
+def short_csv_line() -> Column:
+    """A line of the short table: a zero depth is a value, a missing source is unknown."""
+    said = {"time": iso(F.col("time")), "source": F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown"))}
+    return F.concat_ws(",", *[csv_field(said.get(c, F.col(c))) for c in SHORT_COLUMNS.values()])
+
+
 def csv_head(name: str, metadata: dict[str, object], columns: tuple[str, ...] = CSV_COLUMNS) -> str:
     """Comment lines of metadata and the header line."""
     return "\n".join([f"# Catalogue: {name}", *[f"# {k}: {v}" for k, v in metadata.items()], ",".join(columns)])
@@ -77,27 +87,48 @@ def kml_placemark() -> Column:
 
 
 def kml_folders(events: DataFrame) -> DataFrame:
-    """folder, events and the placemarks of each part file's rows: aggregate counts for the document's index."""
+    """folder and number of events: the counts of a document's folders."""
     return events.groupBy(folder(F.col("magnitude")).alias("folder")).agg(F.count("*").alias("n"))
 
 
-def _tag(name: str, value: Column, inner: bool = False) -> Column:
+def kml_lines(events: DataFrame) -> DataFrame:
+    """The folders of a map document as lines (value), in order: each folder's head with its count, its placemarks by id, its end. The frame of FRAMES goes around them."""
+    names = [*[name for _, name in FOLDERS], TOP_FOLDER, "Unknown"]
+    place = lambda c: F.array_position(F.array(*map(F.lit, names)), c)
+    counts = kml_folders(events)
+    heads = counts.select(place(F.col("folder")).alias("at"), F.lit(0).alias("part"), F.lit(None).cast("string").alias("key"), F.concat(F.lit("<Folder><name>"), "folder", F.format_string(" (%d events)", "n"), F.lit("</name>")).alias("value"))
+    ends = counts.select(place(F.col("folder")).alias("at"), F.lit(2).alias("part"), F.lit(None).cast("string").alias("key"), F.lit("</Folder>").alias("value"))
+    marks = events.select(place(folder(F.col("magnitude"))).alias("at"), F.lit(1).alias("part"), F.lpad(F.col("id").cast("string"), 20, "0").alias("key"), kml_placemark().alias("value"))
+    return heads.unionByName(marks).unionByName(ends).orderBy("at", "part", "key").select("value")
+
+
+def _tag(name: str, value: Column) -> Column:
     """An element, or an empty text where the value is null."""
-    body = F.concat(F.lit("<value>"), value.cast("string"), F.lit("</value>")) if inner else xml_escaped(value.cast("string"))
-    return F.coalesce(F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name}>")), F.lit(""))
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), xml_escaped(value.cast("string")), F.lit(f"</{name}>")), F.lit(""))
+
+
+def _quantity(name: str, value: Column, uncertainty: Column) -> Column:
+    """An element of a value and, where it is there, its uncertainty; an empty text where the value is null."""
+    return F.when(value.isNull(), "").otherwise(F.concat(F.lit(f"<{name}>"), _tag("value", value), _tag("uncertainty", uncertainty), F.lit(f"</{name}>")))
 
 
-def quakeml_event(prefix: str = "smi:local/") -> Column:
+def quakeml_event(prefix: str = "smi:local/", mechanism: bool = False) -> Column:
+    """An event element with its uncertainties; mechanism: with strike, dip and rake as a focal mechanism where they are there."""
     c = F.col
     ident = F.concat(F.lit(f"{prefix}event/"), c("id").cast("string"))
-    quality = F.concat(_tag("usedPhaseCount", c("phases")), _tag("usedStationCount", c("stations")), _tag("standardError", c("rms")), _tag("azimuthalGap", c("gap")))
+    quality = F.concat(_tag("usedPhaseCount", c("phases")), _tag("usedStationCount", c("stations")), _tag("standardError", c("rms")), _tag("azimuthalGap", c("gap")), _tag("minimumDistance", c("minimum_distance")))
     origin = F.concat(
-        F.lit('<origin publicID="'), ident, F.lit('/origin">'), _tag("time", iso(c("time")), True), _tag("latitude", c("latitude"), True), _tag("longitude", c("longitude"), True), _tag("depth", c("depth") * 1000, True),
+        F.lit('<origin publicID="'), ident, F.lit('/origin">'), _quantity("time", iso(c("time")), c("time_uncertainty")), _quantity("latitude", c("latitude"), c("latitude_uncertainty")), _quantity("longitude", c("longitude"), c("longitude_uncertainty")),
+        _quantity("depth", c("depth") * 1000, c("depth_uncertainty") * 1000), F.coalesce(F.concat(F.lit("<originUncertainty>"), F.nullif(_tag("horizontalUncertainty", c("horizontal_uncertainty")), F.lit("")), F.lit("</originUncertainty>")), F.lit("")),
         F.lit("<quality>"), quality, F.lit("</quality>"), _tag("evaluationMode", c("evaluation_mode")), _tag("evaluationStatus", c("evaluation_status")), F.lit("</origin>"),
     )
-    magnitude = F.concat(F.lit('<magnitude publicID="'), ident, F.lit('/magnitude">'), _tag("mag", c("magnitude"), True), _tag("type", c("magnitude_type")), F.lit("</magnitude>"))
-    text = F.coalesce(F.concat(F.lit("<description>"), _tag("text", F.nullif(c("region"), F.lit(""))), F.lit("</description>")), F.lit(""))
-    return F.concat(F.lit('<event publicID="'), ident, F.lit('">'), F.lit("<preferredOriginID>"), ident, F.lit("/origin</preferredOriginID><preferredMagnitudeID>"), ident, F.lit("/magnitude</preferredMagnitudeID>"), text, origin, magnitude, F.lit("</event>"))
+    magnitude = F.concat(F.lit('<magnitude publicID="'), ident, F.lit('/magnitude">'), _quantity("mag", c("magnitude"), c("magnitude_uncertainty")), _tag("type", c("magnitude_type")), _tag("stationCount", c("magnitude_stations")), F.lit("</magnitude>"))
+    text = F.coalesce(F.concat(F.lit("<description>"), F.nullif(_tag("text", F.nullif(c("region"), F.lit(""))), F.lit("")), F.lit("</description>")), F.lit(""))
+    planes = F.lit("")
+    if mechanism:
+        plane = F.concat(*[F.concat(F.lit(f"<{x}>"), F.lit("<value>"), c(x).cast("string"), F.lit(f"</value></{x}>")) for x in ("strike", "dip", "rake")])
+        planes = F.coalesce(F.concat(F.lit('<focalMechanism publicID="'), ident, F.lit('/mechanism"><nodalPlanes><nodalPlane1>'), plane, F.lit("</nodalPlane1></nodalPlanes></focalMechanism>")), F.lit(""))
+    return F.concat(F.lit('<event publicID="'), ident, F.lit('">'), F.lit("<preferredOriginID>"), ident, F.lit("/origin</preferredOriginID><preferredMagnitudeID>"), ident, F.lit("/magnitude</preferredMagnitudeID>"), _tag("type", c("event_type")), text, origin, magnitude, planes, F.lit("</event>"))
 
 
 FORMATS = {"json": json_record, "geojson": geojson_feature, "kml": kml_placemark, "quakeml": quakeml_event, "csv": csv_line}

@@ -18,16 +18,23 @@ DELIMITER_LINES, DATE_LINES = 10, 50
 NO_BLANK = "trim(value) <> ''"
 
 
+# A character that stands for a delimiter within quotes.
+QUOTED = "\x01"
+
+
 def split_line(line: Column, delimiter: str) -> Column:
-    """The values of a line, trimmed: quotes switch quoting on and off and are dropped; runs of spaces are one delimiter."""
-    parts = F.split(line, re.escape(delimiter) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    values = F.transform(parts, lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
+    """The values of a line, trimmed: quotes switch quoting on and off and are dropped; runs of spaces are one delimiter. One pass: what lies between quotes has its delimiters marked, then the line is cut."""
+    between = F.transform(F.split(line, '"'), lambda x, k: F.when(k % 2 == 1, F.replace(x, F.lit(delimiter), F.lit(QUOTED))).otherwise(x))
+    cut = lambda text: F.split(text, re.escape(delimiter), -1)
+    marked = F.transform(cut(F.array_join(between, "")), lambda x: F.trim(F.replace(x, F.lit(QUOTED), F.lit(delimiter))))
+    values = F.when(F.contains(line, F.lit('"')), marked).otherwise(F.transform(cut(line), lambda x: F.trim(x)))
     return F.filter(values, lambda x: x != "") if delimiter == " " else values
 
 
 def split_head(line: str, delimiter: str) -> list[str]:
     """split_line for one line of the head."""
-    values = [x.replace('"', "").strip() for x in re.split(re.escape(delimiter) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', line)]
+    marked = "".join(x.replace(delimiter, QUOTED) if k % 2 else x for k, x in enumerate(line.split('"')))
+    values = [x.replace(QUOTED, delimiter).strip() for x in marked.split(delimiter)]
     return [x for x in values if x] if delimiter == " " else values
 
 

@@ -7,8 +7,10 @@ from datetime import datetime, timedelta
 from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .delimited import read_lines
+from .rows import typed
 
 # Columns of the text format by field; a box around New Zealand.
 COLUMNS = {"EventID": "id", "Time": "time", "Latitude": "latitude", "Longitude": "longitude", "Depth/km": "depth", "Author": "author", "MagType": "magnitude_type", "Magnitude": "magnitude", "EventLocationName": "location_name"}
@@ -55,3 +57,18 @@ class Request:
 def read_answers(lines: DataFrame) -> DataFrame:
     """Events, with failures, of the lines (value) of answers; an unreadable depth is null and a warning."""
     return read_lines(lines, delimiter="|", order="iso", comment="#", names=COLUMNS)
+
+
+# Columns of a temporary network's file, which has no header.
+TEMPORARY = ("id", "time", "latitude", "longitude", "depth", "author", "catalog", "contributor", "contributor_id", "magnitude_type", "magnitude", "magnitude_author", "location_name")
+
+
+def read_temporary(lines: DataFrame, network: str | None = None) -> DataFrame:
+    """Events, with failures, of a temporary network's lines (value): thirteen or more columns between bars; blank lines and those that begin with # are passed over, shorter ones fail."""
+    kept = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.col("value").alias("line"), F.explode(F.array(F.transform(F.split("value", r"\|", -1), lambda x: F.trim(x)))).alias("_parts"))
+    at = {name: k for k, name in enumerate(TEMPORARY)}
+    raw = {field: F.get("_parts", F.lit(at[field])) for field in ("id", "time", "latitude", "longitude", "depth", "author", "magnitude_type", "magnitude", "location_name")}
+    raw["agency_id"] = F.lit(network).cast("string") if network else F.get("_parts", F.lit(at["contributor"]))
+    events = typed(kept.withColumn("_width", F.size("_parts") >= len(TEMPORARY)), raw, "iso", keep=("line", "_width"))
+    width = F.struct(F.lit("width").alias("name"), F.lit("line").alias("field"), F.lit("error").alias("severity"))
+    return events.withColumn("failures", F.when(F.col("_width"), F.col("failures")).otherwise(F.array(width))).drop("_width")

@@ -71,3 +71,12 @@ def read_json_lines(lines: DataFrame, names: dict[str, str], order: str = "us")
     return typed(rows, {field: F.try_element_at("record", F.lit(source)) for source, field in names.items()}, order)
 
 
+FAULT = "struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
+
+
+def read_faults(texts: DataFrame, name: str = "name") -> DataFrame:
+    """A row a line of a GeoJSON FeatureCollection's faults: name, its properties and points (longitude, latitude). A MultiLineString gives a row for each of its lines; texts that are no collection give none."""
+    each = texts.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), f"array<{FAULT}>")).alias("f"))
+    shape, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    lines = F.when(shape == "LineString", F.array(F.from_json(text, "array<array<double>>"))).when(shape == "MultiLineString", F.from_json(text, "array<array<array<double>>>"))
+    return each.select(F.try_element_at("f.properties", F.lit(name)).alias("name"), F.col("f.properties").alias("properties"), F.explode(lines).alias("points")).where(F.size("points") > 0)

@@ -44,6 +44,8 @@ def flattened(events: DataFrame) -> DataFrame:
         c("type").alias("event_type"), c("typeCertainty").alias("event_type_certainty"), F.get("description", F.lit(0))["text"].alias("region"), c("creationInfo.agencyID").alias("agency_id"), c("creationInfo.author").alias("author"),
         c("o.latitude.uncertainty").alias("latitude_uncertainty"), c("o.longitude.uncertainty").alias("longitude_uncertainty"), (c("o.depth.uncertainty") / 1000).alias("depth_uncertainty"), c("o.originUncertainty.horizontalUncertainty").alias("horizontal_uncertainty"),
         c("o.evaluationMode").alias("evaluation_mode"), c("o.evaluationStatus").alias("evaluation_status"), *[c(f"o.quality.{name}").alias(field) for field, name in q.items()],
+        c("o.time.uncertainty").alias("time_uncertainty"), F.transform("comment", lambda x: x["text"]).alias("comments"),
+        F.struct(*[c(f"{side}.{name}").alias(name) for side, name in (("o", "latitude"), ("o", "longitude"), ("o", "depth"), ("m", "mag"))]).alias("quantities"),
         *[F.get("focalMechanism", F.lit(0))["nodalPlanes"]["nodalPlane1"][x]["value"].alias(x) for x in ("strike", "dip", "rake")],
         failing([
             ("no_public_id", "event", "error", F.coalesce(c("_publicID"), F.lit("")) == ""), ("no_origin", "origin", "error", F.coalesce(F.size("origin"), F.lit(0)) <= 0), ("no_magnitude", "magnitude", "error", F.coalesce(F.size("magnitude"), F.lit(0)) <= 0),
