@@ -41,11 +41,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Whether Spark removes a query's shuffle files once it is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table written once in the shared folder: it cuts lineage and outlives executors."""
+    """The frame as a table written once in the shared folder: it cuts lineage and outlives executors. The shuffle files of its making go as soon as it is written."""
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    frame.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(frame.schema).parquet(path)
     out._scratch = path
     return out

@@ -25,6 +25,8 @@ from .common import discard, numbered, small_batches, stored
 
 #: Bounds of the trees: fingerprints sampled, homes wanted in a leaf, leaves of a tree, rows of a tile's side.
 SAMPLE, LEAF, MOST_LEAVES, TILE = 40_000, 1000, 8192, 2000
+#: Ids of documents up to this number are sent to all tasks, so that no text is shuffled.
+FEW = 200_000
 #: Rows that a task walks through the trees at once.
 GATHERED = 20_000
 #: The least Jaccard similarity of near-duplicates that keep_first drops, as a fraction; the most shingles that it knows as common, and the documents sampled for them.
@@ -336,8 +338,8 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
     def verified(candidates: DataFrame) -> DataFrame:
         pairs = stored(candidates.distinct(), "similar-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ids = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "body")).alias("one")).select("one.*")
-        keyed = docs.withColumn("body", F.xxhash64("text")).join(ids, ["doc_id", "body"], "left_semi")
+        ids = stored(marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "body")).alias("one")).select("one.*"), "similar-wanted")
+        keyed = docs.withColumn("body", F.xxhash64("text")).join(F.broadcast(ids) if ids.count() <= FEW else ids, ["doc_id", "body"], "left_semi")
         bodies = stored(shingle_sets(keyed, shingle).select("node", "hashes"), "similar-sets")
         own = lambda s: bodies.select(F.col("node").alias(s), F.col("hashes").alias(f"{s}_hashes"))
         both = pairs.join(own("a"), "a").join(own("b"), "b")
