@@ -90,9 +90,14 @@ def read_lines(lines: DataFrame, delimiter: str | None = None, order: str | None
     if order is None and "time" in at:
         sample = [split_head(x, delimiter) for x in head[1:]]
         order = detect_order([s[at["time"]] for s in sample if len(s) > at["time"]])[0]
-    rows = rows.select(F.col("value").alias("line"), F.explode(F.array(split_line(F.col("value"), delimiter))).alias("_parts"))
-    rows = rows.withColumn("_fits", F.size("_parts") == len(header))
-    events = typed(rows.withColumn("_width", F.col("_fits")), {field: F.get("_parts", F.lit(k)) for field, k in at.items()}, "us" if order == "us" else "international", keep=("line", "_width"))
+    return parsed(rows, header, delimiter, at, "us" if order == "us" else "international")
+
+
+def parsed(lines: DataFrame, header: list[str], delimiter: str, at: dict[str, int], order: str) -> DataFrame:
+    """Events, with failures and `line`, of lines (value) without their header; at: column number by field. Batch or stream; a line of another width than the header has the failure width."""
+    rows = lines.select(F.col("value").alias("line"), F.explode(F.array(split_line(F.col("value"), delimiter))).alias("_parts"))
+    rows = rows.withColumn("_width", F.size("_parts") == len(header))
+    events = typed(rows, {field: F.get("_parts", F.lit(k)) for field, k in at.items()}, order, keep=("line", "_width"))
     width = F.struct(F.lit("width").alias("name"), F.lit("line").alias("field"), F.lit("error").alias("severity"))
     return events.withColumn("failures", F.when(F.col("_width"), F.col("failures")).otherwise(F.array(width))).drop("_width")
 

@@ -10,19 +10,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seismolake.operators.search import classify_import
 from seismolake.sources import json_files, quakeml
-from seismolake.sources.delimited import split_head, split_line
-from seismolake.sources.rows import accepted, typed
+from seismolake.sources.delimited import parsed, split_head
+from seismolake.sources.rows import accepted
 
 
 def delimited_stream(spark: SparkSession, folder: str, header: str, delimiter: str = ",", names: dict[str, str] | None = None, files: int = 10, order: str = "us") -> DataFrame:
-    """Events, with failures, of files that arrive in a folder, each with the same header line; `files` at most a batch."""
+    """Events, with failures (also of lines of another width), of files that arrive in a folder, each with the same header line; `files` at most a batch."""
     from seismolake.plans.fields import lookup
 
     columns = split_head(header, delimiter)
     found = lookup(columns) | {field: source for source, field in (names or {}).items()}
     lines = spark.readStream.option("maxFilesPerTrigger", files).text(folder).where((F.trim("value") != "") & (F.trim("value") != header.strip()))
-    parts = lines.select(F.col("value").alias("line"), F.explode(F.array(split_line(F.col("value"), delimiter))).alias("_parts")).where(F.size("_parts") == len(columns))
-    return typed(parts, {field: F.get("_parts", F.lit(columns.index(source))) for field, source in found.items()}, order, keep=("line",))
+    return parsed(lines, columns, delimiter, {field: columns.index(source) for field, source in found.items()}, order)
 
 
 def json_stream(spark: SparkSession, folder: str, names: dict[str, str], files: int = 10) -> DataFrame:
@@ -56,26 +55,36 @@ def merge_batch(store: str, catalogue_id: int, update: bool = True) -> Callable[
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         events = accepted(batch).dropDuplicates(["id"]).withColumn("catalogue_id", F.lit(catalogue_id))
-        known = read_store(spark, store, events, before=number)
+        # Of the store only this catalogue's ids are read, and their versions merged for the ids of the batch alone.
+        known = read_store(spark, store, events, before=number, catalogue_id=catalogue_id, ids=events.select("id"))
         marked = classify_import(known, events, update).where(F.col("action").isin("new", "updated"))
-        marked.drop("action").write.mode("overwrite").parquet(f"{store}/version={number}")
+        marked.drop("action").write.mode("overwrite").partitionBy("catalogue_id").parquet(f"{store}/version={number}")
 
     return merge
 
 
-def read_store(spark: SparkSession, store: str, like: DataFrame, before: int | None = None) -> DataFrame:
-    """The last version of each event of a store that merge_batch writes; empty if there is none yet. `like` has its columns."""
+def read_store(spark: SparkSession, store: str, like: DataFrame, before: int | None = None, catalogue_id: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The last version of each event of a store that merge_batch writes; empty if there is none yet. `like` has its columns; catalogue_id: of one catalogue, whose folders alone are read; ids: of these ids only."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], like.schema)
     rows = spark.read.schema(like.drop("version").schema.add("version", "integer")).parquet(store)
     if before is not None:
         rows = rows.where(F.col("version") < before)
+    if catalogue_id is not None:
+        rows = rows.where(F.col("catalogue_id") == catalogue_id)
+    if ids is not None:
+        rows = rows.join(ids, "id", "left_semi").select(*rows.columns)
     fields = [c for c in rows.columns if c != "version"]
     last = rows.groupBy("catalogue_id", "id").agg(F.max_by(F.struct(*fields), "version").alias("row"))
     return last.select("row.*")
 
 
+def compact(spark: SparkSession, store: str, to: str, like: DataFrame) -> None:
+    """Writes the last version of each event as one version of a new store, so that reading costs no more with the batches that there have been."""
+    read_store(spark, store, like).repartition("catalogue_id").write.partitionBy("catalogue_id").parquet(f"{to}/version=0")
+
+
 def start_import(events: DataFrame, store: str, checkpoint: str, catalogue_id: int, update: bool = True) -> StreamingQuery:
     """Merges all that has arrived into the store, then stops; the next start goes on from there."""
     return events.writeStream.foreachBatch(merge_batch(store, catalogue_id, update)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

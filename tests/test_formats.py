@@ -90,7 +90,8 @@ def test_quakeml(spark, tmp_path):
     one = got["smi:nz/1"]
     assert (one.latitude, one.depth, one.magnitude, one.region, one.azimuthal_gap, one.rake, one.time) == (-41.5, 25.0, 5.5, "Cook Strait", 90.0, 90.0, dt.datetime(2024, 1, 1, 0, 0, 5, 123000))
     assert {"no_origin", "no_magnitude"} <= {f.name for f in got["smi:nz/2"].failures}
-    assert quakeml.document_problems(texts).first().problems == [] or {p.name for p in quakeml.document_problems(texts).first().problems} <= {"unbalanced"}
+    broken = spark.createDataFrame([(QUAKEML,), (QUAKEML.replace("</event>", "", 1),), ("<catalogue/>",)], "value string")
+    assert [{p.name for p in r.problems} for r in quakeml.document_problems(broken).collect()] == [set(), {"unbalanced"}, {"no_root", "no_events", "no_namespace"}]
     path = tmp_path / "a.xml"
     path.write_text(QUAKEML)
     assert rows.accepted(files.read_file(spark, f"file://{path}")).count() == 1
@@ -174,3 +175,71 @@ def test_clusters(spark):
     t = dt.datetime(2024, 1, 1)
     frame = spark.createDataFrame([(k, 1, t + dt.timedelta(hours=k), m) for k, m in ((1, 5.0), (2, 4.8), (3, 4.7), (4, 4.0), (5, 4.0))] + [(9, 9, t, 3.0)], "id long, mainshock long, time timestamp, magnitude double")
     assert [(r.mainshock, r.n, r.kind) for r in statistics.clusters(frame).collect()] == [(1, 5, "burst")]
+
+
+@pytest.fixture
+def service():
+    """A service on this machine that answers requests as their parameters say, and notes them."""
+    import http.server
+    import threading
+    from urllib.parse import parse_qs, urlparse
+
+    events = [(f"e{k}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=5 * k), -41.0 + k / 10, 174.0, "12.5" if k % 3 else "deep", 2.0 + k / 10) for k in range(20)] + [("", dt.datetime(2024, 1, 1), 0.0, 0.0, "1", 5.0)]
+    asked = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            p = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            asked.append(p)
+            day = lambda name, other: dt.datetime.fromisoformat(p[name]) if name in p else other
+            rows_ = [e for e in events if day("starttime", dt.datetime.min) <= e[1] <= day("endtime", dt.datetime.max) and float(p.get("minmagnitude", -9)) <= e[5] and e[1] >= day("updatedafter", dt.datetime.min)]
+            body = "#EventID|Time|Latitude|Longitude|Depth/km|Author|MagType|Magnitude|EventLocationName\n" + "".join(f"{i}|{t.isoformat()}Z|{y}|{x}|{z}|net|ML|{m}|place\n" for i, t, y, x, z, m in rows_)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/query", asked
+    server.shutdown()
+
+
+def test_fdsn_source(spark, service):
+    from seismolake.sources.fdsn_service import FdsnSource
+
+    url, asked = service
+    spark.dataSource.register(FdsnSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        frame = spark.read.format("fdsn").option("url", url).option("starttime", "2024-01-01T00:00:00").option("endtime", "2024-01-04T00:00:00").option("hours", "24").load()
+        assert frame.rdd.getNumPartitions() == 3 and sorted(r.id for r in frame.collect()) == sorted(f"e{k}" for k in range(15))
+        del asked[:]
+        got = frame.where("magnitude >= 3 and magnitude < 3.3 and time < timestamp'2024-01-03T00:00:00'").collect()
+        # e10 is at hour 50, past the pushed end of time.
+        assert [r.id for r in got] == [] and all(p["minmagnitude"] == "3.0" for p in asked) and len(asked) == 3
+        got = frame.where("magnitude >= 3").collect()
+        assert sorted(r.id for r in got) == ["e10", "e11", "e12", "e13", "e14"] and {r.id: r.depth for r in got}["e12"] is None and {r.id: r.depth for r in got}["e10"] == 12.5
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_fdsn_updates(spark, service, tmp_path):
+    from seismolake.sources.fdsn_service import FdsnSource
+
+    url, asked = service
+    spark.dataSource.register(FdsnSource)
+    stream = spark.readStream.format("fdsn").option("url", url).option("since", "2024-01-03T00:00:00").load()
+    query = stream.writeStream.format("memory").queryName("updates").option("checkpointLocation", str(tmp_path)).start()
+    try:
+        deadline = dt.datetime.now() + dt.timedelta(seconds=60)
+        while dt.datetime.now() < deadline and len(asked) < 2:
+            query.awaitTermination(1)
+        assert query.exception() is None
+        query.processAllAvailable() if len(asked) < 2 else None
+    finally:
+        query.stop()
+    assert sorted(r.id for r in spark.table("updates").collect()) == sorted(f"e{k}" for k in range(10, 20))
+    assert asked[0]["updatedafter"] == "2024-01-03T00:00:00" and asked[1]["updatedafter"] > "2024-01-03T00:00:00"
