@@ -481,4 +481,29 @@ def e7_strengths(q: DataFrame) -> DataFrame:
     return said.select("id", n("info").alias("strengths"), n("warning").alias("weaknesses"))
 
 
+@query("SELECT id, CAST(CASE WHEN magnitude > 6 THEN 1 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN depth > 300 THEN 1 ELSE 0 END AS INTEGER) AS problems FROM q")
+def f17_event_problems(q: DataFrame) -> DataFrame:
+    # Magnitudes over 6 are put out of range, depths over 300 made negative, and every seventh latitude is taken away.
+    damaged = q.withColumns({"magnitude": F.when(F.col("magnitude") > 6, 11.0).otherwise(F.col("magnitude")), "depth": F.when(F.col("depth") > 300, -1.0).otherwise(F.col("depth")), "latitude": F.when(F.col("id") % 7 != 0, F.col("latitude"))})
+    return damaged.select("id", F.size(validation.event_problems()).alias("problems"))
+
+
+_SCHEMA = {
+    **{f: f for f in ("time", "latitude", "longitude", "depth", "magnitude", "latitude_uncertainty", "longitude_uncertainty", "depth_uncertainty", "horizontal_uncertainty", "time_uncertainty", "magnitude_uncertainty", "minimum_distance", "magnitude_type", "region", "source")},
+    "azimuthal_gap": "gap", "used_phase_count": "phases", "used_station_count": "stations", "standard_error": "rms", "magnitude_station_count": "magnitude_stations",
+}
+
+
+@query(f"SELECT id, CAST(CASE WHEN minimum_distance > 180 THEN 1 ELSE 0 END + CASE WHEN time > TIMESTAMP '{NOW}' THEN 1 ELSE 0 END + CASE WHEN depth < 5 AND magnitude > 8 THEN 1 ELSE 0 END + CASE WHEN depth_uncertainty > 2 * depth THEN 1 ELSE 0 END AS INTEGER) AS problems FROM q")
+def f21_schema_problems(q: DataFrame) -> DataFrame:
+    return q.select("id", F.size(validation.schema_problems(_SCHEMA, F.lit(NOW).cast("timestamp"))).alias("problems"))
+
+
+@query("SELECT CAST(id AS VARCHAR) AS source_id, CAST(9 AS INTEGER) AS catalogue_id, magnitude, depth, CAST(64 AS INTEGER) AS key_length, (SELECT count(*) FROM q) AS keys FROM q")
+def p15_ingested(q: DataFrame) -> DataFrame:
+    stored = rows.ingested(q.drop("catalogue_id"), 9)
+    keys = stored.select("id").distinct().agg(F.count("*").alias("keys"))  # one row
+    return stored.select("source_id", "catalogue_id", "magnitude", "depth", F.length("id").alias("key_length")).crossJoin(F.broadcast(keys))
+
+
 from seismolake import merge_queries  # noqa: E402, F401  registers the queries of matched groups

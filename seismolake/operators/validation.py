@@ -183,6 +183,47 @@ def validity() -> Column:
     )
 
 
+# Closed ranges of the whole schema's numbers, those that must be whole, and the most letters of its texts.
+SCHEMA_RANGES = {
+    "latitude": (-90, 90), "longitude": (-180, 180), "depth": (0, 1000), "magnitude": (-3, 10), "latitude_uncertainty": (0, 10), "longitude_uncertainty": (0, 10), "depth_uncertainty": (0, 100), "horizontal_uncertainty": (0, 100), "time_uncertainty": (0, 60),
+    "magnitude_uncertainty": (0, 5), "azimuthal_gap": (0, 360), "used_phase_count": (0, 1000), "used_station_count": (0, 500), "standard_error": (0, 100), "magnitude_station_count": (0, 500), "minimum_distance": (0, 180), "maximum_distance": (0, 180),
+    "associated_phase_count": (0, 10_000), "associated_station_count": (0, 5000), "depth_phase_count": (0, 1000),
+}
+SCHEMA_LENGTHS = {"magnitude_type": 10, "region": 255, "location_name": 255, "source": 100, "depth_type": 50, "earth_model_id": 100, "method_id": 100, "agency_id": 50, "author": 100, "magnitude_method_id": 100, "magnitude_evaluation_mode": 50, "magnitude_evaluation_status": 50}
+
+
+def schema_problems(columns: dict[str, str], now: Column | None = None) -> Column:
+    """What keeps an event out by the whole schema; columns: the column of each of its fields that is there. Missing values pass but for time, place and magnitude."""
+    now = F.current_timestamp() if now is None else now
+    c = lambda field: F.col(columns[field])
+    rules: list[Rule] = []
+    for field, (low, high) in SCHEMA_RANGES.items():
+        if field in columns:
+            rules.append(("range", field, "error", ~c(field).between(low, high)))
+        if field in columns and field.endswith("_count"):
+            rules.append(("whole", field, "error", c(field).cast("double") != F.floor(c(field).cast("double"))))
+    rules += [("length", field, "error", F.length(c(field)) > most) for field, most in SCHEMA_LENGTHS.items() if field in columns]
+    rules += [("missing", field, "error", c(field).isNull()) for field in REQUIRED if field in columns]
+    time = c("time").cast("timestamp")
+    rules.append(("period", "time", "error", (time < F.lit(EARLIEST).cast("timestamp")) | (time > now)))
+    if "depth" in columns:
+        rules.append(("shallow_great", "depth", "error", (c("depth") < 5) & (c("magnitude") > 8)))
+        if "depth_uncertainty" in columns:
+            rules.append(("depth_uncertain", "depth_uncertainty", "error", c("depth_uncertainty") > 2 * c("depth")))
+    return failing(rules)
+
+
+def event_problems() -> Column:
+    """Array of texts of what keeps an event out by the plain rules."""
+    c, ok = F.col, validity()
+    say = lambda condition, text: F.when(F.coalesce(condition, F.lit(False)), text)
+    no_place = c("latitude").isNull() | c("longitude").isNull()
+    return F.array_compact(F.array(
+        say(no_place, "Latitude and longitude are required"), say(~no_place & ~ok["place"], "Invalid coordinates: latitude must be -90 to 90, longitude must be -180 to 180"), say(c("magnitude").isNull(), "Magnitude is required"),
+        say(~ok["magnitude"], "Invalid magnitude: must be between -3 and 10"), say(~ok["depth"], "Invalid depth: must be between 0 and 1000 km"), say(c("time").isNull(), "Timestamp is required"),
+    ))
+
+
 # Least score of a passed check, and the bounds below which each part of a report asks for work.
 LEAST_SCORE, LEAST_COMPLETE, LEAST_OTHER = 60, 90, 80
 

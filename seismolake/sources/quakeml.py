@@ -50,6 +50,7 @@ def flattened(events: DataFrame) -> DataFrame:
         failing([
             ("no_public_id", "event", "error", F.coalesce(c("_publicID"), F.lit("")) == ""), ("no_origin", "origin", "error", F.coalesce(F.size("origin"), F.lit(0)) <= 0), ("no_magnitude", "magnitude", "error", F.coalesce(F.size("magnitude"), F.lit(0)) <= 0),
             ("unknown_preferred", "origin", "error", lost("origin", "preferredOriginID")), ("unknown_preferred", "magnitude", "error", lost("magnitude", "preferredMagnitudeID")),
+            ("negative_depth", "depth", "error", c("o.depth.value") < 0), ("unusual_magnitude", "magnitude", "warning", ~c("m.mag.value").between(-2, 10)),
             ("no_depth", "depth", "warning", c("o.depth.value").isNull()), ("no_quality", "quality", "warning", c("o.quality").isNull()),
         ]).alias("_structure"),
     )

@@ -42,3 +42,17 @@ def accepted(events: DataFrame) -> DataFrame:
 
 def rejected(events: DataFrame) -> DataFrame:
     return events.where(has_error(F.col("failures")))
+
+
+#: Fields that are stored of an event, in order, beside its key; others are dropped.
+STORED = (
+    "source_id", "time", "latitude", "longitude", "magnitude", "depth", "region", "location_name", "event_public_id", "event_type", "event_type_certainty", "time_uncertainty", "latitude_uncertainty", "longitude_uncertainty", "depth_uncertainty",
+    "magnitude_type", "magnitude_uncertainty", "magnitude_station_count", "azimuthal_gap", "minimum_distance", "used_phase_count", "used_station_count", "standard_error", "evaluation_mode", "evaluation_status", "author", "agency_id",
+)
+
+
+def ingested(events: DataFrame, catalogue_id: int) -> DataFrame:
+    """Events as they are stored: those of STORED that are there, the source's id as source_id, and a key of catalogue, source id, time and place, the same if the import runs again."""
+    named = events.withColumn("source_id", F.col("id").cast("string")) if "source_id" not in events.columns else events
+    key = F.sha2(F.concat_ws("|", F.lit(catalogue_id), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_id", "time", "latitude", "longitude")]), 256)
+    return named.select(key.alias("id"), F.lit(catalogue_id).alias("catalogue_id"), *[c for c in STORED if c in named.columns])
