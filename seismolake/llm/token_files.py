@@ -21,15 +21,17 @@ PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1000
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS, metadata: tuple[str, ...] = ()) -> None:
     """Writes the ids of all documents (doc_id, text), files and rows in ascending doc_id, nulls first.
 
-    Rows with equal ids are ordered by their text. A null or empty text has the end id alone. Other
-    columns are not read. An empty table gives files without rows.
+    Rows with equal ids are ordered by their text. A null or empty text has the end id alone. metadata: other columns that
+    are kept beside the ids as meta_<name>, for readers that pick documents by them; columns that are not named are not read. An empty
+    table gives files without rows.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *[F.col(f"`{name}`").alias(f"meta_{name}") for name in metadata])
     kind = docs.schema["doc_id"].dataType.simpleString()
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
     end = int(end_id).to_bytes(4, "little")
 
     def encoded(batches: Iterator) -> Iterator:
@@ -47,10 +49,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ro
             starts = before + np.r_[0, counts.cumsum()]
             tokens = pa.ListArray.from_arrays(pa.array((starts - before).astype(np.int32)), pa.Array.from_buffers(pa.int32(), int(counts.sum()), [None, pa.py_buffer(b"".join(ids))]))
             before = int(starts[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), batch.column(0), pa.array(starts[:-1]), pa.array(counts), tokens], ["part", "doc_id", "row_start", "n_tokens", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), batch.column(0), pa.array(starts[:-1]), pa.array(counts), tokens, *batch.columns[2:]], ["part", "doc_id", "row_start", "n_tokens", "tokens", *batch.schema.names[2:]])
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    writer = ordered.mapInArrow(encoded, f"part int, doc_id {kind}, row_start long, n_tokens long, tokens array<int>").write
+    writer = ordered.mapInArrow(encoded, f"part int, doc_id {kind}, row_start long, n_tokens long, tokens array<int>{kept}").write
     settings = {"parquet.writer.version": "v2", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.enable.dictionary": "true"}
     settings |= {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "row_start", "n_tokens")}
     for key, value in settings.items():
@@ -59,13 +61,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ro
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, part: reads no ids."""
-    rows = spark.read.parquet(path).select("part", "doc_id", "row_start", "n_tokens")
-    return rows.join(_file_starts(rows), "part").select("doc_id", (F.col("file_start") + F.col("row_start")).alias("start"), "n_tokens", "part")
+    """doc_id, start (ids of all documents before it), n_tokens, part and the metadata columns: reads no ids."""
+    rows = spark.read.parquet(path).drop("tokens")
+    return rows.join(_file_starts(rows), "part").select("doc_id", (F.col("file_start") + F.col("row_start")).alias("start"), "n_tokens", "part", *[c for c in rows.columns if c.startswith("meta_")])
 
 
 def read_tokens(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
-    """doc_id and tokens of the documents that a condition on doc_id, part or n_tokens picks; Parquet's statistics and page index skip the rest."""
+    """doc_id and tokens of the documents that a condition on doc_id, part, n_tokens or metadata picks; Parquet's statistics and page index skip the rest."""
     rows = spark.read.parquet(path)
     return (rows if where is None else rows.where(where)).select("doc_id", "tokens")
 

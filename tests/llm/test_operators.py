@@ -115,6 +115,28 @@ def test_token_files(spark, request, name, encode):
     assert token_files.read_index(spark, path).count() == len(want)
 
 
+def test_token_files_are_read_in_part(spark, documents):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = scratch_path(spark, "test-token-layout")
+    token_files.write_tokens(documents, path, tokenizer_file(), page_rows=20, metadata=("source", "lang"))
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet")]
+    columns = [m.row_group(g).column(c) for m in files for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    assert sum(m.num_rows for m in files) == documents.count() and all(c.has_offset_index and c.has_column_index for c in columns)
+    for c in columns:
+        if c.path_in_schema.startswith("tokens"):
+            assert "RLE_DICTIONARY" in c.encodings
+        elif c.path_in_schema in ("doc_id", "row_start", "n_tokens"):
+            assert "DELTA_BINARY_PACKED" in c.encodings and "RLE_DICTIONARY" not in c.encodings
+    index = token_files.read_index(spark, path)
+    scan = lambda frame: "".join(x for x in frame._jdf.queryExecution().toString().split("\n") if "FileScan" in x or "ReadSchema" in x)
+    assert index.columns == ["doc_id", "start", "n_tokens", "part", "meta_source", "meta_lang"] and "tokens:array" not in scan(index)
+    some = token_files.read_tokens(spark, path, (F.col("doc_id") == 7) & F.col("meta_lang").isNotNull())
+    assert "PushedFilters" in scan(some) and "EqualTo(doc_id,7)" in scan(some) and some.count() == 1
+
+
 def brute_print(text, k):
     ws = [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(text)]
     if not ws:
