@@ -44,7 +44,7 @@ def s2_delimited(q: DataFrame) -> DataFrame:
 @query(_READ)
 def s5_semicolons(q: DataFrame) -> DataFrame:
     line = F.concat_ws(";", "id", F.date_format(F.col("time").cast("timestamp"), "dd/MM/yyyy HH:mm:ss.SSS"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("latitude", "longitude", "depth", "magnitude")])
-    return _read(delimited.read_lines(_lines(q, "evid;origin_time;evla;evlo;evdp;mag", line), order="international"))
+    return _read(delimited.read_lines(_lines(q, "evid;origin_time;evla;evlo;evdp;mag", line)))
 
 
 @query(_READ)

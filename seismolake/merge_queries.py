@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seismolake.catalogue_queries import _ADAPTIVE, _SIMILAR, COMPLETE_FIELDS, query, rounded
+from seismolake.functions import mechanism
 from seismolake.functions.scores import js_round
 from seismolake.operators import match, resolve, sampling
 
@@ -148,6 +149,23 @@ def m15_by_authority(q: DataFrame) -> DataFrame:
     return _shown(resolve.by_authority(match.merge_groups(q)))
 
 
+_MECHANISM = [
+    ("stations IS NOT NULL", 25, "CASE WHEN stations >= 50 THEN 25 WHEN stations >= 30 THEN 20 WHEN stations >= 15 THEN 15 WHEN stations >= 8 THEN 10 ELSE 5 END"), ("rms IS NOT NULL", 20, _upto("rms", ((0.1, 20), (0.2, 15), (0.3, 10), (0.5, 5)))),
+    ("id % 2 = 0", 30, "15 + CASE WHEN horizontal_uncertainty * 10 >= 0.8 THEN 15 WHEN horizontal_uncertainty * 10 >= 0.6 THEN 10 WHEN horizontal_uncertainty * 10 >= 0.4 THEN 5 ELSE 0 END"), ("gap IS NOT NULL", 15, _upto("gap", ((90, 15), (120, 12), (180, 8), (270, 4)))),
+    ("evaluation_status IS NOT NULL", 10, _named("evaluation_status", ((10, ("final", "reviewed")), (7, ("confirmed",)), (3, ("preliminary",))))),
+]
+_M_HAD = " + ".join(f"CASE WHEN {known} THEN {most} ELSE 0 END" for known, most, _ in _MECHANISM)
+_M_GOT = " + ".join(f"CASE WHEN {known} THEN {score} ELSE 0 END" for known, _, score in _MECHANISM)
+
+
+@query(f"+m AS (SELECT id % 97 AS leader, id, source, CASE source WHEN 'GeoNet' THEN 2 WHEN 'USGS/NEIC' THEN 3 WHEN 'ISC' THEN 4 ELSE CASE WHEN source IS NULL THEN 999 ELSE 100 END END AS rank, floor(CASE WHEN ({_M_HAD}) > 0 THEN ({_M_GOT}) / CAST(({_M_HAD}) AS DOUBLE) * 100 ELSE 50 END * 1e6 + 0.5) / 1e6 AS quality FROM q WHERE n_mechanisms > 0) SELECT leader, n, id, quality, ids FROM (SELECT *, count(*) OVER (PARTITION BY leader) AS n, string_agg(CAST(id AS VARCHAR), ',') OVER (PARTITION BY leader ORDER BY rank, quality DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ids, row_number() OVER (PARTITION BY leader ORDER BY rank, quality DESC, id) AS r FROM m) WHERE r = 1")
+def m19_merged_mechanisms(q: DataFrame) -> DataFrame:
+    c = F.col
+    quality = mechanism.quality(c("stations"), c("rms"), c("id") % 2 == 0, c("horizontal_uncertainty") * 10, c("gap"), c("evaluation_status"))
+    made = q.where("n_mechanisms > 0").select((c("id") % 97).alias("leader"), "id", "source", js_round(quality, 6).alias("quality"))
+    return resolve.merged_mechanisms(made).select("leader", F.size("all").cast("long").alias("n"), "id", "quality", F.array_join(F.transform("all", lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
 _FIELDS = ("depth", "magnitude_type", "event_type", "gap", "phases", "stations")
 _SCORE = "CASE evaluation_status WHEN 'reviewed' THEN 100 WHEN 'manual' THEN 50 ELSE 0 END + coalesce(stations, 0) + CASE WHEN coalesce(gap, 0) <> 0 THEN (360 - gap) / 10 ELSE 0 END + 5 * (" + " + ".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE 1 END" for f in _FIELDS) + ")"
 

@@ -244,6 +244,14 @@ def best_mechanisms(mechanisms: DataFrame) -> DataFrame:
     return mechanisms.groupBy("event_id").agg(F.min_by(F.struct("id", "source", "quality"), F.struct(mechanism_rank(F.col("source")), -F.col("quality"), F.col("id"))).alias("x")).select("event_id", "x.*")
 
 
+def merged_mechanisms(mechanisms: DataFrame, by: str = "leader") -> DataFrame:
+    """The best mechanism (id, source, quality) of each group by source, then quality, then id, and all of the group's in that order."""
+    rank = F.struct(mechanism_rank(F.col("source")).alias("rank"), (-F.col("quality")).alias("worse"), F.col("id"), F.col("source"))
+    ordered = F.sort_array(F.collect_list(rank))
+    found = mechanisms.groupBy(by).agg(ordered.alias("all"))
+    return found.select(by, F.get("all", F.lit(0))["id"].alias("id"), (-F.get("all", F.lit(0))["worse"]).alias("quality"), F.transform("all", lambda x: F.struct(x["id"].alias("id"), x["source"].alias("source"), (-x["worse"]).alias("quality"))).alias("all"))
+
+
 def preview_groups(groups: DataFrame) -> DataFrame:
     """Groups of two or more, kept whole, with warnings: a range of magnitudes over 1, or of depths over 100 (200 where the deepest is below 300)."""
     g = groups.groupBy("leader").agg(F.count("*").alias("n"), (F.max("magnitude") - F.min("magnitude")).alias("m_range"), (F.max("depth") - F.min("depth")).alias("d_range"), F.max("depth").alias("deepest")).where("n > 1")
