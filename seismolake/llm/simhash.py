@@ -326,8 +326,9 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
 def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
     """Links (a, b) between nodes of prefixes(docs) that join exactly the sets over steps of a Jaccard similarity of p / q or more.
 
-    Every candidate is verified on both whole sets, which are made again for the candidates alone. Those that share a key are first compared with one of
-    them only, then whatever this leaves apart in pairs, so a large group of near copies gives no square of pairs.
+    Every candidate is verified on both whole sets, which are made again for the candidates alone. Of those that share a key, each is first compared with the smallest, and
+    of several such smallest ones with that with which it shares most keys; then with the others that it is still apart from; then whatever
+    is apart in a key's group in pairs. So a large group of near copies gives no square of pairs, nor many pairs a document.
     """
     p, q = least
     each = marked.select("node", "size", F.posexplode("keys").alias("k", "key"))
@@ -350,8 +351,17 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
     def pairs(x: Column, y: Column) -> Column:
         return (q * x["size"] >= p * y["size"]) & x["short"]
 
-    stars = groups.select(F.col("of")[0].alias("x"), F.explode(F.slice("of", 2, F.size("of") - 1)).alias("y"))
-    first = verified(stars.where(pairs(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    stars = groups.select(F.col("of")[0].alias("x"), F.explode(F.slice("of", 2, F.size("of") - 1)).alias("y")).where(pairs(F.col("x"), F.col("y")))
+    stars = stored(stars.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n")), "similar-stars")
+    best = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
+
+    def part_of(frame: DataFrame, side: str, parts: DataFrame) -> DataFrame:
+        own = parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
+        return frame.join(own, side, "left").withColumn(f"{side}_part", F.coalesce(f"{side}_part", side))
+
+    parts = stored(components(best), "similar-parts")
+    left = part_of(part_of(stars.select("a", "b"), "a", parts), "b", parts).where("a_part <> b_part").select("a", "b")
+    first = stored(best.union(verified(left.join(best, ["a", "b"], "left_anti"))), "similar-first")
     parts = stored(components(first), "similar-parts")
     rows = groups.select("key", F.explode("of").alias("m")).select("key", "m.*").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     apart = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "node", "short", "part"))).alias("of"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
