@@ -26,7 +26,8 @@ _READ = f"SELECT CAST(id AS VARCHAR) AS id, latitude, longitude, depth, magnitud
 
 def _lines(q: DataFrame, header: str, line: Column) -> DataFrame:
     """Lines of a file: the header, then a line an event."""
-    return q.sparkSession.createDataFrame([(header,)], "value string").union(q.select(line.alias("value")))
+    # A generator holds a made line, as a file would: else filters on it would make it again.
+    return q.sparkSession.createDataFrame([(header,)], "value string").union(q.select(F.explode(F.array(line)).alias("value")))
 
 
 def _read(events: DataFrame) -> DataFrame:
