@@ -331,13 +331,23 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
     is apart in a key's group in pairs. So a large group of near copies gives no square of pairs, nor many pairs a document.
     """
     p, q = least
+    spark = docs.sparkSession
     each = marked.select("node", "size", F.posexplode("keys").alias("k", "key"))
     each = each.select("key", "node", "size", (F.col("k") < F.col("size") - F.ceil(2 * p * F.col("size") / (p + q)) + 1).alias("short")).repartition("key")
     grouped = each.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("size", "node", "short"))).alias("of")).where(F.size("of") > 1)
     groups = stored(grouped, "similar-groups")
+    # One row a set: copies of a text have one.
+    sets = stored(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "similar-nodes")
+
+    def possible(candidates: DataFrame) -> DataFrame:
+        """Candidates whose prefixes alone don't rule them out: beyond the prefix that ends first in the order of all hashes, its set has no more elements to share than are left of it."""
+        own = lambda s: sets.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("keys").alias(f"{s}_keys"))
+        both = candidates.distinct().join(own("a"), "a").join(own("b"), "b")
+        most = F.size(F.array_intersect("a_keys", "b_keys")) + F.greatest(F.col("a_size") - F.size("a_keys"), F.col("b_size") - F.size("b_keys"))
+        return both.where((p + q) * most >= p * (F.col("a_size") + F.col("b_size"))).select("a", "b")
 
     def verified(candidates: DataFrame) -> DataFrame:
-        pairs = stored(candidates.distinct(), "similar-pairs")
+        pairs = stored(possible(candidates), "similar-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         ids = stored(marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "body")).alias("one")).select("one.*"), "similar-wanted")
         keyed = docs.withColumn("body", F.xxhash64("text")).join(F.broadcast(ids) if ids.count() <= FEW else ids, ["doc_id", "body"], "left_semi")
@@ -346,7 +356,9 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
         both = pairs.join(own("a"), "a").join(own("b"), "b")
         common = F.size(F.array_intersect("a_hashes", "b_hashes"))
         found = both.where((p + q) * common >= p * (F.size("a_hashes") + F.size("b_hashes"))).select("a", "b").distinct()
-        return stored(found, "similar-links")
+        found = stored(found, "similar-links")
+        discard(spark, pairs._scratch, ids._scratch, bodies._scratch)
+        return found
 
     def pairs(x: Column, y: Column) -> Column:
         return (q * x["size"] >= p * y["size"]) & x["short"]
@@ -368,6 +380,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
     others = apart.select("of", F.posexplode("of").alias("k", "x")).where("x.short")
     others = others.select("x", F.explode(F.filter(F.slice("of", F.col("k") + 2, F.size("of")), lambda y: (y["part"] != F.col("x.part")) & pairs(F.col("x"), y))).alias("y"))
     rest = verified(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    discard(spark, groups._scratch, stars._scratch, best._scratch, sets._scratch)
     return first.union(rest)
 
 
