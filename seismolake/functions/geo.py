@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The mean radius of the earth in km, and km of a degree.
@@ -56,27 +56,33 @@ def mean_longitude(lon: Column) -> Column:
     return F.when(F.max(lon) - F.min(lon) < 180, F.avg(lon)).otherwise(circular)
 
 
-def _bands(lat: Column, lon: Column, km: Column, beside: int) -> Column:
-    """The cell (y, x) of a point moved by `beside` bands of latitude: bands are km high, and their cells at least km wide over the band and its neighbours; the cells of a band go round it evenly."""
-    high = km / (math.pi * RADIUS / 180) * 1.001
-    y = F.floor(lat / high) + beside
-    widest = F.greatest(F.abs((y - 1) * high), F.abs((y + 2) * high))
+def held(frame: DataFrame, **columns: Column) -> DataFrame:
+    """frame with columns that are evaluated once a row: a generator's columns, unlike a projection's, are not written anew into every expression that uses them."""
+    return frame.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _with_band(frame: DataFrame, km: Column | float, beside: Column) -> DataFrame:
+    """frame (latitude, longitude) with _y, _n and _x: the band of latitude `beside` bands from a point's own, the number of its cells, and the one under the point. Bands are km high, their cells at least km wide over the band and its neighbours; the cells of a band go round it evenly."""
+    lat, lon = F.col("latitude"), F.col("longitude")
+    high = (km if isinstance(km, Column) else F.lit(float(km))) / (math.pi * RADIUS / 180) * 1.001
+    frame = held(frame, _y=(F.floor(lat / high) + beside).cast("long"), _high=high)
+    frame = held(frame, _widest=F.greatest(F.abs((F.col("_y") - 1) * F.col("_high")), F.abs((F.col("_y") + 2) * F.col("_high"))))
     # Two points of neighbouring bands at that distance are at most so many degrees of longitude apart; towards the poles one cell is the whole band.
-    sine = F.sin(km / (2 * RADIUS)) / F.cos(F.radians(F.least(widest, F.lit(90.0))))
-    n = F.when((widest >= 90) | (sine >= 1), 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(360 / 1.001) / F.degrees(2 * F.asin(F.least(F.lit(1.0), sine)))))).cast("long")
-    x = F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
-    return F.struct(y.cast("long").alias("y"), x.alias("x"), n.alias("n"))
+    reach = F.col("_high") / 1.001 * (math.pi * RADIUS / 180)
+    frame = held(frame, _sine=F.sin(reach / (2 * RADIUS)) / F.cos(F.radians(F.least("_widest", F.lit(90.0)))))
+    n = F.when((F.col("_widest") >= 90) | (F.col("_sine") >= 1), 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(360 / 1.001) / F.degrees(2 * F.asin(F.least(F.lit(1.0), "_sine"))))))
+    frame = held(frame, _n=n.cast("long")).drop("_high", "_widest", "_sine")
+    return held(frame, _x=F.pmod(F.floor((lon + 180) / 360 * F.col("_n")).cast("long"), F.col("_n")))
 
 
-def cell(lat: Column, lon: Column, km: Column | float) -> Column:
-    """The cell (y, x) of a point on a grid for distances up to km."""
-    own = _bands(lat, lon, km if isinstance(km, Column) else F.lit(float(km)), 0)
-    return F.struct(own["y"].alias("y"), own["x"].alias("x"))
+def with_cell(frame: DataFrame, km: Column | float) -> DataFrame:
+    """frame (latitude, longitude) with `cell` (y, x): the cell of a point on a grid for distances up to km."""
+    return _with_band(frame, km, F.lit(0)).withColumn("cell", F.struct(F.col("_y").alias("y"), F.col("_x").alias("x"))).drop("_y", "_n", "_x")
 
 
-def cells_around(lat: Column, lon: Column, km: Column | float) -> Column:
-    """Array of the cells in which all points within km lie, across the date line and the poles too: the point's own and those around it."""
-    km = km if isinstance(km, Column) else F.lit(float(km))
-    at = lambda beside: _bands(lat, lon, km, beside)
-    near = [F.struct(b["y"].alias("y"), F.pmod(b["x"] + k, b["n"]).alias("x")) for b in map(at, (-1, 0, 1)) for k in (-1, 0, 1)]
-    return F.array_distinct(F.array(*near))
+def with_cells_around(frame: DataFrame, km: Column | float) -> DataFrame:
+    """frame (latitude, longitude), a row for each `cell` in which points within km of its own may lie, across the date line and the poles too."""
+    bands = _with_band(frame.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_beside")), km, F.col("_beside"))
+    across = F.array_distinct(F.array(*[F.pmod(F.col("_x") + k, F.col("_n")) for k in (-1, 0, 1)]))
+    cells = bands.select("*", F.explode(across).alias("_at")).withColumn("cell", F.struct(F.col("_y").alias("y"), F.col("_at").alias("x")))
+    return cells.drop("_beside", "_y", "_n", "_x", "_at")

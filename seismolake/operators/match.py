@@ -55,13 +55,16 @@ def close_pairs(events: DataFrame, seconds: float, km: float | None = None, fiel
     other, by cells of a grid, so that a bucket's events of the whole world don't all meet; grid: other cells, an event's own and those around it.
     """
     reach = int(seconds * 1e6)
-    if grid is None and km is not None:
-        grid = geo.cell(F.col("latitude"), F.col("longitude"), km), geo.cells_around(F.col("latitude"), F.col("longitude"), km)
-    own, around = grid if grid is not None else (F.lit(0), F.array(F.lit(0)))
     timed = events.where("time is not null").select(*fields, micros().alias("us")).withColumn("bucket", F.floor(F.col("us") / reach))
+    if grid is not None:
+        around, own = timed.withColumn("cell", F.explode(grid[1])), timed.withColumn("cell", grid[0])
+    elif km is not None:
+        around, own = geo.with_cells_around(timed, km), geo.with_cell(timed, km)
+    else:
+        around = own = timed.withColumn("cell", F.lit(0))
     order = lambda side: F.struct(*[F.col(f"{side}_{c}") for c in ("us", "catalogue_id", "id")])
-    first = timed.withColumn("cell", F.explode(around)).select([F.col(c).alias(f"a_{c}") for c in (*fields, "us")] + ["cell", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket")])
-    second = timed.select([F.col(c).alias(f"b_{c}") for c in (*fields, "us")] + [own.alias("cell"), "bucket"])
+    first = around.select([F.col(c).alias(f"a_{c}") for c in (*fields, "us")] + ["cell", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket")])
+    second = own.select([F.col(c).alias(f"b_{c}") for c in (*fields, "us")] + ["cell", "bucket"])
     pairs = first.join(second, ["bucket", "cell"]).where((order("a") < order("b")) & (F.col("b_us") - F.col("a_us") <= reach))
     return pairs.withColumn("dt", (F.col("b_us") - F.col("a_us")) / 1e6).drop("bucket", "cell")
 
@@ -137,27 +140,54 @@ def duplicate_groups(events: DataFrame, rule: Similarity = PRESETS["moderate"])
     return found.select(F.col("node").alias("id"), F.col("component").alias("group"))
 
 
-def decluster(events: DataFrame, by: str | None = "catalogue_id") -> DataFrame:
-    """events with `mainshock`: the id of the event that claims each, in order of magnitude (largest first), time and id; by: a column within whose groups events claim each other, None for all together.
+#: Width of a band of magnitudes, and the candidates of one key from which on its seeds are dealt over several tasks.
+BAND, HEAVY = 0.5, 1_000_000
+#: Heavy keys that are broadcast at most; more of them are joined by a shuffle.
+MOST_BROADCAST = 100_000
+
+
+def claim_candidates(events: DataFrame, by: str | None = "catalogue_id") -> DataFrame:
+    """Pairs (a_*, b_*) of events of which a may claim b, with all that `claim_edges` looks at.
 
-    An event claims those of no larger magnitude within its window of time (either way) and distance. Windows are
-    banded by whole magnitudes; a band's buckets of time, and its cells of the sphere, are as long as its largest window. Each
-    event looks around itself once, in its own band.
+    Windows are banded by magnitude; a band's buckets of time, and its cells of the sphere, are as long as its largest window, so what an event
+    meets is a constant times what it can claim, in dense catalogues too. An event looks around itself once, in its own band.
+    Keys are counted first: where the seeds and the others of one make more than HEAVY candidates, its seeds are dealt over as many parts as it has times that, and the others are copied to each.
     """
-    days, km = window_days, window_km
     group = F.lit(0) if by is None else F.col(by)
-    known = events.where("magnitude is not null and time is not null").select("id", "latitude", "longitude", "magnitude", micros().alias("us"), group.alias("group"), F.floor("magnitude").cast("int").alias("own"))
-    long, wide = days(F.col("band") + 1) * 86_400e6, km(F.col("band") + 1)
+    known = events.where("magnitude is not null and time is not null").select("id", "latitude", "longitude", "magnitude", micros().alias("us"), group.alias("group"), F.floor(F.col("magnitude") / BAND).cast("int").alias("own"))
+    top = (F.col("band") + 1) * BAND
     side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "latitude", "longitude", "magnitude", "us")]
-    t = F.floor(F.col("us") / long)
-    seeds = known.withColumn("band", F.col("own")).withColumn("t", F.explode(F.sequence(t - 1, t + 1))).withColumn("cell", F.explode(geo.cells_around(F.col("latitude"), F.col("longitude"), wide))).select("group", "band", "t", "cell", *side("a"))
+    bucket = F.floor(F.col("us") / F.col("long"))
+    seeds = geo.held(known.withColumnRenamed("own", "band"), long=window_days(top) * 86_400e6, wide=window_km(top))
+    seeds = geo.with_cells_around(geo.held(seeds, t=bucket), F.col("wide")).withColumn("t", F.explode(F.sequence(F.col("t") - 1, F.col("t") + 1))).select("group", "band", "t", "cell", *side("a"))
     bands = known.select(F.col("own").alias("band")).distinct()
-    others = known.join(F.broadcast(bands), F.col("own") <= F.col("band"))  # a band a whole magnitude: a dozen rows
-    others = others.select("group", "band", t.alias("t"), geo.cell(F.col("latitude"), F.col("longitude"), wide).alias("cell"), *side("b"))
+    others = known.join(F.broadcast(bands), F.col("own") <= F.col("band"))  # magnitudes of -3 to 10 have 26 bands
+    others = geo.with_cell(geo.held(others, long=window_days(top) * 86_400e6, wide=window_km(top)), F.col("wide")).withColumn("t", bucket).select("group", "band", "t", "cell", *side("b"))
+    key = ["group", "band", "t", "cell"]
+    met = seeds.groupBy(*key).agg(F.count("*").alias("n_a")).join(others.groupBy(*key).agg(F.count("*").alias("n_b")), key)
+    heavy = graph.stored(met.select(*key, F.ceil(F.col("n_a") * F.col("n_b") / HEAVY).cast("long").alias("parts")).where("parts > 1"))
+    n = heavy.count()
+    if n == 0:
+        graph.discard(heavy)
+        return seeds.join(others, key)
+    few = F.broadcast(heavy) if n <= MOST_BROADCAST else heavy
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    seeds = seeds.join(few, key, "left").withColumn("part", F.pmod(F.xxhash64("a_id"), parts)).drop("parts")
+    others = others.join(few, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return seeds.join(others, [*key, "part"])
+
+
+def claim_edges(events: DataFrame, by: str | None = "catalogue_id") -> DataFrame:
+    """(src, dst, rank) of the events that src may claim: of no larger magnitude, within its windows of time (either way) and distance; rank orders src by magnitude (largest first), time and id."""
     order = lambda s: F.struct(-F.col(f"{s}_magnitude"), F.col(f"{s}_us"), F.col(f"{s}_id"))
-    pairs = seeds.join(others, ["group", "band", "t", "cell"]).where(order("a") < order("b"))
-    pairs = pairs.where((F.abs(F.col("a_us") - F.col("b_us")) <= days(F.col("a_magnitude")) * 86_400e6) & (pair_km() <= km(F.col("a_magnitude"))))
-    owners = graph.claim(pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), order("a").alias("rank")))
+    pairs = claim_candidates(events, by).where(order("a") < order("b"))
+    pairs = pairs.where((F.abs(F.col("a_us") - F.col("b_us")) <= window_days(F.col("a_magnitude")) * 86_400e6) & (pair_km() <= window_km(F.col("a_magnitude"))))
+    return pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), order("a").alias("rank"))
+
+
+def decluster(events: DataFrame, by: str | None = "catalogue_id") -> DataFrame:
+    """events with `mainshock`: the id of the event that claims each, in order of magnitude (largest first), time and id; by: a column within whose groups events claim each other, None for all together."""
+    owners = graph.claim(claim_edges(events, by))
     return events.join(owners, events.id == owners.node, "left").drop("node").withColumn("mainshock", F.coalesce("seed", "id")).drop("seed")
 
 
@@ -165,8 +195,9 @@ def near_faults(events: DataFrame, faults: DataFrame, km: float, k: int = 5) ->
     """id, name, km and rank of the k nearest faults (by vertex) of each event within km (to a tenth); joined on cells of the sphere."""
     reach = km + 0.1
     points = faults.select("name", F.explode("points").alias("p")).select("name", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
-    points = points.withColumn("cell", F.explode(geo.cells_around(F.col("y"), F.col("x"), reach)))
-    placed = events.select("id", "latitude", "longitude", geo.cell(F.col("latitude"), F.col("longitude"), reach).alias("cell"))
+    around = geo.with_cells_around(points.select("name", F.col("y").alias("latitude"), F.col("x").alias("longitude")), reach)
+    points = around.select("name", "cell", F.col("latitude").alias("y"), F.col("longitude").alias("x"))
+    placed = geo.with_cell(events.select("id", "latitude", "longitude"), reach)
     far = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("y"), F.col("x"))
     best = placed.join(points, "cell").withColumn("km", far).groupBy("id", "name").agg(scores.js_round(F.min("km"), 1).alias("km")).where(F.col("km") <= km)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("km", "name"))).where(F.col("rank") <= k)

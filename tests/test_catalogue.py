@@ -39,22 +39,51 @@ def test_query_equals_oracle(spark, sf_dir, duck, name):
     assert sorted(map(key, got)) == sorted(map(key, want))
 
 
-def test_greedy_claiming_equals_a_loop(spark):
+def claimed_by_a_loop(edges):
+    after, owner = {}, {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    for i in sorted({x for e in edges for x in e}):
+        if i not in owner:
+            owner[i] = i
+            for b in after.get(i, ()):
+                owner.setdefault(b, i)
+    return owner
+
+
+@pytest.mark.parametrize("bounds", [(2, 200_000), (1, 200_000), (1, 12), (1, 0)])
+def test_greedy_claiming_equals_a_loop(spark, bounds):
+    """With all components solved whole, with the large ones by rounds, and with rounds alone."""
     random.seed(3)
-    for _ in range(3):
-        n = 30
-        edges = [(i, j) for i in range(n) for j in range(i + 1, n) if random.random() < 0.08]
-        owner = {}
-        for i in range(n):
-            if i not in owner:
-                owner[i] = i
-                for a, b in edges:
-                    if a == i and b not in owner:
-                        owner[b] = i
+    for n, share in ((30, 0.08), (60, 0.03)):
+        edges = [(i, j) for i in range(n) for j in range(i + 1, n) if random.random() < share]
         frame = spark.createDataFrame([(a, b, a) for a, b in edges], "src long, dst long, rank long")
-        got = {r.node: r.seed for r in graph.claim(frame).collect()}
-        touched = {x for e in edges for x in e}
-        assert got == {k: v for k, v in owner.items() if k in touched}
+        assert {r.node: r.seed for r in graph.claim(frame, *bounds).collect()} == claimed_by_a_loop(edges)
+
+
+def test_rounds_of_a_chain_are_bounded(spark, monkeypatch):
+    """However long the chain, and whether or not its nodes are named in its order; one table a result is left."""
+    count = []
+    kept = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda f: count.append(1) or kept(f))
+    took = {}
+    for n in (500, 10_000):
+        for shuffled in (False, True):
+            name = list(range(n))
+            if shuffled:
+                random.Random(2).shuffle(name)
+            frame = spark.createDataFrame([(name[k], name[k + d], k) for k in range(n) for d in (1, 2) if k + d < n], "src long, dst long, rank long")
+            count.clear()
+            graph.clear()
+            got = {r.node: r.seed for r in graph.claim(frame).collect()}
+            assert got == {name[k]: name[k - k % 3] for k in range(n)} and len(graph._made) == 1
+            took[n, shuffled] = len(count)
+    assert max(took.values()) <= 60 and took[10_000, False] <= took[500, False] + 6
+
+
+def test_claiming_without_edges(spark):
+    assert graph.claim(spark.createDataFrame([], "src string, dst string, rank int")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
 def test_components(spark):
@@ -111,9 +140,12 @@ def test_cells_miss_no_near_pair(spark, km):
     from pyspark.sql import functions as F
 
     points = sphere(400)
-    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "id int, lat double, lon double")
-    got = {r.id: (tuple(r.own), {tuple(c) for c in r.near}) for r in frame.select("id", geo.cell(F.col("lat"), F.col("lon"), km).alias("own"), geo.cells_around(F.col("lat"), F.col("lon"), km).alias("near")).collect()}
-    assert all(got[j][0] in got[i][1] for i in range(len(points)) for j in range(len(points)) if km_between(points[i], points[j]) <= km)
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "id int, latitude double, longitude double")
+    own = {r.id: tuple(r.cell) for r in geo.with_cell(frame, F.lit(km)).collect()}
+    near = [(r.id, tuple(r.cell)) for r in geo.with_cells_around(frame, km).collect()]
+    assert len(near) == len(set(near))
+    near = set(near)
+    assert all((i, own[j]) in near for i in range(len(points)) for j in range(len(points)) if km_between(points[i], points[j]) <= km)
 
 
 def test_simple_and_similar_pairs_equal_all_pairs(spark):
@@ -163,6 +195,23 @@ def test_declustering_equals_a_loop(spark):
         assert {r.mainshock for r in statistics.cluster_b_values(got).collect()} <= {m for m, n in sizes.items() if n >= 10}
 
 
+def test_candidates_of_declustering_are_bounded(spark, monkeypatch):
+    """In a dense sequence an event meets a bounded multiple of what it can claim, and heavy keys dealt over tasks change nothing."""
+    import datetime as dt
+
+    draw = random.Random(9)
+    t = dt.datetime(2024, 1, 1)
+    rows = [(k, 0, t + dt.timedelta(minutes=draw.randrange(60 * 24 * 200)), -41 + draw.gauss(0, 1.0), 174 + draw.gauss(0, 1.0), 10.0, round(1 + draw.expovariate(1.2), 1)) for k in range(4000)]
+    events = spark.createDataFrame(rows, FIELDS)
+    pair = lambda f: {tuple(r) for r in f.select("src", "dst").collect()}
+    whole = pair(match.claim_edges(events))
+    assert match.claim_candidates(events).count() <= 40 * len(whole)
+    monkeypatch.setattr(match, "HEAVY", 50)
+    assert pair(match.claim_edges(events)) == whole
+    monkeypatch.setattr(match, "MOST_BROADCAST", 0)
+    assert pair(match.claim_edges(events)) == whole
+
+
 def test_requests_and_templates():
     from seismolake.operators import catalogues
     from seismolake.plans.fields import Rule
