@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes of a text.
 
-Python only encodes, in Arrow batches; the rest is relational. Both sides' tokens are exploded with their places, a window's
-running sum of byte lengths gives where each starts and ends, and both sides are brought together by document and place: a
+Python only encodes, in Arrow batches; the rest is relational. Both sides' tokens are exploded with their places and joined with their vocabulary's byte lengths, a window's
+running sum of which gives where each starts and ends, and both sides are brought together by document and place: a
 side has a place once, so in the order of (document, start, side) tokens of the two sides that start alike are neighbours, and that is where the tokens before them
 both end. The running count of these cuts is the group's number. The link of each place is the range join of the sides: the latest token of either
 side that has started. A group of a and b tokens thus has a + b - 1 links, never a times b candidates.
@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, small_batches, spread, stored
@@ -25,18 +25,19 @@ from .common import numbered, small_batches, spread, stored
 HOT_SHARE = 1 << 16
 #: Bits of an id in a packed pair or place; ids of both vocabularies are below.
 ID_BITS = 20
+#: Ids are kept less this, as 16 bits with a sign.
+SHIFT = 1 << 15
 # The sign of a space in pieces, and how they write a single byte.
 SPACE_SIGN, BYTE_PIECE = "▁", r"<0x([0-9A-F]{2})>"
 
 
 @functools.cache
 def _encoders(byte_level: str, pieces: str) -> tuple:
-    """Both tokenizers with the bytes and the lengths of their tokens, made once a worker."""
+    """Both tokenizers, each with the bytes of its tokens by id, made once a process."""
     import os
     import re
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    import numpy as np
     import sentencepiece
     from tokenizers import Tokenizer
 
@@ -57,12 +58,19 @@ def _encoders(byte_level: str, pieces: str) -> tuple:
         return bytes([int(single[1], 16)]) if single else piece.replace(SPACE_SIGN, " ").encode()
 
     second_bytes = [piece_bytes(k) for k in range(second.get_piece_size())]
-    sizes = [np.array([len(x) for x in table], np.int32) for table in (first_bytes, second_bytes)]
-    return first, first_bytes, sizes[0], second, second_bytes, sizes[1]
+    if max(len(first_bytes), len(second_bytes)) > 2 * SHIFT:
+        raise ValueError("ids must fit 16 bits")
+    return first, first_bytes, second, second_bytes
+
+
+def sizes(spark: SparkSession, byte_level: str, pieces: str) -> DataFrame:
+    """(side, id, size): the byte lengths of both vocabularies' tokens, at most 2 * 65,536 rows."""
+    _, first, _, second = _encoders(byte_level, pieces)
+    return spark.createDataFrame([(side, k, len(raw)) for side, table in enumerate((first, second)) for k, raw in enumerate(table)], "side int, id int, size int")
 
 
 def encoded(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """docs (text) with their columns renamed to _0, _1 and so on (`numbered`), without the text, and a_ids, a_sizes, b_ids, b_sizes: ids and byte lengths of both sides; empty where the text is null, empty, or not the bytes of both.
+    """docs (text) with their columns renamed to _0, _1 and so on (`numbered`), without the text, and a_ids and b_ids: the ids of both sides less SHIFT, in 16 bits; empty where the text is null, empty, or not the bytes of both.
 
     The text is encoded with a space before it. Strings of special tokens within texts are plain text.
     """
@@ -76,11 +84,11 @@ def encoded(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        first, first_bytes, first_sizes, second, second_bytes, second_sizes = _encoders(byte_level, pieces)
+        first, first_bytes, second, second_bytes = _encoders(byte_level, pieces)
 
         def lists(parts: list) -> pa.ListArray:
             ends = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int32)]).astype(np.int32)))
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate([*parts, np.empty(0, np.int32)]) - SHIFT).astype(np.int16)))
 
         for batch in batches:
             sides = [], []
@@ -92,16 +100,16 @@ def encoded(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                 same = b"".join(map(first_bytes.__getitem__, a)) == whole == b"".join(map(second_bytes.__getitem__, b))
                 for side, ids in zip(sides, (a, b), strict=True):
                     side.append(np.array(ids if same else [], np.int32))
-            out = [x for ids, sizes in zip(sides, (first_sizes, second_sizes), strict=True) for x in (lists(ids), lists([sizes[i] for i in ids]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *out], [*batch.schema.names[1:], "a_ids", "a_sizes", "b_ids", "b_sizes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(lists, sides)], [*batch.schema.names[1:], "a_ids", "b_ids"])
 
-    return own.select(f"_{at}", *kept).mapInArrow(arrays, f"{fields}a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>")
+    return own.select(f"_{at}", *kept).mapInArrow(arrays, f"{fields}a_ids array<smallint>, b_ids array<smallint>")
 
 
-def places(texts: DataFrame) -> DataFrame:
+def places(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """One row a token of texts (doc: a key of the row, and the arrays of `encoded`), in order of doc, start and side: side (0 or 1), id, start, end, cut (both sides start here), grp (from 1), and link: the (a, b) ids that overlap from here on, null where the other side's row of this place has it."""
-    side = lambda s, name: F.transform(F.arrays_zip(F.col(f"{name}_ids"), F.col(f"{name}_sizes")), lambda x, k: F.struct(F.lit(s).alias("side"), k.alias("pos"), x[f"{name}_ids"].alias("id"), x[f"{name}_sizes"].alias("size")))
-    tokens = spread(texts.select("doc", "a_ids", "a_sizes", "b_ids", "b_sizes"), "doc").select("doc", F.inline(F.concat(side(0, "a"), side(1, "b"))))
+    side = lambda s, name: F.transform(f"{name}_ids", lambda x, k: F.struct(F.lit(s).alias("side"), k.alias("pos"), (x + F.lit(SHIFT)).alias("id")))
+    tokens = spread(texts.select("doc", "a_ids", "b_ids"), "doc").select("doc", F.inline(F.concat(side(0, "a"), side(1, "b"))))
+    tokens = tokens.join(F.broadcast(sizes), ["side", "id"])  # both vocabularies, of 16 bits each
     ended = tokens.select("doc", "side", "id", "size", F.sum(F.col("size").cast("long")).over(Window.partitionBy("doc", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
     started = ended.select("doc", "side", "id", (F.col("end") - F.col("size")).alias("start"), "end")
     order = Window.partitionBy("doc").orderBy("start", "side")
@@ -128,7 +136,7 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     texts = stored(encoded(docs, byte_level, pieces).withColumn("doc", F.monotonically_increasing_id()), "alignment-ids")
     start = lambda s: F.when(F.col("side") == s, F.shiftleft(F.col("start"), ID_BITS + 1) + F.col("id") * 2 + F.col("cut").cast("int"))
     pair = F.shiftleft(F.col("link.a").cast("long"), ID_BITS) + F.col("link.b")
-    rows = places(texts).groupBy("doc").agg(F.collect_list(start(0)).alias("a"), F.collect_list(start(1)).alias("b"), F.collect_list(pair).alias("links"))
+    rows = places(texts, sizes(docs.sparkSession, byte_level, pieces)).groupBy("doc").agg(F.collect_list(start(0)).alias("a"), F.collect_list(start(1)).alias("b"), F.collect_list(pair).alias("links"))
     rows = rows.select("doc", F.sort_array("a").alias("a"), F.sort_array("b").alias("b"), F.sort_array("links").alias("links"))
     groups = F.zip_with(_groups("a"), _groups("b"), lambda a, b: F.concat(a, F.lit("|"), b))
     # Equal links stand together: where each run starts, and how far the next one is.
@@ -138,7 +146,7 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     found = F.transform("runs", lambda at, k: F.struct(F.shiftright(F.get("links", at), ID_BITS).cast("int").alias("a"), F.get("links", at).bitwiseAND(low).cast("int").alias("b"), (F.coalesce(F.get(F.col("runs"), k + 1), n) - at).alias("n")))
     rows = rows.select("doc", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), "n_links", "groups", found.alias("pairs"))
     zero = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
-    kept = texts.drop("a_ids", "a_sizes", "b_ids", "b_sizes")
+    kept = texts.drop("a_ids", "b_ids")
     return kept.join(rows, "doc", "left").select(*kept.columns, *map(zero, ("n_a", "n_b", "n_groups", "n_links")), F.coalesce("groups", F.array().cast("array<string>")).alias("groups"), F.coalesce("pairs", F.array().cast("array<struct<a:int,b:int,n:int>>")).alias("pairs"))
 
 
