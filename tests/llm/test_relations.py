@@ -81,7 +81,7 @@ def test_spelling_of_dense_words(spark, seed):
 
 
 def test_spelling_of_awkward_rows(spark):
-    long = "x" * 40_000
+    long = "x" * 1000
     docs = [(1, None), (2, ""), (None, "Zürich-ESE zürichese"), (3, f"{long} {long}y {long} {long}y"), (3, "wonderful wonderful WONDERFUL wonderfull wonderfull"), (3, "wonderful"), (4, "×÷éàöüßÿ ×÷éàöüßÿ")]
     frame = spark.createDataFrame([(*d, 1, "k", 2) for d in docs], "doc_id long, text string, n int, word string, wid int")
     got = got_variants(spelling.variants(spelling.vocabulary(spelling.damaged_runs(frame))))
@@ -91,6 +91,15 @@ def test_spelling_of_awkward_rows(spark):
     assert got_variants(spelling.variants(spark.createDataFrame([(None, 5), ("alone", 2)], "word string, n long"))) == [("alone", None, "alone", 2, 0, None)]
 
 
+def test_spelling_of_very_long_words(spark):
+    """A word costs what it has of characters: no square of its length."""
+    rng = random.Random(1)
+    word = "".join(rng.choice("abcde") for _ in range(200_000))
+    frame = spark.createDataFrame([(word, 30), (word + "z", 3), (word[:100_000] + word[100_001:], 2), (word[:7] + "z" + word[8:], 2), (word[::-1], 2)], "word string, n long")
+    got = {r[3]: r[1:3] for r in spelling.variants(frame).select("n", F.length("form"), F.sha2("root", 256) == F.sha2(F.lit(word), 256), "n_near").where("n_near > 0").distinct().collect()}
+    assert got == {3: (None, True), 1: (200_000, True)}
+
+
 def test_light_edges_are_few(spark):
     """At most log2 of the words on any word's way, however long the word."""
     rng = random.Random(5)
