@@ -86,39 +86,43 @@ def encoded(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 
         first, first_bytes, second, second_bytes = _encoders(byte_level, pieces)
 
-        def lists(parts: list) -> pa.ListArray:
-            ends = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate([*parts, np.empty(0, np.int32)]) - SHIFT).astype(np.int16)))
+        def ids_of(text: str) -> tuple[bytes, bytes]:
+            """Ids of both sides, less SHIFT; none where a side doesn't give back the text's bytes."""
+            if not text:
+                return b"", b""
+            a, b = first.encode(" " + text, add_special_tokens=False).ids, second.encode(text, num_threads=1)
+            if not b"".join(map(first_bytes.__getitem__, a)) == (" " + text).encode() == b"".join(map(second_bytes.__getitem__, b)):
+                return b"", b""
+            return tuple((np.array(ids, np.int32) - SHIFT).astype(np.int16).tobytes() for ids in (a, b))
+
+        def lists(parts: list[bytes]) -> pa.ListArray:
+            ends = np.r_[0, np.cumsum([len(x) // 2 for x in parts])].astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int16(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))]))
 
         for batch in batches:
-            sides = [], []
-            for text in batch.column(0):
-                text = text.as_py() or ""
-                a = first.encode(" " + text, add_special_tokens=False).ids if text else []
-                b = second.encode(text, num_threads=1) if text else []
-                whole = (" " + text).encode() if text else b""
-                same = b"".join(map(first_bytes.__getitem__, a)) == whole == b"".join(map(second_bytes.__getitem__, b))
-                for side, ids in zip(sides, (a, b), strict=True):
-                    side.append(np.array(ids if same else [], np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(lists, sides)], [*batch.schema.names[1:], "a_ids", "b_ids"])
+            both = [ids_of(text.as_py() or "") for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists([x[0] for x in both]), lists([x[1] for x in both])], [*batch.schema.names[1:], "a_ids", "b_ids"])
 
     return own.select(f"_{at}", *kept).mapInArrow(arrays, f"{fields}a_ids array<smallint>, b_ids array<smallint>")
 
 
 def places(texts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One row a token of texts (doc: a key of the row, and the arrays of `encoded`), in order of doc, start and side: side (0 or 1), id, start, end, cut (both sides start here), grp (from 1), and link: the (a, b) ids that overlap from here on, null where the other side's row of this place has it."""
-    side = lambda s, name: F.transform(f"{name}_ids", lambda x, k: F.struct(F.lit(s).alias("side"), k.alias("pos"), (x + F.lit(SHIFT)).alias("id")))
-    tokens = spread(texts.select("doc", "a_ids", "b_ids"), "doc").select("doc", F.inline(F.concat(side(0, "a"), side(1, "b"))))
-    tokens = tokens.join(F.broadcast(sizes), ["side", "id"])  # both vocabularies, of 16 bits each
-    ended = tokens.select("doc", "side", "id", "size", F.sum(F.col("size").cast("long")).over(Window.partitionBy("doc", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
-    started = ended.select("doc", "side", "id", (F.col("end") - F.col("size")).alias("start"), "end")
+    """One row a token of texts (doc: a key of the row, the arrays of `encoded`, and kept: what else is to be carried along), in order of doc, start and side: side (0 or 1), id, start, end, cut (both sides start here), grp (from 1), and link: the (a, b) ids that overlap from here on, null where the other side's row of this place has it. Before them a row of side -1 has kept, which is null in the others."""
+    none = F.lit(None).cast(texts.schema["kept"].dataType)
+    side = lambda s, name: F.transform(f"{name}_ids", lambda x, k: F.struct(F.lit(s).alias("side"), k.alias("pos"), (x + F.lit(SHIFT)).alias("id"), none.alias("kept")))
+    head = F.array(F.struct(F.lit(-1).alias("side"), F.lit(0).alias("pos"), F.lit(-1).alias("id"), F.col("kept")))
+    tokens = spread(texts, "doc").select("doc", F.inline(F.concat(head, side(0, "a"), side(1, "b"))))
+    tokens = tokens.join(F.broadcast(sizes), ["side", "id"], "left")  # both vocabularies, of 16 bits each
+    ended = tokens.select("doc", "side", "id", "size", "kept", F.sum("size").over(Window.partitionBy("doc", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+    started = ended.select("doc", "side", "id", "kept", F.coalesce(F.col("end") - F.col("size"), F.lit(0).cast("long")).alias("start"), "end")
     order = Window.partitionBy("doc").orderBy("start", "side")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     latest = lambda s: F.last(F.when(F.col("side") == s, F.struct("start", "id")), ignorenulls=True).over(so_far)
     met = started.select("*", F.lead("start").over(order).alias("next"), latest(0).alias("a"), latest(1).alias("b"))
-    cut = F.when(F.col("side") == 0, F.coalesce(F.col("next") == F.col("start"), F.lit(False))).otherwise(F.col("a.start") == F.col("start"))
-    met = met.select("doc", "side", "id", "start", "end", cut.alias("cut"), F.when((F.col("side") == 1) | ~cut, F.struct(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).alias("link"))
-    return met.withColumn("grp", F.sum(F.when(F.col("cut") & (F.col("side") == 0), 1).otherwise(0)).over(so_far))
+    cut = F.when(F.col("side") == 0, F.col("next") == F.col("start")).otherwise(F.col("a.start") == F.col("start"))
+    met = met.select("doc", "side", "id", "kept", "start", "end", F.coalesce(cut, F.lit(False)).alias("cut"), "a", "b")
+    link = F.when((F.col("side") == 1) | (F.col("side") == 0) & ~F.col("cut"), F.struct(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+    return met.select("doc", "side", "id", "kept", "start", "end", "cut", link.alias("link"), F.sum(F.when(F.col("cut") & (F.col("side") == 0), 1).otherwise(0)).over(so_far).alias("grp"))
 
 
 def _groups(packed: str) -> Column:
@@ -128,26 +132,27 @@ def _groups(packed: str) -> Column:
 
 
 def aligned(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """docs (text, any other columns) with their columns but for text as _0, _1 and so on, and per document n_a, n_b (tokens), n_groups, n_links, groups ('a1,a2|b1' a group, in order) and pairs: (a, b, n) of each pair of ids that n links hold.
+    """docs (text, any other columns) with their columns but for text in a struct `kept`, as _0, _1 and so on, and per document n_a, n_b (tokens), n_groups, n_links, groups ('a1,a2|b1' a group, in order) and pairs: (a, b, n) of each pair of ids that n links hold.
 
     Null and empty texts, and those whose bytes a side doesn't give back, have no tokens: zeros and empty arrays. Rows are taken one by one: repeated rows, ties and null ids give a row each, an
-    empty table none. A very long text is one row of its task, as for the encoders themselves.
+    empty table none. A very long text is one row of its task, as for the encoders themselves. docs come in an order that a second reading repeats, as files do.
     """
-    texts = stored(encoded(docs, byte_level, pieces).withColumn("doc", F.monotonically_increasing_id()), "alignment-ids")
+    texts = encoded(docs, byte_level, pieces)
+    kept = F.struct(*[c for c in texts.columns if c not in ("a_ids", "b_ids")], F.lit(True).alias("there"))
+    texts = texts.select(F.monotonically_increasing_id().alias("doc"), kept.alias("kept"), "a_ids", "b_ids")
     start = lambda s: F.when(F.col("side") == s, F.shiftleft(F.col("start"), ID_BITS + 1) + F.col("id") * 2 + F.col("cut").cast("int"))
     pair = F.shiftleft(F.col("link.a").cast("long"), ID_BITS) + F.col("link.b")
-    rows = places(texts, sizes(docs.sparkSession, byte_level, pieces)).groupBy("doc").agg(F.collect_list(start(0)).alias("a"), F.collect_list(start(1)).alias("b"), F.collect_list(pair).alias("links"))
-    rows = rows.select("doc", F.sort_array("a").alias("a"), F.sort_array("b").alias("b"), F.sort_array("links").alias("links"))
+    rows = places(texts, sizes(docs.sparkSession, byte_level, pieces)).groupBy("doc").agg(F.first("kept", ignorenulls=True).alias("kept"), F.collect_list(start(0)).alias("a"), F.collect_list(start(1)).alias("b"), F.collect_list(pair).alias("links"))
+    rows = rows.select("doc", "kept", F.sort_array("a").alias("a"), F.sort_array("b").alias("b"), F.sort_array("links").alias("links"))
     groups = F.zip_with(_groups("a"), _groups("b"), lambda a, b: F.concat(a, F.lit("|"), b))
     # Equal links stand together: where each run starts, and how far the next one is.
     n = F.size("links")
-    rows = rows.select("doc", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), n.cast("long").alias("n_links"), groups.alias("groups"), "links", F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get("links", k) != F.get("links", k - 1))).alias("runs"))
+    runs = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get("links", k) != F.get("links", k - 1)))
+    none = F.array().cast("array<int>")
+    rows = rows.select("doc", "kept", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), n.cast("long").alias("n_links"), F.when(n > 0, groups).otherwise(F.array().cast("array<string>")).alias("groups"), "links", F.when(n > 0, runs).otherwise(none).alias("runs"))
     low = F.lit((1 << ID_BITS) - 1).cast("long")
     found = F.transform("runs", lambda at, k: F.struct(F.shiftright(F.get("links", at), ID_BITS).cast("int").alias("a"), F.get("links", at).bitwiseAND(low).cast("int").alias("b"), (F.coalesce(F.get(F.col("runs"), k + 1), n) - at).alias("n")))
-    rows = rows.select("doc", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), "n_links", "groups", found.alias("pairs"))
-    zero = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
-    kept = texts.drop("a_ids", "b_ids")
-    return kept.join(rows, "doc", "left").select(*kept.columns, *map(zero, ("n_a", "n_b", "n_groups", "n_links")), F.coalesce("groups", F.array().cast("array<string>")).alias("groups"), F.coalesce("pairs", F.array().cast("array<struct<a:int,b:int,n:int>>")).alias("pairs"))
+    return rows.select("doc", "kept", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), "n_links", "groups", found.alias("pairs"))
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -158,9 +163,10 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """`aligned` with groups_sha256 in place of its arrays, n_best (links of a pair that is its b's most frequent one in the corpus, ties included) and count_sum (of the corpus counts of all links)."""
+    """`aligned` with groups_sha256 in place of its arrays, n_best (links of a pair that is its b's most frequent one in the corpus, ties included) and count_sum (of the corpus counts of all links); the columns that were kept are its own again."""
     digest = F.when(F.col("n_a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
-    found = stored(aligned(docs, byte_level, pieces).withColumn("groups_sha256", digest).drop("groups"), "alignment-pairs")
+    # Sorted pairs are small differences.
+    found = stored(aligned(docs, byte_level, pieces).withColumn("groups_sha256", digest).drop("groups"), "alignment-pairs", **{"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"})
     counts = stored(pair_counts(found), "alignment-counts")
     total = counts.agg(F.sum("count")).first()[0] or 0
     hot = F.col("count") * HOT_SHARE > total
@@ -170,4 +176,5 @@ def scored(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     sums = [F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum")]
     each = common.groupBy("doc").agg(*sums).unionAll(rare.groupBy("doc").agg(*sums)).groupBy("doc").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
-    return found.drop("pairs").join(each, "doc", "left").select(*[c for c in found.columns if c not in ("doc", "pairs")], zero("n_best"), zero("count_sum"))
+    kept = [F.col(f"kept.{f.name}") for f in found.schema["kept"].dataType.fields if f.name != "there"]
+    return found.drop("pairs").join(each, "doc", "left").select(*kept, "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

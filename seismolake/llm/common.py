@@ -45,14 +45,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table written once in the shared folder: it cuts lineage and outlives executors. The shuffle files of its making go as soon as it is written."""
+def stored(frame: DataFrame, name: str, **options: str) -> DataFrame:
+    """The frame as a table written once in the shared folder: it cuts lineage and outlives executors. The shuffle files of its making go as soon as it is written. options: of the Parquet writer."""
     spark = frame.sparkSession
     path = scratch_path(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        frame.write.parquet(path)
+        frame.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(frame.schema).parquet(path)
