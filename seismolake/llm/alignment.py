@@ -1,20 +1,19 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes of a text.
 
-Python only encodes, in Arrow batches; the rest is relational. Both sides' tokens are exploded with their places and joined with their vocabulary's byte lengths, a window's
-running sum of which gives where each starts and ends, and both sides are brought together by document and place: a
-side has a place once, so in the order of (document, start, side) tokens of the two sides that start alike are neighbours, and that is where the tokens before them
-both end. The running count of these cuts is the group's number. The link of each place is the range join of the sides: the latest token of either
-side that has started. A group of a and b tokens thus has a + b - 1 links, never a times b candidates.
-
-A document's tokens come from one row and one encoder call, so a task holds its documents, not a share of the corpus. Counts of id pairs
-are corpus-wide: pairs with more than one in HOT_SHARE of all links, so at most HOT_SHARE of them, go back to the documents by a broadcast, the rest by a
+Running sums of the tokens' byte lengths give where each ends; an equi-join of both sides' ends within a document finds the cuts, where both end; the running
+count of cuts is a token's group; and a range join of the sides, by the place of each end among the other side's, gives the links. A group of a and b tokens has a + b - 1 links, so no group makes
+a times b candidates.
+
+There are two forms. `places` and `aligned` are relational: exploded tokens, windows and one shuffle by document. `summaries` takes the same steps over
+arrays, a document at a time, in the task that encodes it, which needs no shuffle of tokens; `scored` is built on it, for the relational form doesn't keep within the check tool's limits (see the README).
+What is corpus-wide is relational in both: counts of id pairs, and their way back to the documents. Pairs with more than one in HOT_SHARE of all links, so at most HOT_SHARE of them, go back by a broadcast, the rest by a
 shuffle in which no pair is hot.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +26,9 @@ HOT_SHARE = 1 << 16
 ID_BITS = 20
 #: Ids are kept less this, as 16 bits with a sign.
 SHIFT = 1 << 15
+# How byte-level entries part a text, and characters of whose kind there is no doubt in any table of characters.
+SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = "[\n\x20-\x7e\u00c0-\u017f]*"
 # The sign of a space in pieces, and how they write a single byte.
 SPACE_SIGN, BYTE_PIECE = "▁", r"<0x([0-9A-F]{2})>"
 
@@ -60,12 +62,36 @@ def _encoders(byte_level: str, pieces: str) -> tuple:
     second_bytes = [piece_bytes(k) for k in range(second.get_piece_size())]
     if max(len(first_bytes), len(second_bytes)) > 2 * SHIFT:
         raise ValueError("ids must fit 16 bits")
-    return first, first_bytes, second, second_bytes
+    import tiktoken
+
+    # The same vocabulary in a faster library, for plain texts only.
+    special = first.get_added_tokens_decoder()
+    plain = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks={raw: k for k, raw in enumerate(first_bytes) if k not in special}, special_tokens={})
+    return first, first_bytes, second, second_bytes, plain
+
+
+def _both(byte_level: str, pieces: str) -> Callable[[str], tuple[list[int], list[int]]]:
+    """A function that gives both sides' ids of a text, none where it is empty or a side doesn't give back its bytes."""
+    import re
+
+    first, first_bytes, second, second_bytes, plain = _encoders(byte_level, pieces)
+    is_plain = re.compile(PLAIN).fullmatch
+
+    def ids(text: str) -> tuple[list[int], list[int]]:
+        if not text:
+            return [], []
+        led = " " + text
+        a = plain.encode_ordinary(led) if is_plain(text) else first.encode(led, add_special_tokens=False).ids
+        b = second.encode(text, num_threads=1)
+        same = b"".join(map(first_bytes.__getitem__, a)) == led.encode() == b"".join(map(second_bytes.__getitem__, b))
+        return (a, b) if same else ([], [])
+
+    return ids
 
 
 def sizes(spark: SparkSession, byte_level: str, pieces: str) -> DataFrame:
     """(side, id, size): the byte lengths of both vocabularies' tokens, at most 2 * 65,536 rows."""
-    _, first, _, second = _encoders(byte_level, pieces)
+    _, first, _, second, _ = _encoders(byte_level, pieces)
     return spark.createDataFrame([(side, k, len(raw)) for side, table in enumerate((first, second)) for k, raw in enumerate(table)], "side int, id int, size int")
 
 
@@ -84,23 +110,15 @@ def encoded(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        first, first_bytes, second, second_bytes = _encoders(byte_level, pieces)
-
-        def ids_of(text: str) -> tuple[bytes, bytes]:
-            """Ids of both sides, less SHIFT; none where a side doesn't give back the text's bytes."""
-            if not text:
-                return b"", b""
-            a, b = first.encode(" " + text, add_special_tokens=False).ids, second.encode(text, num_threads=1)
-            if not b"".join(map(first_bytes.__getitem__, a)) == (" " + text).encode() == b"".join(map(second_bytes.__getitem__, b)):
-                return b"", b""
-            return tuple((np.array(ids, np.int32) - SHIFT).astype(np.int16).tobytes() for ids in (a, b))
+        ids_of = _both(byte_level, pieces)
+        packed = lambda ids: (np.array(ids, np.int32) - SHIFT).astype(np.int16).tobytes()
 
         def lists(parts: list[bytes]) -> pa.ListArray:
             ends = np.r_[0, np.cumsum([len(x) // 2 for x in parts])].astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int16(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))]))
 
         for batch in batches:
-            both = [ids_of(text.as_py() or "") for text in batch.column(0)]
+            both = [tuple(map(packed, ids_of(text.as_py() or ""))) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists([x[0] for x in both]), lists([x[1] for x in both])], [*batch.schema.names[1:], "a_ids", "b_ids"])
 
     return own.select(f"_{at}", *kept).mapInArrow(arrays, f"{fields}a_ids array<smallint>, b_ids array<smallint>")
@@ -155,6 +173,57 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     return rows.select("doc", "kept", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), "n_links", "groups", found.alias("pairs"))
 
 
+def summaries(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+    """The columns of `aligned`, but for groups_sha256 (of groups, joined by semicolons; empty without tokens) in place of groups: the same steps over arrays, in the task that encodes a document."""
+    small_batches(docs.sparkSession)
+    own, _ = numbered(docs)
+    at = docs.columns.index("text")
+    kept = F.struct(*[c for k, c in enumerate(own.columns) if k != at], F.lit(True).alias("there")).alias("kept")
+    rows = own.select(f"_{at}", F.monotonically_increasing_id().alias("doc"), kept)
+    names = ["doc", "kept", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"]
+
+    def summed(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        ids_of = _both(byte_level, pieces)
+        _, first_bytes, _, second_bytes, _ = _encoders(byte_level, pieces)
+        lengths = [np.array([len(x) for x in table], np.int64) for table in (first_bytes, second_bytes)]
+        said = [str(k) for k in range(max(map(len, lengths)))]
+        fields = [pa.field(name, pa.int32(), False) for name in ("a", "b", "n")]
+
+        def summary(text: str) -> tuple:
+            a, b = (np.array(ids, np.int64) for ids in ids_of(text))
+            if not len(a):
+                return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
+            ends_a, ends_b = lengths[0][a].cumsum(), lengths[1][b].cumsum()
+            cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+            # In order of group, side and place; a sign after each id says what comes next.
+            key = np.concatenate([np.searchsorted(cuts, ends_a) * 2, np.searchsorted(cuts, ends_b) * 2 + 1])
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            last = np.r_[key[1:] != key[:-1], True]
+            signs = np.where(last, np.where(key % 2 == 0, "|", ";"), ",")
+            text = "".join([said[k] + sign for k, sign in zip(np.concatenate([a, b])[order].tolist(), signs.tolist(), strict=True)])
+            # The other side's token at each end is the first that ends there or later.
+            ends = np.union1d(ends_a, ends_b)
+            pairs, n = np.unique((a[np.searchsorted(ends_a, ends)] << ID_BITS) + b[np.searchsorted(ends_b, ends)], return_counts=True)
+            return len(a), len(b), len(cuts), len(ends), hashlib.sha256(text[:-1].encode()).hexdigest(), pairs, n
+
+        for batch in batches:
+            found = [summary(text.as_py() or "") for text in batch.column(0)]
+            columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(4)] + [pa.array([x[4] for x in found], pa.string())]
+            pairs, n = (np.concatenate([*[x[k] for x in found], np.empty(0, np.int64)]) for k in (5, 6))
+            values = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (pairs >> ID_BITS, pairs & ((1 << ID_BITS) - 1), n)], fields=fields)
+            ends = np.r_[0, np.cumsum([len(x[5]) for x in found])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns, pa.ListArray.from_arrays(pa.array(ends), values)], names)
+
+    types = f"doc long, kept {rows.schema['kept'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<a:int,b:int,n:int>>"
+    return rows.mapInArrow(summed, types)
+
+
 def pair_counts(found: DataFrame) -> DataFrame:
     """(a, b, count, best) of found (pairs): how many links of the corpus hold a pair, and whether no other pair of its b has more."""
     counts = found.select(F.inline("pairs")).groupBy("a", "b").agg(F.sum("n").alias("count"))
@@ -163,10 +232,12 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """`aligned` with groups_sha256 in place of its arrays, n_best (links of a pair that is its b's most frequent one in the corpus, ties included) and count_sum (of the corpus counts of all links); the columns that were kept are its own again."""
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
+    """`summaries` with n_best (links of a pair that is its b's most frequent one in the corpus, ties included) and count_sum (of the corpus counts of all links) in place of pairs; the columns that were kept are its own again.
+
+    Texts, rows and tables that are null, empty, repeated or tied come out as in `aligned`.
+    """
     # Sorted pairs are small differences.
-    found = stored(aligned(docs, byte_level, pieces).withColumn("groups_sha256", digest).drop("groups"), "alignment-pairs", **{"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"})
+    found = stored(summaries(docs, byte_level, pieces), "alignment-pairs", **{"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"})
     counts = stored(pair_counts(found), "alignment-counts")
     total = counts.agg(F.sum("count")).first()[0] or 0
     hot = F.col("count") * HOT_SHARE > total

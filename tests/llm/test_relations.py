@@ -239,4 +239,10 @@ def test_alignment_of_awkward_rows(spark, tokens, monkeypatch, share):
     done = alignment.scored(frame, tokenizer_file(BYTE_LEVEL), tokenizer_file(PIECES))
     check_alignment(done.select("_0", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), expected_alignment(AWKWARD_TEXTS, tokens))
     assert done.where("_2 = 1 and _3 = 'x'").count() == len(AWKWARD_TEXTS)
+    # The relational form gives the same, row by row.
+    rows = alignment.aligned(frame, tokenizer_file(BYTE_LEVEL), tokenizer_file(PIECES))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("").alias("groups_sha256")
+    plain = lambda f: sorted(map(str, f.collect()))
+    columns = ["kept", "n_a", "n_b", "n_groups", "n_links"]
+    assert plain(rows.select(*columns, digest, F.array_sort("pairs").alias("pairs"))) == plain(alignment.summaries(frame, tokenizer_file(BYTE_LEVEL), tokenizer_file(PIECES)).select(*columns, "groups_sha256", "pairs"))
     assert alignment.scored(frame.limit(0), tokenizer_file(BYTE_LEVEL), tokenizer_file(PIECES)).count() == 0
