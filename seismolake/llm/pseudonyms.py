@@ -9,6 +9,8 @@ format; they get a keyed digest as their name and host. All is Spark's own funct
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,14 @@ from .common import held, numbered
 
 ROUNDS = 8
 # What may be personal data; each match is then validated by its kind.
-MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}"
 ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 IDENTITY = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}"
 ANY = rf"(?<![A-Za-z0-9._%+-]){MAIL}|(?<![\w.+-])(?:{DATE}|{ADDRESS}|{IDENTITY}|{PHONE})(?![\w-]|\.\d)"
-#: Groups of digits between all these, in which cards are found; the least and most digits of a card.
-GROUPS, CARD_DIGITS = r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,}(?![\w-]|\.\d)", (13, 19)
+#: Groups of digits between all these, in which cards are found: possessive, so that a long table of numbers doesn't fill the matcher's stack. What must not follow a card; the least and most digits of one.
+GROUPS, NO_END, CARD_DIGITS = r"(?<![\w.+-])(?=[0-9 -]{13})[0-9]++(?:[ -][0-9]++)*+", r"^(?:[\w-]|\.\d)", (13, 19)
 # The days that dates are permuted over, 1900-01-01 to 2099-12-31, and their number as a product.
 FIRST_DAY, DAYS, DAY_SIDES = "1900-01-01", 73049, (17, 4297)
 # Valid identity numbers have an area of 001 to 899 but for 666, a group of 01 to 99 and a serial number of 0001 to 9999.
@@ -35,6 +37,11 @@ def _div(value: Column, by: Column | int) -> Column:
     return F.call_function("div", value, F.lit(by).cast("long") if isinstance(by, int) else by)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), in which the value is computed once, however often it occurs."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def feistel(value: Column, left: Column | int, right: Column | int, key: str, kind: str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of the whole numbers below left * right (rounds: even)."""
     left, right = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (left, right))
@@ -51,26 +58,30 @@ def feistel(value: Column, left: Column | int, right: Column | int, key: str, ki
 
 def _permuted_digits(digits: Column, key: str, kind: str) -> Column:
     """A string of 2 to 18 digits, permuted among those of its length."""
-    n = F.length(digits)
     half = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    low = _div(n, 2)
-    return F.lpad(feistel(digits.cast("long"), half(n - low), half(low), key, kind).cast("string"), n, "0")
+
+    def permuted(d: Column) -> Column:
+        n = F.length(d)
+        low = _div(n, 2)
+        sides = F.struct(half(n - low).alias("left"), half(low).alias("right"))
+        return F.lpad(_once(sides, lambda x: feistel(d.cast("long"), x["left"], x["right"], key, kind)).cast("string"), n, "0")
+
+    return _once(digits, permuted)
 
 
 def _check_sum(digits: Column) -> Column:
     """The sum that a card number's digits must bring to a multiple of ten."""
-    def term(total: Column, k: Column) -> Column:
-        digit = F.substring(digits, F.length(digits) - k, F.lit(1)).cast("int")
-        doubled = digit * 2
-        return total + F.when(k % 2 == 0, digit).otherwise(F.when(doubled > 9, doubled - 9).otherwise(doubled))
+    def term(d: Column) -> Callable[[Column, Column], Column]:
+        digit = lambda k: F.substring(d, F.length(d) - k, F.lit(1)).cast("int")
+        return lambda total, k: total + F.when(k % 2 == 0, digit(k)).otherwise(F.pmod(digit(k) * 2, F.lit(10)) + (digit(k) > 4).cast("int"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), term)
+    return _once(digits, lambda d: F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), term(d)))
 
 
 def _in_shape(found: Column, digits: Column) -> Column:
     """found with its digits replaced, one by one, by digits."""
-    step = lambda s, c: F.when(c.rlike("[0-9]"), F.struct((s["at"] + 1).alias("at"), F.concat(s["out"], F.substring(digits, s["at"], F.lit(1))).alias("out"))).otherwise(F.struct(s["at"].alias("at"), F.concat(s["out"], c).alias("out")))
-    return F.aggregate(F.filter(F.split(found, ""), lambda c: c != ""), F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
+    step = lambda d: lambda s, c: F.when(c.rlike("[0-9]"), F.struct((s["at"] + 1).alias("at"), F.concat(s["out"], F.substring(d, s["at"], F.lit(1))).alias("out"))).otherwise(F.struct(s["at"].alias("at"), F.concat(s["out"], c).alias("out")))
+    return _once(digits, lambda d: F.aggregate(F.filter(F.split(found, ""), lambda c: c != ""), F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), step(d), lambda s: s["out"]))
 
 
 def _mail(found: Column, key: str) -> Column:
@@ -80,24 +91,31 @@ def _mail(found: Column, key: str) -> Column:
 
 def _card(digits: Column, key: str) -> Column:
     body = _permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    return F.concat(body, F.pmod(-_check_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+    return _once(body, lambda b: F.concat(b, F.pmod(-_check_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
 
 def _address(found: Column, key: str) -> Column:
     number = F.aggregate(F.split(found, r"\."), F.lit(0).cast("long"), lambda n, x: n * 256 + x.cast("long"))
     new = feistel(number, 1 << 16, 1 << 16, key, "address")
-    return F.concat_ws(".", *[F.pmod(F.shiftright(new, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
+    return _once(new, lambda n: F.concat_ws(".", *[F.pmod(F.shiftright(n, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))
 
 
 def _identity(digits: Column, key: str) -> Column:
     """Nine digits of a valid identity number, permuted among all valid ones: their number is a product, so none is walked over."""
-    number = digits.cast("long")
+    return _once(digits.cast("long"), lambda number: _identity_of(number, key))
+
+
+def _identity_of(number: Column, key: str) -> Column:
     area, group, serial = _div(number, 1_000_000), F.pmod(_div(number, 10_000), F.lit(100)), F.pmod(number, F.lit(10_000))
     place = ((area - 1 - (area > NO_AREA).cast("long")) * GROUPS_OF_AREA + group - 1) * SERIALS + serial - 1
     new = feistel(place, AREAS * GROUPS_OF_AREA, SERIALS, key, "identity")
-    rank = _div(new, GROUPS_OF_AREA * SERIALS)
-    parts = (rank + 1 + (rank + 1 >= NO_AREA).cast("long"), F.pmod(_div(new, SERIALS), F.lit(GROUPS_OF_AREA)) + 1, F.pmod(new, F.lit(SERIALS)) + 1)
-    return F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in zip(parts, (3, 2, 4), strict=True)])
+
+    def written(n: Column) -> Column:
+        rank = _div(n, GROUPS_OF_AREA * SERIALS)
+        parts = (rank + 1 + (rank + 1 >= NO_AREA).cast("long"), F.pmod(_div(n, SERIALS), F.lit(GROUPS_OF_AREA)) + 1, F.pmod(n, F.lit(SERIALS)) + 1)
+        return F.concat(*[F.lpad(x.cast("string"), width, "0") for x, width in zip(parts, (3, 2, 4), strict=True)])
+
+    return _once(new, written)
 
 
 def _day_number(found: Column) -> tuple[Column, Column]:
@@ -148,17 +166,23 @@ def pseudonym(found: Column, kind: Column, key: str) -> Column:
     )
 
 
-def _cards(groups: Column) -> Column:
-    """(rank, first, end, text) of the cards among groups of digits (each with the separator after it): runs of whole groups with a right check digit, the longest first, then the leftmost, none over another."""
-    least, most = CARD_DIGITS
-    digits = lambda x: F.regexp_replace(x, r"[^0-9]", "")
+def _ending(groups: Column, after: Column) -> Column:
+    """How many of the groups a card may take: all, or, where something that must not follow a card comes after them, as many as end with a space."""
+    n = F.size(groups)
+    spaced = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k > 0) & (F.get(groups, k - 1).endswith(" ")))
+    return F.when(F.substring(after, 1, 2).rlike(NO_END), F.coalesce(F.try_element_at(spaced, F.lit(-1)), F.lit(0))).otherwise(n)
 
-    def run(first: Column, n: Column) -> Column:
-        text = F.regexp_replace(F.array_join(F.slice(groups, first, n), ""), r"[ -]$", "")
-        return F.struct((-F.length(digits(text))).alias("rank"), first.alias("first"), (first + n).alias("end"), text.alias("text"))
 
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), lambda first: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(groups) - first + 1)), lambda n: run(first, n))))
-    valid = F.sort_array(F.filter(runs, lambda x: x["rank"].between(-most, -least) & (_check_sum(digits(x["text"])) % 10 == 0)))
+def _cards(groups: Column, until: Column) -> Column:
+    """(rank, first, end, text) of the cards among the first `until` groups of digits (each with the separator after it): runs of whole groups with a right check digit, the longest first, then the leftmost, none over another."""
+    least, most = CARD_DIGITS
+    some = F.when(until > 0, F.sequence(F.lit(1), until)).otherwise(F.array().cast("array<int>"))
+    text = lambda first, n: F.array_join(F.slice(groups, first, n), "")
+    # Runs of wrong lengths or check digits are left out start by start, before all come together.
+    counted = lambda first: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), until - first + 1)), lambda n: F.struct(n.alias("n"), F.regexp_replace(text(first, n), r"[^0-9]", "").alias("digits")))
+    right = lambda x: F.length(x["digits"]).between(least, most) & (_check_sum(x["digits"]) % 10 == 0)
+    run = lambda first, x: F.struct((-F.length(x["digits"])).alias("rank"), first.alias("first"), (first + x["n"]).alias("end"), F.regexp_replace(text(first, x["n"]), r"[ -]$", "").alias("text"))
+    valid = F.sort_array(F.flatten(F.transform(some, lambda first: F.transform(F.filter(counted(first), right), lambda x: run(first, x)))))
     none = F.array().cast("array<struct<rank:int,first:int,end:int,text:string>>")
     free = lambda taken, x: ~F.exists(taken, lambda y: (y["first"] < x["end"]) & (x["first"] < y["end"]))
     return F.aggregate(valid, none, lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
@@ -195,10 +219,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     step = held(step, values=F.transform("found", lambda x: F.struct(x.alias("found"), kind_of(x).alias("kind"))))
     step = held(step, new=F.transform("values", lambda x: pseudonym(x["found"], x["kind"], key)))
     step = held(step, between=F.split(F.col("t"), ANY, -1))
-    # Groups of digits by piece between the values, then by run of groups.
+    # Groups of digits by piece between the values, then by run of groups, with what comes after each run.
+    some_groups = text.rlike(GROUPS)
+    step = held(step, rests=F.when(some_groups, F.transform("between", lambda p: F.split(p, GROUPS, -1))).otherwise(F.array().cast("array<array<string>>")))
     runs = F.transform("between", lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"({GROUPS})"), F.lit(1)), lambda r: F.regexp_extract_all(r, F.lit("([0-9]+[ -]?)"), F.lit(1))))
-    step = held(step, runs=F.when(text.rlike(GROUPS), runs).otherwise(F.array().cast("array<array<array<string>>>")))
-    step = held(step, cards=F.transform("runs", lambda p: F.transform(p, _cards)))
+    step = held(step, runs=F.when(some_groups, runs).otherwise(F.array().cast("array<array<array<string>>>")))
+    step = held(step, untils=F.zip_with("runs", "rests", lambda p, rests: F.transform(p, lambda groups, k: _ending(groups, F.get(rests, k + 1)))))
+    step = held(step, cards=F.zip_with("runs", "untils", lambda p, untils: F.zip_with(p, untils, _cards)))
     made = F.zip_with("runs", "cards", lambda p, c: F.zip_with(p, c, lambda groups, cards: _with_cards(groups, cards, key)))
     step = held(step, made=made, n_card=F.aggregate(F.flatten("cards"), F.lit(0).cast("long"), lambda n, c: n + F.size(c)))
     whole = F.zip_with("between", "made", lambda p, runs: F.when(F.coalesce(F.size(runs), F.lit(0)) > 0, F.array_join(F.zip_with(F.split(p, GROUPS, -1), runs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(p))
