@@ -6,7 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,10 +114,10 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def running_sums(frame: DataFrame, name: str, values: str, chunk: int = 256) -> DataFrame:
-    """frame with the array `name`: for each element of the array `values` (long) the sum of those before it. Sums of chunks come first, so that the work is not the square of the array's length."""
+def running_sums(frame: DataFrame, name: str, values: str, chunk: int = 256, plus: Callable[[Column, Column], Column] = lambda a, b: a + b) -> DataFrame:
+    """frame with the array `name`: for each element of the array `values` (long) the sum of those before it, 0 at first. Sums of chunks come first, so that the work is not the square of the array's length. plus: another operation for which 0 is neutral."""
     n = F.size(values)
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), plus)
     part = lambda c, k: F.slice(F.col(values), c * chunk + 1, k)
     chunks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
     frame = held(frame, **{f"{name}_chunks": F.transform(chunks, lambda c: total(part(c, F.lit(chunk))))})
@@ -125,6 +125,6 @@ def running_sums(frame: DataFrame, name: str, values: str, chunk: int = 256) ->
 
     def scan(start: Column, c: Column) -> Column:
         own = F.sequence(F.lit(0), F.least(F.lit(chunk), n - c * chunk) - 1)
-        return F.transform(own, lambda k: start + total(part(c, k)))
+        return F.transform(own, lambda k: plus(start, total(part(c, k))))
 
     return held(frame, **{name: F.flatten(F.transform(f"{name}_starts", scan))}).drop(f"{name}_chunks", f"{name}_starts")

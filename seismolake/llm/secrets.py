@@ -20,12 +20,12 @@ LEAST_ASSIGNED = 12
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 THRESHOLDS = ((r"^[0-9]+$", 3.0), (r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.7), (r"", 3.8))
-# What names are made of. A word is in one case, or capitalised; camel case joins words. Atomic, so that a long candidate is tried in one pass.
-CAMEL = r"(?:[a-z]{2,15}(?:[A-Z][a-z]{2,15})*|(?:[A-Z][a-z]{2,15})+)"
+# What names are made of. A word is in one case, or capitalised; camel case joins words. Atomic and possessive, so that a long candidate is tried in one pass, without the matcher's stack.
+CAMEL = r"(?:[a-z]{2,15}(?:[A-Z][a-z]{2,15})*+|(?:[A-Z][a-z]{2,15})++)"
 PART = rf"(?:(?>{CAMEL}|[A-Z]?[a-z]{{1,15}}|[A-Z]{{1,15}})[0-9]{{0,4}}|[0-9]{{1,4}})"
 #: Candidates that are no secrets, each over its whole length: names in camel case, slugs and paths of words, fillers, identifiers in 8-4-4-4-12 form; and published examples, which end so.
 ALLOWED = (
-    rf"^{CAMEL}$|^[/_=+-]*(?>{PART}[/_=+-]+)+{PART}?$|^(?i:changeme|placeholder|x{{4,}}|0{{8,}}|0?123456789(?:0|$)|[_-])+$"
+    rf"^{CAMEL}$|^[/_=+-]*(?>{PART}[/_=+-]++)++{PART}?$|^(?i:changeme|placeholder|x{{4,}}|0{{8,}}|0?123456789(?:0|$)|[_-])++$"
     r"|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|EXAMPLE(?:KEY)?$"
 )
 
@@ -93,10 +93,17 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     step = with_spans(step, "t", {"assigned": ASSIGN, "access": ACCESS, "hex": HEX, "candidates": CANDIDATE})
     step = held(step, assign=F.filter("assigned", lambda x: F.length(value(x)) >= LEAST_ASSIGNED))
     threshold = F.lit(THRESHOLDS[-1][1])
-    base = F.concat("assign", "access", "hex")
-
-    def suspect(x: Column) -> Column:
-        return ~x["found"].rlike(ALLOWED) & ~F.exists(base, lambda b: (b["first"] < x["last"]) & (x["first"] < b["last"]))
+    # Base spans and candidates in one order of places: a candidate is clear of all base spans if those before it end before it and the next one starts after it.
+    placed = lambda spans, base: F.transform(spans, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), F.lit(base).alias("base"), F.when(~F.lit(base), x["found"]).alias("found")))
+    step = held(step, places=F.array_sort(F.concat(placed(F.concat("assign", "access", "hex"), True), placed(F.filter("candidates", lambda x: ~x["found"].rlike(ALLOWED)), False))))
+    far = F.lit(1 << 40)
+    step = held(step, place_ends=F.transform("places", lambda x: F.when(x["base"], x["last"]).otherwise(0).cast("long")), place_starts=F.reverse(F.transform("places", lambda x: F.when(x["base"], far - x["first"]).otherwise(0).cast("long"))))
+    for name, values in (("ended", "place_ends"), ("starting", "place_starts")):
+        step = running_sums(step, name, values, plus=lambda a, b: F.greatest(a, b))
+    step = held(step, starting_next=F.reverse("starting"))
+
+    def suspect(x: Column, k: Column) -> Column:
+        return ~x["base"] & (F.get("ended", k) <= x["first"]) & (far - F.get("starting_next", k) >= x["last"])
 
     def strong(x: Column) -> Column:
         least = threshold
@@ -108,7 +115,7 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         chars = F.split(x["found"], "")
         return F.struct(x["first"].alias("first"), x["last"].alias("last"), x["found"].alias("found"), chars.alias("chars"), F.array_distinct(chars).alias("letters"))
 
-    step = held(step, suspects=F.filter("candidates", suspect))
+    step = held(step, suspects=F.filter("places", suspect))
     step = held(step, suspects_letters=F.transform("suspects", lettered))
     step = held(step, entropy=F.filter("suspects_letters", strong))
     named = lambda kind, rank: F.transform(kind, lambda x: F.struct(x["first"].alias("first"), F.lit(rank).alias("rank"), x["last"].alias("last"), F.lit(kind).alias("kind")))

@@ -450,7 +450,7 @@ def brute_cards(text, key, counts):
             groups[i:j] = [whole] + [""] * (j - i - 1)
         return "".join(groups)
 
-    return re.sub(pseudonyms.GROUPS, run, text, flags=re.ASCII)
+    return re.sub(CARD_GROUPS, run, text, flags=re.ASCII)
 
 
 def brute_pseudonyms(text, key):
@@ -476,6 +476,49 @@ def test_pseudonyms_equal_brute_force(spark, request, name):
         assert r.new == new and [r[f"n_{kind}"] for kind in ("mail", "date", "address", "identity", "phone", "card")] == [counts[kind] for kind in ("mail", "date", "address", "identity", "phone", "card")]
 
 
+# Groups of digits as one pattern says it, for texts that are short enough for the matcher's stack.
+CARD_GROUPS = r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,}(?![\w-]|\.\d)"
+LONG_TEXTS = {
+    "table": " ".join(str(1000 + k * 7919 % 9000) for k in range(1000)), "digits": "7" * 6000, "million": "8" * 200_000, "labels": "a@" + "b." * 6000 + "c", "camel": "abcDef" * 4000, "parts": "ab-" * 20_000, "dashes": "_" * 50_000,
+    "ended": "4111 1111 1111 1111 12x 4111-1111-1111-1111-1111x 4111 1111 1111 1111-", "spaced": " ".join("1234567890" * 60), "names": "AbcDef" * 500 + "/" + "x" * 500, "filler": "x" * 40_000 + "0" * 40_000,
+}
+
+
+def test_long_numbers_addresses_and_names(spark):
+    """Texts that a matcher with a stack for each repetition can't take."""
+    frame = spark.createDataFrame([(k, x, "s") for k, x in enumerate(LONG_TEXTS.values())], SCHEMA)
+    new = {r.text: r.new for r in pseudonyms.pseudonymise(frame, "k").select("row.text", F.col("private.text").alias("new")).collect()}
+    for name in ("digits", "million", "camel", "parts", "dashes"):
+        assert new[LONG_TEXTS[name]] == LONG_TEXTS[name]
+    assert new[LONG_TEXTS["labels"]].endswith(".invalid") and len(new[LONG_TEXTS["labels"]]) < 50
+    first, second, third = re.fullmatch(r"(\d{4} \d{4} \d{4} \d{4}) 12x (4111-1111-1111-1111-1111x) (4111 1111 1111 1111-)", new[LONG_TEXTS["ended"]]).groups()
+    assert first != "4111 1111 1111 1111"
+    for name in ("table", "ended"):
+        assert new[LONG_TEXTS[name]] == brute_pseudonyms(LONG_TEXTS[name], "k")[0]
+    found = {r.text: r.secrets for r in secrets.scan(frame).select("row.text", "secrets").collect()}
+    assert all(x.kind in ("hex",) for text in found for x in found[text]) and not found[LONG_TEXTS["camel"]] and not found[LONG_TEXTS["parts"]] and not found[LONG_TEXTS["dashes"]]
+
+
+def test_candidates_beside_many_base_spans(spark):
+    """Spans of a text with thousands of base matches and candidates, in the order of their places."""
+    rng = random.Random(4)
+    strong = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(32)) for _ in range(300)]
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(3000)]
+    parts = hexes + strong + [f"{h}-{s}" for h, s in zip(hexes, strong, strict=False)]
+    rng.shuffle(parts)
+    text = " ".join(parts)
+    spans = secrets.scan(spark.createDataFrame([(1, text, "s")], SCHEMA)).select(secrets.joined(F.col("secrets"))).first()[0].split(",")
+    hex_spans = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert [s for s in spans if s.startswith("hex")] == [f"hex:{a}:{b}" for a, b in hex_spans]
+    got = {tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("entropy")}
+    alone = {(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, text) if m[0] in set(strong) and not any(a < m.end() and m.start() < b for a, b in hex_spans)}
+    # What is missing is not a secret by itself either.
+    missing = [text[a:b] for a, b in alone - got]
+    assert got <= alone and len(missing) < 5
+    for word in missing:
+        assert secrets.scan(spark.createDataFrame([(1, word, "s")], SCHEMA)).select(F.size("secrets")).first()[0] == 0
+
+
 def test_feistel_is_a_permutation(spark):
     edges = [0, 1, 10**9 - 1, 10**9, 999999999, 123456789999999999, 10**18 - 1, 10**18 - 2]
     got = spark.createDataFrame([(x,) for x in edges], "v long").select("v", pseudonyms.feistel(F.col("v"), 10**9, 10**9, "k", "card")).collect()
