@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +60,31 @@ def f1_event_filter(q: DataFrame) -> DataFrame:
     return q.where(wanted.column()).select("id", "catalogue_id", "magnitude", "depth")
 
 
-@query("SELECT id, magnitude FROM q WHERE magnitude >= 2.5 AND magnitude < 5 AND lower(coalesce(region, '')) LIKE '%click%' AND (lower(coalesce(region, '')) LIKE '%man%' OR lower(coalesce(magnitude_type, '')) LIKE '%man%' OR lower(coalesce(evaluation_mode, '')) LIKE '%man%' OR lower(coalesce(evaluation_status, '')) LIKE '%man%')")
+@query("SELECT id, magnitude FROM q WHERE magnitude >= 2.5 AND magnitude < 5 AND lower(coalesce(region, '')) LIKE '%click%' AND (CAST(id AS VARCHAR) LIKE '%ms%' OR lower(coalesce(region, '')) LIKE '%ms%' OR lower(coalesce(event_type, '')) LIKE '%ms%' OR lower(coalesce(magnitude_type, '')) LIKE '%ms%')")
 def f3_search(q: DataFrame) -> DataFrame:
-    return search.search(q, "mag:>=2.5 mag:<5 region:click man").select("id", "magnitude")
+    return search.search(q, "mag:>=2.5 mag:<5 region:click Ms").select("id", "magnitude")
+
+
+# Queries of the search language and the SQL conditions that say the same, over events with all columns of text.
+_SAYS = lambda *columns: lambda value: "(" + " OR ".join(f"contains(lower(coalesce(CAST({c} AS VARCHAR), '')), '{value}')" for c in columns) + ")"
+_ANY = _SAYS("event_public_id", "event_type", "id", "region", "location_name", "magnitude_type", "agency_id", "author")
+_PLACE = _SAYS("region", "location_name")
+SEARCHES = {
+    "id:17": _SAYS("id", "event_public_id")("17"), "public:NET/12": _SAYS("event_public_id")("net/12"), "type:explo": _SAYS("event_type")("explo"), "EVENT:Quake": _SAYS("event_type")("quake"), "region:click": _PLACE("click"), "loc:bay": _PLACE("bay"),
+    'location:"north bay" mag:2..6': f"{_PLACE('north bay')} AND magnitude BETWEEN 2 AND 6", "mode:manual depth:<=30": "evaluation_mode LIKE '%manual%' AND depth <= 30", "status:final": "evaluation_status LIKE '%final%'", "geonet": _ANY("geonet"), "Mw auth7": f"{_ANY('mw')} AND {_ANY('auth7')}",
+    "bay mag:high depth:5": f"{_ANY('bay')} AND depth = 5", "mag:-1": "false", "date:soon time:2024-01-02..2024-01-03": "time >= TIMESTAMP '2024-01-02' AND time < TIMESTAMP '2024-01-04'", "a": "false", "% _": f"{_ANY('%')} AND {_ANY('_')}", "colour:red type:": "false", "smi:": _ANY("smi:"),
+}
+_TEXTS = "CASE WHEN id % 5 = 0 THEN NULL ELSE concat('smi:net/', CAST(id AS VARCHAR)) END AS event_public_id, CASE id % 7 WHEN 0 THEN 'North Bay' WHEN 1 THEN 'Bay, 100% _here' ELSE NULL END AS location_name, source AS agency_id, CASE WHEN id % 3 = 0 THEN NULL ELSE concat('auth', CAST(id % 11 AS VARCHAR)) END AS author"
+
+
+@query(f"+e AS (SELECT *, {_TEXTS} FROM q) " + " UNION ALL ".join(f"SELECT '{k}' AS search, id FROM e WHERE {sql}" for k, sql in SEARCHES.items()))
+def f4_search_tokens(q: DataFrame) -> DataFrame:
+    events = q.withColumns({
+        "event_public_id": F.when(F.col("id") % 5 != 0, F.concat(F.lit("smi:net/"), F.col("id").cast("string"))), "location_name": F.when(F.col("id") % 7 == 0, "North Bay").when(F.col("id") % 7 == 1, "Bay, 100% _here"),
+        "agency_id": F.col("source"), "author": F.when(F.col("id") % 3 != 0, F.concat(F.lit("auth"), (F.col("id") % 11).cast("string"))),
+    })
+    found = [search.search(events, text).select(F.lit(text).alias("search"), "id") for text in SEARCHES]
+    return reduce(DataFrame.unionAll, found)
 
 
 @query("SELECT id, depth FROM q WHERE depth BETWEEN 10 AND 50 AND magnitude > 2")
@@ -150,6 +173,16 @@ def a4_gutenberg_richter(q: DataFrame) -> DataFrame:
     return statistics.gutenberg_richter(q)
 
 
+@query(_MFD.format(where="magnitude >= 2") + f", f AS (SELECT catalogue_id, regr_slope({_LINE}) AS slope, regr_intercept({_LINE}) AS zero, max(bin) AS top, min(bin) AS bottom FROM m WHERE cumulative > 0 GROUP BY 1 HAVING sum(n) >= 10 AND count(*) >= 3) SELECT catalogue_id, {rounded('coalesce(min(bin) FILTER (WHERE bin < top AND abs(log10(CAST(cumulative AS DOUBLE)) - (zero + slope * CAST(bin AS DOUBLE) / 10)) < 0.2), any_value(bottom)) / CAST(10 AS DOUBLE)', 1)} AS completeness FROM m JOIN f USING (catalogue_id) WHERE cumulative > 0 GROUP BY 1")
+def a4_fit_completeness(q: DataFrame) -> DataFrame:
+    return statistics.fit_completeness(q)
+
+
+@query(f"SELECT catalogue_id, coalesce(nullif(magnitude_type, ''), 'Unknown') AS magnitude_type, count(*) AS n, min(magnitude) AS least, {rounded('avg(magnitude)')} AS mean, max(magnitude) AS largest FROM q GROUP BY 1, 2")
+def a1_type_counts(q: DataFrame) -> DataFrame:
+    return statistics.type_counts(q)
+
+
 @query(_MFD.format(where="magnitude IS NOT NULL") + f" SELECT catalogue_id, n_events, {rounded('bin / CAST(10 AS DOUBLE)', 1)} AS mc, {rounded('cumulative / CAST(n_events AS DOUBLE)')} AS confidence FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY catalogue_id) AS BIGINT) AS n_events, row_number() OVER (PARTITION BY catalogue_id ORDER BY n DESC, bin) AS r FROM m) WHERE r = 1 AND n_events >= 50")
 def a5_completeness_magnitude(q: DataFrame) -> DataFrame:
     return statistics.completeness_magnitude(q)
@@ -285,6 +318,14 @@ def e34_grades(q: DataFrame) -> DataFrame:
     return statistics.grade_counts(q.select("catalogue_id", js_round(scores.overall(_components(q)), 6).alias("score")))
 
 
+_LETTERS = (("A+", "a_plus"), ("A", "a"), ("B", "b"), ("C", "c"), ("D", "d"), ("F", "f"))
+
+
+@query(f"+s AS (SELECT *, " + " + ".join(f"{w} * greatest(0, 100 - CAST(({_COSTS[n]}) AS DOUBLE))" for n, w in scores.WEIGHTS.items()) + f" AS exact FROM q), o AS (SELECT *, {rounded('exact')} AS x FROM s), g AS (SELECT *, {steps_sql('x', scores.GRADES, 'F', '>=')} AS grade FROM o) SELECT catalogue_id, count(*) AS n, {rounded('avg(x)', 1)} AS mean_score, " + ", ".join(f"count(*) FILTER (WHERE grade = '{letter}') AS grade_{name}" for letter, name in _LETTERS) + ", " + ", ".join(f"{rounded(f'100 * count(*) FILTER (WHERE {sql}) / CAST(count(*) AS DOUBLE)', 1)} AS with_{name}" for name, sql in {"uncertainty": "latitude_uncertainty <> 0 OR longitude_uncertainty <> 0 OR depth_uncertainty <> 0", "mechanism": "n_mechanisms > 0", "stations": "stations > 0"}.items()) + " FROM g GROUP BY 1")
+def a19_quality_summary(q: DataFrame) -> DataFrame:
+    return statistics.quality_summary(q.withColumns({"score": js_round(scores.overall(_components(q)), 6), "mechanism": F.col("n_mechanisms") > 0}))
+
+
 _CENTRE = "(SELECT -41.0 AS latitude, 174.0 AS longitude)"
 
 

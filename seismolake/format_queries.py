@@ -366,6 +366,15 @@ def a33_wrong_counts(q: DataFrame) -> DataFrame:
     return catalogues.wrong_counts(stored.union(q.sparkSession.createDataFrame([(99, 7)], "catalogue_id long, events long")), q)
 
 
+@query("SELECT CAST(id AS VARCHAR) AS id, magnitude, row_number() OVER (ORDER BY time, CAST(id AS VARCHAR)) > 1 AS led FROM q UNION ALL SELECT NULL, NULL, false UNION ALL SELECT NULL, NULL, false")
+def k7_document(q: DataFrame) -> DataFrame:
+    # The lines of a GeoJSON document: its head, its features, all but the first led by a comma, and its tail.
+    lines = formats.document_lines(q, "geojson", "all")
+    feature = F.from_json(F.regexp_replace("value", "^,(?=.)", ""), "id string, properties struct<magnitude:double>")
+    plain = F.col("value").contains('"Feature"')
+    return lines.select(F.when(plain, feature["id"]).alias("id"), F.when(plain, feature["properties"]["magnitude"]).alias("magnitude"), F.col("value").startswith(",").alias("led"))
+
+
 @query("SELECT id FROM q WHERE catalogue_id <> 1")
 def k9_delete_catalogue(q: DataFrame) -> DataFrame:
     return catalogues.without(q, q.sparkSession.createDataFrame([(1,)], "catalogue_id long")).select("id")

@@ -39,7 +39,9 @@ def find(catalogues: DataFrame, query: str) -> DataFrame:
     conditions = [F.lit(True)]
     for field, value in tokens:
         if field == "events":
-            least, with_least, most, with_most = number_range(value)
+            if (found := number_range(value)) is None:
+                continue
+            least, with_least, most, with_most = found
             n = F.col("events")
             conditions += [n >= least if with_least else n > least] if least is not None else []
             conditions += [n <= most if with_most else n < most] if most is not None else []

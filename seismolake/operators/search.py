@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from seismolake.functions.geo import in_box
 
-# Names of search tokens and the columns that they look in.
-TEXT_TOKENS = {"region": ("region",), "loc": ("region",), "location": ("region",), "type": ("magnitude_type",), "mode": ("evaluation_mode",), "status": ("evaluation_status",)}
+# Names of search tokens and the columns that they look in, and the columns that free terms look in. Columns that a table doesn't have are passed over.
+TEXT_TOKENS = {
+    "id": ("id", "event_public_id"), "public": ("event_public_id",), "type": ("event_type",), "event": ("event_type",), "region": ("region", "location_name"), "loc": ("region", "location_name"), "location": ("region", "location_name"),
+    "mode": ("evaluation_mode",), "status": ("evaluation_status",),
+}
 NUMBER_TOKENS = {"mag": "magnitude", "magnitude": "magnitude", "depth": "depth"}
-FREE_TEXT = ("region", "magnitude_type", "evaluation_mode", "evaluation_status")
+FREE_TEXT = ("event_public_id", "event_type", "id", "region", "location_name", "magnitude_type", "agency_id", "author")
 
 
 @dataclass(frozen=True)
@@ -108,13 +111,14 @@ def dashboard(events: DataFrame, magnitudes: tuple[float, float], depths: tuple[
     return events.where(kept)
 
 
-def number_range(text: str) -> tuple[float | None, bool, float | None, bool]:
-    """(least, counts itself, most, counts itself) of a..b, >=a, >a, <=b, <b, =a or a."""
-    if m := re.fullmatch(r"([\d.]+)\.\.([\d.]+)", text):
+def number_range(text: str) -> tuple[float | None, bool, float | None, bool] | None:
+    """(least, counts itself, most, counts itself) of a..b, >=a, >a, <=b, <b, =a or a; None if it is none of these."""
+    number = r"(\d+(?:\.\d+)?)"
+    if m := re.fullmatch(rf"{number}\.\.{number}", text):
         return float(m[1]), True, float(m[2]), True
-    m = re.fullmatch(r"(>=|<=|>|<|=)?([\d.]+)", text)
+    m = re.fullmatch(rf"(>=|<=|>|<|=)?\s*{number}", text)
     if not m:
-        raise ValueError(f"no number or range: {text}")
+        return None
     sign, value = m[1] or "=", float(m[2])
     return (value if sign in (">", ">=", "=") else None, sign != ">", value if sign in ("<", "<=", "=") else None, sign != "<")
 
@@ -141,23 +145,34 @@ def parse(query: str) -> tuple[list[tuple[str, str]], list[str]]:
 
 
 def search(events: DataFrame, query: str, catalogues: DataFrame | None = None) -> DataFrame:
-    """events that meet all tokens and terms of a query; shorter than two characters, or with none, it finds nothing. Unknown fields are passed over."""
+    """events that meet all tokens and terms of a query; shorter than two characters, or with none, it finds nothing. Unknown fields, and numbers and dates that can't be read, are passed over."""
     tokens, terms = parse(query)
     conditions: list[Column] = []
-    contains = lambda columns, value: reduce(lambda a, b: a | b, [F.lower(F.coalesce(c, F.lit(""))).contains(value.lower()) for c in columns])
+
+    def contains(columns: tuple[str, ...], value: str) -> Column:
+        there = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(value.lower()) for c in columns if c in events.columns]
+        return reduce(lambda a, b: a | b, there, F.lit(False))
+
     names: list[str] = []
     for field, value in tokens:
+        if not value.strip():
+            continue
         if field in TEXT_TOKENS:
-            conditions.append(contains(TEXT_TOKENS[field], value))
+            conditions.append(contains(TEXT_TOKENS[field], value.strip()))
         elif field in NUMBER_TOKENS:
-            least, with_least, most, with_most = number_range(value)
+            if (found := number_range(value.strip())) is None:
+                continue
+            least, with_least, most, with_most = found
             c = F.col(NUMBER_TOKENS[field])
             if least is not None:
                 conditions.append(c >= least if with_least else c > least)
             if most is not None:
                 conditions.append(c <= most if with_most else c < most)
         elif field in ("date", "time"):
-            first, end = day_range(value)
+            try:
+                first, end = day_range(value.strip())
+            except ValueError:
+                continue
             conditions.append((F.col("time") >= F.lit(first.isoformat()).cast("timestamp")) & (F.col("time") < F.lit(end.isoformat()).cast("timestamp")))
         elif field in ("catalogue", "source") and catalogues is not None:
             names.append(value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,35 @@ def gutenberg_richter(events: DataFrame, by: str = "catalogue_id", least: float
     return fit.select(by, "n_events", "n_bins", js_round(F.abs("slope"), 6).alias("b_value"), js_round(F.col("at_zero"), 6).alias("a_value"), js_round(F.col("fit"), 6).alias("r2"))
 
 
+def fit_completeness(events: DataFrame, by: str = "catalogue_id", least: float = 2.0, width: float = 0.1, near: float = 0.2) -> DataFrame:
+    """by and completeness: the smallest magnitude, but for the largest bin, whose count of events at or above it lies within `near` (in log10) of the line of `gutenberg_richter`; the smallest of all where none does."""
+    line = magnitude_frequency(events.where(F.col("magnitude") >= least), by, width).where("cumulative > 0")
+    x, y = F.col("bin") / F.lit(1 / width), F.log10(F.col("cumulative").cast("double"))
+    fit = line.groupBy(by).agg(F.sum("n").alias("n_events"), F.count("*").alias("n_bins"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("at_zero"), F.max("bin").alias("top"), F.min("bin").alias("bottom"))
+    fit = fit.where("n_events >= 10 and n_bins >= 3")
+    apart = F.abs(y - (F.col("at_zero") + F.col("slope") * x))
+    fits = line.join(fit, by).groupBy(by).agg(F.min(F.when((apart < near) & (F.col("bin") < F.col("top")), F.col("bin"))).alias("found"), F.first("bottom").alias("bottom"))
+    return fits.select(by, js_round(F.coalesce("found", "bottom") / F.lit(1 / width), 1).alias("completeness"))
+
+
+def type_counts(events: DataFrame, by: str = "catalogue_id") -> DataFrame:
+    """by, magnitude_type (Unknown where it is null or empty), n, and the least, mean and largest magnitude of each."""
+    kind = F.coalesce(F.nullif("magnitude_type", F.lit("")), F.lit("Unknown"))
+    return events.groupBy(by, kind.alias("magnitude_type")).agg(F.count("*").alias("n"), F.min("magnitude").alias("least"), js_round(F.avg("magnitude"), 6).alias("mean"), F.max("magnitude").alias("largest"))
+
+
+def quality_summary(scored: DataFrame, by: str = "catalogue_id") -> DataFrame:
+    """Of events with a score (0 to 100): n, the mean score, how many have each grade, and the percentages with an uncertainty of place, a mechanism (`mechanism`, boolean) and stations. All events are scored, none sampled."""
+    from seismolake.functions.scores import GRADES, grade
+
+    letters = [*dict.fromkeys(g for _, g in GRADES), "F"]
+    share = lambda condition, name: js_round(100 * F.count_if(condition) / F.count("*"), 1).alias(name)
+    located = reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit(0.0)) != 0 for c in ("latitude_uncertainty", "longitude_uncertainty", "depth_uncertainty")])
+    graded = scored.withColumn("_grade", grade(F.col("score")))
+    counts = [F.count_if(F.col("_grade") == g).alias(f"grade_{g.lower().replace('+', '_plus')}") for g in letters]
+    return graded.groupBy(by).agg(F.count("*").alias("n"), js_round(F.avg("score"), 1).alias("mean_score"), *counts, share(located, "with_uncertainty"), share(F.coalesce("mechanism", F.lit(False)), "with_mechanism"), share(F.coalesce("stations", F.lit(0)) > 0, "with_stations"))
+
+
 def completeness_magnitude(events: DataFrame, by: str = "catalogue_id", width: float = 0.1) -> DataFrame:
     """The fullest bin, the lowest on ties, of groups of 50 events at least; confidence: the share of events at or above it."""
     counts = magnitude_frequency(events, by, width)

@@ -6,7 +6,7 @@ import json
 import re
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TIME = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -152,10 +152,55 @@ def write_store(events: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def document(parts: list[str], kind: str, name: str) -> str:
-    """A whole document of records in memory: for small downloads."""
+    """A whole document of records in memory: for small downloads; write_document writes large ones."""
+    first, between, last = _frame(kind, name)
+    return first + ("\n" if kind == "csv" else "") + (between + "\n").join(parts) + last
+
+
+def _frame(kind: str, name: str) -> tuple[str, str, str]:
     first, between, last = FRAMES[kind]
     said = {"name": json.dumps(name), "text": re.sub(r"[<>&]", "", name), "head": csv_head(name, {})}
-    return first.format(**said) + ("\n" if kind == "csv" else "") + (between + "\n").join(parts) + last.format(**said)
+    return first.format(**said), between, last.format(**said)
+
+
+def document_lines(events: DataFrame, kind: str, name: str) -> DataFrame:
+    """The lines (value) of a whole document in order: its head, the records by time and id, its tail. Separators stand before all records but the first."""
+    head, between, tail = _frame(kind, name)
+    # Equal records are counted and dealt out by number, so that each key is there once and a second reading finds the same first one.
+    counted = events.select(F.col("time").cast("timestamp").alias("time"), F.col("id").cast("string").alias("id"), FORMATS[kind]().alias("record")).groupBy("time", "id", "record").count()
+    placed = counted.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("place"))
+    keyed = placed.select(F.struct("time", "id", F.xxhash64("record").alias("hash"), "place").alias("key"), "record")
+    first = keyed.agg(F.min("key").alias("first"))  # one row
+    led = F.when(F.col("key") == F.col("first"), F.col("record")).otherwise(F.concat(F.lit(between), "record")) if between else F.col("record")
+    records = keyed.join(F.broadcast(first)).select(F.lit(1).alias("part"), "key", led.alias("value"))
+    none = F.lit(None).cast(keyed.schema["key"].dataType)
+    ends = lambda part, text: events.sparkSession.range(1).select(F.lit(part).alias("part"), none.alias("key"), F.lit(text).alias("value"))
+    return ends(0, head).unionByName(records).unionByName(ends(2, tail) if tail else ends(2, tail).limit(0)).orderBy("part", "key").select("value")
+
+
+def write_document(events: DataFrame, path: str, kind: str, name: str) -> None:
+    """Writes one document as part files, by as many tasks as the order's ranges make; read in the order of their names they are the document. The parts become visible all at once, when every task is done; a failed write leaves nothing."""
+    document_lines(events, kind, name).write.text(path)
+
+
+def join_parts(spark: SparkSession, path: str, to: str) -> None:
+    """The part files of write_document as one file, copied in order by a stream of small blocks, and given its name only when it is whole."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    files, unfinished = folder.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(f"{to}._unfinished")
+    store = target.getFileSystem(conf)
+    out = store.create(unfinished, True)
+    try:
+        for part in sorted(str(x.getPath()) for x in files.listStatus(folder) if x.getPath().getName().startswith("part-")):
+            source = files.open(jvm.org.apache.hadoop.fs.Path(part))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    if not store.rename(unfinished, target):
+        raise OSError(f"{to} could not be written")
 
 
 def file_name(name: str, kind: str, day: date) -> str:

@@ -9,11 +9,12 @@ checks them again, as a service's bounds count. A stream asks for what has been
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import fields, replace
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from .fdsn import COLUMNS, Request
@@ -22,6 +23,8 @@ SCHEMA = "id string, time timestamp, latitude double, longitude double, depth do
 # Parameters for bounds of a column, from below and from above.
 BOUNDS = {"time": ("starttime", "endtime"), "latitude": ("minlatitude", "maxlatitude"), "longitude": ("minlongitude", "maxlongitude"), "depth": ("mindepth", "maxdepth"), "magnitude": ("minmagnitude", "maxmagnitude")}
 HOURS, RECENT_HOURS = 24.0 * 30, 24.0
+#: Of updates: the earliest origin time, requests of a batch, and seconds between batches.
+EARLIEST, REQUESTS, EVERY_SECONDS = datetime(1900, 1, 1), 16, 60.0
 
 
 def _time(text: str) -> datetime:
@@ -118,22 +121,52 @@ class FdsnReader(DataSourceReader):
                 yield row
 
 
-class FdsnUpdates(SimpleDataSourceStreamReader):
-    """Events updated since the last batch; the offset is the time up to which updates have been asked for. A batch is read again by the same span of updates."""
+class UpdateWindow(Window):
+    """One request for what of a span of origin times has been updated since a time."""
+
+    def __init__(self, start: datetime, end: datetime, since: datetime):
+        super().__init__(start, end)
+        self.since = since
+
+
+class FdsnUpdates(DataSourceStreamReader):
+    """Events updated since the last batch; the offset is the time up to which updates have been asked for.
+
+    A batch is a request for each span of origin times, each read by a task of its own; the driver holds offsets only. Offsets are kept in the query's checkpoint, so a
+    restart asks again for the batch that was not done, by the same spans, and for no other. A service can't say what was updated before a time, so an event that is updated
+    while a batch is read may come in the next one too: what takes the events in replaces them by id.
+    Options: since; starttime, the earliest origin time (1900); requests, the number of spans (16), or hours, the length of one; every, the least seconds between batches (60).
+    """
 
     def __init__(self, options: dict[str, str]):
         self.url, self.request, self.since = options["url"], request_of(options), options.get("since", "1970-01-01T00:00:00")
+        self.requests, self.hours, self.every = int(options.get("requests", REQUESTS)), options.get("hours"), float(options.get("every", EVERY_SECONDS))
+        self.last: str | None = None
 
     def initialOffset(self) -> dict:
         return {"since": self.since}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = datetime.now(UTC).replace(tzinfo=None, microsecond=0).isoformat()
-        rows = list(answered(self.request.updated_since(_time(start["since"])).url(self.url)))
-        return iter(rows), {"since": now if rows else start["since"]}
+    def latestOffset(self) -> dict:
+        now = datetime.now(UTC).replace(tzinfo=None, microsecond=0)
+        if self.last is None or (now - _time(self.last)).total_seconds() >= self.every:
+            self.last = now.isoformat()
+        return {"since": self.last}
+
+    def partitions(self, start: dict, end: dict) -> list[UpdateWindow]:
+        first, last = self.request.starttime or EARLIEST, self.request.endtime or _time(end["since"])
+        if start == end or first >= last:
+            return []
+        step = timedelta(hours=float(self.hours)) if self.hours else (last - first) / self.requests
+        return [UpdateWindow(at, min(last, at + step), _time(start["since"])) for at in (first + k * step for k in range(math.ceil((last - first) / step)))]
+
+    def read(self, partition: UpdateWindow) -> Iterator[tuple]:
+        request = replace(self.request, starttime=partition.start.replace(microsecond=0), endtime=partition.end + timedelta(seconds=1)).updated_since(partition.since)
+        for row in answered(request.url(self.url)):
+            if partition.start <= row[1].replace(tzinfo=None) < partition.end:
+                yield row
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return answered(self.request.updated_since(_time(start["since"])).url(self.url))
+    def commit(self, end: dict) -> None:
+        """Nothing is kept but the checkpoint's offsets."""
 
 
 class FdsnSource(DataSource):
@@ -147,5 +180,5 @@ class FdsnSource(DataSource):
     def reader(self, schema: StructType) -> FdsnReader:
         return FdsnReader(dict(self.options))
 
-    def simpleStreamReader(self, schema: StructType) -> FdsnUpdates:
+    def streamReader(self, schema: StructType) -> FdsnUpdates:
         return FdsnUpdates(dict(self.options))

@@ -91,7 +91,35 @@ def start_import(events: DataFrame, store: str, checkpoint: str, catalogue_id: i
 
 
 def bounds(spark: SparkSession, store: str, like: DataFrame) -> DataFrame:
-    """The box of each catalogue of a store."""
+    """The box of each catalogue of a store, counted anew from its events: exact also after events have moved or gone."""
     from seismolake.operators.statistics import bounds as of
 
     return of(read_store(spark, store, like))
+
+
+#: Columns of kept bounds.
+BOUNDS = "catalogue_id bigint, south double, north double, west double, east double, first timestamp, last timestamp, n bigint"
+
+
+def start_bounds(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the box, the span of time and the number of arrivals of each catalogue of a stream of events (catalogue_id, latitude, longitude, time), until all that has arrived is taken in.
+
+    They are the state of the stream: one row a catalogue, so a batch costs what it holds, whatever has been imported before. The catalogues that a batch changes
+    become a version of the table, written again if the batch is. Boxes only grow; `bounds` counts anew.
+    """
+    time = F.col("time").cast("timestamp")
+    grown = events.groupBy(F.col("catalogue_id").cast("long").alias("catalogue_id")).agg(
+        F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.min("longitude").alias("west"), F.max("longitude").alias("east"), F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("n"),
+    )
+    write = lambda batch, number: batch.coalesce(1).write.mode("overwrite").parquet(f"{table}/version={number}")
+    return grown.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_bounds(spark: SparkSession, table: str) -> DataFrame:
+    """The last bounds of each catalogue that start_bounds has written; empty if there are none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], BOUNDS)
+    rows = spark.read.schema(f"{BOUNDS}, version int").parquet(table)
+    fields = [c for c in rows.columns if c != "version"]
+    return rows.groupBy("catalogue_id").agg(F.max_by(F.struct(*fields), "version").alias("row")).select("row.*")

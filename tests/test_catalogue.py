@@ -245,5 +245,5 @@ def test_geometry(spark):
 
 def test_search_language():
     assert search.parse('mag:>=4 region:"Cook Strait" deep') == ([("mag", ">=4"), ("region", "Cook Strait")], ["deep"])
-    assert search.number_range("2..5") == (2.0, True, 5.0, True) and search.number_range("<3") == (None, True, 3.0, False)
+    assert search.number_range("2..5") == (2.0, True, 5.0, True) and search.number_range("<3") == (None, True, 3.0, False) and search.number_range("high") is None
     assert [str(d) for d in search.day_range("2024-12")] == ["2024-12-01", "2025-01-01"]

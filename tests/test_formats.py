@@ -227,19 +227,72 @@ def test_fdsn_source(spark, service):
 
 
 def test_fdsn_updates(spark, service, tmp_path):
+    """Each batch is several requests by several tasks; a restart asks for no span again."""
     from seismolake.sources.fdsn_service import FdsnSource
 
     url, asked = service
     spark.dataSource.register(FdsnSource)
-    stream = spark.readStream.format("fdsn").option("url", url).option("since", "2024-01-03T00:00:00").load()
-    query = stream.writeStream.format("memory").queryName("updates").option("checkpointLocation", str(tmp_path)).start()
+    stream = spark.readStream.format("fdsn").option("url", url).option("since", "2024-01-03T00:00:00").option("starttime", "2023-12-01T00:00:00").option("endtime", "2024-02-01T00:00:00").option("requests", "4").option("every", "1").load()
+    found = []
+
+    def run(batches):
+        before = len({a["updatedafter"] for a in asked})
+        query = stream.writeStream.foreachBatch(lambda batch, n: found.append((n, batch.rdd.getNumPartitions(), sorted(r.id for r in batch.collect())))).option("checkpointLocation", str(tmp_path)).trigger(processingTime="1 second").start()
+        try:
+            deadline = dt.datetime.now() + dt.timedelta(seconds=60)
+            while dt.datetime.now() < deadline and len({a["updatedafter"] for a in asked}) < before + batches:
+                query.awaitTermination(1)
+            assert query.exception() is None
+        finally:
+            query.stop()
+
+    run(2)
+    assert found[0][:2] == (0, 4) and found[0][2] == sorted(f"e{k}" for k in range(10, 20)) and all(not ids for _, _, ids in found[1:])
+    first = [a for a in asked if a["updatedafter"] == "2024-01-03T00:00:00"]
+    assert len({a["starttime"] for a in first}) == 4 and min(a["starttime"] for a in first).startswith("2023-12-01")
+    seen = len(asked)
+    run(1)
+    assert all(a["updatedafter"] > "2024-01-03T00:00:00" for a in asked[seen:]) and len(asked) > seen
+
+
+def test_bounds_are_state(spark, tmp_path):
+    """A batch writes the catalogues that it changes alone, and a restart goes on from the state."""
+    folder, table = tmp_path / "in", f"file://{tmp_path}/bounds"
+    folder.mkdir()
+    assert imports.kept_bounds(spark, table).count() == 0
+
+    def run(name, *events):
+        (folder / name).write_text("".join(f'{{"c": {c}, "latitude": {y}, "longitude": {x}, "time": "{t}"}}\n' for c, y, x, t in events))
+        stream = spark.readStream.schema("c long, latitude double, longitude double, time timestamp").json(f"file://{folder}").withColumnRenamed("c", "catalogue_id")
+        imports.start_bounds(stream, table, f"file://{tmp_path}/check").awaitTermination()
+        return {r.catalogue_id: (r.south, r.north, r.west, r.east, r.n, r.last) for r in imports.kept_bounds(spark, table).collect()}
+
+    t = dt.datetime(2024, 1, 1)
+    assert run("1.json", (1, -41, 174, t), (1, -42, 175, t), (2, 5, 6, t)) == {1: (-42, -41, 174, 175, 2, t), 2: (5, 5, 6, 6, 1, t)}
+    later = t + dt.timedelta(days=1)
+    assert run("2.json", (1, -40, 174.5, later)) == {1: (-42, -40, 174, 175, 3, later), 2: (5, 5, 6, 6, 1, t)}
+    last = max((tmp_path / "bounds").glob("version=*"), key=lambda p: int(p.name.split("=")[1]))
+    assert spark.read.parquet(f"file://{last}").count() == 1
+
+
+def test_documents_by_several_tasks(spark, tmp_path):
+    import json
+
+    t = dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(k, t + dt.timedelta(minutes=(k * 37) % 500), -41.0, 174.0, 5.0, 3.0, None, 'a "b" <c>', "manual", None) for k in range(500)], "id long, time timestamp, latitude double, longitude double, depth double, magnitude double, magnitude_type string, region string, evaluation_mode string, evaluation_status string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        deadline = dt.datetime.now() + dt.timedelta(seconds=60)
-        while dt.datetime.now() < deadline and len(asked) < 2:
-            query.awaitTermination(1)
-        assert query.exception() is None
-        query.processAllAvailable() if len(asked) < 2 else None
+        formats.write_document(events, f"file://{tmp_path}/parts", "geojson", "it's")
     finally:
-        query.stop()
-    assert sorted(r.id for r in spark.table("updates").collect()) == sorted(f"e{k}" for k in range(10, 20))
-    assert asked[0]["updatedafter"] == "2024-01-03T00:00:00" and asked[1]["updatedafter"] > "2024-01-03T00:00:00"
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "parts").glob("part-*"))) > 1
+    formats.join_parts(spark, f"file://{tmp_path}/parts", f"file://{tmp_path}/all.geojson")
+    made = json.loads((tmp_path / "all.geojson").read_text())
+    assert made["name"] == "it's" and [f["properties"]["time"] for f in made["features"]] == sorted(f["properties"]["time"] for f in made["features"]) and sorted(int(f["id"]) for f in made["features"]) == list(range(500))
+    assert rows.accepted(files.read_file(spark, f"file://{tmp_path}/all.geojson")).count() == 500
+    for kind, kept in (("geojson", '"features": ['), ("csv", "id,time")):
+        lines_ = [r.value for r in formats.document_lines(events.limit(0).withColumns({c: F.lit(None) for c in formats.CSV_COLUMNS if c not in events.columns}), kind, "none").collect()]
+        assert kept in "\n".join(lines_)
+    with pytest.raises(Exception, match="fails"):
+        formats.write_document(events.withColumn("region", F.when(F.col("id") == 499, F.raise_error(F.lit("fails"))).otherwise(F.col("region"))), f"file://{tmp_path}/failed", "geojson", "x")
+    assert not list((tmp_path / "failed").glob("part-*")) if (tmp_path / "failed").exists() else True
