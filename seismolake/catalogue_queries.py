@@ -129,6 +129,12 @@ def l1_page(q: DataFrame) -> DataFrame:
     return search.page(q, 3, 50).select("id", "magnitude")
 
 
+@query("SELECT id, magnitude, CAST((SELECT count(*) FROM q WHERE magnitude >= 2) AS BIGINT) AS total FROM q WHERE magnitude >= 2 ORDER BY time DESC, id DESC LIMIT 50 OFFSET 50")
+def l1_page_and_total(q: DataFrame) -> DataFrame:
+    rows, total = search.page_and_total(q.where("magnitude >= 2"), 2, 50)
+    return q.sparkSession.createDataFrame([(r.id, r.magnitude, total) for r in rows], "id long, magnitude double, total long")
+
+
 @query("SELECT id, magnitude FROM q WHERE time < TIMESTAMP '2024-01-20' OR time = TIMESTAMP '2024-01-20' AND id < 5 ORDER BY time DESC, id DESC LIMIT 40")
 def l2_page_after(q: DataFrame) -> DataFrame:
     return search.page_after(q, "2024-01-20", 5, 40).select("id", "magnitude")
@@ -142,7 +148,7 @@ def j9_import_actions(q: DataFrame) -> DataFrame:
 @query(f"SELECT q.id, n.name FROM q LEFT JOIN (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in NAMES)}) n(catalogue_id, name) ON n.catalogue_id = q.catalogue_id")
 def j10_names(q: DataFrame) -> DataFrame:
     names = q.sparkSession.createDataFrame(NAMES, "catalogue_id long, name string")
-    return q.join(F.broadcast(names), "catalogue_id", "left").select("id", "name")
+    return search.labelled(q, names).select("id", "name")
 
 
 # Statistics

@@ -109,12 +109,20 @@ def s23_temporary_network(q: DataFrame) -> DataFrame:
     return _read(fdsn.read_temporary(_lines(q, "# a comment", line), "XX"))
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {len(line)}, CAST({line[0][0]} AS DOUBLE))' for n, line in FAULTS)}, ('many', 2, CAST(1 AS DOUBLE)), ('many', 3, CAST(5 AS DOUBLE))) v(name, n, west)")
+def _made_faults(q: DataFrame) -> DataFrame:
+    """A fault of three points for each event: name and points."""
+    c, at = F.col, lambda along, up: F.array(F.col("longitude") + along, F.col("latitude") + up)
+    return q.select(F.concat(F.lit("f"), c("id").cast("string")).alias("name"), F.array(at(0, 0), at(c("magnitude") / 10, 0.125), at(c("magnitude") / 5, -0.25)).alias("points"))
+
+
+@query("SELECT concat('f', CAST(id AS VARCHAR)) AS name, 3 AS n, longitude AS west FROM q UNION ALL SELECT concat('m', CAST(id AS VARCHAR)), 3, longitude FROM q UNION ALL SELECT concat('m', CAST(id AS VARCHAR)), 2, longitude + magnitude / 10 FROM q")
 def s22_fault_lines(q: DataFrame) -> DataFrame:
-    each = [{"type": "Feature", "geometry": {"type": "LineString", "coordinates": line}, "properties": {"name": name}} for name, line in FAULTS]
-    each.append({"type": "Feature", "geometry": {"type": "MultiLineString", "coordinates": [[[1, 2], [3, 4]], [[5, 6], [7, 8], [9, 9]]]}, "properties": {"name": "many"}})
-    texts = q.sparkSession.createDataFrame([(json.dumps({"type": "FeatureCollection", "features": each}),), ("no json",)], "value string")
-    found = json_files.read_faults(texts)
+    # A collection for each event: its fault as a line, again with its last two points as a second line, and a point, which is no fault.
+    feature = lambda kind, first, coordinates: F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"), F.struct(F.concat(F.lit(first), F.substring("name", 2, 30)).alias("name")).alias("properties"))
+    p = F.col("points")
+    each = [F.to_json(feature(*x)) for x in (("LineString", "f", p), ("MultiLineString", "m", F.array(p, F.slice(p, 2, 2))), ("Point", "p", p[0]))]
+    texts = _made_faults(q).select(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.concat_ws(", ", *each), F.lit("]}")).alias("value"))
+    found = json_files.read_faults(texts.unionByName(texts.limit(1).select(F.lit("no json").alias("value"))))
     return found.select("name", F.size("points").alias("n"), F.get("points", F.lit(0))[0].alias("west"))
 
 
@@ -386,9 +394,33 @@ def x6_boxes(q: DataFrame) -> DataFrame:
     return b.select("catalogue_id", js_round(F.col("area"), 6).alias("area"), js_round(F.col("mid_latitude"), 6).alias("mid_latitude"))
 
 
-@query(f"SELECT name, {rounded('km', 4)} AS km FROM (VALUES " + ", ".join(f"('{n}', " + " + ".join(f"(2 * 6371.0 * asin(sqrt(pow(sin(radians({b[1]} - {a[1]}) / 2), 2) + cos(radians({a[1]})) * cos(radians({b[1]})) * pow(sin(radians({b[0]} - {a[0]}) / 2), 2))))" for a, b in zip(line, line[1:], strict=False)) + ")" for n, line in FAULTS) + ") v(name, km) WHERE km > 50")
+@query(f"+p AS (SELECT id, longitude AS x1, latitude AS y1, longitude + magnitude / 10 AS x2, latitude + 0.125 AS y2, longitude + magnitude / 5 AS x3, latitude - 0.25 AS y3 FROM q), d AS (SELECT concat('f', CAST(id AS VARCHAR)) AS name, " + " + ".join(f"2 * 6371.0 * asin(sqrt(pow(sin(radians(y{b} - y{a}) / 2), 2) + cos(radians(y{a})) * cos(radians(y{b})) * pow(sin(radians(x{b} - x{a}) / 2), 2)))" for a, b in ((1, 2), (2, 3))) + f" AS km FROM p) SELECT name, {rounded('km', 4)} AS km FROM d WHERE km > 50")
 def f19_faults_at_zoom(q: DataFrame) -> DataFrame:
-    return match.faults_at_zoom(faults(q.sparkSession), 5).select("name", js_round(F.col("km"), 4).alias("km"))
+    return match.faults_at_zoom(_made_faults(q), 5).select("name", js_round(F.col("km"), 4).alias("km"))
+
+
+@query("SELECT concat('f', CAST(id AS VARCHAR)) AS name FROM q WHERE (latitude BETWEEN -42 AND -40 AND longitude BETWEEN 170 AND 172) OR (latitude + 0.125 BETWEEN -42 AND -40 AND longitude + magnitude / 10 BETWEEN 170 AND 172) OR (latitude - 0.25 BETWEEN -42 AND -40 AND longitude + magnitude / 5 BETWEEN 170 AND 172)")
+def f18_faults_in_box(q: DataFrame) -> DataFrame:
+    return match.faults_in_box(_made_faults(q), -42, -40, 170, 172).select("name")
+
+
+@query("SELECT s.catalogue_id, s.source_id, max(q.id) AS id FROM (SELECT DISTINCT catalogue_id, id % 1000 + catalogue_id * 7 AS source_id FROM q WHERE catalogue_id < 3 UNION ALL SELECT 99, 1) s LEFT JOIN q ON q.catalogue_id = s.catalogue_id AND q.id % 1000 = s.source_id GROUP BY 1, 2")
+def j8_source_ids(q: DataFrame) -> DataFrame:
+    # Some ids that are asked for are known, some are not.
+    events = q.withColumn("source_id", F.col("id") % 1000)
+    asked = q.where("catalogue_id < 3").select("catalogue_id", (F.col("id") % 1000 + F.col("catalogue_id") * 7).alias("source_id")).distinct().union(q.sparkSession.createDataFrame([(99, 1)], "catalogue_id long, source_id long"))
+    return match.ids_by_source(events, asked)
+
+
+@query(f"SELECT id, {rounded('latitude - 50 / 111.32')} AS south, {rounded('latitude + 50 / 111.32')} AS north, {rounded('longitude - 50 / greatest(0.01, 111.32 * cos(radians(latitude)))')} AS west, {rounded('longitude + 50 / greatest(0.01, 111.32 * cos(radians(latitude)))')} AS east FROM q")
+def j17_search_boxes(q: DataFrame) -> DataFrame:
+    box = geo.search_box(F.col("latitude"), F.col("longitude"), 50.0)
+    return q.select("id", *[js_round(box[c], 6).alias(c) for c in ("south", "north", "west", "east")])
+
+
+@query("SELECT id, CASE WHEN abs(x) <= 180 THEN x ELSE x - 360 * floor((x + 180) / 360) END AS longitude FROM (SELECT id, longitude * (id % 3 + 1) AS x FROM q)".replace("CASE WHEN abs(x)", rounded("CASE WHEN abs(x)", 6).split("CASE")[0] + "CASE WHEN abs(x)").replace("END AS longitude", "END) * 1e6 + 0.5) / 1e6 AS longitude"))
+def x4_longitudes(q: DataFrame) -> DataFrame:
+    return q.select("id", js_round(geo.normal_longitude(F.col("longitude") * (F.col("id") % 3 + 1)), 6).alias("longitude"))
 
 
 @query(f"SELECT id, {rounded('degrees(atan2(sin(radians(174 - longitude)) * cos(radians(-41)), cos(radians(latitude)) * sin(radians(-41)) - sin(radians(latitude)) * cos(radians(-41)) * cos(radians(174 - longitude)))) + CASE WHEN atan2(sin(radians(174 - longitude)) * cos(radians(-41)), cos(radians(latitude)) * sin(radians(-41)) - sin(radians(latitude)) * cos(radians(-41)) * cos(radians(174 - longitude))) < 0 THEN 360 ELSE 0 END', 4)} AS azimuth FROM q")

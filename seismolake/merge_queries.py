@@ -82,11 +82,15 @@ def j3_preview_groups(q: DataFrame) -> DataFrame:
     return resolve.preview_groups(match.merge_groups(q))
 
 
-@query("SELECT id, source, catalogue_id FROM q WHERE catalogue_id = 0 UNION ALL SELECT id, 'unknown', 5 FROM q WHERE catalogue_id = 5 UNION ALL SELECT id, 'second', 3 FROM q WHERE catalogue_id = 3")
+_SOURCES = ((0, "GeoNet"), (1, "USGS"), (2, ""), (3, "second"), (4, "third"), (5, ""))
+
+
+@query(f"SELECT id, CASE catalogue_id {' '.join(f'WHEN {k} THEN {chr(39)}{name or 'unknown'}{chr(39)}' for k, name in _SOURCES)} END AS source, catalogue_id, CASE WHEN catalogue_id = 5 THEN NULL ELSE region END AS region, CASE WHEN catalogue_id = 3 THEN NULL ELSE depth END AS depth FROM q")
 def j11_united_sources(q: DataFrame) -> DataFrame:
-    part = lambda k: q.where(F.col("catalogue_id") == k)
-    made = resolve.united([(0, "GeoNet", part(0)), (5, "", part(5).drop("region")), (3, "second", part(3).drop("depth"))])
-    return made.select("id", "source", F.col("catalogue_id").cast("long").alias("catalogue_id"))
+    # Two catalogues lack a column each.
+    lacks = {5: "region", 3: "depth"}
+    made = resolve.united([(k, name, q.where(F.col("catalogue_id") == k).drop(lacks.get(k, ""))) for k, name in _SOURCES])
+    return made.select("id", "source", F.col("catalogue_id").cast("long").alias("catalogue_id"), "region", "depth")
 
 
 @query(f"+{_GROUPS}, x AS (SELECT leader, count(*) AS n FROM g GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS events_before, count(*) AS events_after, count(*) FILTER (WHERE n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS removed FROM x")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from seismolake.functions.geo import in_box
@@ -190,6 +190,15 @@ def page(events: DataFrame, number: int, size: int) -> DataFrame:
     return events.orderBy(F.desc("time"), F.desc("id")).offset((number - 1) * size).limit(size)
 
 
+def page_and_total(events: DataFrame, number: int, size: int) -> tuple[list[Row], int]:
+    """The rows of a page, at most MOST_ROWS, and the number of all events, which the same job counts as they pass."""
+    if not 1 <= size <= MOST_ROWS or number < 1:
+        raise ValueError(f"size must be 1 to {MOST_ROWS}, number 1 or more")
+    seen = Observation()
+    rows = page(events.observe(seen, F.count(F.lit(1)).alias("total")), number, size).collect()
+    return rows, seen.get["total"]
+
+
 def page_after(events: DataFrame, time: str | None, last_id: int | None, size: int) -> DataFrame:
     """The next `size` events, newest first, after the event of that time and id: a filter and a top-k, however deep the page."""
     if time is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,11 +45,16 @@ def rates(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> Dat
     return timed.groupBy(F.window("time", window)).agg(F.count("*").alias("n"), F.max("magnitude").alias("largest")).select("window.start", "n", "largest")
 
 
-def merge_batch(store: str, catalogue_id: int, update: bool = True) -> Callable[[DataFrame, int], None]:
+#: Columns of an import's counts, by action.
+HISTORY = {"added": "new", "updated": "updated", "skipped": "skipped", "errors": "error"}
+
+
+def merge_batch(store: str, catalogue_id: int, update: bool = True, history: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: new events are added, known ones replaced (or left), invalid ones passed over.
 
     The store keeps versions: a batch adds a folder of its own, written again if the batch is, and readers take the last version of
     an id (see read_store). So nothing is rewritten in place, and a batch that runs twice changes nothing.
+    history: a table that gets a row a batch, again if the batch is: how many events were new, updated, skipped and in error, counted as they are written.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -57,12 +62,22 @@ def merge_batch(store: str, catalogue_id: int, update: bool = True) -> Callable[
         events = accepted(batch).dropDuplicates(["id"]).withColumn("catalogue_id", F.lit(catalogue_id))
         # Of the store only this catalogue's ids are read, and their versions merged for the ids of the batch alone.
         known = read_store(spark, store, events, before=number, catalogue_id=catalogue_id, ids=events.select("id"))
-        marked = classify_import(known, events, update).where(F.col("action").isin("new", "updated"))
+        seen = Observation()
+        counts = [F.count_if(F.col("action") == action).alias(name) for name, action in HISTORY.items()]
+        marked = classify_import(known, events, update).observe(seen, *counts).where(F.col("action").isin("new", "updated"))
         marked.drop("action").write.mode("overwrite").partitionBy("catalogue_id").parquet(f"{store}/version={number}")
+        if history is not None:
+            row = spark.range(1).select(F.lit(catalogue_id).cast("long").alias("catalogue_id"), F.current_timestamp().alias("created"), *[F.lit(seen.get[name]).alias(name) for name in HISTORY])
+            row.write.mode("overwrite").parquet(f"{history}/catalogue={catalogue_id}/batch={number}")
 
     return merge
 
 
+def read_history(spark: SparkSession, history: str) -> DataFrame:
+    """The rows of imports that merge_batch has left, for `latest_imports`."""
+    return spark.read.parquet(history).drop("catalogue")
+
+
 def read_store(spark: SparkSession, store: str, like: DataFrame, before: int | None = None, catalogue_id: int | None = None, ids: DataFrame | None = None) -> DataFrame:
     """The last version of each event of a store that merge_batch writes; empty if there is none yet. `like` has its columns; catalogue_id: of one catalogue, whose folders alone are read; ids: of these ids only."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
@@ -85,9 +100,9 @@ def compact(spark: SparkSession, store: str, to: str, like: DataFrame) -> None:
     read_store(spark, store, like).repartition("catalogue_id").write.partitionBy("catalogue_id").parquet(f"{to}/version=0")
 
 
-def start_import(events: DataFrame, store: str, checkpoint: str, catalogue_id: int, update: bool = True) -> StreamingQuery:
+def start_import(events: DataFrame, store: str, checkpoint: str, catalogue_id: int, update: bool = True, history: str | None = None) -> StreamingQuery:
     """Merges all that has arrived into the store, then stops; the next start goes on from there."""
-    return events.writeStream.foreachBatch(merge_batch(store, catalogue_id, update)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(merge_batch(store, catalogue_id, update, history)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def bounds(spark: SparkSession, store: str, like: DataFrame) -> DataFrame:

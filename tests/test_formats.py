@@ -128,7 +128,7 @@ def test_streaming_import(spark, tmp_path):
 
     def run():
         events = imports.delimited_stream(spark, f"file://{folder}", header, files=1).drop("line")
-        imports.start_import(events, store, f"file://{tmp_path}/check", 7).awaitTermination()
+        imports.start_import(events, store, f"file://{tmp_path}/check", 7, history=f"file://{tmp_path}/history").awaitTermination()
         return {r.id: r.magnitude for r in imports.read_store(spark, store, rows.accepted(events).withColumn("catalogue_id", F.lit(7))).collect()}
 
     (folder / "1.csv").write_text(f"{header}\na,2024-01-01T00:00:00Z,-41,174,5,4.0\nb,2024-01-01T01:00:00Z,-41,174,5,4.5\nc,2024-01-01T01:00:00Z,-99,174,5,4.5\n")
@@ -136,6 +136,8 @@ def test_streaming_import(spark, tmp_path):
     (folder / "2.csv").write_text(f"{header}\nb,2024-01-01T01:00:00Z,-41,174,5,4.7\nd,2024-01-02T00:00:00Z,-41,174,5,3.0\n")
     assert run() == {"a": 4.0, "b": 4.7, "d": 3.0}
     assert run() == {"a": 4.0, "b": 4.7, "d": 3.0}
+    history = catalogues.latest_imports(imports.read_history(spark, f"file://{tmp_path}/history"), 7).collect()
+    assert [(r.added, r.updated, r.skipped, r.errors) for r in history] == [(1, 1, 0, 0), (2, 0, 0, 0)]
 
 
 def test_streaming_windows(spark, tmp_path):
