@@ -84,6 +84,34 @@ def test_json_shapes(spark):
     assert (got.id, got.longitude, got.depth, got.magnitude, got.time) == ("p", 174.0, 0.0, 0.0, dt.datetime(2024, 1, 1))
 
 
+def test_large_documents_are_read_in_parts(spark, tmp_path):
+    """Documents of one line, whose strings hold braces, quotes and brackets, in splits of some hundred bytes."""
+    import json
+
+    made = [{"id": f"e{k}", "time": "2024-01-01T00:00:00Z", "lat": k % 90, "lon": k % 180 / 2, "mag": 4 + k % 3, "note": ['}{"', '\\"}, {', "[]", '"events": [', "ü\\"][k % 5], "more": {"data": [{"x": k}]}} for k in range(90)]
+    points = [{"type": "Feature", "id": m["id"], "geometry": {"type": "Point", "coordinates": [m["lon"], m["lat"], 5]}, "properties": {"time": m["time"], "magnitude": m["mag"], "note": m["note"]}} for m in made]
+    (tmp_path / "a.json").write_text(json.dumps(made))
+    (tmp_path / "b.json").write_text(json.dumps({"meta": {"events": "none", "n": {"x": [1]}}, "events": made, "paging": {"next": {"id": "no"}}}, indent=1))
+    (tmp_path / "c.json").write_text(json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}}, "features": points}))
+    (tmp_path / "d.json").write_text("[]")
+    (tmp_path / "e.json").write_text('{"other": {"x": 1}}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        path = lambda name: f"file://{tmp_path}/{name}.json"
+        assert json_files._pieces(spark, path("a")).rdd.getNumPartitions() > 10
+        for name in ("a", "b", "c"):
+            got = [json.loads(r.value) for r in json_files.record_texts(spark, path(name)).collect()]
+            want = points if name == "c" else made
+            assert sorted(got, key=lambda x: x["id"]) == sorted(want, key=lambda x: x["id"])
+        assert json_files.record_texts(spark, path("d")).count() == json_files.record_texts(spark, path("e")).count() == 0
+        names = lambda f: sorted(r.id for r in rows.accepted(f).select("id").collect())
+        assert names(json_files.read_large_records(spark, path("b"))) == names(json_files.read_large_features(spark, path("c"))) == sorted(m["id"] for m in made)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_quakeml(spark, tmp_path):
     texts = spark.createDataFrame([(QUAKEML,)], "value string")
     got = {r.event_public_id: r for r in quakeml.read_events(quakeml.event_texts(texts)).collect()}
