@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from seismolake.operators.search import classify_import
 from seismolake.sources import json_files, quakeml
@@ -45,6 +46,14 @@ def rates(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> Dat
     return timed.groupBy(F.window("time", window)).agg(F.count("*").alias("n"), F.max("magnitude").alias("largest")).select("window.start", "n", "largest")
 
 
+#: Buckets of ids that a catalogue's part of a version is cut into.
+BUCKETS = 256
+
+
+def bucket(ident: Column) -> Column:
+    return F.pmod(F.xxhash64(ident.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
 #: Columns of an import's counts, by action.
 HISTORY = {"added": "new", "updated": "updated", "skipped": "skipped", "errors": "error"}
 
@@ -65,7 +74,7 @@ def merge_batch(store: str, catalogue_id: int, update: bool = True, history: str
         seen = Observation()
         counts = [F.count_if(F.col("action") == action).alias(name) for name, action in HISTORY.items()]
         marked = classify_import(known, events, update).observe(seen, *counts).where(F.col("action").isin("new", "updated"))
-        marked.drop("action").write.mode("overwrite").partitionBy("catalogue_id").parquet(f"{store}/version={number}")
+        marked.drop("action").withColumn("bucket", bucket(F.col("id"))).write.mode("overwrite").partitionBy("catalogue_id", "bucket").parquet(f"{store}/version={number}")
         if history is not None:
             row = spark.range(1).select(F.lit(catalogue_id).cast("long").alias("catalogue_id"), F.current_timestamp().alias("created"), *[F.lit(seen.get[name]).alias(name) for name in HISTORY])
             row.write.mode("overwrite").parquet(f"{history}/catalogue={catalogue_id}/batch={number}")
@@ -78,26 +87,89 @@ def read_history(spark: SparkSession, history: str) -> DataFrame:
     return spark.read.parquet(history).drop("catalogue")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def compacted(spark: SparkSession, store: str) -> int | None:
+    """The version up to which a store is compacted, which its manifest says; None if it never was."""
+    if not _there(spark, f"{store}/_manifest"):
+        return None
+    manifest = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/_manifest")
+    said = spark._jvm.java.util.Scanner(manifest.getFileSystem(spark._jsc.hadoopConfiguration()).open(manifest))
+    try:
+        return said.nextInt()
+    finally:
+        said.close()
+
+
 def read_store(spark: SparkSession, store: str, like: DataFrame, before: int | None = None, catalogue_id: int | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """The last version of each event of a store that merge_batch writes; empty if there is none yet. `like` has its columns; catalogue_id: of one catalogue, whose folders alone are read; ids: of these ids only."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    """The last version of each event of a store that merge_batch writes; empty if there is none yet. `like` has its columns; catalogue_id: of one catalogue, whose folders alone are read; ids: of these ids only, whose buckets alone are read.
+
+    What has been compacted is read from its own folder, and only the versions since then beside it.
+    """
+    if not _there(spark, store):
         return spark.createDataFrame([], like.schema)
-    rows = spark.read.schema(like.drop("version").schema.add("version", "integer")).parquet(store)
+    schema = like.drop("version", "bucket").schema
+    since = compacted(spark, store)
+    rows = spark.read.schema(StructType([*schema.fields]).add("bucket", "integer").add("version", "integer")).parquet(store)
+    if since is not None:
+        whole = spark.read.schema(StructType([*schema.fields]).add("bucket", "integer")).parquet(f"{store}/_compacted/{since}").withColumn("version", F.lit(since))
+        rows = rows.where(F.col("version") > since).unionByName(whole)
     if before is not None:
         rows = rows.where(F.col("version") < before)
     if catalogue_id is not None:
         rows = rows.where(F.col("catalogue_id") == catalogue_id)
     if ids is not None:
-        rows = rows.join(ids, "id", "left_semi").select(*rows.columns)
-    fields = [c for c in rows.columns if c != "version"]
+        touched = [r.bucket for r in ids.select(bucket(F.col("id")).alias("bucket")).distinct().collect()]  # at most BUCKETS numbers
+        rows = rows.where(F.col("bucket").isin(touched)).join(ids, "id", "left_semi").select(*rows.columns)
+    fields = [c for c in rows.columns if c not in ("version", "bucket")]
     last = rows.groupBy("catalogue_id", "id").agg(F.max_by(F.struct(*fields), "version").alias("row"))
     return last.select("row.*")
 
 
-def compact(spark: SparkSession, store: str, to: str, like: DataFrame) -> None:
-    """Writes the last version of each event as one version of a new store, so that reading costs no more with the batches that there have been."""
-    read_store(spark, store, like).repartition("catalogue_id").write.partitionBy("catalogue_id").parquet(f"{to}/version=0")
+def _number(spark: SparkSession, store: str) -> int | None:
+    """The last version in a store's folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+    names = [x.getPath().getName() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=None)
+
+
+def compact(spark: SparkSession, store: str, like: DataFrame) -> int | None:
+    """Brings all versions of a store together in its own folder, so that reading costs no more with the batches that there have been; gives the version up to which it did.
+
+    The manifest is changed last and at once: until then readers see the versions, after it what was made of them. Batches that are written meanwhile are later versions and
+    stay. The folders that are no longer read can be removed by `drop_compacted`, once no reader that began before is left.
+    """
+    last = _number(spark, store)
+    if last is None or last == compacted(spark, store):
+        return None
+    rows = read_store(spark, store, like, before=last + 1).withColumn("bucket", bucket(F.col("id")))
+    rows.repartition("catalogue_id", "bucket").write.mode("overwrite").partitionBy("catalogue_id", "bucket").parquet(f"{store}/_compacted/{last}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    new = path(f"{store}/_manifest.{last}")
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(bytearray(str(last).encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(store).toUri(), conf).rename(new, path(f"{store}/_manifest"), over)
+    return last
+
+
+def drop_compacted(spark: SparkSession, store: str) -> None:
+    """Removes the versions, and earlier compactions, that a store's manifest has done away with."""
+    since = compacted(spark, store)
+    if since is None:
+        return
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    files = path(store).getFileSystem(conf)
+    for x in [*files.listStatus(path(store)), *files.listStatus(path(f"{store}/_compacted"))]:
+        number = x.getPath().getName().removeprefix("version=")
+        if number.isdigit() and (int(number) < since or int(number) == since and x.getPath().getName() != number):
+            files.delete(x.getPath(), True)
 
 
 def start_import(events: DataFrame, store: str, checkpoint: str, catalogue_id: int, update: bool = True, history: str | None = None) -> StreamingQuery:

@@ -168,6 +168,29 @@ def test_streaming_import(spark, tmp_path):
     assert [(r.added, r.updated, r.skipped, r.errors) for r in history] == [(1, 1, 0, 0), (2, 0, 0, 0)]
 
 
+def test_store_reads_the_buckets_of_a_batch(spark, tmp_path):
+    """Of a store with several versions only the buckets of the ids that are asked for; also after it was compacted in place."""
+    store, t = f"file://{tmp_path}/store", dt.datetime(2024, 1, 1)
+    batch = lambda *ids, m=4.0: spark.createDataFrame([(i, t, -41.0, 174.0, 5.0, m) for i in ids], "id string, time timestamp, latitude double, longitude double, depth double, magnitude double").withColumn("failures", F.array().cast("array<struct<name:string,field:string,severity:string>>"))
+    like = rows.accepted(batch("x")).withColumn("catalogue_id", F.lit(7))
+    merge = imports.merge_batch(store, 7)
+    merge(batch(*[f"e{k}" for k in range(400)]), 0)
+    merge(batch("e1", "e2", "new", m=5.0), 1)
+    values = lambda **k: {r.id: r.magnitude for r in imports.read_store(spark, store, like, **k).collect()}
+    whole = {f"e{k}": 4.0 for k in range(400)} | {"e1": 5.0, "e2": 5.0, "new": 5.0}
+    some = spark.createDataFrame([("e1",), ("e7",)], "id string")
+    assert values() == whole and values(ids=some) == {"e1": 5.0, "e7": 4.0} and values(before=1)["e1"] == 4.0
+    assert imports.compact(spark, store, like) == 1 and imports.compact(spark, store, like) is None
+    assert values() == whole and values(ids=some) == {"e1": 5.0, "e7": 4.0}
+    merge(batch("e2", m=6.0), 2)
+    imports.drop_compacted(spark, store)
+    assert sorted(p.name for p in (tmp_path / "store").glob("version=*")) == ["version=2"]
+    assert values() == whole | {"e2": 6.0}
+    assert imports.compact(spark, store, like) == 2 and imports.compacted(spark, store) == 2 and values() == whole | {"e2": 6.0}
+    plan = imports.read_store(spark, store, like, ids=some)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan and "PartitionFilters" in plan
+
+
 def test_streaming_windows(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"id": "a", "t": "2024-01-01T00:10:00Z", "la": 1, "lo": 2, "m": 3}\n{"id": "a", "t": "2024-01-01T00:10:00Z", "la": 1, "lo": 2, "m": 3}\n{"id": "b", "t": "2024-01-05T00:10:00Z", "la": 1, "lo": 2, "m": 5}\n')
     names = {"id": "id", "t": "time", "la": "latitude", "lo": "longitude", "m": "magnitude"}
