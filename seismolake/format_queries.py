@@ -383,6 +383,34 @@ def k7_document(q: DataFrame) -> DataFrame:
     return lines.select(F.when(plain, feature["id"]).alias("id"), F.when(plain, feature["properties"]["magnitude"]).alias("magnitude"), F.col("value").startswith(",").alias("led"))
 
 
+_FULL = (
+    "_publicID string, preferredOriginID string, comment array<struct<text:string>>, origin array<struct<_publicID:string,depth:struct<value:double>,arrival:array<struct<pickID:string,phase:string,timeResidual:double>>>>, "
+    "magnitude array<struct<mag:struct<value:double,uncertainty:double>,type:string,originID:string>>, pick array<struct<_publicID:string,waveformID:struct<_stationCode:string>,phaseHint:string>>, amplitude array<struct<genericAmplitude:struct<value:double>,unit:string>>"
+)
+_N = {name: f"greatest(coalesce(n_{name}, 0), 0)" for name in ("origins", "magnitudes", "picks", "arrivals", "amplitudes")}
+
+
+@query(f"SELECT id, {', '.join(f'{sql} AS {name}' for name, sql in _N.items() if name != 'arrivals')}, CASE WHEN {_N['origins']} > 0 THEN {_N['arrivals']} ELSE 0 END AS arrivals, CASE WHEN {_N['origins']} > 0 THEN concat('smi:local/event/', CAST(id AS VARCHAR), '/origin/1') END AS preferred, CASE WHEN {_N['origins']} > 0 THEN floor(depth * 1000 + 0.5) / 1000 END AS depth, CASE WHEN {_N['magnitudes']} > 0 THEN magnitude END AS mag, CASE WHEN {_N['picks']} > 0 THEN 'S<1>&' END AS station, 'a < b' AS said FROM q")
+def k6_full_events(q: DataFrame) -> DataFrame:
+    # Each event has as many parts as its counts say.
+    c, none = F.col, lambda kind: F.lit(None).cast(kind)
+    many = lambda name, make: F.when(c(f"n_{name}") > 0, F.transform(F.sequence(F.lit(1), c(f"n_{name}").cast("int")), make))
+    pick_id = lambda k: F.concat(F.lit("smi:local/pick/"), k.cast("string"))
+    arrivals = many("arrivals", lambda k: F.struct(pick_id(k).alias("pick_id"), F.lit("P").alias("phase"), F.lit(10.0).alias("azimuth"), none("double").alias("distance"), (k / 8).alias("time_residual"), none("double").alias("time_weight")))
+    origins = many("origins", lambda k: F.struct(none("string").alias("public_id"), *[c(x).alias(x) for x in ("time", "latitude", "longitude", "depth", "time_uncertainty", "latitude_uncertainty", "longitude_uncertainty", "depth_uncertainty", "evaluation_mode", "evaluation_status")], arrivals.alias("arrivals")))
+    magnitudes = many("magnitudes", lambda k: F.struct(none("string").alias("public_id"), c("magnitude").alias("mag"), c("magnitude_uncertainty").alias("uncertainty"), c("magnitude_type").alias("type"), none("int").alias("station_count"), none("string").alias("origin_id")))
+    picks = many("picks", lambda k: F.struct(pick_id(k).alias("public_id"), c("time").alias("time"), none("double").alias("time_uncertainty"), F.lit("NZ").alias("network"), F.lit("S<1>&").alias("station"), none("string").alias("location"), F.lit("HHZ").alias("channel"), none("string").alias("onset"), F.lit("P").alias("phase"), none("string").alias("polarity")))
+    amplitudes = many("amplitudes", lambda k: F.struct(none("string").alias("public_id"), (k / 4).alias("value"), none("double").alias("uncertainty"), F.lit("A").alias("type"), F.lit("m").alias("unit"), pick_id(k).alias("pick_id")))
+    full = q.select("id", "event_type", origins.alias("origins"), magnitudes.alias("magnitudes"), picks.alias("picks"), amplitudes.alias("amplitudes"), F.array(F.lit("a < b")).alias("comments"))
+    read = full.select("id", F.inline(F.array(F.from_xml(formats.quakeml_full_event(), _FULL, {"mode": "PERMISSIVE"}))))
+    n = lambda name: F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)).cast("long")
+    first = lambda name: F.get(name, F.lit(0))
+    return read.select(
+        "id", n("origin").alias("origins"), n("magnitude").alias("magnitudes"), n("pick").alias("picks"), n("amplitude").alias("amplitudes"), n(first("origin")["arrival"]).alias("arrivals"), F.col("preferredOriginID").alias("preferred"),
+        js_round(first("origin")["depth"]["value"] / 1000, 3).alias("depth"), first("magnitude")["mag"]["value"].alias("mag"), first("pick")["waveformID"]["_stationCode"].alias("station"), first("comment")["text"].alias("said"),
+    )
+
+
 @query("SELECT id FROM q WHERE catalogue_id <> 1")
 def k9_delete_catalogue(q: DataFrame) -> DataFrame:
     return catalogues.without(q, q.sparkSession.createDataFrame([(1,)], "catalogue_id long")).select("id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,13 +132,56 @@ def quakeml_event(prefix: str = "smi:local/", mechanism: bool = False) -> Column
     return F.concat(F.lit('<event publicID="'), ident, F.lit('">'), F.lit("<preferredOriginID>"), ident, F.lit("/origin</preferredOriginID><preferredMagnitudeID>"), ident, F.lit("/magnitude</preferredMagnitudeID>"), _tag("type", c("event_type")), text, origin, magnitude, planes, F.lit("</event>"))
 
 
-FORMATS = {"json": json_record, "geojson": geojson_feature, "kml": kml_placemark, "quakeml": quakeml_event, "csv": csv_line}
+def _each(values: Column, element: Callable[[Column], Column]) -> Column:
+    """The elements of an array one after another; an empty text where it is null or empty."""
+    return F.coalesce(F.array_join(F.transform(values, element), ""), F.lit(""))
+
+
+def _open(name: str, ident: Column) -> Column:
+    return F.concat(F.lit(f'<{name} publicID="'), xml_escaped(ident), F.lit('">'))
+
+
+def quakeml_full_event() -> Column:
+    """An event element with all of its parts: arrays origins (with their arrivals), magnitudes, picks, amplitudes and comments of structs, any of them null or empty.
+
+    The preferred origin and magnitude are the first ones. A part without a public id gets one of its event's and its place.
+    """
+    ident = F.concat(F.lit("smi:local/event/"), F.col("id").cast("string"))
+    named = lambda x, kind, k: F.coalesce(x["public_id"], F.concat(ident, F.lit(f"/{kind}/"), (k + 1).cast("string")))
+    measured = lambda x, *names: F.concat(*[_quantity(name, iso(x[name]) if name == "time" else x[name] * 1000 if name == "depth" else x[name], x[f"{name}_uncertainty"] * (1000 if name == "depth" else 1)) for name in names])
+
+    def arrival(x: Column) -> Column:
+        return F.concat(_open("arrival", F.concat(x["pick_id"], F.lit("/arrival"))), _tag("pickID", x["pick_id"]), _tag("phase", x["phase"]), _tag("azimuth", x["azimuth"]), _tag("distance", x["distance"]), _tag("timeResidual", x["time_residual"]), _tag("timeWeight", x["time_weight"]), F.lit("</arrival>"))
+
+    def origin(x: Column, k: Column) -> Column:
+        return F.concat(_open("origin", named(x, "origin", k)), measured(x, "time", "latitude", "longitude", "depth"), _tag("evaluationMode", x["evaluation_mode"]), _tag("evaluationStatus", x["evaluation_status"]), _each(x["arrivals"], arrival), F.lit("</origin>"))
+
+    def magnitude(x: Column, k: Column) -> Column:
+        return F.concat(_open("magnitude", named(x, "magnitude", k)), _quantity("mag", x["mag"], x["uncertainty"]), _tag("type", x["type"]), _tag("stationCount", x["station_count"]), _tag("originID", x["origin_id"]), F.lit("</magnitude>"))
+
+    def pick(x: Column, k: Column) -> Column:
+        codes = F.concat(*[F.coalesce(F.concat(F.lit(f' {name}="'), xml_escaped(x[field]), F.lit('"')), F.lit("")) for name, field in (("networkCode", "network"), ("stationCode", "station"), ("locationCode", "location"), ("channelCode", "channel"))])
+        return F.concat(_open("pick", named(x, "pick", k)), _quantity("time", iso(x["time"]), x["time_uncertainty"]), F.lit("<waveformID"), codes, F.lit("/>"), _tag("onset", x["onset"]), _tag("phaseHint", x["phase"]), _tag("polarity", x["polarity"]), F.lit("</pick>"))
+
+    def amplitude(x: Column, k: Column) -> Column:
+        return F.concat(_open("amplitude", named(x, "amplitude", k)), _quantity("genericAmplitude", x["value"], x["uncertainty"]), _tag("type", x["type"]), _tag("unit", x["unit"]), _tag("pickID", x["pick_id"]), F.lit("</amplitude>"))
+
+    preferred = lambda name, values, kind: F.when(F.size(values) > 0, _tag(name, named(F.get(values, F.lit(0)), kind, F.lit(0)))).otherwise("")
+    c = F.col
+    return F.concat(
+        _open("event", ident), F.coalesce(preferred("preferredOriginID", c("origins"), "origin"), F.lit("")), F.coalesce(preferred("preferredMagnitudeID", c("magnitudes"), "magnitude"), F.lit("")), _tag("type", c("event_type")),
+        _each(c("comments"), lambda x: F.concat(F.lit("<comment>"), _tag("text", x), F.lit("</comment>"))), _each(c("origins"), origin), _each(c("magnitudes"), magnitude), _each(c("picks"), pick), _each(c("amplitudes"), amplitude), F.lit("</event>"),
+    )
+
+
+FORMATS = {"json": json_record, "geojson": geojson_feature, "kml": kml_placemark, "quakeml": quakeml_event, "quakeml_full": quakeml_full_event, "csv": csv_line}
 #: What stands before, between and after the records of a whole document.
 FRAMES = {
     "json": ('{{"name": {name}, "events": [', ",", "]}}"), "geojson": ('{{"type": "FeatureCollection", "name": {name}, "features": [', ",", "]}}"),
     "kml": ('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{text}</name>', "", "</Document></kml>"), "quakeml": (QUAKEML_HEAD.replace("{name}", "{text}"), "", QUAKEML_TAIL),
     "csv": ("{head}", "", ""),
 }
+FRAMES["quakeml_full"] = FRAMES["quakeml"]
 
 
 def write_records(events: DataFrame, path: str, kind: str) -> None:
