@@ -260,6 +260,20 @@ def a36_azimuthal_gap(q: DataFrame) -> DataFrame:
     return q.select("id", gap.alias("gap"), js_round(stations.unevenness(a), 6).alias("unevenness"), stations.coverage_class(gap, F.lit(3)).alias("class"))
 
 
+@query(f"+s AS (SELECT id, {_AZ} AS a FROM q), r AS (SELECT id, least(1, sqrt((pow(a[2] - a[1] - 120, 2) + pow(a[3] - a[2] - 120, 2) + pow(240 - a[3] + a[1], 2)) / 3) / 120) AS r FROM s) SELECT id, CASE WHEN r < 0.3 THEN 'excellent' WHEN r < 0.5 THEN 'good' WHEN r < 0.7 THEN 'fair' ELSE 'poor' END AS spread, CASE WHEN 1 - r >= 0.9 THEN 'high' WHEN 1 - r >= 0.7 THEN 'medium' WHEN 1 - r >= 0.5 THEN 'low' ELSE 'very low' END AS confidence FROM r")
+def e33_spread_classes(q: DataFrame) -> DataFrame:
+    ratio = stations.unevenness(_azimuths())
+    return q.select("id", stations.spread_class(ratio).alias("spread"), stations.confidence_class(1 - ratio).alias("confidence"))
+
+
+@query("SELECT id, gap IS NOT NULL AND coalesce(stations, 0) >= 20 AND coalesce(phases, 0) >= 30 AS passed FROM q")
+def e35_minimum_gate(q: DataFrame) -> DataFrame:
+    # Errors, completeness and score of an event from its gap, stations and phases.
+    c = F.col
+    gate = validation.meets_minimum(c("gap").isNull().cast("int"), F.coalesce(c("stations"), F.lit(0)) * 2.5, F.coalesce(c("phases"), F.lit(0)) * 2.0)
+    return q.select("id", gate.alias("passed"))
+
+
 @query("+s AS (SELECT unnest([(id * 17) % 360, (id * 31) % 360, (id * 7) % 360]) AS a FROM q) SELECT CAST(floor(a / 30) * 30 AS INTEGER) AS start, count(*) AS n FROM s GROUP BY 1")
 def a37_sectors(q: DataFrame) -> DataFrame:
     each = q.select(F.explode(stations.sectors(_azimuths())).alias("s"))
