@@ -162,11 +162,11 @@ _M_HAD = " + ".join(f"CASE WHEN {known} THEN {most} ELSE 0 END" for known, most,
 _M_GOT = " + ".join(f"CASE WHEN {known} THEN {score} ELSE 0 END" for known, _, score in _MECHANISM)
 
 
-@query(f"+m AS (SELECT id % 97 AS leader, id, source, CASE source WHEN 'GeoNet' THEN 2 WHEN 'USGS/NEIC' THEN 3 WHEN 'ISC' THEN 4 ELSE CASE WHEN source IS NULL THEN 999 ELSE 100 END END AS rank, floor(CASE WHEN ({_M_HAD}) > 0 THEN ({_M_GOT}) / CAST(({_M_HAD}) AS DOUBLE) * 100 ELSE 50 END * 1e6 + 0.5) / 1e6 AS quality FROM q WHERE n_mechanisms > 0) SELECT leader, n, id, quality, ids FROM (SELECT *, count(*) OVER (PARTITION BY leader) AS n, string_agg(CAST(id AS VARCHAR), ',') OVER (PARTITION BY leader ORDER BY rank, quality DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ids, row_number() OVER (PARTITION BY leader ORDER BY rank, quality DESC, id) AS r FROM m) WHERE r = 1")
+@query(f"+{_GROUPS}, m AS (SELECT leader, id, source, CASE source WHEN 'GeoNet' THEN 2 WHEN 'USGS/NEIC' THEN 3 WHEN 'ISC' THEN 4 ELSE CASE WHEN source IS NULL THEN 999 ELSE 100 END END AS rank, floor(CASE WHEN ({_M_HAD}) > 0 THEN ({_M_GOT}) / CAST(({_M_HAD}) AS DOUBLE) * 100 ELSE 50 END * 1e6 + 0.5) / 1e6 AS quality FROM g WHERE n_mechanisms > 0) SELECT leader, n, id, quality, ids FROM (SELECT *, count(*) OVER (PARTITION BY leader) AS n, string_agg(CAST(id AS VARCHAR), ',') OVER (PARTITION BY leader ORDER BY rank, quality DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ids, row_number() OVER (PARTITION BY leader ORDER BY rank, quality DESC, id) AS r FROM m) WHERE r = 1")
 def m19_merged_mechanisms(q: DataFrame) -> DataFrame:
     c = F.col
     quality = mechanism.quality(c("stations"), c("rms"), c("id") % 2 == 0, c("horizontal_uncertainty") * 10, c("gap"), c("evaluation_status"))
-    made = q.where("n_mechanisms > 0").select((c("id") % 97).alias("leader"), "id", "source", js_round(quality, 6).alias("quality"))
+    made = match.merge_groups(q).where("n_mechanisms > 0").select("leader", "id", "source", js_round(quality, 6).alias("quality"))
     return resolve.merged_mechanisms(made).select("leader", F.size("all").cast("long").alias("n"), "id", "quality", F.array_join(F.transform("all", lambda x: x["id"].cast("string")), ",").alias("ids"))
 
 
