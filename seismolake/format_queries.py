@@ -112,7 +112,8 @@ def s23_temporary_network(q: DataFrame) -> DataFrame:
 def _made_faults(q: DataFrame) -> DataFrame:
     """A fault of three points for each event: name and points."""
     c, at = F.col, lambda along, up: F.array(F.col("longitude") + along, F.col("latitude") + up)
-    return q.select(F.concat(F.lit("f"), c("id").cast("string")).alias("name"), F.array(at(0, 0), at(c("magnitude") / 10, 0.125), at(c("magnitude") / 5, -0.25)).alias("points"))
+    held = geo.held(q.select("id", "longitude", "latitude", "magnitude"), points=F.array(at(0, 0), at(c("magnitude") / 10, 0.125), at(c("magnitude") / 5, -0.25)))
+    return held.select(F.concat(F.lit("f"), c("id").cast("string")).alias("name"), "points")
 
 
 @query("SELECT concat('f', CAST(id AS VARCHAR)) AS name, 3 AS n, longitude AS west FROM q UNION ALL SELECT concat('m', CAST(id AS VARCHAR)), 3, longitude FROM q UNION ALL SELECT concat('m', CAST(id AS VARCHAR)), 2, longitude + magnitude / 10 FROM q")
