@@ -31,6 +31,8 @@ FEW = 200_000
 GATHERED = 20_000
 #: The least Jaccard similarity of near-duplicates that keep_first drops, as a fraction; the most shingles that it knows as common, and the documents sampled for them.
 LEAST, MOST_COMMON, COMMON_SAMPLE = (4, 5), 500_000, 10_000
+#: Rounds in which the sets that share a key meet one of them; bits of a set's signature; sets of one key up to which all pairs go on without their signatures.
+PIVOTS, SIGNATURE, SMALL = 3, 1024, 8
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -283,10 +285,12 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST, sample: int = COMMON_SAMPLE) -> DataFrame:
-    """doc_id, body, node, size and keys of every row of docs: the size of its set, and the first hashes of it in one order of all hashes, rare ones first.
+    """doc_id, body, node, size, keys and signature of every row of docs: the size of its set, and the first hashes of it in one order of all hashes, rare ones first.
 
     Two sets whose Jaccard similarity is p / q or more share a key, and one that is short for the smaller of
     them. That holds in any order; shingles that are common in a sample go last, so that few sets share a key.
+    Bit i of a signature is the parity of the number of hashes that are i by SIGNATURE, so two signatures differ in
+    no more bits than the sets have elements that only one of them holds.
     """
     import numpy as np
 
@@ -304,9 +308,11 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
 
         known, turn = common.value
         for batch in batches:
-            sizes, firsts = [], []
+            sizes, firsts, signs = [], [], []
             for hashes in batch.column(3):
                 found = hashes.values.to_numpy(zero_copy_only=False)
+                odd = np.bincount(found & (SIGNATURE - 1), minlength=SIGNATURE) & 1
+                signs.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
                 n = len(found)
                 if n and len(known):
                     place = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -316,28 +322,33 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
                 firsts.append(found[: n + (-p * n) // q + 1])
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.array(sizes, np.int32)), arrays], ["doc_id", "body", "node", "size", "keys"])
+            starts = np.arange(len(sizes) + 1, dtype=np.int32) * (SIGNATURE // 64)
+            signed = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.zeros(0, np.int64), *signs])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.array(sizes, np.int32)), arrays, signed], ["doc_id", "body", "node", "size", "keys", "signature"])
 
     sets = shingle_sets(docs, shingle).select("doc_id", "body", "node", "hashes")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(sets.mapInArrow(mapped, f"doc_id {kind}, body long, node long, size int, keys array<long>"), "similar-prefixes")
+    return stored(sets.mapInArrow(mapped, f"doc_id {kind}, body long, node long, size int, keys array<long>, signature array<long>"), "similar-prefixes")
 
 
 def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
     """Links (a, b) between nodes of prefixes(docs) that join exactly the sets over steps of a Jaccard similarity of p / q or more.
 
-    Every candidate is verified on both whole sets, which are made again for the candidates alone. Of those that share a key, each is first compared with the smallest, and
-    of several such smallest ones with that with which it shares most keys; then with the others that it is still apart from; then whatever
-    is apart in a key's group in pairs. So a large group of near copies gives no square of pairs, nor many pairs a document.
+    Every candidate is verified on both whole sets, which are made again for the candidates alone. In each of a few rounds a key has a pivot, the set that shares
+    most of its keys with others, and each set that is still apart from a pivot meets the one with which it shares most keys. What is apart after
+    that meets in pairs, but for those that sizes, places of the key and signatures rule out. So a large group of near copies becomes
+    one part by its pivots, and unlike documents with a key in common are told apart by 1,024 bits.
     """
     p, q = least
     spark = docs.sparkSession
     each = marked.select("node", "size", F.posexplode("keys").alias("k", "key"))
-    each = each.select("key", "node", "size", (F.col("k") < F.col("size") - F.ceil(2 * p * F.col("size") / (p + q)) + 1).alias("short")).repartition("key")
-    grouped = each.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("size", "node", "short"))).alias("of")).where(F.size("of") > 1)
-    groups = stored(grouped, "similar-groups")
+    each = each.select("key", "node", "size", (F.col("size") - F.col("k")).alias("left")).repartition("key")
+    grouped = each.groupBy("key").agg(F.collect_set(F.struct("size", "node", "left")).alias("of")).where(F.size("of") > 1)
+    groups = stored(grouped.select("key", F.explode("of").alias("m")).select("key", "m.*"), "similar-groups")
+    members = stored(groups.join(groups.groupBy("node").agg(F.count("*").alias("shared")), "node"), "similar-members")
+    discard(spark, groups._scratch)
     # One row a set: copies of a text have one.
-    sets = stored(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "similar-nodes")
+    sets = stored(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "similar-nodes")
 
     def possible(candidates: DataFrame) -> DataFrame:
         """Candidates whose prefixes alone don't rule them out: beyond the prefix that ends first in the order of all hashes, its set has no more elements to share than are left of it."""
@@ -360,28 +371,50 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
         discard(spark, pairs._scratch, ids._scratch, bodies._scratch)
         return found
 
-    def pairs(x: Column, y: Column) -> Column:
-        return (q * x["size"] >= p * y["size"]) & x["short"]
-
-    stars = groups.select(F.col("of")[0].alias("x"), F.explode(F.slice("of", 2, F.size("of") - 1)).alias("y")).where(pairs(F.col("x"), F.col("y")))
-    stars = stored(stars.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n")), "similar-stars")
-    best = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
-
-    def part_of(frame: DataFrame, side: str, parts: DataFrame) -> DataFrame:
-        own = parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
-        return frame.join(own, side, "left").withColumn(f"{side}_part", F.coalesce(f"{side}_part", side))
-
-    parts = stored(components(best), "similar-parts")
-    left = part_of(part_of(stars.select("a", "b"), "a", parts), "b", parts).where("a_part <> b_part").select("a", "b")
-    first = stored(best.union(verified(left.join(best, ["a", "b"], "left_anti"))), "similar-first")
-    parts = stored(components(first), "similar-parts")
-    rows = groups.select("key", F.explode("of").alias("m")).select("key", "m.*").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    apart = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "node", "short", "part"))).alias("of"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    others = apart.select("of", F.posexplode("of").alias("k", "x")).where("x.short")
-    others = others.select("x", F.explode(F.filter(F.slice("of", F.col("k") + 2, F.size("of")), lambda y: (y["part"] != F.col("x.part")) & pairs(F.col("x"), y))).alias("y"))
-    rest = verified(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    discard(spark, groups._scratch, stars._scratch, best._scratch, sets._scratch)
-    return first.union(rest)
+    def near(x: Column, y: Column) -> Column:
+        """Whether two sets may be similar if this key is the first of all that they share: a similar pair passes there."""
+        return (p + q) * F.least(x["left"], y["left"]) >= p * (x["size"] + y["size"])
+
+    def parted(rows: DataFrame) -> DataFrame:
+        """rows of keys that hold several parts, with their parts."""
+        rows = rows if parts is None else rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        rows = rows if parts is not None else rows.withColumn("part", F.col("node"))
+        several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high")
+        return rows.join(several.select("key", "n"), "key")
+
+    links, parts, used = None, None, None
+    for turn in range(PIVOTS):
+        rows = parted(members)
+        free = rows if used is None else rows.join(used, ["key", "node"], "left_anti")
+        pivots = free.groupBy("key").agg(F.max_by(F.struct("node", "size", "left", "part"), F.struct("shared", "node")).alias("x"))
+        pivots = stored(pivots, "similar-pivots")
+        stars = rows.join(pivots, "key").where((F.col("part") != F.col("x.part")) & near(F.struct("left", "size"), F.col("x")))
+        best = stars.groupBy(F.col("x.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+        found = verified(best.select("a", "b"))
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else stored(links.union(found), "similar-first")
+        used = pivots.select("key", "x.node") if used is None else used.union(pivots.select("key", "x.node"))
+        if parts is not None:
+            discard(spark, parts._scratch)
+        found = components(links)
+        parts = stored(found, "similar-parts")
+        discard(spark, found._scratch)
+
+    def unlike(x: Column, y: Column) -> Column:
+        """Whether signatures alone tell that two sets are not similar."""
+        bits = F.aggregate(F.zip_with(x["signature"], y["signature"], lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+        return (p + q) * bits > (q - p) * (x["size"] + y["size"])
+
+    rows = stored(parted(members.drop("shared")), "similar-apart")
+    few = rows.where(F.col("n") <= SMALL).withColumn("signature", F.array().cast("array<long>"))
+    many = rows.where(F.col("n") > SMALL).join(sets.select("node", "signature"), "node").select(few.columns)
+    of = few.unionByName(many).groupBy("key").agg(F.collect_list(F.struct("size", "node", "left", "part", "signature")).alias("of"))
+    others = of.select("of", F.posexplode("of").alias("k", "x"))
+    others = others.select("x.node", F.explode(F.transform(F.filter(F.slice("of", F.col("k") + 2, F.size("of")), lambda y: (y["part"] != F.col("x.part")) & near(F.col("x"), y) & ~unlike(F.col("x"), y)), lambda y: y["node"])).alias("b"))
+    rest = verified(others.select(F.col("node").alias("a"), "b"))
+    discard(spark, members._scratch, sets._scratch, rows._scratch, parts._scratch)
+    return links.union(rest)
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST, sample: int = COMMON_SAMPLE) -> DataFrame:
