@@ -103,9 +103,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 1
             for t in range(trees):
                 width = high[:, t] - low[:, t]
                 asker = np.repeat(np.arange(len(some)), width)
-                place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low[:, t], width)
-                differ = np.frexp((arrays[place, t] ^ own[asker, t]).astype(np.float64))[1]
-                votes[asker, order[place, t]] += (letters - differ).astype(np.int32)
+                held_at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low[:, t], width)
+                differ = np.frexp((arrays[held_at, t] ^ own[asker, t]).astype(np.float64))[1]
+                votes[asker, order[held_at, t]] += (letters - differ).astype(np.int32)
             for q in range(len(some)):
                 near = np.argpartition(-votes[q], scored - 1)[:scored] if scored < n else np.arange(n)
                 got = np.einsum("ij,j->i", points[near], some[q])

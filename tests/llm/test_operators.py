@@ -297,6 +297,17 @@ def test_forest_recall_on_the_table(spark):
     assert hit / asked >= 0.92
 
 
+def test_forest_with_many_queries_in_a_block(spark):
+    points = np.random.default_rng(5).standard_normal((700, 16))
+    frame = spark.createDataFrame([(k, points[k].tolist()) for k in range(700)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in prefix_forest.neighbours(frame, F.col("vec_id") < 600, trees=20, wanted=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    score = points[:600] @ points.T
+    score[np.arange(600), np.arange(600)] = -np.inf
+    assert [got[q] for q in range(600)] == np.argsort(-score, axis=1)[:, :20].tolist()
+
+
 @pytest.mark.parametrize("name", ["documents", "awkward"])
 def test_kd_shards(request, name):
     frame = request.getfixturevalue(name)
