@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, numbered, small_batches, stored
@@ -33,6 +33,8 @@ GATHERED = 20_000
 LEAST, MOST_COMMON, COMMON_SAMPLE = (4, 5), 500_000, 10_000
 #: Rounds in which the sets that share a key meet one of them; bits of a set's signature; sets of one key up to which all pairs go on without their signatures.
 PIVOTS, SIGNATURE, SMALL = 3, 1024, 8
+#: Sets of a tile in which a key's group is compared, on average.
+GROUP_TILE = 64
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -306,11 +308,14 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
         import numpy as np
         import pyarrow as pa
 
+        import xxhash
+
         known, turn = common.value
         for batch in batches:
-            sizes, firsts, signs = [], [], []
-            for hashes in batch.column(3):
-                found = hashes.values.to_numpy(zero_copy_only=False)
+            nodes, sizes, firsts, signs = [], [], [], []
+            for text in batch.column(2):
+                found = np.unique(_hashes(text.as_py(), shingle)).view("<i8")
+                nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 odd = np.bincount(found & (SIGNATURE - 1), minlength=SIGNATURE) & 1
                 signs.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
                 n = len(found)
@@ -324,11 +329,12 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
             arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
             starts = np.arange(len(sizes) + 1, dtype=np.int32) * (SIGNATURE // 64)
             signed = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.zeros(0, np.int64), *signs])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.array(sizes, np.int32)), arrays, signed], ["doc_id", "body", "node", "size", "keys", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(np.array(sizes, np.int32)), arrays, signed], ["doc_id", "body", "node", "size", "keys", "signature"])
 
-    sets = shingle_sets(docs, shingle).select("doc_id", "body", "node", "hashes")
+    small_batches(docs.sparkSession)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(sets.mapInArrow(mapped, f"doc_id {kind}, body long, node long, size int, keys array<long>, signature array<long>"), "similar-prefixes")
+    return stored(texts.mapInArrow(mapped, f"doc_id {kind}, body long, node long, size int, keys array<long>, signature array<long>"), "similar-prefixes")
 
 
 def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -341,14 +347,12 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
     """
     p, q = least
     spark = docs.sparkSession
-    each = marked.select("node", "size", F.posexplode("keys").alias("k", "key"))
-    each = each.select("key", "node", "size", (F.col("size") - F.col("k")).alias("left")).repartition("key")
-    grouped = each.groupBy("key").agg(F.collect_set(F.struct("size", "node", "left")).alias("of")).where(F.size("of") > 1)
-    groups = stored(grouped.select("key", F.explode("of").alias("m")).select("key", "m.*"), "similar-groups")
-    members = stored(groups.join(groups.groupBy("node").agg(F.count("*").alias("shared")), "node"), "similar-members")
-    discard(spark, groups._scratch)
     # One row a set: copies of a text have one.
     sets = stored(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "similar-nodes")
+    each = sets.select("node", "size", F.posexplode("keys").alias("k", "key")).select("key", "size", "node", (F.col("size") - F.col("k")).alias("left"))
+    groups = stored(each.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "similar-groups")
+    members = stored(groups.join(groups.groupBy("node").agg(F.count("*").alias("shared")), "node"), "similar-members")
+    discard(spark, groups._scratch)
 
     def possible(candidates: DataFrame) -> DataFrame:
         """Candidates whose prefixes alone don't rule them out: beyond the prefix that ends first in the order of all hashes, its set has no more elements to share than are left of it."""
@@ -409,10 +413,19 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
     rows = stored(parted(members.drop("shared")), "similar-apart")
     few = rows.where(F.col("n") <= SMALL).withColumn("signature", F.array().cast("array<long>"))
     many = rows.where(F.col("n") > SMALL).join(sets.select("node", "signature"), "node").select(few.columns)
-    of = few.unionByName(many).groupBy("key").agg(F.collect_list(F.struct("size", "node", "left", "part", "signature")).alias("of"))
-    others = of.select("of", F.posexplode("of").alias("k", "x"))
-    others = others.select("x.node", F.explode(F.transform(F.filter(F.slice("of", F.col("k") + 2, F.size("of")), lambda y: (y["part"] != F.col("x.part")) & near(F.col("x"), y) & ~unlike(F.col("x"), y)), lambda y: y["node"])).alias("b"))
+    # A group is cut into tiles of bounded size, so that no array holds a whole group; each two tiles of a group meet.
+    tiled = few.unionByName(many).withColumn("tiles", F.ceil(F.col("n") / GROUP_TILE).cast("int"))
+    tiled = tiled.withColumn("i", F.pmod(F.xxhash64("node", F.lit("tile")), "tiles").cast("int"))
+    of = tiled.groupBy("key", "tiles", "i").agg(F.collect_list(F.struct("size", "node", "left", "part", "signature")).alias("of"))
+    alone = of.where("tiles = 1").select("of", F.col("of").alias("others"), F.lit(True).alias("same"))
+    cut = stored(of.where("tiles > 1"), "similar-tiles")
+    mine = cut.select("key", "i", "of", F.explode(F.sequence("i", F.col("tiles") - 1)).alias("j"))
+    met = mine.join(cut.select("key", F.col("i").alias("j"), F.col("of").alias("others")), ["key", "j"]).select("of", "others", (F.col("i") == F.col("j")).alias("same"))
+    others = alone.union(met).select(F.explode("of").alias("x"), "others", "same")
+    apart = lambda y: (~F.col("same") | (y["node"] > F.col("x.node"))) & (y["part"] != F.col("x.part")) & near(F.col("x"), y) & ~unlike(F.col("x"), y)
+    others = others.select("x.node", F.explode(F.transform(F.filter("others", apart), lambda y: y["node"])).alias("b"))
     rest = verified(others.select(F.col("node").alias("a"), "b"))
+    discard(spark, cut._scratch)
     discard(spark, members._scratch, sets._scratch, rows._scratch, parts._scratch)
     return links.union(rest)
 

@@ -214,6 +214,35 @@ def test_keep_first_by_similarity(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(frame).collect()) == sorted(set(low))
 
 
+def test_groups_of_a_key_are_compared_in_tiles(spark, monkeypatch):
+    draw, most = random.Random(3), []
+    # The shingle that all share has a low hash, so that it is in every prefix.
+    last = min((f"key{k}" for k in range(2000)), key=lambda w: xxhash.xxh64_intdigest(f"rare words of one {w}", 42))
+    texts = [["rare", "words", "of", "one", last, *[f"w{draw.randrange(10**6)}" for _ in range(36)]] for _ in range(150)]
+    # Ten more, each with one word replaced: 34 of 40 shingles in common.
+    texts += [[*t[:-3], "other", *t[-2:]] for t in texts[20:30]]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    inner = simhash.stored
+
+    def stored(made, name, **options):
+        out = inner(made, name, **options)
+        if name == "similar-tiles":
+            most.append(out.agg(F.max(F.size("of"))).first()[0])
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    monkeypatch.setattr(simhash, "GROUP_TILE", 16, raising=False)
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(160))
+    for i in range(160):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[i] = min(parent[i], parent[j])
+    assert sorted(r.doc_id for r in simhash.keep_first(frame, sample=1).collect()) == sorted(set(parent))
+    assert most and most[0] < 40
+
+
 @pytest.mark.parametrize("name", ["documents", "awkward"])
 def test_line_rules(request, name):
     frame = request.getfixturevalue(name)
