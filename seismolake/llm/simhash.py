@@ -9,9 +9,10 @@ each leaf that the triangle bound can't rule out, so pairs across a boundary mee
 homes and visitors are cut into tiles of bounded size; a tile compares all 64 bits exactly and gives
 back a spanning forest of what it has linked, never all pairs. Labels then spread over these links.
 
-keep_first decides on the similarity of word shingles itself. Fingerprints miss many pairs near its
-bound, at any radius that a tree can search, so its candidates come from prefixes of the sets of
-shingles, which no similar pair escapes, and are verified on the whole sets.
+keep_first decides on the similarity of word shingles itself. Its first candidates are what the trees
+link; each is verified on the whole sets. Fingerprints miss many pairs near its bound, at any radius
+that a tree can search, so what is still apart gets more candidates from prefixes of the sets of
+shingles, which no similar pair escapes, verified likewise.
 """
 
 from __future__ import annotations
@@ -223,7 +224,9 @@ def links(points: DataFrame, max_bits: int = 4, segments: int = 3, sample: int =
         return pa.table({"a": pa.array(own[label[other]]), "b": pa.array(own[other])})
 
     tiles = homes.unionByName(guests).groupBy("shard", "i", "j").applyInArrow(joined, "a long, b long")
-    return stored(tiles.distinct(), "simhash-links")
+    found = stored(tiles.distinct(), "simhash-links")
+    discard(points.sparkSession, visits._scratch)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,6 +266,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segmen
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _majority(hashes) -> int:
+    """The fingerprint of hashes of shingles, as in fingerprint."""
+    import numpy as np
+
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        set_bits += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * set_bits > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, body (a hash of the text), hashes (the distinct hashes of the text's word shingles, ordered) and node (a hash of these) of every row of docs."""
     small_batches(docs.sparkSession)
@@ -287,7 +300,7 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST, sample: int = COMMON_SAMPLE) -> DataFrame:
-    """doc_id, body, node, size, keys and signature of every row of docs: the size of its set, and the first hashes of it in one order of all hashes, rare ones first.
+    """doc_id, body, node, fp, size, keys and signature of every row of docs: the fingerprint of its shingles, the size of its set, and the first hashes of it in one order of all hashes, rare ones first.
 
     Two sets whose Jaccard similarity is p / q or more share a key, and one that is short for the smaller of
     them. That holds in any order; shingles that are common in a sample go last, so that few sets share a key.
@@ -312,9 +325,11 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
 
         known, turn = common.value
         for batch in batches:
-            nodes, sizes, firsts, signs = [], [], [], []
+            nodes, prints, sizes, firsts, signs = [], [], [], [], []
             for text in batch.column(2):
-                found = np.unique(_hashes(text.as_py(), shingle)).view("<i8")
+                found = _hashes(text.as_py(), shingle)
+                prints.append(_majority(found))
+                found = np.unique(found).view("<i8")
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 odd = np.bincount(found & (SIGNATURE - 1), minlength=SIGNATURE) & 1
                 signs.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
@@ -329,18 +344,26 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST,
             arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
             starts = np.arange(len(sizes) + 1, dtype=np.int32) * (SIGNATURE // 64)
             signed = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.zeros(0, np.int64), *signs])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(np.array(sizes, np.int32)), arrays, signed], ["doc_id", "body", "node", "size", "keys", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.array(x, "<u8").view("<i8")) for x in (nodes, prints)], pa.array(np.array(sizes, np.int32)), arrays, signed], ["doc_id", "body", "node", "fp", "size", "keys", "signature"])
 
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(texts.mapInArrow(mapped, f"doc_id {kind}, body long, node long, size int, keys array<long>, signature array<long>"), "similar-prefixes")
+    return stored(texts.mapInArrow(mapped, f"doc_id {kind}, body long, node long, fp long, size int, keys array<long>, signature array<long>"), "similar-prefixes")
+
+
+def tree_candidates(sets: DataFrame) -> DataFrame:
+    """Candidates (a, b) of sets (node, fp): one set of each of two fingerprints that the trees link, and each set with one that has its fingerprint."""
+    points = stored(sets.groupBy("fp").agg(F.min("node").alias("low")), "similar-points")
+    met = links(points.select("fp", F.col("low").alias("node")))
+    same = sets.join(points, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return met.union(same)
 
 
 def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
     """Links (a, b) between nodes of prefixes(docs) that join exactly the sets over steps of a Jaccard similarity of p / q or more.
 
-    Every candidate is verified on both whole sets, which are made again for the candidates alone. In each of a few rounds a key has a pivot, the set that shares
+    Every candidate is verified on both whole sets, which are made again for the candidates alone. The first are those of the vantage-point trees. In each of a few rounds after that a key has a pivot, the set that shares
     most of its keys with others, and each set that is still apart from a pivot meets the one with which it shares most keys. What is apart after
     that meets in pairs, but for those that sizes, places of the key and signatures rule out. So a large group of near copies becomes
     one part by its pivots, and unlike documents with a key in common are told apart by 1,024 bits.
@@ -348,7 +371,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
     p, q = least
     spark = docs.sparkSession
     # One row a set: copies of a text have one.
-    sets = stored(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "similar-nodes")
+    sets = stored(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "similar-nodes")
     each = sets.select("node", "size", F.posexplode("keys").alias("k", "key")).select("key", "size", "node", (F.col("size") - F.col("k")).alias("left"))
     groups = stored(each.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "similar-groups")
     members = stored(groups.join(groups.groupBy("node").agg(F.count("*").alias("shared")), "node"), "similar-members")
@@ -381,13 +404,15 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
 
     def parted(rows: DataFrame) -> DataFrame:
         """rows of keys that hold several parts, with their parts."""
-        rows = rows if parts is None else rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        rows = rows if parts is not None else rows.withColumn("part", F.col("node"))
+        rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high")
         return rows.join(several.select("key", "n"), "key")
 
-    links, parts, used = None, None, None
-    for turn in range(PIVOTS):
+    linked, used = verified(tree_candidates(sets.select("node", "fp"))), None
+    found = components(linked)
+    parts = stored(found, "similar-parts")
+    discard(spark, found._scratch)
+    for _ in range(PIVOTS):
         rows = parted(members)
         free = rows if used is None else rows.join(used, ["key", "node"], "left_anti")
         pivots = free.groupBy("key").agg(F.max_by(F.struct("node", "size", "left", "part"), F.struct("shared", "node")).alias("x"))
@@ -395,13 +420,12 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
         stars = rows.join(pivots, "key").where((F.col("part") != F.col("x.part")) & near(F.struct("left", "size"), F.col("x")))
         best = stars.groupBy(F.col("x.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
         found = verified(best.select("a", "b"))
-        if links is not None and found.isEmpty():
+        if found.isEmpty():
             break
-        links = found if links is None else stored(links.union(found), "similar-first")
+        linked = stored(linked.union(found), "similar-first")
         used = pivots.select("key", "x.node") if used is None else used.union(pivots.select("key", "x.node"))
-        if parts is not None:
-            discard(spark, parts._scratch)
-        found = components(links)
+        discard(spark, parts._scratch)
+        found = components(linked)
         parts = stored(found, "similar-parts")
         discard(spark, found._scratch)
 
@@ -427,7 +451,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int = 5, least: t
     rest = verified(others.select(F.col("node").alias("a"), "b"))
     discard(spark, cut._scratch)
     discard(spark, members._scratch, sets._scratch, rows._scratch, parts._scratch)
-    return links.union(rest)
+    return linked.union(rest)
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST, sample: int = COMMON_SAMPLE) -> DataFrame:

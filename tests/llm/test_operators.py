@@ -214,6 +214,26 @@ def test_keep_first_by_similarity(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(frame).collect()) == sorted(set(low))
 
 
+def test_keep_first_takes_links_of_the_trees(spark, monkeypatch):
+    draw = random.Random(9)
+    texts = [[f"w{draw.randrange(10**6)}" for _ in range(300)] for _ in range(40)]
+    texts += [[*t[:150], "other", *t[151:]] for t in texts]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    inner, found = simhash.links, []
+
+    def links(points, *args, **options):
+        out = inner(points, *args, **options)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "links", links)
+    assert sorted(r.doc_id for r in simhash.keep_first(frame).collect()) == list(range(40))
+    prints = [simhash.fingerprint(" ".join(t), 5) for t in texts]
+    assert {r.doc_id: r.fp % 2**64 for r in simhash.prefixes(frame).collect()} == dict(enumerate(prints))
+    near = sum(0 < (prints[k] ^ prints[k + 40]).bit_count() <= 4 for k in range(40))
+    assert len(found) == 1 and found[0] >= near > 5
+
+
 def test_groups_of_a_key_are_compared_in_tiles(spark, monkeypatch):
     draw, most = random.Random(3), []
     # The shingle that all share has a low hash, so that it is in every prefix.
@@ -232,7 +252,7 @@ def test_groups_of_a_key_are_compared_in_tiles(spark, monkeypatch):
 
     monkeypatch.setattr(simhash, "stored", stored)
     monkeypatch.setattr(simhash, "GROUP_TILE", 16, raising=False)
-    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    monkeypatch.setattr(simhash, "PIVOTS", 0)
     sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
     parent = list(range(160))
     for i in range(160):
