@@ -81,31 +81,31 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 1
         strings = lambda x: ((x @ planes).reshape(len(x), trees, letters) > 0) @ place
         hashed = np.concatenate([strings(np.c_[points[a : a + 1024], fill[a : a + 1024]]) for a in range(0, n, 1024)])
         order = np.argsort(hashed, axis=0, kind="stable")
-        arrays = np.take_along_axis(hashed, order, axis=0)
+        # A row a tree, so that a range of its array is one piece of memory.
+        arrays, order = (np.ascontiguousarray(x.T) for x in (np.take_along_axis(hashed, order, axis=0), order))
+        flat, entry, base = arrays.ravel(), order.ravel(), np.arange(trees) * n
         enough, scored = reach * n, min(n, max(least, int(wanted * n)))
         for at in range(0, len(asks), 256):
             some = asks[at : at + 256]
-            own = strings(np.c_[some, np.zeros(len(some))])
-            # All trees ascend in step: a query stops at the longest prefixes whose ranges hold enough entries over all trees.
-            low, high = np.zeros((len(some), trees), np.int64), np.full((len(some), trees), n)
-            waits = np.ones(len(some), bool)
-            for depth in range(letters, 0, -1):
-                prefix = own[waits] >> (letters - depth) << (letters - depth)
-                a, b = (np.stack([np.searchsorted(arrays[:, t], prefix[:, t] + up) for t in range(trees)], axis=1) for up in (0, 1 << (letters - depth)))
-                done = (b - a).sum(axis=1) >= enough
-                stop = np.flatnonzero(waits)[done]
-                low[stop], high[stop] = a[done], b[done]
-                waits[stop] = False
-                if not waits.any():
-                    break
+            own = np.ascontiguousarray(strings(np.c_[some, np.zeros(len(some))]).T)
+            # All trees ascend in step: a query stops at the longest prefixes whose ranges hold enough entries over all trees. Shorter ones hold more, so that length is found by halving.
+            low, high = np.zeros((trees, len(some)), np.int64), np.full((trees, len(some)), n)
+            length, beyond = np.zeros(len(some), np.int64), np.full(len(some), letters + 1)
+            while (beyond - length > 1).any():
+                middle = (length + beyond) // 2
+                prefix = own >> (letters - middle) << (letters - middle)
+                a, b = (np.stack([np.searchsorted(arrays[t], prefix[t] + up) for t in range(trees)]) for up in (0, 1 << (letters - middle)))
+                done = (b - a).sum(axis=0) >= enough
+                low[:, done], high[:, done] = a[:, done], b[:, done]
+                length, beyond = np.where(done, middle, length), np.where(done, beyond, middle)
             # An entry has a vote of a tree for each letter that its string shares with the query's; the trees that agree most decide what is scored.
             votes = np.zeros((len(some), n), np.int32)
-            for t in range(trees):
-                width = high[:, t] - low[:, t]
-                asker = np.repeat(np.arange(len(some)), width)
-                held_at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low[:, t], width)
-                differ = np.frexp((arrays[held_at, t] ^ own[asker, t]).astype(np.float64))[1]
-                votes[asker, order[held_at, t]] += (letters - differ).astype(np.int32)
+            for q in range(len(some)):
+                width = high[:, q] - low[:, q]
+                held_at = np.arange(width.sum()) + np.repeat(low[:, q] + base - (np.cumsum(width) - width), width)
+                # The exponent of a double is the place of a string's first letter that differs.
+                differ = np.maximum(((flat[held_at] ^ np.repeat(own[:, q], width)).astype(np.float64).view(np.int64) >> 52) - 1022, 0)
+                votes[q] = np.bincount(entry[held_at], weights=letters - differ, minlength=n)
             for q in range(len(some)):
                 near = np.argpartition(-votes[q], scored - 1)[:scored] if scored < n else np.arange(n)
                 got = np.einsum("ij,j->i", points[near], some[q])
