@@ -115,6 +115,35 @@ def test_token_files(spark, request, name, encode):
     assert token_files.read_index(spark, path).count() == len(want)
 
 
+def test_words_that_differ_by_case_or_marks_are_encoded_once(encode):
+    from seismolake.llm.token_words import WordEncoder
+
+    encoder = WordEncoder(tokenizer_file())
+    model, given = encoder.tokenizer.model, []
+
+    class Counted:
+        def tokenize(self, text):
+            given.append(text)
+            return model.tokenize(text)
+
+    encoder.model = Counted()
+    text = "haus Haus HAUS haus, (Haus) haus### haus.Haus \"haus\""
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encode(text)[:-1] and given == ["haus"]
+
+
+def test_odd_texts_are_encoded_as_by_the_library(encode):
+    import random
+
+    from seismolake.llm.token_words import MARKS, WordEncoder
+
+    draw, encoder = random.Random(4), WordEncoder(tokenizer_file(), cache_words=500)
+    bits = [*"aBéÉßÿŸ×÷µªº1²'’“«»°· \n\t\x0b\x1c\x85\xa0\u2003\u0301İıΣςﬁ漢😀\x00\x01\x7f\xad", *MARKS, "77", "'s", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "haus", "Ünder", "x" * 1200]
+    latin = [b for b in bits if all(ord(c) < 256 for c in b)]
+    for k in range(4000):
+        text = "".join(draw.choices(draw.sample(bits, draw.randint(2, 14)) if k % 2 else latin, k=draw.randint(1, 30)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encode(text)[:-1], repr(text)
+
+
 def test_token_files_are_read_in_part(spark, documents):
     import glob
 
