@@ -22,6 +22,8 @@ from .common import stored
 
 #: Vectors of a block of the index, and queries of a block.
 BLOCK, QUERIES = 8192, 4096
+#: Letters at a string's start whose votes are added by whole rows of a block.
+HEAD = 6
 
 
 def usable(vector: Column) -> Column:
@@ -30,6 +32,80 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+class Forest:
+    """The sorted strings of a block's entries, an array a tree. hashed: a row an entry, a column a tree, strings of `letters` bits."""
+
+    def __init__(self, hashed, letters: int):
+        import numpy as np
+
+        (self.n, self.trees), self.letters, self.head = hashed.shape, letters, min(HEAD, letters - 1)
+        order = np.argsort(hashed, axis=0, kind="stable")
+        # A row a tree, so that a range of its array is one piece of memory.
+        self.arrays, self.order = (np.ascontiguousarray(x.T) for x in (np.take_along_axis(hashed, order, axis=0), order))
+        self.heads = np.ascontiguousarray(hashed.T >> (letters - self.head))
+        cuts = np.arange((2 << self.head) + 1) << (letters - self.head - 1)
+        self.starts = np.stack([np.searchsorted(array, cuts) for array in self.arrays])
+
+    def ranges(self, own, length):
+        """Where the entries lie that share the first letters, `length` of them for a column, with the strings of a row a tree."""
+        import numpy as np
+
+        rest, more = self.letters - length, self.head + 1 - length
+        if (more >= 0).all():
+            tree, cell = np.arange(self.trees)[:, None], own >> rest
+            return self.starts[tree, cell << more], self.starts[tree, (cell + 1) << more]
+        prefix = own >> rest << rest
+        return tuple(np.stack([np.searchsorted(array, x) for array, x in zip(self.arrays, prefix + up, strict=True)]) for up in (0, 1 << rest))
+
+    def votes(self, own, enough: int):
+        """A row a query, a column an entry: a vote of a tree for each letter that its string shares with the query's, if the entry is in the query's range.
+
+        All trees ascend in step: a query stops at the longest prefixes whose ranges hold enough entries over all trees.
+        """
+        import numpy as np
+
+        own, n, head = np.ascontiguousarray(own.T), self.n, self.head
+        queries = own.shape[1]
+        # Shorter prefixes hold more, so that the length is found by halving.
+        length, beyond = np.zeros(queries, np.int64), np.full(queries, self.letters + 1)
+        while (beyond - length > 1).any():
+            middle = (length + beyond) // 2
+            low, high = self.ranges(own, middle)
+            done = (high - low).sum(axis=0) >= enough
+            length, beyond = np.where(done, middle, length), np.where(done, beyond, middle)
+        votes = np.zeros((queries, n), np.int32)
+        # Votes for the first letters are the same for all queries with the same ones, so they are added by whole rows.
+        cells = np.arange(1 << head)
+        shared = (head - np.frexp(cells[:, None] ^ cells)[1]).astype(np.uint8)
+        for short in np.unique(length[length <= head]).tolist():
+            which = np.flatnonzero(length == short)
+            worth, asked = np.where(shared >= short, shared, 0).astype(np.uint8), own[:, which] >> (self.letters - head)
+            rows, full = np.zeros((len(which), n), np.uint8), 255 // max(head, 1)
+            for t in range(self.trees):
+                if t and t % full == 0:
+                    votes[which] += rows
+                    rows[:] = 0
+                by_cell = np.ascontiguousarray(worth[self.heads[t]].T)
+                for a in range(0, len(which), 128):
+                    rows[a : a + 128] += by_cell[asked[t, a : a + 128]]
+            votes[which] += rows
+        # The others are added by the entries of the ranges beyond, some queries at a time.
+        low, high = self.ranges(own, np.maximum(length, head + 1))
+        flat, entry, base = self.arrays.ravel(), self.order.ravel(), np.arange(self.trees) * n
+        left = self.letters - np.where(length <= head, head, 0)
+        held = np.cumsum((high - low).sum(axis=0))
+        for some in np.split(np.arange(queries), np.flatnonzero(np.diff(held >> 16)) + 1):
+            width = (high - low)[:, some].T.ravel()
+            each = lambda x: np.repeat(x.ravel(), width)  # noqa: B023, E731
+            held_at = np.arange(width.sum()) + each((low[:, some].T + base).ravel() - (np.cumsum(width) - width))
+            # The exponent of a double is the place of a string's first letter that differs.
+            differ = np.maximum(((flat[held_at] ^ each(own[:, some].T)).astype(np.float64).view(np.int64) >> 52) - 1022, 0)
+            at = entry[held_at] + each(np.repeat(np.arange(len(some)) * n, self.trees))
+            deep = np.bincount(at, weights=each(np.repeat(left[some], self.trees)) - differ, minlength=len(some) * n)
+            votes[some] += deep.reshape(-1, n).astype(np.int32)
+        return votes
+
+
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 160, letters: int = 24, reach: int = 16, wanted: float = 0.12, least: int = 200, block: int = BLOCK, queries: int = QUERIES, seed: int = 11) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found of each row of vectors (vec_id, embedding) that is a query.
 
@@ -79,33 +155,11 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 1
         fill = np.sqrt(np.maximum(0.0, longest[points.shape[1]] - (points**2).sum(1)))
         place = (1 << np.arange(letters, dtype=np.int64))[::-1]
         strings = lambda x: ((x @ planes).reshape(len(x), trees, letters) > 0) @ place
-        hashed = np.concatenate([strings(np.c_[points[a : a + 1024], fill[a : a + 1024]]) for a in range(0, n, 1024)])
-        order = np.argsort(hashed, axis=0, kind="stable")
-        # A row a tree, so that a range of its array is one piece of memory.
-        arrays, order = (np.ascontiguousarray(x.T) for x in (np.take_along_axis(hashed, order, axis=0), order))
-        flat, entry, base = arrays.ravel(), order.ravel(), np.arange(trees) * n
+        forest = Forest(np.concatenate([strings(np.c_[points[a : a + 1024], fill[a : a + 1024]]) for a in range(0, n, 1024)]), letters)
         enough, scored = reach * n, min(n, max(least, int(wanted * n)))
-        for at in range(0, len(asks), 256):
-            some = asks[at : at + 256]
-            own = np.ascontiguousarray(strings(np.c_[some, np.zeros(len(some))]).T)
-            # All trees ascend in step: a query stops at the longest prefixes whose ranges hold enough entries over all trees. Shorter ones hold more, so that length is found by halving.
-            low, high = np.zeros((trees, len(some)), np.int64), np.full((trees, len(some)), n)
-            length, beyond = np.zeros(len(some), np.int64), np.full(len(some), letters + 1)
-            while (beyond - length > 1).any():
-                middle = (length + beyond) // 2
-                prefix = own >> (letters - middle) << (letters - middle)
-                a, b = (np.stack([np.searchsorted(arrays[t], prefix[t] + up) for t in range(trees)]) for up in (0, 1 << (letters - middle)))
-                done = (b - a).sum(axis=0) >= enough
-                low[:, done], high[:, done] = a[:, done], b[:, done]
-                length, beyond = np.where(done, middle, length), np.where(done, beyond, middle)
-            # An entry has a vote of a tree for each letter that its string shares with the query's; the trees that agree most decide what is scored.
-            votes = np.zeros((len(some), n), np.int32)
-            for q in range(len(some)):
-                width = high[:, q] - low[:, q]
-                held_at = np.arange(width.sum()) + np.repeat(low[:, q] + base - (np.cumsum(width) - width), width)
-                # The exponent of a double is the place of a string's first letter that differs.
-                differ = np.maximum(((flat[held_at] ^ np.repeat(own[:, q], width)).astype(np.float64).view(np.int64) >> 52) - 1022, 0)
-                votes[q] = np.bincount(entry[held_at], weights=letters - differ, minlength=n)
+        for at in range(0, len(asks), 1024):
+            some = asks[at : at + 1024]
+            votes = forest.votes(strings(np.c_[some, np.zeros(len(some))]), enough)
             for q in range(len(some)):
                 near = np.argpartition(-votes[q], scored - 1)[:scored] if scored < n else np.arange(n)
                 got = np.einsum("ij,j->i", points[near], some[q])

@@ -386,6 +386,28 @@ def test_forest_with_many_queries_in_a_block(spark):
     assert [got[q] for q in range(600)] == np.argsort(-score, axis=1)[:, :20].tolist()
 
 
+@pytest.mark.parametrize("letters", [1, 3, 7, 24])
+def test_forest_votes(letters):
+    draw = np.random.default_rng(3)
+    for enough in (0, 40, 400, 900, 1300):
+        # Strings of half the letters have many that are equal.
+        strings = draw.integers(0, 1 << letters, (60, 20)) >> letters // 2 << letters // 2
+        asked = np.where(draw.random((9, 20)) < 0.5, strings[draw.integers(0, 60, 9)], draw.integers(0, 1 << letters, (9, 20)))
+        shared = letters - np.frexp((asked[:, None] ^ strings[None]).astype(float))[1]
+        longest = [max((k for k in range(1, letters + 1) if (x >= k).sum() >= enough), default=0) for x in shared]
+        want = [np.where(x >= k, x, 0).sum(axis=1).tolist() for x, k in zip(shared, longest, strict=True)]
+        assert prefix_forest.Forest(strings, letters).votes(asked, enough).tolist() == want
+
+
+def test_forest_weighs_few_entries_one_by_one(monkeypatch):
+    draw, weighed, count = np.random.default_rng(3), [], np.bincount
+    strings, asked = draw.integers(0, 1 << 24, (2000, 160)), draw.integers(0, 1 << 24, (50, 160))
+    monkeypatch.setattr(np, "bincount", lambda at, **other: weighed.append(len(at)) or count(at, **other))
+    votes = prefix_forest.Forest(strings, 24).votes(asked, 16 * 2000)
+    # The ranges hold 16 entries and more for each entry.
+    assert votes.sum() > 3 * 16 * 2000 * 50 and sum(weighed) < 2 * 2000 * 50
+
+
 @pytest.mark.parametrize("name", ["documents", "awkward"])
 def test_kd_shards(request, name):
     frame = request.getfixturevalue(name)
