@@ -235,6 +235,15 @@ def test_clusters_of_a_dense_catalogue(spark, monkeypatch):
     assert {r.mainshock: r.n for r in got} == {m: n for m, n in sizes.items() if n >= 3} and all(r.largest == rows[r.mainshock][6] for r in got)
 
 
+def test_top_clusters_of_a_dense_catalogue(spark, monkeypatch):
+    monkeypatch.setattr(graph, "claim", lambda *_: pytest.fail("pairs"))
+    rows = dense_rows()
+    owner = list(declustered_by_a_loop(rows).values())
+    want = sorted(((-owner.count(m), m) for m in set(owner)))[:3]
+    got = statistics.top_clusters(match.decluster(spark.createDataFrame(rows, FIELDS)), 3).collect()
+    assert [(-r.n, r.mainshock) for r in got] == want
+
+
 @pytest.mark.parametrize("bounds", [(1, 0, 0.0), (40, 0, 0.0), (40, 100, 1.0), (1, 100, 1.0)])
 def test_declustering_by_heads_and_pairs_equals_a_loop(spark, monkeypatch, bounds):
     """With heads alone or pairs after the first, with seeds broadcast and not; ties, missing values and places at the pole too."""
